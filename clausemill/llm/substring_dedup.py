@@ -88,7 +88,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, cells: int) -> Iterat
             anchors = anchors[words.owner[a : a + n] == words.owner[a + width - 1 : a + width - 1 + n]]
             if len(anchors):
                 held.append(anchors[np.concatenate([[True], anchors[1:] != anchors[:-1]])])
-        if sum(map(len, held)) > 2_000_000:
+        if sum(map(len, held)) > 1_000_000:
             yield from flush()
     if held:
         yield from flush()
@@ -139,6 +139,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], width: int, cells: int, sketc
             at = whole[hit]
             if not len(at):
                 continue
+            del anchors, whole, turn, hit
             h1 = runs(hashes[a:b], width, 0xA5A5)[at]
             h2 = (runs(hashes[a:b], width, 0xC3C3C3)[at] >> _U(32)).astype(np.uint32)
             order = np.lexsort((at, h2, h1))
