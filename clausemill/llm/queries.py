@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausemill.llm.decontaminate import find_items
 from clausemill.llm.language_id import predict, train
 from clausemill.llm.line_dedup import index_lines
 from clausemill.llm.quality_rules import quality_report
 from clausemill.llm.sentencepiece_codec import encode
+from clausemill.llm.shared import settle, shared_dir
+from clausemill.llm.sharding import SLOTS, place
 from clausemill.llm.simhash_dedup import near_duplicates
 from clausemill.llm.substring_dedup import dedup_substrings
+from clausemill.llm.token_counts import TokenRollup, count_tokens
+from clausemill.llm.url_filters import duckdb_sql, judge_urls
+
+SHARDS = [f"shard-{k:03d}" for k in range(100)]
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +33,32 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load all documents, load them again (a retry, without effect), revise the counts of documents with repeated lines, delete toxic ones."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    once = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
+    counted = count_tokens(docs.withColumn("once", F.when(once != F.col("text"), once)), ["text", "once"])
+    toxic = _table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("toxic_id")).distinct()
+    state = settle(counted.join(toxic, F.col("doc_id") == F.col("toxic_id"), "left").withColumn("version", F.lit("byte_bpe_50k")), "counted")
+    rollup = TokenRollup(spark, f"{shared_dir(spark)}/clausemill/rollup-{uuid.uuid4().hex}")
+    keys, now = ["source", "lang", "version"], F.when(F.col("n_1") > 0, F.col("n_1")).otherwise(F.col("n_0"))
+    load = state.select(*keys, F.lit("insert").alias("op"), F.col("n_0").alias("n_tokens"), F.lit(0).alias("old_tokens"))
+    rollup.commit("load", load)
+    rollup.commit("load", load)
+    rollup.commit("revise", state.filter("n_1 > 0").select(*keys, F.lit("revise").alias("op"), F.col("n_1").alias("n_tokens"), F.col("n_0").alias("old_tokens")))
+    rollup.commit("takedown", state.filter("toxic_id IS NOT NULL").select(*keys, F.lit("delete").alias("op"), now.alias("n_tokens"), F.lit(0).alias("old_tokens")))
+    return rollup.totals()
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_pieces", F.lower(F.lpad(F.hex(F.xxhash64("token_ids")), 16, "0")).alias("ids_hash"), "lossless")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(_table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -36,12 +66,21 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model, keep=[held_out.alias("held_out")])
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = index_lines(docs).apply(docs, keep=("doc_id",))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), (F.col("toxic") == 1).alias("bad"))
+    return judge_urls(_table(spark, sf_dir, "pages"), RULES, labels).drop("purity")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -51,7 +90,42 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_sentencepiece, op5_language_id, op7_line_dedup, op9_simhash_near_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_token_counts,
+        op3_sentencepiece,
+        op4_sharding,
+        op5_language_id,
+        op6_decontamination,
+        op7_line_dedup,
+        op8_url_filters,
+        op9_simhash_near_dedup,
+        op10_quality_rules,
+    )
+}
+
+
+def _op4_sql() -> str:
+    """The table by another road: each shard's whole order of preference as a list, then turns."""
+    import hashlib
+
+    from_hex = lambda x: int(x, 16)
+    orders = []
+    for name in SHARDS:
+        h = hashlib.md5(name.encode()).hexdigest()
+        orders.append(iter([(from_hex(h[:15]) + j * (from_hex(h[17:]) % (SLOTS - 1) + 1)) % SLOTS for j in range(SLOTS)]))
+    table: dict[int, str] = {}
+    while len(table) < SLOTS:
+        for name, order in zip(SHARDS, orders, strict=True):
+            if len(table) < SLOTS:
+                table[next(x for x in order if x not in table)] = name
+    owners = ",".join(table[k].removeprefix("shard-") for k in range(SLOTS))
+    slot = f"(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {SLOTS})::INTEGER"
+    return f"WITH t AS (SELECT string_split('{owners}', ',') AS owners) SELECT doc_id, {slot} AS slot, 'shard-' || owners[{slot} + 1] AS shard FROM documents, t"
+
+
 _OP7 = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents
@@ -65,4 +139,8 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
-ORACLES: dict[str, str] = {"op7_line_dedup": _OP7}
+ORACLES: dict[str, str] = {
+    "op4_sharding": _op4_sql(),
+    "op7_line_dedup": _OP7,
+    "op8_url_filters": duckdb_sql(RULES, "SELECT doc_id AS key, toxic = 1 AS bad FROM labels"),
+}
