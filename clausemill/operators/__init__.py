@@ -1 +1 @@
-"""Placeholder filled below."""
+"""Relational operators of the document engine: DataFrame in, DataFrame out."""

@@ -1 +1,39 @@
-"""Placeholder filled below."""
+"""Whole runs: all steps of a corpus in order, lazily, over every document at once."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+
+from clausemill.operators import clauses as cl
+from clausemill.operators import extract, graph, index, interpret, matching, structure
+
+
+@dataclass
+class Corpus:
+    """Tables of a run; each is lazy until written."""
+
+    lines: DataFrame
+    nodes: DataFrame
+    clauses: DataFrame
+    objects: DataFrame
+    graph_nodes: DataFrame
+    graph_edges: DataFrame
+    postings: DataFrame
+
+
+def run(pages: DataFrame, catalog: DataFrame, domains: DataFrame, metadata: DataFrame, denoise: bool = True, classifier: Callable | None = None, level_hook: Callable | None = None, rules: matching.Rules = matching.Rules(), keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Corpus:
+    """pages (stem, page_no, text) to every table.  keep(name, df) may write a step and give it back read, so that later steps do not compute it again.
+
+    metadata: stem, document_id, regulator, regulator_country, title, source_type, version, jurisdiction, catalog_version.
+    """
+    labels = [r["label"] for r in domains.select("label").collect()]  # a taxonomy of tens of rows
+    clean = extract.denoise_pages(pages) if denoise else pages
+    lines = keep("lines", extract.markdown_lines(clean))
+    nodes = keep("nodes", interpret.tag_units(structure.build_structure(lines, level_hook), labels, classifier))
+    clauses = keep("clauses", cl.export_clauses(nodes, domains))
+    objects = keep("objects", matching.ontology_objects(clauses, catalog, domains, rules))
+    graph_nodes, graph_edges = graph.build_graph(clauses, objects, metadata, catalog, domains)
+    return Corpus(lines, nodes, clauses, objects, keep("graph_nodes", graph_nodes), keep("graph_edges", graph_edges), keep("postings", index.postings(clauses)))

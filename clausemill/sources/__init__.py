@@ -1 +1 @@
-"""Placeholder filled below."""
+"""Readers and writers of the engine's files and tables."""
