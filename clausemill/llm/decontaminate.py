@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clausemill.llm.shared import small_batches
 from clausemill.llm.words import Words, mix, runs, slices
 
 _U = np.uint64
@@ -154,6 +155,7 @@ _FOUND = "item_id long, first_word long, n_words long, differing_bits int, simil
 
 def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, least: float = 0.8, radius: int = 17, block_bytes: int = 16 << 20) -> DataFrame:
     """One row for each document row and item that it holds: id_col, item_id, and its most similar window."""
+    small_batches(docs.sparkSession)
     inner = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def found(index) -> DataFrame:
@@ -173,6 +175,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, least: float = 0.8, radius: int = 17, block_bytes: int = 16 << 20) -> DataFrame:
     """The documents, with their columns, that hold no item.  No text is shuffled."""
+    small_batches(docs.sparkSession)
     at, out = docs.columns.index(text_col), docs
     for block in _item_blocks(items, item_id, item_text, block_bytes):
         index = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, width, radius, least))

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from clausemill.llm.lattice import Lattice, Vocabulary
 from clausemill.llm.sentencepiece_codec import MODEL
+from clausemill.llm.shared import small_batches
 from clausemill.llm.words import Words, mix, slices
 
 UNKNOWN = "und"
@@ -116,6 +117,7 @@ def train(labelled: DataFrame, train_rows: int = 1500, smoothing: float = 200.0,
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """One row per input row: id_col, the columns `keep`, lang_pred, score."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     inner = docs.select(F.col(f"`{id_col}`").alias("id"), *(keep or []), F.col(f"`{text_col}`").alias("text"))
     names = inner.columns[1:-1]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausemill.llm.cuckoo import CuckooFilter
-from clausemill.llm.shared import partitions, settle, shared_dir
+from clausemill.llm.shared import partitions, settle, shared_dir, small_batches
 from clausemill.llm.words import signed, slices
 
 _U = np.uint64
@@ -135,6 +135,7 @@ class LineIndex:
 
     def __init__(self, spark: SparkSession, path: str, min_chars: int = 20, min_docs: int = 3, shards: int = 64, max_filter_bytes: int = 64 << 20):
         self.spark, self.path, self.min_chars, self.min_docs, self.shards, self.max_filter_bytes = spark, path, min_chars, min_docs, shards, max_filter_bytes
+        small_batches(spark)
         self.filters: DataFrame | None = None
         self._known: DataFrame | None = None
         self._deletes = False

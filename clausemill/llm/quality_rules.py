@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausemill.llm.shared import fresh, settle
+from clausemill.llm.shared import fresh, settle, small_batches
 from clausemill.llm.words import Words, mix, runs, slices
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -65,6 +65,7 @@ def _measure(texts: pa.Array) -> dict[str, np.ndarray]:
 
 def with_measures(docs: DataFrame, text_col: str, keep: list[str], names: dict[str, str]) -> DataFrame:
     """The columns `keep`, and the base measures under the names given."""
+    small_batches(docs.sparkSession)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(names[m], T.LongType()) for m in MEASURES])
     position = {c: k for k, c in enumerate(dict.fromkeys([*keep, text_col]))}
 

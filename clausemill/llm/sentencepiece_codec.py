@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clausemill.llm.lattice import _ALIEN, SPACE_MARK, Lattice, Vocabulary
+from clausemill.llm.shared import small_batches
 from clausemill.llm.words import mix, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -112,6 +113,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed
 
     The key is id_col as a long, or the hash of its string.
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     vocabulary = Vocabulary.from_model(model)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, vocabulary.zipf(sharpness), spellings(vocabulary)))

@@ -50,6 +50,13 @@ def _release_all() -> None:
             release(spark)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lower the session's Arrow batches to `rows` rows: whole texts are long, and each batch is held several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def text_bytes(df: DataFrame, column: str) -> int:
     """Bytes of UTF-8 in a column, over all rows: one scan that returns one number."""
     return df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.llm.components import components
-from clausemill.llm.shared import partitions, settle
+from clausemill.llm.shared import partitions, settle, small_batches
 from clausemill.llm.words import Words, mix, signed, slices
 
 _U = np.uint64
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "fp": signed(_fingerprints(batch.column("text"), shingle))})
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
 
 
@@ -108,6 +109,18 @@ def _crowd_links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return who, np.repeat(who[lead], np.diff(np.append(lead, len(who))))
 
 
+def _together(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches joined until they have enough rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Verified links of fingerprints that meet; rows come sorted by point, and a batch's last point is carried on."""
     points, fps = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -137,9 +150,9 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
             if pairs.size:
                 yield pa.RecordBatch.from_pydict({"u": pairs[0], "v": pairs[1]})
 
-    for batch in batches:
-        points = np.concatenate([points, batch.column("point").to_numpy(zero_copy_only=False)])
-        fps = np.concatenate([fps, batch.column("fp").to_numpy(zero_copy_only=False)])
+    for batch in _together(batches, 100_000):
+        points = np.concatenate([points, batch.column("point").to_numpy()])
+        fps = np.concatenate([fps, batch.column("fp").to_numpy()])
         cut = int(np.searchsorted(points, points[-1])) if len(points) else 0
         yield from linked(points[:cut], fps[:cut])
         points, fps = points[cut:], fps[cut:]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausemill.llm.shared import partitions, text_bytes
+from clausemill.llm.shared import partitions, small_batches, text_bytes
 from clausemill.llm.words import Words, mix, runs, signed, slices, sliding_min
 
 _U = np.uint64
@@ -190,6 +190,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if width < 2:
         raise ValueError("a window has at least two words")
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     marked = base.withColumn("mark", F.hash("text"))
     expected = text_bytes(base, "text") // 6 // (_spread(width) + 1) * 2 + 1

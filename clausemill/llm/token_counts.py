@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausemill.llm.shared import once
+from clausemill.llm.shared import once, small_batches
 from clausemill.llm.words import slices
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -35,6 +35,7 @@ KEYS = ("source", "lang", "version")
 
 def count_tokens(docs: DataFrame, text_cols: list[str], ranks: str = RANKS) -> DataFrame:
     """All columns but text_cols, and for each of those its token count under a byte-pair vocabulary, as n_<k>."""
+    small_batches(docs.sparkSession)
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     shared = docs.sparkSession.sparkContext.broadcast(table)
