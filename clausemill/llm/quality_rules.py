@@ -128,6 +128,12 @@ def fences(counts: DataFrame, min_rows: int = 50) -> DataFrame:
     return x.groupBy("lang", "source").agg(*out)
 
 
+def _limits(counts: DataFrame, most: int = 200_000) -> DataFrame:
+    """Fences as a table: broadcast if it has at most `most` groups (some 20 MB), else joined by shuffle."""
+    limits = settle(fences(counts), "fences")
+    return F.broadcast(limits) if limits.count() <= most else limits
+
+
 def _judged(measured: DataFrame, limits: DataFrame, lang_col: str, source_col: str, names: dict[str, str], failed: str, kept: str, min_words: int, repeat_percent: int) -> DataFrame:
     own = limits.select(*(F.col(c).alias(fresh(f"limit_{c}", measured.columns)) for c in limits.columns))
     of = dict(zip(limits.columns, own.columns, strict=True))
@@ -144,7 +150,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     names = {m: m for m in MEASURES}
     measured = settle(with_measures(own, "text", ["id", "lang", "source"], names), "measures")
-    limits = fences(sketches(measured, "lang", "source", names, min_words, repeat_percent))
+    limits = _limits(sketches(measured, "lang", "source", names, min_words, repeat_percent))
     out = _judged(measured, limits, "lang", "source", names, "base_failed", "kept", min_words, repeat_percent)
     return out.select(F.col("id").alias(id_col), *MEASURES, "base_failed", "kept")
 
@@ -152,7 +158,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 10, repeat_percent: int = 20) -> DataFrame:
     """The documents that pass, with their columns.  Measures are taken twice, so that no text is shuffled."""
     names = {m: fresh(m, docs.columns) for m in MEASURES}
-    limits = fences(settle(sketches(with_measures(docs, text_col, [lang_col, source_col], names), lang_col, source_col, names, min_words, repeat_percent), "sketches"))
+    limits = _limits(settle(sketches(with_measures(docs, text_col, [lang_col, source_col], names), lang_col, source_col, names, min_words, repeat_percent), "sketches"))
     kept = fresh("kept", docs.columns)
     out = _judged(with_measures(docs, text_col, docs.columns, names), limits, lang_col, source_col, names, fresh("base_failed", docs.columns), kept, min_words, repeat_percent)
     return out.filter(F.col(kept)).select(*(F.col(f"`{c}`") for c in docs.columns))
