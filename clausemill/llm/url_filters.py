@@ -91,7 +91,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame
         nodes = settle(_grow(nodes, level, depth, max_children, z), "nodes")
     template = nodes.groupBy("host", "branch").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("b"))
     by_host = template.groupBy("host").agg(F.sum("m").alias("hm"), F.sum("b").alias("hb"))
-    by_all = template.agg(((F.sum("b") + 1.0) / (F.sum("m") + 2.0)).alias("rate"))
+    by_all = template.agg(((F.sum("b") + 0.5) / (F.sum("m") + 2.0)).alias("rate"))
     rate = (F.col("hb") + weight * F.col("rate")) / (F.col("hm") + weight)
     judged = template.join(by_host, "host").join(F.broadcast(by_all)).select("host", "branch", ((F.col("b") + weight * rate) / (F.col("m") + weight)).alias("purity"))
     paths = nodes.join(judged, ["host", "branch"]).select("host", "path", F.col("branch").alias("template"), "purity")
@@ -125,7 +125,7 @@ p{k} AS (SELECT *, count(*) OVER w AS kinds, (sum(b) OVER w + 1.0) / (sum(m) OVE
 m{k} AS (SELECT h{k}.host, h{k}.branch, segment, h{k}.branch || '/' || CASE WHEN kinds > 1 AND pow(b - m * p, 2) <= {z * z} * m * p * (1 - p) THEN '~' ELSE shape END AS next FROM h{k} JOIN p{k} USING (host, branch, shape)),
 n{k} AS (SELECT host, path, segments, coalesce(next, branch) AS branch, n, labelled, blocked FROM s{k} LEFT JOIN m{k} USING (host, branch, segment))""")
     sql.append(f"""t AS (SELECT host, branch, sum(labelled)::DOUBLE AS m, sum(blocked)::DOUBLE AS b FROM n{depth} GROUP BY ALL),
-r AS (SELECT *, (sum(b) OVER h + {weight} * ((sum(b) OVER () + 1.0) / (sum(m) OVER () + 2.0))) / (sum(m) OVER h + {weight}) AS rate FROM t WINDOW h AS (PARTITION BY host)),
+r AS (SELECT *, (sum(b) OVER h + {weight} * ((sum(b) OVER () + 0.5) / (sum(m) OVER () + 2.0))) / (sum(m) OVER h + {weight}) AS rate FROM t WINDOW h AS (PARTITION BY host)),
 u AS (SELECT host, branch, (b + {weight} * rate) / (m + {weight}) AS purity FROM r)
 SELECT page_id, host, path, rule, branch AS template, coalesce(ruled, CASE WHEN purity >= {limit} THEN 'block' ELSE 'allow' END) AS verdict
 FROM seen LEFT JOIN n{depth} USING (host, path) LEFT JOIN u USING (host, branch)""")
