@@ -8,10 +8,11 @@ LineIndex keeps, in a folder all executors share:
 * a cuckoo filter for each shard of keys that holds the keys now in `min_docs` documents or more.  Keys that cross the
   limit either way are inserted in and deleted from it.
 
-To drop lines, documents are probed against the filters, and only lines that hit go on to the join with the exact
-table.  Of the hits in one slice of a task, a key is sent once with the list of its places, so a line that a third of
-all documents hold stays small.  The filters are broadcast if they take at most `max_filter_bytes`; if they are
-larger, every long line goes on to the join instead, with the same result.
+To drop lines, documents are probed against the filters, and only lines that hit are looked up in the exact table.  If
+that table has at most `max_keys` keys, it is broadcast beside the filters, and no text is shuffled.  If it has more,
+hits are joined with it: of the hits in one slice of a task a key is sent once with the list of its places, so a line
+that a third of all documents hold stays small.  Filters are broadcast up to `max_filter_bytes`; if they are larger,
+every long line is joined.  All ways give the same result.
 
 Rule: keys of at least `min_chars` code points found in at least `min_docs` documents lose all their lines but those
 of the largest id that holds them.  Defined cases: null or empty text is one empty line and stays so; rows that repeat
@@ -95,18 +96,45 @@ def _update_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from close()
 
 
+def _hits(k1: np.ndarray, shards: int, held: dict[int, CuckooFilter]) -> np.ndarray:
+    """Whether the filter of each key's shard may hold it."""
+    hit, shard = np.zeros(len(k1), bool), (k1 % _U(shards)).astype(np.int64)
+    for k in np.unique(shard):
+        if int(k) in held:
+            mine = np.flatnonzero(shard == k)
+            hit[mine] = held[int(k)].contains(k1[mine])
+    return hit
+
+
+def _drop(batches: Iterator[pa.RecordBatch], min_chars: int, shards: int, filters, exact) -> Iterator[pa.RecordBatch]:
+    """Lines dropped in one pass: what the filters pass is looked up in the exact table, sorted by key."""
+    held = {k: CuckooFilter.from_bytes(x) for k, x in filters.value.items()}
+    k1, k2, keep = exact.value
+    for batch in slices(batches, "text"):
+        lines = _Lines(batch.column("text"), min_chars)
+        ids = batch.column("id")
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        number = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+        stay = np.ones(len(lines.owner), bool)
+        hit = np.flatnonzero(_hits(lines.k1, shards, held))
+        if len(hit) and len(k1):  # equal first halves stand side by side
+            at = np.searchsorted(k1, signed(lines.k1[hit]))
+            last = np.searchsorted(k1, signed(lines.k1[hit]), side="right")
+            for step in range(int((last - at).max(initial=0))):
+                row = np.minimum(at + step, len(k1) - 1)
+                same = (at + step < last) & (k2[row] == signed(lines.k2[hit]))
+                owner = lines.owner[lines.at[hit]]
+                stay[lines.at[hit][same & (none[owner] | (number[owner] != keep[row]))]] = False
+        left = np.bincount(lines.owner[stay], minlength=len(batch))
+        kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(left)).astype(np.int32)), lines.flat.filter(pa.array(stay))), "\n")
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 2)), pa.array(lines.counts), pa.array(lines.counts - left), kept], names=[*batch.schema.names[:-2], "n_lines", "n_dropped", "kept_text"])
+
+
 def _probe(batches: Iterator[pa.RecordBatch], min_chars: int, shards: int, filters) -> Iterator[pa.RecordBatch]:
     held = {k: CuckooFilter.from_bytes(x) for k, x in filters.value.items()} if filters is not None else None
     for batch in slices(batches, "text"):
         lines = _Lines(batch.column("text"), min_chars)
-        hit = np.ones(len(lines.at), bool)
-        if held is not None:
-            hit[:] = False
-            shard = (lines.k1 % _U(shards)).astype(np.int64)
-            for k in np.unique(shard):
-                if int(k) in held:
-                    mine = np.flatnonzero(shard == k)
-                    hit[mine] = held[int(k)].contains(lines.k1[mine])
+        hit = np.ones(len(lines.at), bool) if held is None else _hits(lines.k1, shards, held)
         at, k1, k2 = lines.at[hit], lines.k1[hit], lines.k2[hit]
         order = np.lexsort((k2, k1))
         at, k1, k2 = at[order], k1[order], k2[order]
@@ -133,8 +161,8 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class LineIndex:
     """Reference counts and filters of lines in the folder `path`; batches are named, and a name takes effect once."""
 
-    def __init__(self, spark: SparkSession, path: str, min_chars: int = 20, min_docs: int = 3, shards: int = 64, max_filter_bytes: int = 64 << 20):
-        self.spark, self.path, self.min_chars, self.min_docs, self.shards, self.max_filter_bytes = spark, path, min_chars, min_docs, shards, max_filter_bytes
+    def __init__(self, spark: SparkSession, path: str, min_chars: int = 20, min_docs: int = 3, shards: int = 64, max_filter_bytes: int = 64 << 20, max_keys: int = 2_000_000):
+        self.spark, self.path, self.min_chars, self.min_docs, self.shards, self.max_filter_bytes, self.max_keys = spark, path, min_chars, min_docs, shards, max_filter_bytes, max_keys
         small_batches(spark)
         self.filters: DataFrame | None = None
         self._known: DataFrame | None = None
@@ -154,7 +182,7 @@ class LineIndex:
         self._commit(batch, net.withColumn("rows", -F.col("rows")))
 
     def _commit(self, batch: str, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/postings/batch={batch}")
+        rows.hint("rebalance").write.mode("overwrite").parquet(f"{self.path}/postings/batch={batch}")
         counts = self._counts()
         now = settle(counts, "frequent")
         before = self._known if self._known is not None else now.limit(0)
@@ -194,15 +222,20 @@ class LineIndex:
         small = (size[0] or 0) <= self.max_filter_bytes
         filters = self.spark.sparkContext.broadcast({x["shard"]: bytes(x["filter"]) for x in self.filters.collect()}) if small else None
         min_chars, shards = self.min_chars, self.shards
+        own = T.StructType([T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(keep)])
+        added = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())]
+        carried = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)]
+        if small and self.frequent().count() <= self.max_keys:
+            keys = self.frequent().filter("keep IS NOT NULL").select("k1", "k2", "keep").toArrow().sort_by([("k1", "ascending"), ("k2", "ascending")])
+            exact = self.spark.sparkContext.broadcast([keys.column(c).to_numpy() for c in ("k1", "k2", "keep")])
+            rows = docs.select(*carried, F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+            return rows.mapInArrow(lambda it: _drop(it, min_chars, shards, filters, exact), T.StructType(own.fields + added)).toDF(*keep, "n_lines", "n_dropped", "kept_text")
         plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("mark", F.hash("text"))
         hits = plain.mapInArrow(lambda it: _probe(it, min_chars, shards, filters), "k1 long, k2 long, places array<struct<id:long,mark:int,line:int>>")
         drops = hits.join(self.frequent().select("k1", "k2", "keep"), ["k1", "k2"]).select("keep", F.explode("places").alias("p")).filter("keep IS NOT NULL AND NOT (p.id <=> keep)").groupBy(F.col("p.id").alias("drop_id"), F.col("p.mark").alias("drop_mark")).agg(F.collect_list("p.line").alias("drops"))
-        carried = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)]
         left = docs.select(*carried, F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("mark", F.hash("text"))
         both = left.join(drops.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("mark") == F.col("drop_mark")), "left").select(*(f"c{k}" for k in range(len(keep))), "text", "drops")
-        schema = T.StructType([T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(keep)] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())])
-        out = both.mapInArrow(_rebuild, schema)
-        return out.toDF(*keep, "n_lines", "n_dropped", "kept_text")
+        return both.mapInArrow(_rebuild, T.StructType(own.fields + added)).toDF(*keep, "n_lines", "n_dropped", "kept_text")
 
 
 def index_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> LineIndex:

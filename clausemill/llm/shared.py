@@ -22,14 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def settle(df: DataFrame, name: str = "part") -> DataFrame:
+def settle(df: DataFrame, name: str = "part", even: bool = True) -> DataFrame:
     """Write df as a table in the shared folder and read it back, so that its lineage ends there.
 
-    The folder outlives lost executors.  Tables are dropped when the driver ends, or by release().
+    The folder outlives lost executors.  Tables are dropped when the driver ends, or by release().  Rows are dealt out
+    anew to files of Spark's advisory size; even=False leaves that out for tables as large as the input.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/clausemill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if even else df).write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -86,8 +86,9 @@ def test_lines_odd_and_columns(make):
 def test_lines_beyond_the_filter_bound(make):
     rows = [(k, "one line that they all have\nand one line that is " + str(k)) for k in range(9)]
     docs = make(rows)
-    got = index_lines(docs, max_filter_bytes=0).apply(docs, keep=("doc_id",)).collect()
-    assert sorted(map(tuple, got)) == sorted(brute.line_dedup(rows))
+    for bound in ({"max_filter_bytes": 0}, {"max_keys": 0}, {}):
+        got = index_lines(docs, **bound).apply(docs, keep=("doc_id",)).collect()
+        assert sorted(map(tuple, got)) == sorted(brute.line_dedup(rows))
 
 
 def test_line_index_is_reversible(spark, make, tmp_path):
