@@ -181,7 +181,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return printed.join(named, F.col("fp") == F.col("of"), "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The document with the smallest id of each component, with its columns; rows whose id is null stay."""
-    out = near_duplicates(docs, id_col, text_col, shingle, radius).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, most: int = 2_000_000) -> DataFrame:
+    """The document with the smallest id of each component, with its columns; rows whose id is null stay.
+
+    If at most `most` ids go (some 50 MB), they are broadcast and no text is shuffled.
+    """
+    out = settle(near_duplicates(docs, id_col, text_col, shingle, radius).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct(), "gone")
+    if out.count() <= most:
+        out = F.broadcast(out)
     return docs.join(out, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
