@@ -8,15 +8,16 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two texts (null counts as empty)."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def absolute_url(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([None if y is None else urljoin(x or "", y) for x, y in zip(base, link, strict=True)])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
@@ -14,27 +14,42 @@ PROVENANCE = ["document_id", "clause_id", "clause_no", "page", "match_type", "ma
 _TYPES = ["string", "string", "string", "int", "string", "double", "boolean", "string"]
 
 
+_EDGE = f"struct<{','.join(f'{n}:{t}' for n, t in zip(PROVENANCE, _TYPES, strict=True))}>"
+_CLAUSE_STEP, _CATALOG_STEP = 1 << 60, 1 << 61
+
+
 def _evidence(**known: Column) -> Column:
     return F.struct(*(known.get(n, F.lit(None)).cast(t).alias(n) for n, t in zip(PROVENANCE, _TYPES, strict=True)))
 
 
-def _nodes(df: DataFrame, kind: str, key: Column, arrival: Column, **props: Column) -> DataFrame:
-    """stem, id, type, properties, arrival: not yet merged."""
-    return df.select("stem", F.concat(F.lit(f"{kind}:"), key).alias("id"), F.lit(kind).alias("type"), properties(**props).alias("properties"), arrival.alias("arrival"))
+def _node(kind: str, key: Column, arrival: Column, when: Column | None = None, **props: Column) -> Column:
+    """A node as a struct, or null unless `when`."""
+    node = F.struct(F.concat(F.lit(f"{kind}:"), key).alias("id"), F.lit(kind).alias("type"), properties(**props).alias("properties"), arrival.cast("long").alias("arrival"))
+    return node if when is None else F.when(when, node)
+
 
+def _edge(source: Column, target: Column, kind: str, evidence: Column | None, when: Column | None = None) -> Column:
+    edge = F.struct(source.alias("source"), target.alias("target"), F.lit(kind).alias("type"), (F.lit(None).cast(_EDGE) if evidence is None else evidence).alias("provenance"))
+    return edge if when is None else F.when(when, edge)
 
-def _edges(df: DataFrame, source: Column, target: Column, kind: str, evidence: Column | None) -> DataFrame:
-    none = F.lit(None).cast(f"struct<{','.join(f'{n}:{t}' for n, t in zip(PROVENANCE, _TYPES, strict=True))}>")
-    return df.select("stem", source.alias("source"), target.alias("target"), F.lit(kind).alias("type"), (none if evidence is None else evidence).alias("provenance"))
+
+def _each(df: DataFrame, *made: Column) -> DataFrame:
+    """stem and the fields of every struct made from a row: one pass over df, whatever the number of structs."""
+    return df.select("stem", F.explode(F.array_compact(F.array(*made))).alias("x")).select("stem", "x.*")
 
 
 def merge_nodes(nodes: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """One row per id: of each property the first value in order of arrival; the type of the first."""
+    """One row per id: of each property the first value in order of arrival; the type of the first.
+
+    Equal rows are counted once before the shuffle, so a node that a third of all rows name stays small.
+    """
     keys = [*(group or []), "id"]
-    flat = nodes.select(*keys, "type", "arrival", F.explode_outer("properties").alias("k", "v"))
-    first = flat.groupBy(*keys, "k").agg(F.min_by("v", "arrival").alias("v"), F.min_by("type", "arrival").alias("t"), F.min("arrival").alias("arrival"))
-    entries = F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v")))
-    return first.groupBy(*keys).agg(F.min_by("t", "arrival").alias("type"), F.map_from_entries(F.array_sort(entries)).alias("properties"))
+    entries = F.array_sort(F.map_entries("properties")).alias("entries")
+    once = nodes.select(*keys, "type", entries, "arrival").groupBy(*keys, "type", "entries").agg(F.min("arrival").alias("arrival"))
+    forms = once.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("arrival", "type", "entries"))).alias("f"))
+    empty = F.create_map().cast("map<string,string>")
+    merged = F.aggregate("f", empty, lambda have, x: F.map_concat(have, F.map_filter(F.map_from_entries(x["entries"]), lambda k, _: ~F.map_contains_key(have, k))))
+    return forms.select(*keys, F.col("f")[0]["type"].alias("type"), merged.alias("properties"))
 
 
 def structural_once(edges: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -45,51 +60,64 @@ def structural_once(edges: DataFrame, group: list[str] | None = None) -> DataFra
 
 
 def build_graph(clauses: DataFrame, objects: DataFrame, metadata: DataFrame, catalog: DataFrame, domains: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of every document.  metadata: stem, document_id, regulator, regulator_country, title, source_type, version, jurisdiction, catalog_version."""
+    """(nodes, edges) of every document.  metadata: stem, document_id, regulator, regulator_country, title, source_type, version, jurisdiction, catalog_version.
+
+    Each of the three inputs (documents, clauses, concepts of a document) is read once for nodes and once for edges.
+    """
+    col, there = F.col, lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     meta = metadata.withColumn("document_id", tx.present("document_id", "stem"))
-    doc = F.concat(F.lit("Document:"), F.col("document_id"))
-    reg = meta.filter("coalesce(regulator, '') <> ''")
-    labels = domains.select(F.col("token").alias("__t"), F.col("label").alias("domain_label"))
-    entry = catalog.select(F.col("canonical_id").alias("__id"), F.col("label").alias("cat_label"), F.col("domain").alias("cat_domain"), F.col("status").alias("cat_status"), F.col("parent").alias("cat_parent"))
+    doc, law = F.concat(F.lit("Document:"), col("document_id")), F.concat(F.lit("Regulator:"), col("regulator"))
+    labels = domains.select(col("token").alias("__t"), col("label").alias("domain_label"))
+    entry = catalog.select(col("canonical_id").alias("__id"), col("label").alias("cat_label"), col("domain").alias("cat_domain"), col("status").alias("cat_status"), col("parent").alias("cat_parent"))
     own = objects.groupBy("stem", "clause_id").agg(F.max_by(F.struct("canonical_id", "canonical_label", "match_type", "match_confidence", "review_required"), "ord").alias("o"))
-    c = clauses.join(meta.select("stem", "document_id"), "stem").join(labels, F.col("semantic.domain") == F.col("__t"), "left").join(own, ["stem", "clause_id"], "left").select("*", F.col("o.canonical_id").alias("canonical_id")).join(entry, F.col("canonical_id") == F.col("__id"), "left")
-    clause = F.concat(F.lit("Clause:"), F.col("document_id"), F.lit("/"), F.col("clause_id"))
-    mark = {"document_id": F.col("document_id"), "clause_id": F.col("clause_id"), "clause_no": F.col("clause_no"), "page": F.col("page_reference")}
-    at = lambda step: F.struct(F.lit(step).alias("step"), F.col("ord").cast("long").alias("ord"))
-    start = F.struct(F.lit(0).alias("step"), F.lit(0).cast("long").alias("ord"))
-    in_domain, bound, mapped = c.filter("coalesce(domain_label, '') <> ''"), c.filter("coalesce(semantic.obligation_type, '') <> ''"), c.filter("coalesce(canonical_id, '') <> ''")
-    concept = lambda x: F.concat(F.lit("Concept:"), x)
-    here = mapped.groupBy("stem", "canonical_id", "cat_domain", "cat_parent").agg(F.min("ord").alias("ord")).join(meta.select("stem", "catalog_version"), "stem")
-    parent = catalog.select(F.col("canonical_id").alias("__pid"), F.col("label").alias("parent_label"), F.col("domain").alias("parent_domain"), F.col("status").alias("parent_status"))
-    child = here.filter("coalesce(cat_parent, '') <> ''").join(parent, F.col("cat_parent") == F.col("__pid"), "left")
-    placed = here.filter("coalesce(cat_domain, '') <> ''")
-    version = _evidence(catalog_version=F.col("catalog_version"))
+    mapped = clauses.join(own, ["stem", "clause_id"], "left").withColumn("canonical_id", col("o.canonical_id"))
+    c = mapped.join(meta.select("stem", "document_id"), "stem").join(labels, col("semantic.domain") == col("__t"), "left").join(entry, col("canonical_id") == col("__id"), "left")
+    clause = F.concat(F.lit("Clause:"), col("document_id"), F.lit("/"), col("clause_id"))
+    mark = {"document_id": col("document_id"), "clause_id": col("clause_id"), "clause_no": col("clause_no"), "page": col("page_reference")}
+    concept = lambda x: F.concat(F.lit("Concept:"), col(x))
+    place = lambda x: F.concat(F.lit("Domain:"), col(x))
+    duty = F.concat(F.lit("ObligationType:"), col("semantic.obligation_type"))
+    at, later = col("ord") + _CLAUSE_STEP, col("ord") + _CATALOG_STEP
+    parent = catalog.select(col("canonical_id").alias("__pid"), col("label").alias("parent_label"), col("domain").alias("parent_domain"), col("status").alias("parent_status"))
+    here = mapped.filter(there("canonical_id")).groupBy("stem", "canonical_id").agg(F.min("ord").alias("ord")).join(meta.select("stem", "catalog_version"), "stem").join(entry, col("canonical_id") == col("__id")).join(parent, col("cat_parent") == col("__pid"), "left")
+    version = _evidence(catalog_version=col("catalog_version"))
     nodes = [
-        _nodes(meta, "Document", F.col("document_id"), start, title=F.col("title"), source_type=F.col("source_type"), version=F.col("version"), jurisdiction=F.col("jurisdiction"), stem=F.col("stem"), regulator=F.col("regulator")),
-        _nodes(reg, "Regulator", F.col("regulator"), start, name=F.col("regulator"), country=F.col("regulator_country")),
-        _nodes(c, "Clause", F.concat("document_id", F.lit("/"), "clause_id"), at(1), clause_no=F.col("clause_no"), title=F.col("title"), text=F.col("text"), page=F.col("page_reference"), mandatory_flag=tx.present("semantic.mandatory_flag"), action=tx.present("semantic.action")),
-        _nodes(in_domain, "Domain", F.col("domain_label"), at(1), label=F.col("domain_label")),
-        _nodes(bound, "ObligationType", F.col("semantic.obligation_type"), at(1), label=F.col("semantic.obligation_type")),
-        _nodes(mapped, "Concept", F.col("canonical_id"), at(1), canonical_id=F.col("canonical_id"), label=tx.present("o.canonical_label", "cat_label"), domain=F.col("cat_domain"), status=F.col("cat_status")),
-        _nodes(child, "Concept", F.col("cat_parent"), at(2), canonical_id=F.col("cat_parent"), label=F.col("parent_label"), domain=F.col("parent_domain"), status=F.col("parent_status")),
-        _nodes(placed, "Domain", F.col("cat_domain"), at(2), label=F.col("cat_domain")),
+        _each(
+            meta,
+            _node("Document", col("document_id"), F.lit(0), title=col("title"), source_type=col("source_type"), version=col("version"), jurisdiction=col("jurisdiction"), stem=col("stem"), regulator=col("regulator")),
+            _node("Regulator", col("regulator"), F.lit(0), there("regulator"), name=col("regulator"), country=col("regulator_country")),
+        ),
+        _each(
+            c,
+            _node("Clause", F.concat("document_id", F.lit("/"), "clause_id"), at, clause_no=col("clause_no"), title=col("title"), text=col("text"), page=col("page_reference"), mandatory_flag=tx.present("semantic.mandatory_flag"), action=tx.present("semantic.action")),
+            _node("Domain", col("domain_label"), at, there("domain_label"), label=col("domain_label")),
+            _node("ObligationType", col("semantic.obligation_type"), at, there("semantic.obligation_type"), label=col("semantic.obligation_type")),
+            _node("Concept", col("canonical_id"), at, there("canonical_id"), canonical_id=col("canonical_id"), label=tx.present("o.canonical_label", "cat_label"), domain=col("cat_domain"), status=col("cat_status")),
+        ),
+        _each(
+            here,
+            _node("Concept", col("cat_parent"), later, there("cat_parent"), canonical_id=col("cat_parent"), label=col("parent_label"), domain=col("parent_domain"), status=col("parent_status")),
+            _node("Domain", col("cat_domain"), later, there("cat_domain"), label=col("cat_domain")),
+        ),
     ]
     edges = [
-        _edges(reg, doc, F.concat(F.lit("Regulator:"), F.col("regulator")), "ISSUED_BY", None),
-        _edges(c, doc, clause, "HAS_CLAUSE", None),
-        _edges(in_domain, clause, F.concat(F.lit("Domain:"), F.col("domain_label")), "IN_DOMAIN", _evidence(**mark)),
-        _edges(bound, clause, F.concat(F.lit("ObligationType:"), F.col("semantic.obligation_type")), "HAS_OBLIGATION", _evidence(**mark)),
-        _edges(mapped, clause, concept(F.col("canonical_id")), "MAPS_TO_CONCEPT", _evidence(**mark, match_type=F.col("o.match_type"), match_confidence=F.col("o.match_confidence"), review_required=F.col("o.review_required"))),
-        _edges(child, concept(F.col("canonical_id")), concept(F.col("cat_parent")), "CHILD_OF", version),
-        _edges(placed, concept(F.col("canonical_id")), F.concat(F.lit("Domain:"), F.col("cat_domain")), "IN_DOMAIN", version),
+        _each(meta, _edge(doc, law, "ISSUED_BY", None, there("regulator"))),
+        _each(
+            c,
+            _edge(doc, clause, "HAS_CLAUSE", None),
+            _edge(clause, place("domain_label"), "IN_DOMAIN", _evidence(**mark), there("domain_label")),
+            _edge(clause, duty, "HAS_OBLIGATION", _evidence(**mark), there("semantic.obligation_type")),
+            _edge(clause, concept("canonical_id"), "MAPS_TO_CONCEPT", _evidence(**mark, match_type=col("o.match_type"), match_confidence=col("o.match_confidence"), review_required=col("o.review_required")), there("canonical_id")),
+        ),
+        _each(here, _edge(concept("canonical_id"), concept("cat_parent"), "CHILD_OF", version, there("cat_parent")), _edge(concept("canonical_id"), place("cat_domain"), "IN_DOMAIN", version, there("cat_domain"))),
     ]
     return merge_nodes(reduce(DataFrame.unionByName, nodes), ["stem"]), structural_once(reduce(DataFrame.unionByName, edges), ["stem"])
 
 
 def union_graphs(nodes: DataFrame, edges: DataFrame, order: str = "stem") -> tuple[DataFrame, DataFrame]:
     """Graphs of all documents as one: of equal node ids the first document's row, all edges."""
-    first = Window.partitionBy("id").orderBy(order)
-    return nodes.withColumn("__k", F.row_number().over(first)).filter("__k = 1").drop("__k"), edges
+    first = nodes.groupBy("id").agg(F.min_by(F.struct("type", "properties"), order).alias("n"), F.min(order).alias(order))
+    return first.select(order, "id", "n.type", "n.properties"), edges
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

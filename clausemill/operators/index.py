@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clausemill.functions import text as tx
 from clausemill.functions import values as v
@@ -112,7 +113,7 @@ def term_map(post: DataFrame, value: str = "tf") -> DataFrame:
 def embed(rows: DataFrame, embedder: Callable[[list[str], bool], list[list[float]]], text: str = "text", batch: int = 64, limit: int = 8000) -> DataFrame:
     """Adds vector: unit-length embeddings from a hook, `batch` texts of at most `limit` characters a call (the model's own input limit)."""
     columns = rows.columns
-    schema = rows.schema.add("vector", "array<double>")
+    schema = T.StructType([*rows.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))])
 
     def run(frames):
         import numpy as np

@@ -1,4 +1,4 @@
-"""Whole runs: all steps of a corpus in order, lazily, over every document at once."""
+"""Whole runs: all steps of a corpus in order, over every document at once."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from clausemill.operators import extract, graph, index, interpret, matching, str
 
 @dataclass
 class Corpus:
-    """Tables of a run; each is lazy until written."""
+    """Tables of a run, each read back from its folder."""
 
     lines: DataFrame
     nodes: DataFrame
@@ -24,15 +24,20 @@ class Corpus:
     postings: DataFrame
 
 
-def run(pages: DataFrame, catalog: DataFrame, domains: DataFrame, metadata: DataFrame, denoise: bool = True, classifier: Callable | None = None, level_hook: Callable | None = None, rules: matching.Rules = matching.Rules(), keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Corpus:
-    """pages (stem, page_no, text) to every table.  keep(name, df) may write a step and give it back read, so that later steps do not compute it again.
+def run(path: str, pages: DataFrame, catalog: DataFrame, domains: DataFrame, metadata: DataFrame, denoise: bool = True, classifier: Callable | None = None, level_hook: Callable | None = None, rules: matching.Rules = matching.Rules()) -> Corpus:
+    """pages (stem, page_no, text) to every table, each step written below `path` and read back by the next; a step that fails stops the run.
 
     metadata: stem, document_id, regulator, regulator_country, title, source_type, version, jurisdiction, catalog_version.
     """
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
     labels = [r["label"] for r in domains.select("label").collect()]  # a taxonomy of tens of rows
-    clean = extract.denoise_pages(pages) if denoise else pages
-    lines = keep("lines", extract.markdown_lines(clean))
-    nodes = keep("nodes", interpret.tag_units(structure.build_structure(lines, level_hook), labels, classifier))
+    lines = keep("lines", extract.markdown_lines(extract.denoise_pages(pages) if denoise else pages))
+    tree = keep("tree", structure.build_structure(lines, level_hook))
+    nodes = keep("nodes", interpret.tag_units(tree, labels, classifier))
     clauses = keep("clauses", cl.export_clauses(nodes, domains))
     objects = keep("objects", matching.ontology_objects(clauses, catalog, domains, rules))
     graph_nodes, graph_edges = graph.build_graph(clauses, objects, metadata, catalog, domains)

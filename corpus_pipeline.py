@@ -50,5 +50,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = settle(docs, f"stage-{k}")
+            docs = settle(docs, f"stage-{k}", even=False)
     return docs
