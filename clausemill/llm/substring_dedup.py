@@ -185,7 +185,7 @@ def _remove(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n_words": words.counts, "n_removed": removed, "kept_text": words.kept(keep)})
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, max_cells: int = 1 << 27) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, max_cells: int = 1 << 29) -> DataFrame:
     """One row per input row: id_col, n_words, n_removed, kept_text (see the module for the method and edge cases)."""
     if width < 2:
         raise ValueError("a window has at least two words")
