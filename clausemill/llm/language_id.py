@@ -49,7 +49,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 def _count_pieces(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     vocabulary, log_p = shared.value
-    for batch in slices(batches, "text", 3 << 20):
+    for batch in slices(batches, "text", 3 << 19):
         owner, which, different = _words(batch.column("text"))
         if not len(owner):
             continue
@@ -124,7 +124,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 3 << 20):
+        for batch in slices(batches, "text", 3 << 19):
             lang, score = shared.value.predict(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(lang, pa.string()), pa.array(score)], names=["id", *names, "lang_pred", "score"])
 

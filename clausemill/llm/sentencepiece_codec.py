@@ -30,7 +30,7 @@ from clausemill.llm.words import mix, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _U = np.uint64
-_SLICE = 3 << 20
+_SLICE = 3 << 19
 
 
 def parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:

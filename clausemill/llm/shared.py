@@ -52,10 +52,10 @@ def _release_all() -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Lower the session's Arrow batches to `rows` rows: whole texts are long, and each batch is held several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    """Lower the session's Arrow batches to `rows` rows, and Parquet's to a quarter: whole texts are long, and a batch is held several times over."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.parquet.columnarReaderBatchSize", rows // 4)):
+        if not 0 < int(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
 
 
 def text_bytes(df: DataFrame, column: str) -> int:
