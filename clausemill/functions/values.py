@@ -41,6 +41,5 @@ def unit_array(a: Column) -> Column:
 
 
 def properties(**columns: Column) -> Column:
-    """map<string, string> of the columns, without nulls."""
-    entries = [x for k, c in columns.items() for x in (F.lit(k), c.cast("string"))]
-    return F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
+    """array<struct<key, value>> of the columns that are not null, as text, in order of their names."""
+    return F.array_compact(F.array(*(F.when(c.isNotNull(), F.struct(F.lit(k).alias("key"), c.cast("string").alias("value"))) for k, c in sorted(columns.items()))))

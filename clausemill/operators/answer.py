@@ -89,6 +89,12 @@ def ungrounded(answers: DataFrame, evidence: DataFrame, answer: str = "answer",
     return cited.join(known, same, "left_anti").select(*by, F.concat(F.lit("["), F.col("__d"), F.lit(" "), F.col("__n"), F.lit("]")).alias("citation"), "ord")
 
 
+def evidence_view(evidence: DataFrame, width: int = 110) -> DataFrame:
+    """Evidence in reading order with short titles, for people."""
+    tag = tx.present("obligation_type", "canonical_label")
+    return evidence.orderBy(F.desc("score"), "document_id", "clause_id").select("score", "document_id", "clause_no", tag.alias("tag"), F.substring(F.coalesce("title", F.lit("")), 1, width).alias("title"))
+
+
 @dataclass
 class Answer:
     """Parts of an answer, each a lazy DataFrame; answer is text, or None without a synthesizer."""

@@ -24,7 +24,7 @@ def _evidence(**known: Column) -> Column:
 
 def _node(kind: str, key: Column, arrival: Column, when: Column | None = None, **props: Column) -> Column:
     """A node as a struct, or null unless `when`."""
-    node = F.struct(F.concat(F.lit(f"{kind}:"), key).alias("id"), F.lit(kind).alias("type"), properties(**props).alias("properties"), arrival.cast("long").alias("arrival"))
+    node = F.struct(F.concat(F.lit(f"{kind}:"), key).alias("id"), F.lit(kind).alias("type"), properties(**props).alias("entries"), arrival.cast("long").alias("arrival"))
     return node if when is None else F.when(when, node)
 
 
@@ -39,17 +39,17 @@ def _each(df: DataFrame, *made: Column) -> DataFrame:
 
 
 def merge_nodes(nodes: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """One row per id: of each property the first value in order of arrival; the type of the first.
+    """nodes (id, type, entries, arrival) -> one row per id: of each property the first value in order of arrival; the type of the first.
 
     Equal rows are counted once before the shuffle, so a node that a third of all rows name stays small.
     """
     keys = [*(group or []), "id"]
-    entries = F.array_sort(F.map_entries("properties")).alias("entries")
-    once = nodes.select(*keys, "type", entries, "arrival").groupBy(*keys, "type", "entries").agg(F.min("arrival").alias("arrival"))
+    once = nodes.groupBy(*keys, "type", "entries").agg(F.min("arrival").alias("arrival"))
     forms = once.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("arrival", "type", "entries"))).alias("f"))
     empty = F.create_map().cast("map<string,string>")
     merged = F.aggregate("f", empty, lambda have, x: F.map_concat(have, F.map_filter(F.map_from_entries(x["entries"]), lambda k, _: ~F.map_contains_key(have, k))))
-    return forms.select(*keys, F.col("f")[0]["type"].alias("type"), merged.alias("properties"))
+    first = F.col("f")[0]
+    return forms.select(*keys, first["type"].alias("type"), F.when(F.size("f") == 1, F.map_from_entries(first["entries"])).otherwise(merged).alias("properties"))
 
 
 def structural_once(edges: DataFrame, group: list[str] | None = None) -> DataFrame:

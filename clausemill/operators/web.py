@@ -105,6 +105,14 @@ def missing_files(wanted: DataFrame, stored: DataFrame, url: str = "pdf_url", na
     return x.join(stored.select(name).distinct(), name, "left_anti").dropDuplicates([name])
 
 
+def scrape_digest(details: DataFrame) -> DataFrame:
+    """url, markdown: a scraped page as a section: title, facts that are there, body, linked documents."""
+    fact = lambda name, c: F.concat(F.lit(f"- {name}: "), F.nullif(F.col(c), F.lit("")))
+    links = F.array_join(F.transform("linked_documents", lambda x: F.concat(F.lit("- ["), F.coalesce(F.nullif(x["text"], F.lit("")), x["url"]), F.lit("]("), x["url"], F.lit(")"))), "\n")
+    parts = [F.concat(F.lit("## "), F.coalesce(F.nullif("title", F.lit("")), "url")), F.concat_ws("\n", fact("URL", "url"), fact("Date", "date"), fact("File", "pdf_url"), fact("Size", "pdf_size"), fact("Error", "error")), F.nullif("body_text", F.lit("")), F.nullif(links, F.lit(""))]
+    return details.select("url", F.concat(F.concat_ws("\n\n", *parts), F.lit("\n")).alias("markdown"))
+
+
 def classification_table(items: DataFrame, columns: list[str], order: list[str], name: str = "name") -> DataFrame:
     """name, markdown: a table of items with numbered rows; bars in cells are escaped.  Missing columns are an error."""
     missing = [c for c in columns if c not in items.columns]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clausemill.operators import clauses as cl
 from clausemill.operators import extract, graph, index, interpret, matching, structure
@@ -42,3 +43,32 @@ def run(path: str, pages: DataFrame, catalog: DataFrame, domains: DataFrame, met
     objects = keep("objects", matching.ontology_objects(clauses, catalog, domains, rules))
     graph_nodes, graph_edges = graph.build_graph(clauses, objects, metadata, catalog, domains)
     return Corpus(lines, nodes, clauses, objects, keep("graph_nodes", graph_nodes), keep("graph_edges", graph_edges), keep("postings", index.postings(clauses)))
+
+
+#: Tables of a run by step, as folders below its path.
+STEPS = ["lines", "tree", "nodes", "clauses", "objects", "graph_nodes", "graph_edges", "postings"]
+
+
+def load(spark: SparkSession, path: str) -> Corpus:
+    """The tables of a finished run."""
+    t = {name: spark.read.parquet(f"{path}/{name}") for name in STEPS if name != "tree"}
+    return Corpus(t["lines"], t["nodes"], t["clauses"], t["objects"], t["graph_nodes"], t["graph_edges"], t["postings"])
+
+
+def summaries(corpus: Corpus) -> DataFrame:
+    """stem, step, what, n: counts that describe each step's result."""
+    count = lambda df, step, what: df.groupBy("stem", what.alias("what")).agg(F.count("*").alias("n")).select("stem", F.lit(step).alias("step"), "what", "n")
+    parts = [
+        count(corpus.lines.filter("startswith(raw, '## ')"), "lines", F.lit("headings")),
+        count(corpus.nodes, "structure", F.col("type")),
+        count(corpus.nodes.filter("is_operative"), "semantics", F.coalesce("obligation_type", F.lit("unclassified"))),
+        count(corpus.clauses, "clauses", F.lit("clauses")),
+        count(corpus.objects, "objects", F.col("match_type")),
+        count(corpus.graph_nodes, "graph nodes", F.col("type")),
+        count(corpus.graph_edges, "graph edges", F.col("type")),
+        corpus.postings.groupBy("stem").agg(F.count_distinct("term").alias("n")).select("stem", F.lit("index").alias("step"), F.lit("vocabulary").alias("what"), "n"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clausemill.functions import values as v
 from clausemill.operators import answer as an
 from clausemill.operators import catalog as ct
-from clausemill.operators import extract
+from clausemill.operators import extract, interpret
 from clausemill.queries.base import quoted, table
 from clausemill.sources.readers import newest
 
@@ -63,12 +63,21 @@ def ungrounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.ungrounded(_answers(spark, sf_dir), evidence, by=["conv_id"]).groupBy("conv_id", "citation").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (merge_override, registry_lookup, coerce_enum, schema_violations, extraction_status, newest_answer, citation_extract, ungrounded)}
+def reply_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as classifier replies: the last reply of an index counts, odd values fall back."""
+    n = F.col("event_id")
+    replies = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("stem"), F.lit(0).alias("batch"), (n % 20).cast("int").alias("index"), n.cast("int").alias("reply_ord"), F.col("event_type").alias("domain"), F.lit(None).cast("string").alias("concept"), F.when(n % 2 == 0, "REPORT").otherwise(" REPORT").alias("action"), F.lit(None).cast("string").alias("object"), F.when(n % 3 == 0, "Reporting").alias("obligation_type"), F.when(n % 5 == 0, "Mandatory").otherwise("mandatory").alias("mandatory_flag"), F.when(n % 7 == 0, "n/a").otherwise((F.col("value") / 20).cast("string")).alias("confidence_score"))
+    return interpret.coerce(replies, ["click", "view"]).select("stem", "index", "domain", "action", "obligation_type", "mandatory_flag", F.round("confidence_score", 6).alias("confidence"))
+
+
+QUERIES = {f.__name__: f for f in (reply_coercion, merge_override, registry_lookup, coerce_enum, schema_violations, extraction_status, newest_answer, citation_extract, ungrounded)}
 
 _ANS = "a AS (SELECT conv_id, turn, text || ' [DOC ' || (conv_id % 7) || '.' || turn || '] and [6, 7] [X 3.1] [1][2]' AS answer FROM conversations)"
 _CITE = r"\[([^\]\[]+?)\s+([0-9]+(?:\.[0-9]+)*)\]"
 _C = f"c AS (SELECT conv_id, turn, unnest(regexp_extract_all(answer, '{_CITE}', 1)) AS document, unnest(regexp_extract_all(answer, '{_CITE}', 2)) AS clause_no, unnest(range(len(regexp_extract_all(answer, '{_CITE}', 1)))) AS k FROM a)"
 ORACLES = {
+    "reply_coercion": """WITH r AS (SELECT user_id::VARCHAR AS stem, (event_id % 20)::INTEGER AS index, event_id AS n, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 20 ORDER BY event_id DESC) = 1)
+SELECT stem, index, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'Other' END AS domain, CASE WHEN n % 2 = 0 THEN 'REPORT' ELSE 'OTHER' END AS action, CASE WHEN n % 3 = 0 THEN 'Reporting' ELSE 'Other' END AS obligation_type, CASE WHEN n % 5 = 0 THEN 'Mandatory' ELSE 'Not Applicable' END AS mandatory_flag, CASE WHEN n % 7 <> 0 THEN round(greatest(0.0, least(1.0, value / 20)), 6) END AS confidence FROM r""",
     "merge_override": """WITH b AS (SELECT c_custkey % 700 AS key, c_custkey AS position, c_name AS label, 0 AS layer FROM customer UNION ALL SELECT s_suppkey * 11, s_suppkey, s_name, 1 FROM supplier)
 SELECT key, arg_max(label, layer * 1000000000 + position) AS label, min(layer) AS layer, arg_min(position, layer * 1000000000 + position) AS position FROM b GROUP BY key""",
     "registry_lookup": "WITH d AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN ' ' || n_name WHEN 1 THEN lower(n_name) ELSE n_name END AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT s_suppkey, coalesce('N' || n_nationkey, 'GLOBAL') AS pack FROM d LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 2) ON trim(r) = n_name",

@@ -188,6 +188,13 @@ def test_whole_run_and_answer(spark, catalog, domains, tmp_path):
     assert {r.document_id for r in got.impact.collect()} == {"B-1"}
     assert [r.citation for r in got.ungrounded.collect()] == ["[x 9.9]"]
     assert got.confidence.first().retrieval_band in ("High", "Medium", "Low") and got.path.first().path[0].startswith("Retrieved")
+    assert an.evidence_view(got.evidence).count() == len(evidence)
+    told = {(r.stem, r.step, r.what): r.n for r in plans.summaries(plans.load(spark, str(tmp_path))).collect()}
+    assert told["a", "structure", "section"] == 4 and told["b", "clauses", "clauses"] == 4 and told["a", "objects", "fuzzy" if ("a", "objects", "fuzzy") in told else "exact_label"] == 3
+    from clausemill.__main__ import main
+
+    main(["search", "--out", str(tmp_path), "--query", "collateral"], spark)
+    main(["answer", "--out", str(tmp_path), "--query", "collateral", "--stem", "a"], spark)
     nothing = an.answer("q", hits.drop("stem", "ord").limit(0), corpus.clauses, nodes, edges, docs)
     assert nothing.confidence.first().top_score == 0 and nothing.answer is None
 
@@ -252,6 +259,8 @@ def test_web(spark):
     assert [r.link for r in web.listing(listing).orderBy("pos").collect()] == ["http://h/n0", "http://h/n1", "http://h/n2"]
     crawlable = spark.createDataFrame([("http://www.rbi.org.in/a/NotificationUser.aspx?x=1",), ("http://other/NotificationUser.aspx",), ("http://rbi.org.in/",), ("::bad",), (None,)], "u string").select(web.is_crawlable(F.col("u")).alias("c"))
     assert [r.c for r in crawlable.collect()] == [True, False, False, False, False]
+    shown = {r.url: r.markdown for r in web.scrape_digest(web.details(frame)).collect()}
+    assert shown["http://h/a"].startswith("## Title here\n\n- URL: http://h/a\n- Date: Jan 1, 2024") and "- Error: no table" in shown["http://h/b"]
     wanted = spark.createDataFrame([("http://a/x.pdf",), ("http://b/x.pdf?z",), ("http://b/y.pdf",)], "pdf_url string")
     stored = spark.createDataFrame([("y.pdf",)], "file_name string")
     assert web.missing_files(wanted, stored).count() == 1
