@@ -91,9 +91,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame
         nodes = settle(_grow(nodes, level, depth, max_children, z), "nodes")
     template = nodes.groupBy("host", "branch").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("b"))
     by_host = template.groupBy("host").agg(F.sum("m").alias("hm"), F.sum("b").alias("hb"))
-    by_all = template.agg(((F.sum("b") + 0.5) / (F.sum("m") + 2.0)).alias("rate"))
-    rate = (F.col("hb") + weight * F.col("rate")) / (F.col("hm") + weight)
-    judged = template.join(by_host, "host").join(F.broadcast(by_all)).select("host", "branch", ((F.col("b") + weight * rate) / (F.col("m") + weight)).alias("purity"))
+    overall = template.agg(F.coalesce((F.sum("b") + 0.5) / (F.sum("m") + 2.0), F.lit(0.25)).alias("rate")).scalar()
+    rate = (F.col("hb") + weight * overall) / (F.col("hm") + weight)
+    judged = template.join(by_host, "host").select("host", "branch", ((F.col("b") + weight * rate) / (F.col("m") + weight)).alias("purity"))
     paths = nodes.join(judged, ["host", "branch"]).select("host", "path", F.col("branch").alias("template"), "purity")
     out = seen.join(paths, ["host", "path"], "left")
     verdict = F.coalesce("ruled", F.when(F.col("purity") >= limit, "block").otherwise("allow"))
