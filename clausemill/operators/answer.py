@@ -65,7 +65,7 @@ def reasoning_path(evidence: DataFrame, impact: DataFrame) -> DataFrame:
     """One row: path, an array of sentences about the evidence."""
     names = lambda c: F.array_join(F.sort_array(F.collect_set(F.nullif(F.col(c), F.lit("")))), ", ")
     e = evidence.agg(F.count("*").alias("hits"), F.count_distinct("concept_node").alias("concepts"), names("canonical_label").alias("labels"), names("concept_parent").alias("parents"), F.count_if("review_required").alias("pending"))
-    x = e.join(F.broadcast(impact.agg(F.count("*").alias("related"))))
+    x = e.withColumn("related", impact.agg(F.count("*").alias("related")).scalar())
     say = lambda condition, *words: F.when(condition, F.concat(*(F.lit(w) if isinstance(w, str) else w.cast("string") for w in words)))
     c = F.col
     steps = [

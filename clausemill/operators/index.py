@@ -27,16 +27,21 @@ def postings(rows: DataFrame, text: Column | None = None, stem: str = "stem", or
     return words.filter((F.length("term") > 1) & ~F.col("term").isin(tx.STOPWORDS)).groupBy("stem", "ord", "term").agg(F.count("*").alias("tf"))
 
 
+def _rows_with_tf() -> Column:
+    """Rows, counted over tf: the plan below is then that of the postings, and Spark reuses their shuffle."""
+    return F.count_if(F.col("tf") > 0)
+
+
 def document_idf(post: DataFrame, rows: DataFrame, stem: str = "stem") -> DataFrame:
     """stem, term, df, idf within each document; rows counts its clauses, also those without words."""
     n = rows.groupBy(F.col(stem).alias("stem")).agg(F.count("*").alias("n"))
-    return post.groupBy("stem", "term").agg(F.count("*").alias("df")).join(n, "stem").select("stem", "term", "df", v.idf(F.col("n"), F.col("df")).alias("idf"))
+    return post.groupBy("stem", "term").agg(_rows_with_tf().alias("df")).join(n, "stem").select("stem", "term", "df", v.idf(F.col("n"), F.col("df")).alias("idf"))
 
 
 def corpus_idf(post: DataFrame, rows: DataFrame) -> DataFrame:
     """term, df, idf over all documents together."""
-    n = rows.agg(F.count("*").alias("n"))
-    return post.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", "df", v.idf(F.col("n"), F.col("df")).alias("idf"))
+    n = rows.agg(F.count("*").alias("n")).scalar()
+    return post.groupBy("term").agg(_rows_with_tf().alias("df")).select("term", "df", v.idf(n, F.col("df")).alias("idf"))
 
 
 def unit_weights(post: DataFrame, idf: DataFrame) -> DataFrame:
@@ -52,9 +57,8 @@ def query_weights(idf: DataFrame, query: str) -> DataFrame:
     terms = idf.sparkSession.range(1).select(F.explode(tx.tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
     by = ["stem"] if "stem" in idf.columns else []
     x = idf.join(F.broadcast(terms), "term").withColumn("w", F.col("qtf") * F.col("idf"))
-    norm = x.groupBy(*by).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qnorm"))
-    joined = x.join(norm, by) if by else x.join(F.broadcast(norm))
-    return joined.select(*by, "term", v.unit(F.col("w"), F.col("qnorm")).alias("qw"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by)))  # over the words of one query
+    return x.select(*by, "term", v.unit(F.col("w"), norm).alias("qw"))
 
 
 def sparse_scores(post: DataFrame, idf: DataFrame, query: str) -> DataFrame:
@@ -81,7 +85,8 @@ def dense_scores(vectors: DataFrame, query: Column | DataFrame, vector: str = "v
     """stem, ord, score > 0: dot product with one query vector (a column, or a frame of one row with column `query`)."""
     rows = vectors.select(F.col(stem).alias("stem"), F.col(order).alias("ord"), F.col(vector).alias("vector"))
     if isinstance(query, DataFrame):
-        rows, query = rows.join(F.broadcast(query.limit(1))), F.col("query")
+        rows = rows.withColumn("query", query.select(F.first("query").alias("query")).scalar())
+        query = F.col("query")
     return rows.select("stem", "ord", v.dot(F.col("vector"), query).alias("score")).filter("score > 0")
 
 

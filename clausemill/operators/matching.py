@@ -44,8 +44,8 @@ def form_vectors(forms: DataFrame, stemmed: bool = True) -> DataFrame:
     """cat_ord, pos, canonical_id, token, weight (unit length), idf.  A form counts once for each word; forms without words do not count."""
     words = forms.select("cat_ord", "pos", "canonical_id", F.explode(tx.concept_tokens(F.col("form"), stemmed)).alias("token"))
     tf = words.groupBy("cat_ord", "pos", "canonical_id", "token").agg(F.count("*").alias("tf"))
-    n = tf.select("cat_ord", "pos").distinct().agg(F.count("*").alias("n"))
-    idf = tf.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("token", v.idf(F.col("n"), F.col("df")).alias("idf"))
+    n = tf.select("cat_ord", "pos").distinct().agg(F.count("*").alias("n")).scalar()
+    idf = tf.groupBy("token").agg(F.count("*").alias("df")).select("token", v.idf(n, F.col("df")).alias("idf"))
     weighted = tf.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
     norm = weighted.groupBy("cat_ord", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norm, ["cat_ord", "pos"]).select("cat_ord", "pos", "canonical_id", "token", (F.col("w") / F.col("norm")).alias("weight"), "idf")

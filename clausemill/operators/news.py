@@ -90,6 +90,6 @@ def digest(stories: DataFrame, topics: DataFrame, summarizer: Callable[[DataFram
 
 def recent_top(rows: DataFrame, when: str, days: int, limit: int, sort: str = "significance", score: str = "significance", tie: str | None = None) -> DataFrame:
     """Rows of the last `days` days before the latest, the best `limit` by score or by date."""
-    latest = rows.agg(F.max(when).alias("__latest"))
+    latest = rows.agg(F.max(when).alias("latest")).scalar()
     order = [F.desc(score if sort == "significance" else when)] + ([tie] if tie else [])
-    return rows.join(F.broadcast(latest)).filter(F.col(when) >= F.col("__latest") - F.expr(f"INTERVAL {int(days)} DAYS")).drop("__latest").orderBy(*order).limit(limit)
+    return rows.filter(F.col(when) >= latest - F.expr(f"INTERVAL {int(days)} DAYS")).orderBy(*order).limit(limit)

@@ -37,11 +37,11 @@ def test_clean_tokens(spark):
 
 def test_words(spark):
     assert apply(spark, tx.tokens, ["The Bank's 3 rules, and a 42"]) == [["bank", "rules", "42"]]
-    assert apply(spark, tx.concept_tokens, ["Monitoring of Straßen provisions", None]) == [["monitor", "of", "strassen", "provisions"], None] or True
+    assert apply(spark, tx.concept_tokens, ["Monitoring of Straßen provisions", None]) == [["monitor", "of", "strassen", "provision"], None]
     stems = {"monitoring": "monitor", "policies": "policy", "ties": "ties", "notifications": "notific", "ings": "ings", "boxes": "box", "statements": "state", "classes": "class"}
     assert dict(zip(stems, apply(spark, tx.stem, list(stems)), strict=True)) == stems
     assert apply(spark, tx.tight, ["  A  B  ", "X.", None, "Maß"]) == ["a b", "x.", "", "mass"]
-    assert apply(spark, tx.loose, ["  A  B. ;' ", "...", None]) == ["a b.", "", ""] or apply(spark, tx.loose, ["a b.;'"]) == ["a b"]
+    assert apply(spark, tx.loose, ["  A  B. ;' ", "...", None, "a b.;'"]) == ["a b.", "", "", "a b"]
 
 
 def test_clause_numbers(spark):
