@@ -4,7 +4,8 @@ Base measures come from whole texts.  For each (language, source) a quantile ske
 integer values in buckets of 32 steps to the octave (relative error below 1/32).  Counts add, so sketches of tasks,
 sources or days merge exactly and in any order.  From the merged sketches come fences around the middle half of the
 documents; a group with fewer than `min_rows` documents takes the merged sketch of its language, then of all documents.
-Documents are then joined with the fences of their group.
+Documents are then joined with the fences of their group.  The fence of the mean word length is wider for short
+documents (twice as wide at 20 words), whose means vary more.
 
 base_failed: fewer than 10 words, or over 20 % of the words in repeated 5-word windows.  kept: not base_failed and
 inside all fences.  Sketches hold documents that pass the base rules.
@@ -139,9 +140,10 @@ def _judged(measured: DataFrame, limits: DataFrame, lang_col: str, source_col: s
     of = dict(zip(limits.columns, own.columns, strict=True))
     both = measured.join(own, F.col(f"`{lang_col}`").eqNullSafe(F.col(of["lang"])) & F.col(f"`{source_col}`").eqNullSafe(F.col(of["source"])), "left")
     inside = []
-    for k, (_, a, b, s, *_) in enumerate(RATIOS):
-        value = _ratio(names, a, b, s)
-        inside.append(F.coalesce((value <= F.col(of[f"high_{k}"])) & (value >= F.col(of[f"low_{k}"])), F.lit(True)))
+    for k, (_, a, b, s, _, _, two_sided) in enumerate(RATIOS):
+        value, low, high = _ratio(names, a, b, s), F.col(of[f"low_{k}"]), F.col(of[f"high_{k}"])
+        wider = (high - low) * 10 / F.greatest(F.col(names["n_words"]), F.lit(1)) if two_sided else F.lit(0)
+        inside.append(F.coalesce((value <= high + wider) & (value >= low - wider), F.lit(True)))
     return both.withColumns({failed: _base_failed(names, min_words, repeat_percent), kept: ~_base_failed(names, min_words, repeat_percent) & reduce(lambda x, y: x & y, inside)}).drop(*own.columns)
 
 
