@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from clausemill.llm.lattice import Lattice, Vocabulary
 from clausemill.llm.sentencepiece_codec import MODEL
-from clausemill.llm.shared import small_batches
+from clausemill.llm.shared import settle, small_batches
 from clausemill.llm.words import Words, mix, slices
 
 UNKNOWN = "und"
@@ -89,6 +89,9 @@ def sample_rows(labelled: DataFrame, train_rows: int) -> DataFrame:
     """key, lang, text: at most train_rows documents of each language, the least by a hash of key."""
     draw = labelled.withColumn("draw", F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / (1 << 30))
     rate = labelled.groupBy("lang").agg(F.count("*").alias("of")).select(F.col("lang").alias("of_lang"), (F.lit(train_rows * 1.2 + 100) / F.col("of")).alias("rate"))
+    rate = settle(rate, "rates")
+    if rate.count() <= 10_000:  # languages; no text is shuffled but the sample's
+        rate = F.broadcast(rate)
     few = draw.join(rate, F.col("lang") == F.col("of_lang")).filter("draw < rate")
     order = Window.partitionBy("lang").orderBy("draw", "key")
     return few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= train_rows).select("key", "lang", "text")
