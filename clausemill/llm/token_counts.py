@@ -7,7 +7,7 @@ after the partial aggregation.
 
 TokenRollup keeps one folder per committed batch.  A batch is written beside them and moved into place in one rename;
 a batch whose folder is there already changes nothing, so a retried or doubled commit counts once.  compact() folds
-batches into one and keeps their names.
+batches into one folder and keeps their names.
 
 Defined cases: null source, language or version are groups of their own; null counts are zero; null text has no
 tokens; repeated change rows count each; an empty batch is committed and adds nothing; groups whose documents and tokens
@@ -81,41 +81,50 @@ class TokenRollup:
     def _at(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(self._root, name)
 
+    def _folders(self) -> dict[str, set[str]]:
+        """Folders that count, and the batches in each; one whose batches are all in a larger folder was compacted into it."""
+        found = {}
+        for x in self._fs.listStatus(self._at("deltas")):
+            name = x.getPath().getName()
+            kind, _, rest = name.partition("=")
+            found[name] = {rest} if kind == "batch" else {r["value"] for r in self.spark.read.text(f"{self.path}/names/{rest}").collect()}
+        return {k: v for k, v in found.items() if not any(v < w for w in found.values())}
+
     def batches(self) -> list[str]:
         """Names of the batches committed so far."""
-        found = sorted(x.getPath().getName() for x in self._fs.listStatus(self._at("deltas")))
-        return sorted({name for x in found for name in x.removeprefix("names=").split("+")})
+        return sorted(set().union(*self._folders().values()))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of changes; False, and no change, if the name was committed before."""
-        if not batch or any(x in batch for x in "+/="):
-            raise ValueError("a batch name is not empty and has no '+', '/' or '='")
+        if not batch or any(x in batch for x in "\n/="):
+            raise ValueError("a batch name is not empty and has no line end, '/' or '='")
         if batch in self.batches():
             return False
-        return self._put(signed(changes).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")), batch)
+        rows = signed(changes).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        return self._put(rows, f"batch={batch}")
 
-    def _put(self, rows: DataFrame, names: str) -> bool:
+    def _put(self, rows: DataFrame, name: str) -> bool:
         staged = f"staged-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{staged}")
-        target = self._at(f"deltas/names={names}")
+        target = self._at(f"deltas/{name}")
         done = not self._fs.exists(target) and self._fs.rename(self._at(staged), target)
         self._fs.delete(self._at(staged), True)
         return bool(done)
 
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens over all committed batches."""
-        folders = [x.getPath().toString() for x in self._fs.listStatus(self._at("deltas"))]
+        folders = [f"{self.path}/deltas/{x}" for x in self._folders()]
         if not folders:
             return self.spark.createDataFrame([], self.SCHEMA)
         rows = self.spark.read.schema(self.SCHEMA).parquet(*folders)
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 OR n_tokens <> 0")
 
     def compact(self) -> None:
-        """Fold all batches into one folder.  Run by one writer; a failure between the steps leaves a marker to finish."""
-        old = [x.getPath() for x in self._fs.listStatus(self._at("deltas"))]
+        """Fold all batches into one folder, by one writer.  The rename decides: before it the old folders count, after it the new one."""
+        old = self._folders()
         if len(old) > 1:
-            names, staged = "+".join(self.batches()), f"compact-{uuid.uuid4().hex}"
-            self.totals().write.parquet(f"{self.path}/{staged}")
-            for x in old:
-                self._fs.delete(x, True)
-            self._fs.rename(self._at(staged), self._at(f"deltas/names={names}"))
+            name = uuid.uuid4().hex
+            self.spark.createDataFrame([(x,) for x in self.batches()], "value string").coalesce(1).write.text(f"{self.path}/names/{name}")
+            if self._put(self.totals(), f"compact={name}"):
+                for x in old:
+                    self._fs.delete(self._at(f"deltas/{x}"), True)

@@ -149,7 +149,9 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     assert {tuple(r) for r in rollup.totals().collect()} == want
     rollup.compact()
     assert {tuple(r) for r in rollup.totals().collect()} == want and rollup.batches() == ["empty", "one", "two"]
-    assert not rollup.commit("two", load)
+    assert not rollup.commit("two", load) and rollup.commit("three", rows(("a", "en", "v1", "insert", 1, None)))
+    rollup.compact()
+    assert ("a", "en", "v1", 3, 9) in {tuple(r) for r in rollup.totals().collect()} and len(rollup.batches()) == 4
     with pytest.raises(Exception, match="unknown change"):
         rollup.commit("bad", rows(("a", "en", "v1", "upsert", 1, None)))
     with pytest.raises(ValueError):
