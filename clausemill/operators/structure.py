@@ -43,7 +43,9 @@ def heading_events(marked: DataFrame, order: str = "line_no", raw: str = "raw",
         F.max_by("page", F.when(own, F.col(order))).alias("last_page"),
         F.nullif(F.array_join(F.transform(body, lambda x: x["l"]), "\n"), F.lit("")).alias("body"),
     )
-    return grouped.select(stem, "ord", "raw_heading", tx.classify_heading(F.col("raw_heading")).alias("classified"), "page_start", F.coalesce("last_page", "page_start").alias("page_end"), "body")
+    # the explode of one element keeps the optimizer from copying the cascade into every use of its fields
+    once = F.explode(F.array(tx.classify_heading(F.col("raw_heading")))).alias("classified")
+    return grouped.select(stem, "ord", "raw_heading", once, "page_start", F.coalesce("last_page", "page_start").alias("page_end"), "body")
 
 
 def ambiguous(events: DataFrame, stem: str = "stem") -> DataFrame:
