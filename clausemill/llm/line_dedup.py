@@ -166,7 +166,6 @@ class LineIndex:
         small_batches(spark)
         self.filters: DataFrame | None = None
         self._known: DataFrame | None = None
-        self._deletes = False
 
     def insert(self, batch: str, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         min_chars, shards = self.min_chars, self.shards
@@ -178,7 +177,6 @@ class LineIndex:
         gone = ids.select(F.col(id_col).cast("long").alias("gone")).distinct()
         own = self._postings().filter(F.col("batch") != batch).join(gone, F.col("id").eqNullSafe(F.col("gone")), "left_semi")
         net = own.groupBy("shard", "k1", "k2", "id").agg(F.sum("rows").alias("rows")).filter("rows > 0")
-        self._deletes = True
         self._commit(batch, net.withColumn("rows", -F.col("rows")))
 
     def _commit(self, batch: str, rows: DataFrame) -> None:
@@ -204,7 +202,7 @@ class LineIndex:
 
     def _counts(self) -> DataFrame:
         rows = self._postings()
-        if self._deletes:
+        if not rows.filter("rows < 0").isEmpty():  # asked of the folder: another object may have deleted
             rows = rows.groupBy("shard", "k1", "k2", "id").agg(F.sum("rows").alias("rows")).filter("rows > 0")
         return rows.groupBy("shard", "k1", "k2").agg(F.sum("rows").alias("n_docs"), F.max("id").alias("keep")).filter(F.col("n_docs") >= self.min_docs)
 

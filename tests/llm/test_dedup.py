@@ -110,6 +110,20 @@ def test_line_index_is_reversible(spark, make, tmp_path):
     assert all(not f.slots.any() for f in filters)
 
 
+def test_line_index_opened_anew_after_a_deletion(spark, make, tmp_path):
+    """The largest holder was deleted by another object: it keeps no line, and the passage stays in one document."""
+    shared = "one line that many documents hold"
+    first, more = [(k, f"{shared}\nown {k}") for k in range(5)], [(5, f"{shared}\nown 5")]
+    index = LineIndex(spark, str(tmp_path))
+    index.insert("a", make([*first, (99, f"{shared}\nown 99")]))
+    index.delete("b", make([(99, "")]))
+    again = LineIndex(spark, str(tmp_path))
+    again.insert("c", make(more))
+    assert [(r.n_docs, r.keep) for r in again.frequent().collect()] == [(6, 5)]
+    docs = make(first + more)
+    assert sorted(map(tuple, again.apply(docs, keep=("doc_id",)).collect())) == sorted(brute.line_dedup(first + more))
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 5000, dtype=np.uint64)
