@@ -5,10 +5,12 @@ Words are compared with A-Z lower-cased.  An item of n words is compared with th
 
 1. A window can only reach similarity s if at least 2s / (1 + s) of the mean shingle count is shared, so windows whose
    shingles are not that often shingles of the benchmark are left out.  This loses nothing.
-2. The others get a 64-bit SimHash of their shingles, weighted by their counts.
-3. Items are indexed by length and by each of `radius` + 1 blocks of their fingerprint.  Two fingerprints within
-   `radius` bits agree in a block, so looking up all blocks finds every item within the radius.
-4. What is found within the radius is verified: sum of least counts over sum of largest counts of shingles >= `least`.
+2. Such a window has at most h - n shingles that an item at s does not have (h its shingles, n the least shared), so of any
+   h - n + 1 of its shingles one is the item's.  The items that have one of its h - n + 1 shingles that are in the fewest
+   items are looked up.  This loses nothing.
+3. They are verified: sum of least counts over sum of largest counts of shingles >= `least`.
+4. Windows and items have 64-bit SimHashes of their shingles, weighted by their counts.  What differs in over `radius` bits
+   is left out; at 64, the default, nothing is.
 
 Items are held in memory in blocks of at most `block_bytes` of text, one pass over the documents for each block, so a
 benchmark of any size is served.
@@ -19,7 +21,6 @@ texts match each on its own; repeated rows each give rows; other columns play no
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -50,11 +51,10 @@ def _ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class ItemIndex:
-    """Items of one block of a benchmark, by shingle width: shingles, fingerprints and the tables of fingerprint blocks."""
+    """Items of one block of a benchmark, by shingle width: shingles, fingerprints and, by length, the items of each shingle."""
 
     def __init__(self, items: list[tuple[int, str]], width: int, radius: int, least: float):
         self.radius, self.least = radius, least
-        self.cuts = np.linspace(0, _BITS, radius + 2).astype(int)
         words = Words(pa.array([x for _, x in items], pa.string()), lower=True)
         hashes, self.ids = words.hashes(), [k for k, _ in items]
         self.groups: dict[int, dict] = {}
@@ -64,10 +64,15 @@ class ItemIndex:
             sizes = words.counts[mine] - k + 1
             shingles = runs(hashes, k, 0xD0 + k)[_ranges(words.first[mine], sizes)]
             prints = _prints(shingles, sizes)
-            tables: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-            for j, item in enumerate(mine.tolist()):
-                for b, value in enumerate(self._blocks(prints[j : j + 1])[0].tolist()):
-                    tables[int(words.counts[item]), b, value].append(j)
+            owner, lengths = np.repeat(np.arange(len(mine)), sizes), words.counts[mine]
+            tables = {}
+            for length in np.unique(lengths).tolist():
+                own = lengths[owner] == length
+                order = np.lexsort((owner[own], shingles[own]))
+                key, who = shingles[own][order], owner[own][order]
+                new = np.append(True, (key[1:] != key[:-1]) | (who[1:] != who[:-1]))
+                keys, begin = np.unique(key[new], return_index=True)
+                tables[length] = (keys, np.append(begin, new.sum()), who[new])
             ends = np.cumsum(sizes)
             counts = []
             for a, b in zip(ends - sizes, ends, strict=True):
@@ -76,10 +81,7 @@ class ItemIndex:
             known = np.unique(shingles)
             sieve = np.zeros(1 << 22, bool)
             sieve[known >> _U(42)] = True
-            self.groups[k] = {"items": mine, "lengths": sorted(set(words.counts[mine].tolist())), "prints": prints, "tables": dict(tables), "counts": counts, "known": known, "sieve": sieve, "sizes": sizes}
-
-    def _blocks(self, prints: np.ndarray) -> np.ndarray:
-        return np.stack([(prints >> _U(a)) & _U((1 << int(b - a)) - 1) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)], axis=1).astype(np.int64)
+            self.groups[k] = {"items": mine, "lengths": sorted(set(words.counts[mine].tolist())), "prints": prints, "tables": tables, "counts": counts, "known": known, "sieve": sieve, "sizes": sizes}
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, int, int, float]]:
         """(row, item id, first word, words, differing bits, similarity): the most similar window of each row and item."""
@@ -105,30 +107,34 @@ class ItemIndex:
                 row = np.repeat(rows, full[rows] - has[rows] + 1)
                 fine = upto[starts + has[row]] - upto[starts] >= need[row]
                 for piece in range(0, len(starts[fine]), 20_000):
-                    self._verify(group, length, starts[fine][piece : piece + 20_000], row[fine][piece : piece + 20_000], has, shingles, words, best)
+                    self._verify(group, length, starts[fine][piece : piece + 20_000], row[fine][piece : piece + 20_000], has, need, shingles, words, best)
         return [(r, i, *found) for (r, i), found in best.items()]
 
-    def _verify(self, group: dict, length: int, starts: np.ndarray, row: np.ndarray, has: np.ndarray, shingles: np.ndarray, words: Words, best: dict) -> None:
+    def _verify(self, group: dict, length: int, starts: np.ndarray, row: np.ndarray, has: np.ndarray, need: np.ndarray, shingles: np.ndarray, words: Words, best: dict) -> None:
         sizes = has[row]
-        prints = _prints(shingles[_ranges(starts, sizes)], sizes)
-        blocks, seen, known = self._blocks(prints), {}, group["tables"]
+        prints, seen = _prints(shingles[_ranges(starts, sizes)], sizes), {}
         for w in range(len(starts)):
-            found = {j for b, value in enumerate(blocks[w].tolist()) for j in known.get((length, b, value), ())}
-            if not found:
-                continue
             own = shingles[starts[w] : starts[w] + sizes[w]]
-            same = (int(prints[w]), own.tobytes())
-            for j in found:
-                bits = int(prints[w] ^ group["prints"][j]).bit_count()
-                if bits > self.radius:
-                    continue
-                if (j, same) not in seen:
-                    seen[j, same] = self._similarity(own, group["counts"][j], int(group["sizes"][j]))
-                similarity = seen[j, same]
+            same = own.tobytes()
+            if same not in seen:
+                items = self._having(group["tables"][length], own, int(sizes[w] - need[row[w]]) + 1)
+                near = [(j, int(prints[w] ^ group["prints"][j]).bit_count()) for j in items]
+                seen[same] = [(j, bits, self._similarity(own, group["counts"][j], int(group["sizes"][j]))) for j, bits in near if bits <= self.radius]
+            for j, bits, similarity in seen[same]:
                 key = (int(row[w]), self.ids[int(group["items"][j])])
                 if similarity >= self.least and (key not in best or similarity > best[key][3]):
                     best[key] = (int(starts[w] - words.first[row[w]]), int(min(length, words.counts[row[w]])), bits, similarity)
 
+    @staticmethod
+    def _having(table: tuple[np.ndarray, np.ndarray, np.ndarray], own: np.ndarray, n: int) -> list[int]:
+        """The items that have one of the n shingles of `own` which are in the fewest items."""
+        keys, begin, items = table
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        many = np.where(keys[at] == own, begin[at + 1] - begin[at], 0)
+        few = np.argsort(many, kind="stable")[:n]
+        few = np.unique(at[few[many[few] > 0]])
+        return np.unique(items[_ranges(begin[few], begin[few + 1] - begin[few])]).tolist()
+
     @staticmethod
     def _similarity(own: np.ndarray, counts: dict[int, int], size: int) -> float:
         left, shared = dict(counts), 0
@@ -153,7 +159,7 @@ def _item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
 _FOUND = "item_id long, first_word long, n_words long, differing_bits int, similarity double"
 
 
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, least: float = 0.8, radius: int = 17, block_bytes: int = 16 << 20) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, least: float = 0.8, radius: int = _BITS, block_bytes: int = 16 << 20) -> DataFrame:
     """One row for each document row and item that it holds: id_col, item_id, and its most similar window."""
     small_batches(docs.sparkSession)
     inner = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -173,7 +179,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return reduce(DataFrame.union, parts).withColumnRenamed("id", id_col)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, least: float = 0.8, radius: int = 17, block_bytes: int = 16 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, least: float = 0.8, radius: int = _BITS, block_bytes: int = 16 << 20) -> DataFrame:
     """The documents, with their columns, that hold no item.  No text is shuffled."""
     small_batches(docs.sparkSession)
     at, out = docs.columns.index(text_col), docs

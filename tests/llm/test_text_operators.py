@@ -137,6 +137,25 @@ def test_leaks_like_brute_force(spark, make):
     assert find_items(make(rows), table.limit(0)).count() == 0
 
 
+def test_leaks_at_the_limit(spark, make):
+    """Windows exactly 0.8 similar, some with a word again and again: all are found, far fingerprints too."""
+    rnd = random.Random(4)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(n + 4))) for k, n in enumerate([9, 18, 45, 90, 180] * 8)]
+    rows = []
+    for k, text in items:
+        item = text.split()
+        gone = (len(item) - 4) // 9
+        for j, tail in enumerate([[f"o{rnd.random()}" for _ in range(gone)], ["again"] * gone]):
+            rows.append((2 * k + j, " ".join([f"b{k}"] * 3 + item[: len(item) - gone] + tail)))
+    want = {(k, i): s for k, t in rows for i, s in brute.leaks(t, items).items()}
+    assert len(want) == len(rows) and set(want.values()) == {0.8}
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = find_items(make(rows), table).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in found} == pytest.approx(want)
+    assert max(r.differing_bits for r in found) > 17
+    assert drop_contaminated(make(rows), table).count() == 0
+
+
 def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(list(x), "source string, lang string, version string, op string, n_tokens long, old_tokens long")
     rollup = TokenRollup(spark, str(tmp_path / "r"))
