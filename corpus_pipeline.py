@@ -2,7 +2,7 @@
 
 1. quality rules: documents that fail them go;
 2. line dedup: repeated lines go from the texts, n_chars follows, all documents stay;
-3. near duplicates: of each group the document with the smallest id stays;
+3. near duplicates: documents whose sets of 5-word shingles are at least 0.8 similar; of each group the smallest id stays;
 4. benchmark decontamination: documents that hold an item of the benchmark go;
 5. SentencePiece: texts become ids; columns doc_id, lang, source, n_chars, n_pieces, token_ids, lossless.
 """
@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clausemill.llm.decontaminate import drop_contaminated
 from clausemill.llm.line_dedup import drop_lines
+from clausemill.llm.near_texts import keep_one_text
 from clausemill.llm.quality_rules import keep_good
 from clausemill.llm.sentencepiece_codec import encode
 from clausemill.llm.shared import settle
-from clausemill.llm.simhash_dedup import keep_one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs)
+    return keep_one_text(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
