@@ -6,7 +6,8 @@ The longest rule that fits decides.  Rules are a short list given by the caller
 Templates.  Pages are first counted by host and path.  Level by level, for each host and each branch of its tree:
 
 * segments: where a branch has over `max_children` different segments, those with less than 1 / max_children of the
-  branch's pages become a wildcard, which keeps a file extension (`*.html`); what lies below `depth` becomes `**`;
+  branch's pages become a wildcard, which keeps a file extension (`*.html`); levels go on until
+  no path has a further segment, or to `depth` if it is given: what lies below becomes `**`;
 * merging: children whose rate of blocked labels does not differ from the branch's rate (within `z` standard errors)
   go on together as `~`; one comparison each with the pooled branch, no pairs.
 
@@ -52,9 +53,11 @@ def _rule(host: Column, path: Column, rules: list[tuple[str, str]], value: int)
     return F.lit(None).cast("string") if out is None else out
 
 
-def _grow(nodes: DataFrame, level: int, depth: int, max_children: int, z: float) -> DataFrame:
+def _grow(nodes: DataFrame, level: int, depth: int | None, max_children: int, z: float) -> DataFrame:
     """One level of the tree: each node's branch with its segment there added."""
-    segment = F.when((F.lit(level) == depth) & (F.size("segments") > depth), F.lit("**")).otherwise(F.get("segments", F.lit(level - 1)))
+    segment = F.get("segments", F.lit(level - 1))
+    if level == depth:
+        segment = F.when(F.size("segments") > depth, F.lit("**")).otherwise(segment)
     nodes = nodes.withColumn("segment", segment)
     child = nodes.filter("segment IS NOT NULL").groupBy("host", "branch", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
     branch = child.groupBy("host", "branch").agg(F.count("*").alias("kids"), F.sum("n").alias("total"))
@@ -70,7 +73,7 @@ def _grow(nodes: DataFrame, level: int, depth: int, max_children: int, z: float)
     return nodes.join(moves, ["host", "branch", "segment"], "left").select("host", "path", "segments", F.coalesce("next", "branch").alias("branch"), "n", "labelled", "blocked")
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", depth: int = 4, max_children: int = 16, z: float = 2.0, weight: float = 4.0, limit: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", depth: int | None = None, max_children: int = 16, z: float = 2.0, weight: float = 4.0, limit: float = 0.5) -> DataFrame:
     """One row per page: id_col, host, path, rule, template, purity, verdict.  labels: key (an id), bad (boolean)."""
     if len(rules) > 1000:
         raise ValueError("at most 1,000 rules")
@@ -87,7 +90,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame
     nodes = known.groupBy("host", "path").agg(F.count("*").alias("n"), F.count(bad).alias("labelled"), F.count(F.when(bad, 1)).alias("blocked"))
     segments = F.split(F.regexp_replace("path", "^/", ""), "/")
     nodes = settle(nodes.select("host", "path", segments.alias("segments"), F.lit("").alias("branch"), "n", "labelled", "blocked"), "nodes")
-    for level in range(1, depth + 1):
+    deepest = nodes.agg(F.max(F.size("segments"))).first()[0] or 0
+    for level in range(1, min(deepest, depth or deepest) + 1):
         nodes = settle(_grow(nodes, level, depth, max_children, z), "nodes")
     template = nodes.groupBy("host", "branch").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("b"))
     by_host = template.groupBy("host").agg(F.sum("m").alias("hm"), F.sum("b").alias("hb"))

@@ -255,3 +255,10 @@ def test_url_rules_and_templates(spark):
     assert (out[127].host, out[127].path, out[127].rule, out[127].verdict) == ("", "", None, "allow")
     assert len(out) == len(urls) and judge_urls(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in judge_urls(pages.filter("page_id >= 7"), [], None).collect()} == {"allow"}
+
+
+def test_urls_that_differ_at_the_fifth_segment(spark):
+    rows = [(2 * k + j, f"http://h.example/a/b/c/d/{name}/x{k % 3}.html") for k in range(30) for j, name in enumerate(("spam", "docs"))]
+    labels = spark.createDataFrame([(k, k % 2 == 0) for k, _ in rows], "key long, bad boolean")
+    got = judge_urls(spark.createDataFrame(rows, "page_id long, url string"), [], labels).collect()
+    assert {r.page_id: r.verdict for r in got} == {k: "allow" if k % 2 else "block" for k, _ in rows}
