@@ -2,10 +2,17 @@
 
 Base measures come from whole texts.  For each (language, source) a quantile sketch is kept for four ratios: counts of
 integer values in buckets of 32 steps to the octave (relative error below 1/32).  Counts add, so sketches of tasks,
-sources or days merge exactly and in any order.  From the merged sketches come fences around the middle half of the
-documents; a group with fewer than `min_rows` documents takes the merged sketch of its language, then of all documents.
-Documents are then joined with the fences of their group.  The fence of the mean word length is wider for short
-documents (twice as wide at 20 words), whose means vary more.
+sources or days merge exactly and in any order.  The merged sketches give each group its own fences; a group with fewer
+than `min_rows` documents takes the merged sketch of its language, then of all documents.  Documents are then joined
+with the fences of their group.
+
+* Word length (both sides): the middle half of the group's documents, and `SPREADS` times its width to each side.  It is
+  wider for short documents (twice as wide at 20 words), whose means vary more.  A width below 0.1 characters counts as that.
+* Symbols, repeated lines, repeated words (high side): most documents of a group have none or few, so quartiles say
+  nothing.  Walking up from the group's median, the bulk ends at the first value after which the sketch has a valley: an
+  octave (from u to twice u, both plus `least`) that holds at most `VALLEY` of a million of the group's documents.  The
+  fence is the geometric middle of the valley.  A group without a valley has no fence: its tail is its own way of
+  writing, and nothing is rejected.  `least` keeps a valley between values that are all small from counting.
 
 base_failed: fewer than 10 words, or over 20 % of the words in repeated 5-word windows.  kept: not base_failed and
 inside all fences.  Sketches hold documents that pass the base rules.
@@ -30,13 +37,14 @@ from clausemill.llm.shared import fresh, settle, small_batches
 from clausemill.llm.words import Words, mix, runs, slices
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Ratio, numerator, denominator, scale, least spread (scaled), spreads to the fence; and whether low values fail too.
+#: Ratio, numerator, denominator, scale, least width or value that counts (scaled); and whether low values fail too.
 RATIOS = (
-    ("word_length", "word_chars", "n_words", 1000, 500, 6, True),
-    ("symbols", "n_symbols", "word_chars", 10000, 200, 3, False),
-    ("dup_lines", "n_dup_lines", "n_words", 10000, 150, 6, False),
-    ("repeats", "n_repeat_words", "n_words", 10000, 700, 3, False),
+    ("word_length", "word_chars", "n_words", 1000, 100, True),
+    ("symbols", "n_symbols", "word_chars", 10000, 200, False),
+    ("dup_lines", "n_dup_lines", "n_words", 10000, 150, False),
+    ("repeats", "n_repeat_words", "n_words", 10000, 700, False),
 )
+SPREADS, VALLEY = 6, 2000
 _U = np.uint64
 
 
@@ -107,26 +115,30 @@ def sketches(measured: DataFrame, lang_col: str, source_col: str, names: dict[st
     return passed.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{source_col}`").alias("source"), ratios.alias("x")).groupBy("lang", "source", "x.ratio", "x.bucket").agg(F.count("*").alias("rows"))
 
 
-def _quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
+def _limits_of(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ratio, low, high, of: the fences of each group, by its merged sketch of at most some 1,100 buckets."""
     group = Window.partitionBy(*keys, "ratio")
     run = counts.groupBy(*keys, "ratio", "bucket").agg(F.sum("rows").alias("rows"))
-    run = run.withColumns({"upto": F.sum("rows").over(group.orderBy("bucket")), "of": F.sum("rows").over(group)})
+    run = run.withColumns({"upto": F.sum("rows").over(group.orderBy("bucket")), "of": F.sum("rows").over(group), "last": F.max("bucket").over(group)})
+    run = run.withColumn("share", F.expr("upto * 1000000 div of"))
+    run = run.withColumn("ahead", F.coalesce(F.min("bucket").over(group.orderBy("share").rangeBetween(VALLEY + 1, Window.unboundedFollowing)), "last"))
+    least = reduce(lambda c, k: c.when(F.col("ratio") == k, RATIOS[k][4]), range(1, len(RATIOS)), F.when(F.col("ratio") == 0, RATIOS[0][4])).cast("double")
+    start, end = bucket_top(F.col("bucket")) + least, bucket_top(F.col("ahead") - 1) + 1 + least
+    run = run.withColumn("cut", F.when((F.col("share") >= 500_000) & (F.col("ahead") > F.col("bucket")) & (end >= 2 * start), F.floor(F.sqrt(start * end)) - least))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("of"), bucket_top(F.col("bucket"))))
-    return run.groupBy(*keys, "ratio").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("of").alias("of"))
+    found = run.groupBy(*keys, "ratio").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.min_by("cut", F.when(F.col("cut").isNotNull(), F.col("bucket"))).cast("long").alias("cut"), F.max("of").alias("of"))
+    both, reach = F.col("ratio").isin([k for k, x in enumerate(RATIOS) if x[5]]), F.greatest(F.col("q3") - F.col("q1"), least.cast("long")) * SPREADS
+    return found.select(*keys, "ratio", F.when(both, F.col("q1") - reach).alias("low"), F.when(both, F.col("q3") + reach).otherwise(F.col("cut")).alias("high"), "of")
 
 
 def fences(counts: DataFrame, min_rows: int = 50) -> DataFrame:
-    """lang, source, and for each ratio k the least and largest value that pass: low_k, high_k."""
-    own, by_lang, by_all = _quartiles(counts, ["lang", "source"]), _quartiles(counts, ["lang"]), _quartiles(counts, [])
+    """lang, source, and for each ratio k the least and largest value that pass: low_k, high_k (null: no fence)."""
+    own, by_lang, by_all = _limits_of(counts, ["lang", "source"]), _limits_of(counts, ["lang"]), _limits_of(counts, [])
     named = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns))
     x = named(own, "o").join(named(by_lang, "l"), F.expr("o_lang <=> l_lang AND o_ratio = l_ratio"), "left").join(named(by_all, "a"), F.expr("o_ratio = a_ratio"), "left")
     pick = lambda q: F.when(F.col("o_of") >= min_rows, F.col(f"o_{q}")).when(F.col("l_of") >= min_rows, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
-    x = x.select(F.col("o_lang").alias("lang"), F.col("o_source").alias("source"), F.col("o_ratio").alias("ratio"), pick("q1").alias("q1"), pick("q3").alias("q3"))
-    out = []
-    for k, (*_, least, times, both) in enumerate(RATIOS):
-        reach = F.greatest(F.col("q3") - F.col("q1"), F.lit(least)) * times
-        out += [F.max(F.when(F.col("ratio") == k, F.col("q3") + reach)).alias(f"high_{k}"), F.max(F.when(F.col("ratio") == k, F.col("q1") - reach if both else F.lit(0))).alias(f"low_{k}")]
-    return x.groupBy("lang", "source").agg(*out)
+    x = x.select(F.col("o_lang").alias("lang"), F.col("o_source").alias("source"), F.col("o_ratio").alias("ratio"), pick("low").alias("low"), pick("high").alias("high"))
+    return x.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == k, F.col(c))).alias(f"{c}_{k}") for k in range(len(RATIOS)) for c in ("low", "high")))
 
 
 def _limits(counts: DataFrame, most: int = 200_000) -> DataFrame:
@@ -140,10 +152,10 @@ def _judged(measured: DataFrame, limits: DataFrame, lang_col: str, source_col: s
     of = dict(zip(limits.columns, own.columns, strict=True))
     both = measured.join(own, F.col(f"`{lang_col}`").eqNullSafe(F.col(of["lang"])) & F.col(f"`{source_col}`").eqNullSafe(F.col(of["source"])), "left")
     inside = []
-    for k, (_, a, b, s, _, _, two_sided) in enumerate(RATIOS):
+    for k, (_, a, b, s, _, two_sided) in enumerate(RATIOS):
         value, low, high = _ratio(names, a, b, s), F.col(of[f"low_{k}"]), F.col(of[f"high_{k}"])
-        wider = (high - low) * 10 / F.greatest(F.col(names["n_words"]), F.lit(1)) if two_sided else F.lit(0)
-        inside.append(F.coalesce((value <= high + wider) & (value >= low - wider), F.lit(True)))
+        wider = (high - low) * 10 / F.greatest(F.col(names["n_words"]), F.lit(1))
+        inside.append(F.coalesce((value <= high + wider) & (value >= low - wider) if two_sided else value <= high, F.lit(True)))
     return both.withColumns({failed: _base_failed(names, min_words, repeat_percent), kept: ~_base_failed(names, min_words, repeat_percent) & reduce(lambda x, y: x & y, inside)}).drop(*own.columns)
 
 

@@ -87,6 +87,58 @@ def measures(text: str | None) -> tuple:
     return (*n, n[0] < 10 or 100 * n[4] > 20 * n[0])
 
 
+def _bucket(value: int) -> int:
+    over = max(value.bit_length() - 6, 0)
+    return over * 32 + (value >> over)
+
+
+def _top(number: int) -> int:
+    """The largest value of a bucket."""
+    value = number
+    while _bucket(value) <= number:
+        value += max(1, value >> 7)
+    while _bucket(value) > number:
+        value -= 1
+    return value
+
+
+def _limits(values: list[int], least: int, both: bool) -> tuple:
+    """Least and largest value that pass, None where there is no fence."""
+    held = sorted(_bucket(v) for v in values)
+    n, different = len(held), sorted(set(held))
+    share = {b: sum(x <= b for x in held) * 1_000_000 // n for b in different}
+    if both:
+        q1, q3 = (_top(min(b for b in different if sum(x <= b for x in held) >= q * n)) for q in (0.25, 0.75))
+        reach = 6 * max(q3 - q1, least)
+        return q1 - reach, q3 + reach
+    for b in different:
+        ahead = min((x for x in different if share[x] >= share[b] + 2001), default=different[-1])
+        start, end = _top(b) + least, _top(ahead - 1) + 1 + least if ahead else least
+        if share[b] >= 500_000 and ahead > b and end >= 2 * start:
+            return None, math.floor(math.sqrt(start * end)) - least
+    return None, None
+
+
+def quality(rows: list[tuple], min_rows: int = 50) -> tuple[list[bool], list[tuple]]:
+    """rows (text, lang, source) -> kept of each row, and the fences of all groups."""
+    ratios = [(1, 0, 1000, 100, True), (2, 1, 10000, 200, False), (3, 0, 10000, 150, False), (4, 0, 10000, 700, False)]
+    found = [measures(t) for t, _, _ in rows]
+    value = lambda m, k: m[ratios[k][0]] * ratios[k][2] // m[ratios[k][1]] if m[ratios[k][1]] else 0
+    good = [i for i, m in enumerate(found) if not m[-1]]
+    kept, fences = [False] * len(rows), {}
+    for i in good:
+        levels = [[j for j in good if rows[j][1:] == rows[i][1:]], [j for j in good if rows[j][1] == rows[i][1]], good]
+        pool = next((x for x in levels if len(x) >= min_rows), good)
+        if rows[i][1:] not in fences:
+            fences[rows[i][1:]] = [_limits([value(found[j], k) for j in pool], r[3], r[4]) for k, r in enumerate(ratios)]
+        kept[i] = True
+        for k, (low, high) in enumerate(fences[rows[i][1:]]):
+            wider = (high - low) * 10 / max(found[i][0], 1) if low is not None else 0
+            v = value(found[i], k)
+            kept[i] &= (high is None or v <= high + wider) and (low is None or v >= low - wider)
+    return kept, list(fences.values())
+
+
 def leaks(text: str | None, items: list[tuple[int, str]], width: int = 5, least: float = 0.8) -> dict[int, float]:
     """Items with a window of their length that is similar enough, and the best similarity."""
     w, out = words(ascii_lower(text or "")), {}

@@ -36,11 +36,42 @@ def _prose(rnd: random.Random, n: int, vocab: list[str]) -> str:
 def test_quality_measures_like_brute_force(make):
     rnd = random.Random(4)
     rows = [*ODD, *[(100 + k, "\n".join(_prose(rnd, rnd.randint(0, 12), [f"v{j}" for j in range(rnd.choice([3, 500]))]) for _ in range(6)) + rnd.choice(["", " ### $$ |", "\n\n"])) for k in range(60)]]
-    got = sorted(map(tuple, quality_report(make(rows)).drop("doc_id", "kept").collect()))
-    assert got == sorted(brute.measures(t) for _, t in rows)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    got = sorted((tuple(r) for r in quality_report(make(rows)).drop("kept").collect()), key=key)
+    assert got == sorted(((k, *brute.measures(t)) for k, t in rows), key=key)
     assert quality_report(make(rows).limit(0)).count() == 0
 
 
+def test_quality_query_like_brute_force(spark, sf):
+    """kept of every document of the table, by its id; and each group has fences of its own."""
+    from clausemill.llm import queries as q
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    kept, fences = brute.quality([(r.text, r.lang, r.source) for r in docs])
+    assert {r.doc_id: r.kept for r in q.op10_quality_rules(spark, sf).collect()} == {r.doc_id: k for r, k in zip(docs, kept, strict=True)}
+    assert 0 < sum(kept) < len(kept) and len({f[0] for f in fences}) > 1
+
+
+def test_quality_cutoffs_follow_each_source(spark):
+    """What is usual in one source is rejected in the other, in symbols and repeats; a source whose values run on has no cutoff."""
+    rnd = random.Random(2)
+    vocab = [f"word{k}" for k in range(900)]
+    rows = []
+    for k in range(120):
+        plain, marked, again = (_prose(rnd, 100, vocab).split() for _ in range(3))
+        dense = [f"{w}##" if j % 4 == 0 else w for j, w in enumerate(marked)]
+        rows += [(f"{' '.join(plain)}", "en", "news"), (" ".join(dense), "en", "code"), (" ".join([*again, *again[: rnd.choice([0, 0, 5, 6, 7, 8, 9])]]), "en", "verse")]
+        if k < 4:
+            rows += [(" ".join(dense), "en", "news"), (" ".join([*plain, *plain[:9]]), "en", "news")]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    want, fences = brute.quality(rows)
+    got = {r.doc_id: r.kept for r in quality_report(docs).collect()}
+    assert [got[k] for k in range(len(rows))] == want
+    gone = [r for r, k in zip(rows, want, strict=True) if not k]
+    assert len(gone) == 8 and {s for _, _, s in gone} == {"news"}
+    assert len({f[1] for f in fences}) == 2 and len({f[3] for f in fences}) == 2
+
+
 def test_quality_fences_adapt_and_keep_clean(make):
     rnd = random.Random(1)
     vocab = ["the", "report", "of", "and", "to", "was", "in", "that", *[f"word{k}" for k in range(900)]]
