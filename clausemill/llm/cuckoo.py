@@ -26,36 +26,48 @@ class CuckooFilter:
         first = hashes & _U(self.buckets - 1)
         return prints.astype(np.uint16), first, first ^ (mix(prints, 0xC0C0) & _U(self.buckets - 1))
 
+    def _put(self, prints: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Put prints in free slots of their buckets; the places of those for which none was left."""
+        order = np.argsort(at, kind="stable")
+        rank = _rank(at[order])
+        taken = self.slots[at[order]] != 0
+        fits = rank < 4 - taken.sum(axis=1)
+        slot = np.argsort(taken, axis=1, kind="stable")[np.arange(len(order)), np.minimum(rank, 3)]
+        self.slots[at[order][fits], slot[fits]] = prints[order][fits]
+        return np.sort(order[~fits])
+
     def insert(self, hashes: np.ndarray) -> None:
-        for print_, one, two in zip(*(x.tolist() for x in self._places(hashes)), strict=True):
-            if not self._place(print_, one, two):
-                self.open = True
+        """All hashes side by side: free slots first, then each round one print a bucket takes another's slot."""
+        prints, one, two = self._places(hashes)
+        left = self._put(prints, one)
+        prints, at = prints[left], two[left]
+        for kick in range(_KICKS):
+            left = self._put(prints, at)
+            if not len(left):
                 return
+            prints, at = prints[left].copy(), at[left].copy()
+            first = np.unique(at, return_index=True)[1]
+            out = self.slots[at[first], kick & 3].copy()
+            self.slots[at[first], kick & 3] = prints[first]
+            prints[first] = out
+            at = at ^ (mix(prints.astype(_U), 0xC0C0) & _U(self.buckets - 1))
+        self.open = True
 
-    def _place(self, print_: int, one: int, two: int) -> bool:
-        for at in (one, two):
-            free = np.flatnonzero(self.slots[at] == 0)
-            if len(free):
-                self.slots[at, free[0]] = print_
-                return True
-        at = two
-        for kick in range(_KICKS):
-            print_, self.slots[at, kick & 3] = int(self.slots[at, kick & 3]), print_
-            at ^= int(mix(np.array([print_], _U), 0xC0C0)[0]) & (self.buckets - 1)
-            free = np.flatnonzero(self.slots[at] == 0)
-            if len(free):
-                self.slots[at, free[0]] = print_
-                return True
-        return False
+    def _take(self, prints: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Empty one slot for each print that its bucket holds; the places of those that it doesn't."""
+        order = np.lexsort((prints, at))
+        rank = _rank(at[order] << _U(16) | prints[order])
+        here = self.slots[at[order]] == prints[order][:, None]
+        fits = rank < here.sum(axis=1)
+        slot = np.argsort(~here, axis=1, kind="stable")[np.arange(len(order)), np.minimum(rank, 3)]
+        self.slots[at[order][fits], slot[fits]] = 0
+        return np.sort(order[~fits])
 
     def delete(self, hashes: np.ndarray) -> None:
         """Hashes that were inserted before, each as often at most."""
-        for print_, one, two in zip(*(x.tolist() for x in self._places(hashes)), strict=True):
-            for at in (one, two):
-                held = np.flatnonzero(self.slots[at] == print_)
-                if len(held):
-                    self.slots[at, held[0]] = 0
-                    break
+        prints, one, two = self._places(hashes)
+        left = self._take(prints, one)
+        self._take(prints[left], two[left])
 
     def contains(self, hashes: np.ndarray) -> np.ndarray:
         if self.open:
@@ -73,3 +85,9 @@ class CuckooFilter:
         out.slots = np.frombuffer(data, np.uint16).reshape(-1, 4).copy() if data else out.slots
         out.buckets = len(out.slots)
         return out
+
+
+def _rank(x: np.ndarray) -> np.ndarray:
+    """The number of each value among its equals; equal values stand side by side."""
+    lead = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, int)
+    return np.arange(len(x)) - np.repeat(lead, np.diff(np.append(lead, len(x))))

@@ -3,10 +3,17 @@
 A line's key is the line without ASCII white space at its ends and with A-Z lower-cased, hashed to 128 bits.
 LineIndex keeps, in a folder all executors share:
 
-* postings: signed rows (shard, k1, k2, id, rows) of each batch, +1 for an inserted row and -1 for a deleted one.  Their sums are
-  the exact reference counts; a batch that is written again replaces itself, and a deletion takes back what it deleted;
-* a cuckoo filter for each shard of keys that holds the keys now in `min_docs` documents or more.  Keys that cross the
-  limit either way are inserted in and deleted from it.
+* postings: signed rows (shard, k1, k2, id, rows) of each batch.  Their sums by key and id are the exact reference counts:
+  an id holds a line if its sum is above zero;
+* the exact table of the keys now in `min_docs` documents or more, with the largest id of each;
+* a cuckoo filter for each shard of keys that holds those keys.  Keys that cross the limit either way are inserted in and
+  deleted from it; a filter without a crossing is carried over;
+* a log of records, each the whole state after one batch.  A batch takes effect with its record, which is published under
+  the next number by one writer only; another that comes second begins anew on top of it.  A batch whose name is in the
+  log changes nothing.  Everything is read from the folder, so an index opened anew is the same index.
+
+A batch counts its own keys anew over all postings and leaves the other keys as they are; postings of others are
+read but not shuffled.
 
 To drop lines, documents are probed against the filters, and only lines that hit are looked up in the exact table.  If
 that table has at most `max_keys` keys, it is broadcast beside the filters, and no text is shuffled.  If it has more,
@@ -15,14 +22,15 @@ that a third of all documents hold stays small.  Filters are broadcast up to `ma
 every long line is joined.  All ways give the same result.
 
 Rule: keys of at least `min_chars` code points found in at least `min_docs` documents lose all their lines but those
-of the largest id that holds them.  Defined cases: null or empty text is one empty line and stays so; rows that repeat
-count as documents each; a null id is smaller than any other, and lines held by null ids alone stay; an empty table
+of the largest id that holds them.  Defined cases: null or empty text is one empty line and stays so; documents are ids, so
+rows that repeat an id count once; all null ids together are one document, smaller than any other; an empty table
 gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +38,10 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clausemill.llm.cuckoo import CuckooFilter
-from clausemill.llm.shared import partitions, settle, shared_dir, small_batches
+from clausemill.llm.shared import names, own_folder, partitions, publish, records, remove, small_batches
 from clausemill.llm.words import signed, slices
 
 _U = np.uint64
@@ -158,90 +167,128 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 2)), pa.array(counts), pa.array(counts - stay), kept], names=[*batch.schema.names[:-2], "n_lines", "n_dropped", "kept_text"])
 
 
+_KEY = ["shard", "k1", "k2"]
+_POSTINGS, _FREQUENT, _FILTERS = "shard int, k1 long, k2 long, id long, rows long", "shard int, k1 long, k2 long, n_docs long, keep long", "shard int, filter binary"
+
+
+def _net(postings: DataFrame) -> DataFrame:
+    return postings.groupBy(*_KEY, "id").agg(F.sum("rows").alias("rows")).filter("rows <> 0")
+
+
 class LineIndex:
     """Reference counts and filters of lines in the folder `path`; batches are named, and a name takes effect once."""
 
     def __init__(self, spark: SparkSession, path: str, min_chars: int = 20, min_docs: int = 3, shards: int = 64, max_filter_bytes: int = 64 << 20, max_keys: int = 2_000_000):
         self.spark, self.path, self.min_chars, self.min_docs, self.shards, self.max_filter_bytes, self.max_keys = spark, path, min_chars, min_docs, shards, max_filter_bytes, max_keys
         small_batches(spark)
-        self.filters: DataFrame | None = None
-        self._known: DataFrame | None = None
 
-    def insert(self, batch: str, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
+    def insert(self, batch: str, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> bool:
+        """Add the lines of these documents; False, and no change, if the batch is known."""
         min_chars, shards = self.min_chars, self.shards
-        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _postings(it, min_chars, shards), "shard int, k1 long, k2 long, id long")
-        self._commit(batch, rows.withColumn("rows", F.lit(1).cast("long")))
-
-    def delete(self, batch: str, ids: DataFrame, id_col: str = "doc_id") -> None:
-        """Take back all rows of the documents with these ids."""
-        gone = ids.select(F.col(id_col).cast("long").alias("gone")).distinct()
-        own = self._postings().filter(F.col("batch") != batch).join(gone, F.col("id").eqNullSafe(F.col("gone")), "left_semi")
-        net = own.groupBy("shard", "k1", "k2", "id").agg(F.sum("rows").alias("rows")).filter("rows > 0")
-        self._commit(batch, net.withColumn("rows", -F.col("rows")))
-
-    def _commit(self, batch: str, rows: DataFrame) -> None:
-        rows.hint("rebalance").write.mode("overwrite").parquet(f"{self.path}/postings/batch={batch}")
-        counts = self._counts()
-        now = settle(counts, "frequent")
-        before = self._known if self._known is not None else now.limit(0)
-        key = ["shard", "k1", "k2"]
-        steps = [now.join(before, key, "left_anti").select("shard", F.lit(2).alias("step"), "k1", F.lit(None).cast("binary").alias("filter"))]
-        if self._known is not None:
-            steps.append(before.join(now, key, "left_anti").select("shard", F.lit(1).alias("step"), "k1", F.lit(None).cast("binary").alias("filter")))
-            steps.append(self.filters.filter("length(filter) > 0").select("shard", F.lit(0).alias("step"), F.lit(0).cast("long").alias("k1"), "filter"))
-            reopened = self.filters.filter("length(filter) = 0").select("shard")
-            steps.append(now.join(before, key, "left_semi").join(F.broadcast(reopened), "shard", "left_semi").select("shard", F.lit(2).alias("step"), "k1", F.lit(None).cast("binary").alias("filter")))
-        joined = steps[0]
-        for more in steps[1:]:
-            joined = joined.unionByName(more)
-        self.filters = settle(joined.repartition(min(self.shards, partitions(self.spark)), "shard").sortWithinPartitions("shard", "step").mapInArrow(_update_filters, "shard int, filter binary"), "filters")
-        self._known = now
-
-    def _postings(self) -> DataFrame:
-        return self.spark.read.schema("shard int, k1 long, k2 long, id long, rows long, batch string").parquet(f"{self.path}/postings")
-
-    def _counts(self) -> DataFrame:
-        rows = self._postings()
-        if not rows.filter("rows < 0").isEmpty():  # asked of the folder: another object may have deleted
-            rows = rows.groupBy("shard", "k1", "k2", "id").agg(F.sum("rows").alias("rows")).filter("rows > 0")
-        return rows.groupBy("shard", "k1", "k2").agg(F.sum("rows").alias("n_docs"), F.max("id").alias("keep")).filter(F.col("n_docs") >= self.min_docs)
+        rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(lambda it: _postings(it, min_chars, shards), "shard int, k1 long, k2 long, id long")
+        return self._commit(batch, lambda before: rows.withColumn("rows", F.lit(1).cast("long")))
+
+    def delete(self, batch: str, ids: DataFrame, id_col: str = "doc_id") -> bool:
+        """Take back all rows of the documents with these ids; False, and no change, if the batch is known."""
+        gone = ids.select(F.col(f"`{id_col}`").cast("long").alias("gone")).distinct()
+        return self._commit(batch, lambda before: before.join(gone, F.col("id").eqNullSafe(F.col("gone")), "left_semi").withColumn("rows", -F.col("rows")))
+
+    def _log(self) -> list[dict]:
+        return list(records(self.spark, f"{self.path}/log").values())
+
+    def _read(self, folders: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def _write(self, df: DataFrame, kind: str) -> str:
+        path = f"{self.path}/{kind}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return path
+
+    def _commit(self, batch: str, changes: Callable[[DataFrame], DataFrame]) -> bool:
+        while True:
+            log = self._log()
+            if any(x["batch"] == batch for x in log):
+                return False
+            record = self._next(log, changes)
+            if publish(self.spark, f"{self.path}/log", f"{len(log):08d}", {"batch": batch, **record}):
+                return True
+
+    def _next(self, log: list[dict], changes: Callable[[DataFrame], DataFrame]) -> dict[str, str]:
+        """The tables as they are after a batch; those of before stay."""
+        postings = [x["postings"] for x in log]
+        own = self._write(_net(changes(self._read(postings, _POSTINGS))), "postings")
+        now, frequent = self._read([own], _POSTINGS), self._read([x["frequent"] for x in log[-1:]], _FREQUENT)
+        if log:
+            touched = self._read([self._write(now.select(*_KEY).distinct(), "touched")], "shard int, k1 long, k2 long")
+            now = _net(self._read([*postings, own], _POSTINGS).join(touched, _KEY, "left_semi"))
+            were, others = frequent.join(touched, _KEY, "left_semi"), frequent.join(touched, _KEY, "left_anti")
+        counts = now.filter("rows > 0").groupBy(*_KEY).agg(F.count("*").alias("n_docs"), F.max("id").alias("keep")).filter(F.col("n_docs") >= self.min_docs)
+        whole = self._write(others.unionByName(counts) if log else counts, "frequent")
+        known = self._read([whole], _FREQUENT)
+        step = lambda df, k: df.select("shard", F.lit(k).alias("step"), "k1", F.lit(None).cast("binary").alias("filter"))
+        if not log:
+            return {"postings": own, "frequent": whole, "filters": self._write(self._filters(step(known, 2)), "filters")}
+        mine = known.join(touched, _KEY, "left_semi")
+        crossed = self._read([self._write(step(mine.join(were, _KEY, "left_anti"), 2).unionByName(step(were.join(mine, _KEY, "left_anti"), 1)), "crossed")], "shard int, step int, k1 long, filter binary")
+        filters = self._read([log[-1]["filters"]], _FILTERS)
+        open_ = filters.filter("length(filter) = 0").select("shard")
+        shards = F.broadcast(crossed.select("shard").union(open_).distinct())  # at most as many as there are shards
+        held = filters.filter("length(filter) > 0").join(shards, "shard", "left_semi").select("shard", F.lit(0).alias("step"), F.lit(0).cast("long").alias("k1"), "filter")
+        steps = held.unionByName(crossed.join(F.broadcast(open_), "shard", "left_anti")).unionByName(step(known.join(F.broadcast(open_), "shard", "left_semi"), 2))
+        return {"postings": own, "frequent": whole, "filters": self._write(filters.join(shards, "shard", "left_anti").unionByName(self._filters(steps)), "filters")}
+
+    def _filters(self, steps: DataFrame) -> DataFrame:
+        return steps.repartition(min(self.shards, partitions(self.spark)), "shard").sortWithinPartitions("shard", "step").mapInArrow(_update_filters, _FILTERS)
+
+    def vacuum(self) -> None:
+        """Delete the tables of earlier states and of batches that came second; no other writer or reader may be at work."""
+        log = self._log()
+        keep = {x["postings"] for x in log} | {x[k] for x in log[-1:] for k in ("frequent", "filters")}
+        for kind in ("postings", "frequent", "filters", "touched", "crossed"):
+            for name in names(self.spark, f"{self.path}/{kind}"):
+                if f"{self.path}/{kind}/{name}" not in keep:
+                    remove(self.spark, f"{self.path}/{kind}/{name}")
+
+    @property
+    def filters(self) -> DataFrame:
+        """shard, filter: the cuckoo filters as bytes."""
+        return self._read([self._last()["filters"]], _FILTERS)
+
+    def _last(self) -> dict:
+        log = self._log()
+        if not log:
+            raise ValueError("no batch yet")
+        return log[-1]
 
     def frequent(self) -> DataFrame:
         """shard, k1, k2, n_docs, keep: the lines now in min_docs documents or more, and the id that keeps them."""
-        if self._known is None:
-            raise ValueError("no batch yet")
-        return self._known
+        return self._read([self._last()["frequent"]], _FREQUENT)
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
         """The documents' columns `keep`, then n_lines, n_dropped, kept_text."""
-        from pyspark.sql import types as T
-
-        size = self.filters.agg(F.sum(F.length("filter")), F.count(F.when(F.length("filter") == 0, 1))).first()
-        small = (size[0] or 0) <= self.max_filter_bytes
-        filters = self.spark.sparkContext.broadcast({x["shard"]: bytes(x["filter"]) for x in self.filters.collect()}) if small else None
+        frequent, table = self.frequent(), self.filters
+        small = (table.agg(F.sum(F.length("filter"))).first()[0] or 0) <= self.max_filter_bytes
+        filters = self.spark.sparkContext.broadcast({x["shard"]: bytes(x["filter"]) for x in table.collect()}) if small else None
         min_chars, shards = self.min_chars, self.shards
         own = T.StructType([T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(keep)])
         added = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())]
         carried = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)]
-        if small and self.frequent().count() <= self.max_keys:
-            keys = self.frequent().filter("keep IS NOT NULL").select("k1", "k2", "keep").toArrow().sort_by([("k1", "ascending"), ("k2", "ascending")])
+        if small and frequent.count() <= self.max_keys:
+            keys = frequent.filter("keep IS NOT NULL").select("k1", "k2", "keep").toArrow().sort_by([("k1", "ascending"), ("k2", "ascending")])
             exact = self.spark.sparkContext.broadcast([keys.column(c).to_numpy() for c in ("k1", "k2", "keep")])
             rows = docs.select(*carried, F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
             return rows.mapInArrow(lambda it: _drop(it, min_chars, shards, filters, exact), T.StructType(own.fields + added)).toDF(*keep, "n_lines", "n_dropped", "kept_text")
         plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("mark", F.hash("text"))
         hits = plain.mapInArrow(lambda it: _probe(it, min_chars, shards, filters), "k1 long, k2 long, places array<struct<id:long,mark:int,line:int>>")
-        drops = hits.join(self.frequent().select("k1", "k2", "keep"), ["k1", "k2"]).select("keep", F.explode("places").alias("p")).filter("keep IS NOT NULL AND NOT (p.id <=> keep)").groupBy(F.col("p.id").alias("drop_id"), F.col("p.mark").alias("drop_mark")).agg(F.collect_list("p.line").alias("drops"))
+        drops = hits.join(frequent.select("k1", "k2", "keep"), ["k1", "k2"]).select("keep", F.explode("places").alias("p")).filter("keep IS NOT NULL AND NOT (p.id <=> keep)").groupBy(F.col("p.id").alias("drop_id"), F.col("p.mark").alias("drop_mark")).agg(F.collect_list("p.line").alias("drops"))
         left = docs.select(*carried, F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("mark", F.hash("text"))
         both = left.join(drops.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("mark") == F.col("drop_mark")), "left").select(*(f"c{k}" for k in range(len(keep))), "text", "drops")
         return both.mapInArrow(_rebuild, T.StructType(own.fields + added)).toDF(*keep, "n_lines", "n_dropped", "kept_text")
 
 
 def index_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> LineIndex:
-    """An index of these documents in a new folder of the session's shared one."""
-    import uuid
-
-    spark = docs.sparkSession
-    index = LineIndex(spark, f"{shared_dir(spark)}/clausemill/lines-{uuid.uuid4().hex}", **settings)
+    """An index of these documents in a folder of this session, deleted as it ends."""
+    index = LineIndex(docs.sparkSession, own_folder(docs.sparkSession, "lines"), **settings)
     index.insert("first", docs, id_col, text_col)
     return index
 

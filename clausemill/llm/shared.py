@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,14 +15,23 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a local one of our own."""
+    """The folder named by spark.checkpoint.dir; where it is unset and Spark runs in one process (tests), a local one of our own."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="clausemill-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there is deleted when the driver ends, or by release()."""
+    path = f"{shared_dir(spark)}/clausemill/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def settle(df: DataFrame, name: str = "part", even: bool = True) -> DataFrame:
     """Write df as a table in the shared folder and read it back, so that its lineage ends there.
 
@@ -29,9 +39,8 @@ def settle(df: DataFrame, name: str = "part", even: bool = True) -> DataFrame:
     anew to files of Spark's advisory size; even=False leaves that out for tables as large as the input.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/clausemill/{name}-{uuid.uuid4().hex}"
+    path = own_folder(spark, name)
     (df.hint("rebalance") if even else df).write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -39,11 +48,63 @@ def release(spark: SparkSession, keep: int = 0) -> None:
     """Delete the tables that settle() wrote in this session, but for the first `keep`."""
     mine = [x for x in _written if x[0] is spark][keep:]
     for item in mine:
-        path = spark._jvm.org.apache.hadoop.fs.Path(item[1])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, item[1])
         _written.remove(item)
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = _at(spark, path)
+    fs.delete(where, True)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """What a folder holds, sorted, without files that begin with an underscore; nothing if it isn't there."""
+    fs, where = _at(spark, folder)
+    found = [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(x for x in found if not x.startswith(("_", ".")))
+
+
+def publish(spark: SparkSession, folder: str, name: str, record: dict) -> bool:
+    """Write a record under a name that none has yet; False if another was first.
+
+    The file is written aside and renamed without overwriting, which of several writers lets one win where the store
+    renames files atomically (HDFS does; stores of objects need a committer that does).  Readers see whole records only.
+    """
+    fs, aside = _at(spark, f"{folder}/_{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
+    out.write(json.dumps(record).encode())
+    out.close()
+    jvm, place = spark._jvm, _at(spark, f"{folder}/{name}")[1]
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(aside, place, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Exception:
+        if not fs.exists(place):
+            raise
+        return False
+    finally:
+        fs.delete(aside, False)
+    return True
+
+
+def records(spark: SparkSession, folder: str) -> dict[str, dict]:
+    """Records published in a folder, in order of their names."""
+    out = {}
+    for name in names(spark, folder):
+        fs, where = _at(spark, f"{folder}/{name}")
+        stream = fs.open(where)
+        try:
+            out[name] = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+    return out
+
+
 @atexit.register
 def _release_all() -> None:
     for spark in {id(s): s for s, _ in _written}.values():

@@ -36,16 +36,17 @@ def line_key(line: str) -> str:
 
 
 def line_dedup(docs: list[tuple], min_chars: int = 20, min_docs: int = 3) -> list[tuple]:
-    holders: dict[str, list] = {}
+    """Documents are ids; rows of one id count once, and null ids are one document below all others."""
+    holders: dict[str, set] = {}
     for k, t in docs:
         for key in {line_key(x) for x in (t or "").split("\n")}:
             if len(key) >= min_chars:
-                holders.setdefault(key, []).append(k)
-    keep = {key: max((k for k in ids if k is not None), default=None) for key, ids in holders.items() if len(ids) >= min_docs}
+                holders.setdefault(key, set()).add(k)
+    keep = {key: max(k for k in ids if k is not None) for key, ids in holders.items() if len(ids) >= min_docs}
     out = []
     for k, t in docs:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if keep.get(line_key(x)) is None or keep[line_key(x)] == k]
+        kept = [x for x in lines if line_key(x) not in keep or keep[line_key(x)] == k]
         out.append((k, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return out
 

@@ -77,7 +77,7 @@ def test_lines_odd_and_columns(make):
     out = drop_lines(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
     texts = sorted(r.text for r in out.filter("doc_id IS NULL").collect())
-    assert texts == ["", "", "a line that only null ids hold", "a line that only null ids hold", "a line that only null ids hold", "null id text " * 30]
+    assert texts == ["a line that only null ids hold"] * 3 + ["b line of nulls and one id"] * 2 + ["null id text " * 30]  # one document of nulls, or two in all
     assert out.filter("doc_id = 8 AND text <> ''").count() == 1
     assert {(r.n_chars, len(r.text)) for r in out.collect()} == {(len(r.text),) * 2 for r in out.collect()}
     assert drop_lines(docs.limit(0)).count() == 0
@@ -91,37 +91,79 @@ def test_lines_beyond_the_filter_bound(make):
         assert sorted(map(tuple, got)) == sorted(brute.line_dedup(rows))
 
 
+def test_lines_of_repeated_ids_count_once(spark, make):
+    """Rows 1, 1 and 2 are two documents; null ids are one.  The rule is that of the query's SQL."""
+    import duckdb
+
+    from clausemill.llm import queries as q
+
+    line = "one line that all of these rows hold"
+    for ids in ([1, 1, 2], [1, 1, 2, 3], [None, None, 2], [None, None, 2, 3], [None] * 5):
+        rows = [(k, line) for k in ids] + [(9, "another")]
+        docs = make(rows)
+        got = sorted(((r.doc_id is None, r.doc_id, *r[1:]) for r in index_lines(docs).apply(docs, keep=("doc_id",)).collect()), key=str)
+        assert got == sorted(((k is None, k, *r) for k, *r in brute.line_dedup(rows)), key=str)
+        if None not in ids:
+            con = duckdb.connect()
+            con.register("documents", docs.toPandas())
+            dropped = dict(con.sql(f"SELECT doc_id, sum(n_dropped) FROM ({q._OP7}) GROUP BY 1").fetchall())
+            want: dict = {}
+            for k, _, n, _ in brute.line_dedup(rows):
+                want[k] = want.get(k, 0) + n
+            assert dropped == want
+
+
 def test_line_index_is_reversible(spark, make, tmp_path):
     shared = "one line that many documents hold"
     first, more = [(k, f"{shared}\nown {k}") for k in range(4)], [(k, f"{shared}\nown {k}") for k in range(10, 13)]
     index = LineIndex(spark, str(tmp_path))
-    index.insert("a", make(first))
+    assert index.insert("a", make(first))
     before = [tuple(r) for r in index.frequent().collect()]
-    index.insert("b", make(more))
-    index.insert("b", make(more))  # again: the batch replaces itself
+    assert index.insert("b", make(more)) and not index.insert("b", make(more))  # again: without effect
+    assert index.insert("b2", make(more))  # the same documents in another batch: they count once
     assert [(r.n_docs, r.keep) for r in index.frequent().collect()] == [(7, 12)]
-    index.delete("c", make(more))
+    assert index.delete("c", make(more)) and not index.delete("c", make(more))
     assert [tuple(r) for r in index.frequent().collect()] == before
     index.delete("d", make(first[:2]))
     assert index.frequent().count() == 0
     left = make(first[2:])
+    index.vacuum()
     assert sorted(map(tuple, index.apply(left, keep=("doc_id",)).collect())) == sorted(brute.line_dedup(first[2:]))
     filters = [CuckooFilter.from_bytes(bytes(r["filter"])) for r in index.filters.collect()]
-    assert all(not f.slots.any() for f in filters)
+    assert filters and all(not f.slots.any() for f in filters)
 
 
-def test_line_index_opened_anew_after_a_deletion(spark, make, tmp_path):
-    """The largest holder was deleted by another object: it keeps no line, and the passage stays in one document."""
+def test_line_index_opened_anew(spark, make, tmp_path):
+    """Each step by another object: the folder is the state.  The largest holder goes, and the passage stays in one document."""
     shared = "one line that many documents hold"
-    first, more = [(k, f"{shared}\nown {k}") for k in range(5)], [(5, f"{shared}\nown 5")]
-    index = LineIndex(spark, str(tmp_path))
-    index.insert("a", make([*first, (99, f"{shared}\nown 99")]))
-    index.delete("b", make([(99, "")]))
+    first, more = [(k, f"{shared}\nown {k}\nanother line of batch a here") for k in range(5)], [(5, f"{shared}\nown 5")]
+    LineIndex(spark, str(tmp_path)).insert("a", make([*first, (99, f"{shared}\nown 99")]))
+    LineIndex(spark, str(tmp_path)).delete("b", make([(99, "")]))
+    LineIndex(spark, str(tmp_path)).insert("c", make(more))
     again = LineIndex(spark, str(tmp_path))
-    again.insert("c", make(more))
-    assert [(r.n_docs, r.keep) for r in again.frequent().collect()] == [(6, 5)]
+    assert sorted((r.n_docs, r.keep) for r in again.frequent().collect()) == [(5, 4), (6, 5)]
     docs = make(first + more)
     assert sorted(map(tuple, again.apply(docs, keep=("doc_id",)).collect())) == sorted(brute.line_dedup(first + more))
+    held = [CuckooFilter.from_bytes(bytes(r["filter"])) for r in again.filters.collect()]
+    assert sum(int((f.slots > 0).sum()) for f in held) == 2
+
+
+def test_line_index_of_two_writers(spark, make, tmp_path, monkeypatch):
+    """Another writer's batch comes between reading the log and publishing: both batches count."""
+    from clausemill.llm import line_dedup
+
+    shared = "one line that many documents hold"
+    rows = [(k, f"{shared}\nown {k}") for k in range(6)]
+    publish, other = line_dedup.publish, LineIndex(spark, str(tmp_path))
+
+    def late(*args):
+        monkeypatch.setattr(line_dedup, "publish", publish)
+        other.insert("b", make(rows[3:]))
+        return publish(*args)
+
+    monkeypatch.setattr(line_dedup, "publish", late)
+    assert LineIndex(spark, str(tmp_path)).insert("a", make(rows[:3]))
+    assert [(r.n_docs, r.keep) for r in other.frequent().collect()] == [(6, 5)]
 
 
 def test_cuckoo_filter():
@@ -133,6 +175,12 @@ def test_cuckoo_filter():
     f = CuckooFilter.from_bytes(f.to_bytes())
     f.delete(keys[:2500])
     assert f.contains(keys[2500:]).all() and f.contains(keys[:2500]).mean() < 0.01
+    tight = CuckooFilter(5000)
+    more = rng.integers(0, 2**63, int(tight.slots.size * 0.93), dtype=np.uint64)
+    tight.insert(more)
+    assert not tight.open and tight.contains(more).all() and (tight.slots > 0).sum() == len(more)
+    tight.delete(more)
+    assert not tight.slots.any()
     full = CuckooFilter(1)
     full.insert(keys)
     assert full.open and full.contains(keys).all() and CuckooFilter.from_bytes(full.to_bytes()).open
