@@ -15,8 +15,9 @@ A template is blocked if its purity, (blocked + weight x rate of its host) / (la
 host's rate is smoothed likewise by the rate of all pages.  Labels are the verdicts of rules and, for pages without
 one, the caller's labels.
 
-All steps are aggregations (partial before each shuffle) and equi-joins.  A host with a third of all pages is split by
-Spark's skew join; only tables of branches are joined back, and pages never gather by host.
+All steps are aggregations (partial before each shuffle) and equi-joins.  Tables of branches are written before they are
+joined back: up to `BRANCH_BYTES` they are broadcast, and beyond that both sides of the join are plain shuffles, so that
+Spark's skew join splits the segments of a host with a third of all pages.  Pages never gather by host.
 
 Defined cases: a null URL, or one without `://`, has host '' and path '' and fits no rule; null ids are kept;
 repeated pages each get a row; null labels do not count; pages with several labels are blocked if one says so; without
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from clausemill.llm.shared import settle
 
+BRANCH_BYTES = 32 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,24 +55,31 @@ def _rule(host: Column, path: Column, rules: list[tuple[str, str]], value: int)
     return F.lit(None).cast("string") if out is None else out
 
 
+def _side(df: DataFrame, name: str) -> DataFrame:
+    """df as a table, broadcast if its keys take at most BRANCH_BYTES."""
+    table = settle(df, name)
+    size = table.agg(F.sum(sum((F.octet_length(c) + 24 for c in ("host", "branch") if c in df.columns), F.lit(24)))).first()[0] or 0
+    return F.broadcast(table) if size <= BRANCH_BYTES else table
+
+
 def _grow(nodes: DataFrame, level: int, depth: int | None, max_children: int, z: float) -> DataFrame:
     """One level of the tree: each node's branch with its segment there added."""
+    at = ["host", "branch"]
     segment = F.get("segments", F.lit(level - 1))
     if level == depth:
         segment = F.when(F.size("segments") > depth, F.lit("**")).otherwise(segment)
     nodes = nodes.withColumn("segment", segment)
-    child = nodes.filter("segment IS NOT NULL").groupBy("host", "branch", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
-    branch = child.groupBy("host", "branch").agg(F.count("*").alias("kids"), F.sum("n").alias("total"))
-    rare = (F.col("kids") > max_children) & (F.col("n") * max_children < F.col("total")) & (F.col("segment") != "")
+    child = settle(nodes.filter("segment IS NOT NULL").groupBy(*at, "segment").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked"))), "children")
+    wide = _side(child.groupBy(*at).agg(F.count("*").alias("kids"), F.sum("n").alias("total")).filter(F.col("kids") > max_children).drop("kids"), "wide")
+    rare = (F.col("n") * max_children < F.col("total")) & (F.col("segment") != "")  # not where total is null
     shape = F.when(rare, F.concat(F.lit("*"), F.regexp_extract("segment", r"(\.[A-Za-z]{1,5})$", 1))).otherwise(F.col("segment"))
-    shaped = child.join(branch, ["host", "branch"]).select("host", "branch", "segment", shape.alias("shape"), "labelled", "blocked")
-    shaped = settle(shaped, "shaped")
-    kind = shaped.groupBy("host", "branch", "shape").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("b"))
-    pool = kind.groupBy("host", "branch").agg(F.count("*").alias("kinds"), ((F.sum("b") + 1.0) / (F.sum("m") + 2.0)).alias("p"))
-    alike = (F.col("kinds") > 1) & (F.pow(F.col("b") - F.col("m") * F.col("p"), 2) <= z * z * F.col("m") * F.col("p") * (1 - F.col("p")))
-    named = kind.join(pool, ["host", "branch"]).select("host", "branch", "shape", F.concat_ws("/", "branch", F.when(alike, "~").otherwise(F.col("shape"))).alias("next"))
-    moves = shaped.select("host", "branch", "segment", "shape").join(named, ["host", "branch", "shape"]).select("host", "branch", "segment", "next")
-    return nodes.join(moves, ["host", "branch", "segment"], "left").select("host", "path", "segments", F.coalesce("next", "branch").alias("branch"), "n", "labelled", "blocked")
+    shaped = child.join(wide, at, "left").select(*at, "segment", shape.alias("shape"), "labelled", "blocked")
+    kind = settle(shaped.groupBy(*at, "shape").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("b")), "kinds")
+    pool = _side(kind.groupBy(*at).agg(F.count("*").alias("kinds"), ((F.sum("b") + 1.0) / (F.sum("m") + 2.0)).alias("p")).filter("kinds > 1").drop("kinds"), "pool")
+    alike = F.pow(F.col("b") - F.col("m") * F.col("p"), 2) <= z * z * F.col("m") * F.col("p") * (1 - F.col("p"))
+    merged = _side(kind.join(pool, at).filter(alike).select(*at, "shape", F.lit("~").alias("one")), "merged")
+    moves = shaped.join(merged, [*at, "shape"], "left").select(*at, "segment", F.concat_ws("/", "branch", F.coalesce("one", "shape")).alias("next"))
+    return nodes.join(moves, [*at, "segment"], "left").select("host", "path", "segments", F.coalesce("next", "branch").alias("branch"), "n", "labelled", "blocked")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", depth: int | None = None, max_children: int = 16, z: float = 2.0, weight: float = 4.0, limit: float = 0.5) -> DataFrame:
@@ -93,8 +102,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame
     deepest = nodes.agg(F.max(F.size("segments"))).first()[0] or 0
     for level in range(1, min(deepest, depth or deepest) + 1):
         nodes = settle(_grow(nodes, level, depth, max_children, z), "nodes")
-    template = nodes.groupBy("host", "branch").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("b"))
-    by_host = template.groupBy("host").agg(F.sum("m").alias("hm"), F.sum("b").alias("hb"))
+    template = settle(nodes.groupBy("host", "branch").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("b")), "templates")
+    by_host = _side(template.groupBy("host").agg(F.sum("m").alias("hm"), F.sum("b").alias("hb")), "hosts")
     overall = template.agg(F.coalesce((F.sum("b") + 0.5) / (F.sum("m") + 2.0), F.lit(0.25)).alias("rate")).scalar()
     rate = (F.col("hb") + weight * overall) / (F.col("hm") + weight)
     judged = template.join(by_host, "host").select("host", "branch", ((F.col("b") + weight * rate) / (F.col("m") + weight)).alias("purity"))

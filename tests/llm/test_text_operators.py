@@ -293,3 +293,13 @@ def test_urls_that_differ_at_the_fifth_segment(spark):
     labels = spark.createDataFrame([(k, k % 2 == 0) for k, _ in rows], "key long, bad boolean")
     got = judge_urls(spark.createDataFrame(rows, "page_id long, url string"), [], labels).collect()
     assert {r.page_id: r.verdict for r in got} == {k: "allow" if k % 2 else "block" for k, _ in rows}
+
+
+def test_urls_alike_without_broadcast(spark, sf, monkeypatch):
+    """Tables of branches beyond the bound are joined by shuffle: the same rows."""
+    from clausemill.llm import queries as q
+    from clausemill.llm import url_filters
+
+    want = sorted(map(tuple, q.op8_url_filters(spark, sf).collect()))
+    monkeypatch.setattr(url_filters, "BRANCH_BYTES", -1)
+    assert sorted(map(tuple, q.op8_url_filters(spark, sf).collect())) == want
