@@ -4,16 +4,17 @@ The vocabulary is a fixed public one.  A language gives each piece a probability
 over all ways to spell it with pieces, by a forward pass over the word's lattice; a text is its words, independent.
 Equal words are scored once per slice, for all languages in one pass.
 
-Training.  Labelled rows are sampled to at most `train_rows` documents of each language (chosen by a hash of their key,
-bounded whatever the corpus; the model is `languages` x `pieces` numbers).  Segmentations of their words are drawn
-under the vocabulary's own piece weights, pieces are counted by language, and counts are smoothed towards the mean of
-all languages with weight `smoothing`.
+Training.  Labelled rows are sampled to at most `train_rows` different texts of each language (chosen by a hash of the
+text, bounded whatever the corpus; the model is `languages` x `pieces` numbers).  Each piece counts as often as it is used
+over all segmentations of a word under the vocabulary's own piece weights, in whole 2^-20ths, so that sums are exact and the
+model is a function of the set of labelled texts: batches, partitions, retries and repeated rows do not change it.  Counts
+are smoothed towards the mean of all languages with weight `smoothing`.
 
 Words: the text cut at ASCII white space, lower-cased, without marks and digits around it; words without letters play
 no part.  Score: the posterior of the best language, priors as in the sample.  Ties go to the name that sorts first.
 
 Defined cases: null text, or text without a letter, or no training rows at all: `und` and score 0; null labels are
-not learned from; repeated rows each get a row; the label of a row is no input of its prediction; other columns play
+not learned from; repeated rows are learned from once and each get a row; null or repeated ids play no part; the label of a row is no input of its prediction; other columns play
 no part.
 """
 
@@ -30,11 +31,11 @@ from pyspark.sql import functions as F
 from clausemill.llm.lattice import Lattice, Vocabulary
 from clausemill.llm.sentencepiece_codec import MODEL
 from clausemill.llm.shared import settle, small_batches
-from clausemill.llm.words import Words, mix, slices
+from clausemill.llm.words import Words, slices
 
 UNKNOWN = "und"
 _EDGES = "0123456789.,;:!?()[]{}<>\"'`*#$%&|/\\+=~^_@-"
-_U = np.uint64
+_WHOLE = 1 << 20
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -56,13 +57,18 @@ def _count_pieces(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Reco
         coded = batch.column("lang").dictionary_encode()
         lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[owner]
         lattice = Lattice(vocabulary, different)
-        size = lattice.sizes[which]
-        run = np.cumsum(size) - size
-        at, edge = lattice.sample(log_p, which, mix(np.asarray(which, np.int64).view(_U)), run)
-        number = lattice.piece[edge]
-        both = np.repeat(lang, size)[at] << 32 | (number.astype(np.int64) + 1)
-        seen, times = np.unique(both, return_counts=True)
-        yield pa.RecordBatch.from_pydict({"lang": coded.dictionary.take(pa.array(seen >> 32)), "piece": ((seen & 0xFFFFFFFF) - 1).astype(np.int32), "n": times.astype(np.int64)})
+        used = np.rint(lattice.expected(log_p) * _WHOLE).astype(np.int64)
+        string = np.searchsorted(lattice.base, lattice.start, side="right") - 1
+        both, times = np.unique(lang * len(different) + which, return_counts=True)
+        turn = np.argsort(string, kind="stable")
+        many = np.bincount(string, minlength=len(different))
+        begin, word = np.cumsum(many) - many, both % len(different)
+        size = many[word]
+        edge = turn[np.repeat(begin[word] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        keys, place = np.unique(np.repeat(both // len(different), size) << 32 | (lattice.piece[edge].astype(np.int64) + 1), return_inverse=True)
+        n = np.zeros(len(keys), np.int64)
+        np.add.at(n, place, used[edge] * np.repeat(times, size))
+        yield pa.RecordBatch.from_pydict({"lang": coded.dictionary.take(pa.array(keys >> 32)), "piece": ((keys & 0xFFFFFFFF) - 1).astype(np.int32), "n": n})
 
 
 class LanguageModel:
@@ -86,30 +92,30 @@ class LanguageModel:
 
 
 def sample_rows(labelled: DataFrame, train_rows: int) -> DataFrame:
-    """key, lang, text: at most train_rows documents of each language, the least by a hash of key."""
-    draw = labelled.withColumn("draw", F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / (1 << 30))
-    rate = labelled.groupBy("lang").agg(F.count("*").alias("of")).select(F.col("lang").alias("of_lang"), (F.lit(train_rows * 1.2 + 100) / F.col("of")).alias("rate"))
+    """lang, text, h1: at most train_rows different texts of each language, the least by a hash of the text."""
+    draw = labelled.select("lang", "text", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2")).withColumn("draw", F.pmod("h1", F.lit(1 << 30)))
+    rate = labelled.groupBy("lang").agg(F.count("*").alias("of")).select(F.col("lang").alias("of_lang"), (F.lit(train_rows * 1.2 + 100) / F.col("of") * (1 << 30)).alias("rate"))
     rate = settle(rate, "rates")
     if rate.count() <= 10_000:  # languages; no text is shuffled but the sample's
         rate = F.broadcast(rate)
-    few = draw.join(rate, F.col("lang") == F.col("of_lang")).filter("draw < rate")
-    order = Window.partitionBy("lang").orderBy("draw", "key")
-    return few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= train_rows).select("key", "lang", "text")
+    few = draw.join(rate, F.col("lang") == F.col("of_lang")).filter("draw < rate").groupBy("lang", "draw", "h1", "h2").agg(F.first("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("draw", "h1", "h2")
+    return few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= train_rows).select("lang", "text", "h1")
 
 
 def train(labelled: DataFrame, train_rows: int = 1500, smoothing: float = 200.0, model: str = MODEL) -> LanguageModel:
-    """labelled: key, lang, text."""
+    """labelled: lang, text; other columns play no part."""
     spark = labelled.sparkSession
     vocabulary = Vocabulary.from_model(model)
     shared = spark.sparkContext.broadcast((vocabulary, vocabulary.zipf()))
-    sample = sample_rows(labelled.filter("lang IS NOT NULL AND text IS NOT NULL"), train_rows).repartition(spark.sparkContext.defaultParallelism)
+    sample = sample_rows(labelled.filter("lang IS NOT NULL AND text IS NOT NULL"), train_rows).repartition(spark.sparkContext.defaultParallelism, "h1")
     counted = sample.select("lang", "text").mapInArrow(lambda it: _count_pieces(it, shared), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     rows = counted.collect()  # at most languages x pieces
     names = sorted({x["lang"] for x in rows})
     counts = np.zeros((len(vocabulary.pieces) + 1, len(names)))
     place = {name: k for k, name in enumerate(names)}
     for x in rows:
-        counts[x["piece"], place[x["lang"]]] = x["n"]
+        counts[x["piece"], place[x["lang"]]] = x["n"] / _WHOLE
     if not names:
         return LanguageModel([], np.zeros((len(counts), 0)), np.zeros(0), vocabulary)
     mean = (counts / counts.sum(axis=0)).mean(axis=1)

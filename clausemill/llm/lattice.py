@@ -152,12 +152,33 @@ class Lattice:
             alpha[self.end[edge[begin]]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, size, axis=0)), begin, axis=0))
         return alpha
 
-    def backward_tables(self, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each edge, the summed posterior of the edges into its end up to itself; for each node, its first edge."""
+    def _shares(self, log_p: np.ndarray) -> np.ndarray:
+        """For each edge, its posterior among the edges into its end."""
         alpha = self.forward(log_p)
-        share = np.exp(alpha[self.start] + log_p[self.piece] - alpha[self.end])
-        run = np.cumsum(share)
-        upto = run - np.repeat(run[self.head] - share[self.head], self._size)
+        return np.exp(alpha[self.start] + log_p[self.piece] - alpha[self.end])
+
+    def expected(self, log_p: np.ndarray) -> np.ndarray:
+        """For each edge, how often a segmentation of its string uses it, over all segmentations."""
+        share, mass = self._shares(log_p), np.zeros(self.nodes)
+        mass[self.last] = 1.0
+        out = np.zeros(len(share))
+        for a, b in zip(self._cuts[-2::-1], self._cuts[:0:-1], strict=True):  # from the last node of each string
+            group = self._levels[a:b]
+            size = self._size[group]
+            edge = np.repeat(self.head[group] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            out[edge] = share[edge] * mass[self.end[edge]]
+            mass[self.start[edge]] += out[edge]  # each start once: its string has one node on this level
+        return out
+
+    def backward_tables(self, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each edge, the summed posterior of the edges into its end up to itself; for each node, its first edge.
+
+        Sums stay within a node, so that they don't depend on the other strings.
+        """
+        upto = self._shares(log_p)
+        for rank in range(1, int(self._size.max(initial=0))):
+            at = self.head[self._size > rank] + rank
+            upto[at] += upto[at - 1]
         upto[self.head + self._size - 1] = 2.0
         first = np.zeros(self.nodes, np.int64)
         first[self.end[self.head]] = self.head

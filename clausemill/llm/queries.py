@@ -62,7 +62,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = train(docs.filter(~held_out).select(F.col("doc_id").alias("key"), "lang", "text"))
+    model = train(docs.filter(~held_out).select("lang", "text"))
     return predict(docs, model, keep=[held_out.alias("held_out")])
 
 

@@ -16,7 +16,7 @@ from clausemill.llm.decontaminate import drop_contaminated, find_items
 from clausemill.llm.language_id import UNKNOWN, predict, train
 from clausemill.llm.lattice import Lattice, Vocabulary
 from clausemill.llm.quality_rules import bucket, bucket_top, keep_good, quality_report
-from clausemill.llm.sentencepiece_codec import MODEL, decode, encode, encode_batch
+from clausemill.llm.sentencepiece_codec import MODEL, _seeds, decode, encode, encode_batch
 from clausemill.llm.sharding import fill, place
 from clausemill.llm.token_counts import TokenRollup, count_tokens
 from clausemill.llm.url_filters import host_of, judge_urls, path_of
@@ -109,6 +109,51 @@ def test_samples_follow_the_posterior(vocabulary):
         assert times / n == pytest.approx(math.exp(sum(log_p[k] for k in path) - total), abs=0.015)
 
 
+def test_expected_counts_are_the_posterior(vocabulary):
+    """Edge by edge, against all paths."""
+    log_p = vocabulary.zipf()
+    texts = [" hello", " abcab", " ☃a", " Übung"]
+    lattice = Lattice(vocabulary, texts)
+    expected = lattice.expected(log_p)
+    for s, text in enumerate(texts):
+        mine = np.flatnonzero((lattice.start >= lattice.base[s]) & (lattice.end <= lattice.last[s]))
+        paths, done = [([], 0)], []
+        while paths:
+            path, at = paths.pop()
+            if at == len(text):
+                done.append((path, math.exp(sum(log_p[lattice.piece[e]] for e in path))))
+            paths += [([*path, e], int(lattice.end[e] - lattice.base[s])) for e in mine if lattice.start[e] - lattice.base[s] == at]
+        total = sum(p for _, p in done)
+        for e in mine:
+            assert expected[e] == pytest.approx(sum(p for path, p in done if e in path) / total)
+
+
+def test_thresholds_do_not_depend_on_other_strings(vocabulary):
+    log_p = vocabulary.zipf()
+    rnd = random.Random(12)
+    strings = [" " + "".join(rnd.choice("abcdefghistnreäß") for _ in range(rnd.randint(1, 14))) for _ in range(400)]
+    upto, _ = Lattice(vocabulary, strings).backward_tables(log_p)
+    alone = [Lattice(vocabulary, [x]).backward_tables(log_p)[0] for x in strings]
+    assert np.array_equal(upto, np.concatenate(alone))
+
+
+def test_pieces_do_not_depend_on_batches(spark, sf):
+    from clausemill.llm import queries as q
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    vocabulary = Vocabulary.from_model(MODEL)
+    log_p = vocabulary.zipf()
+    alone = {k: encode_batch(vocabulary, log_p, pa.array([t]), _seeds(pa.array([k]), 0)).to_pylist()[0] for k, t in rows}
+    got = {r.doc_id: r for r in encode(docs).collect()}
+    assert {k: r.token_ids for k, r in got.items()} == alone
+    spelled = [b"" if x is None else x.replace("▁", " ").encode() for x in vocabulary.pieces]
+    for value, number in enumerate(vocabulary.byte_ids.tolist()):
+        spelled[number] = bytes([value])
+    assert {k: b"".join(spelled[i] for i in ids).decode() for k, ids in alone.items()} == dict(rows)
+    assert {(r.doc_id, r.n_pieces, r.lossless) for r in q.op3_sentencepiece(spark, sf).collect()} == {(k, len(ids), True) for k, ids in alone.items()}
+
+
 def test_pieces_round_trip_and_repeat(make):
     docs = make(ODD)
     out = encode(docs)
@@ -141,6 +186,31 @@ def test_language_held_out(spark, make):
     assert nothing.lang_pred == UNKNOWN
 
 
+def test_language_model_is_a_function_of_its_texts(spark, sf):
+    """Batches, partitions, repeated rows and ids change nothing; and the model says what a plain one says."""
+    from clausemill.llm import queries as q
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    model = train(docs, train_rows=30)
+    try:
+        spark.conf.set(key, "7")
+        other = train(docs.union(docs).withColumn("doc_id", F.lit(None)).repartition(5), train_rows=30)
+    finally:
+        spark.conf.set(key, before)
+    assert model.names == other.names and np.array_equal(model.log_p, other.log_p) and np.array_equal(model.prior, other.prior)
+    found = q.op5_language_id(spark, sf).collect()
+    rows = {r.doc_id: r for r in docs.collect()}
+    held = [r for r in found if r.held_out and rows[r.doc_id].lang]
+    assert len(found) == len(rows) and sum(r.lang_pred == rows[r.doc_id].lang for r in held) / len(held) > 0.97
+    vocabulary = model.vocabulary
+    tables = [({x.replace("▁", " "): math.exp(model.log_p[k, j]) for k, x in enumerate(vocabulary.pieces) if x}, math.exp(model.log_p[-1, j])) for j in range(len(model.names))]
+    for r in predict(docs.filter("doc_id < 20"), model).collect():
+        words = [w.strip("0123456789.,;:!?()[]{}<>\"'`*#$%&|/\\+=~^_@-") for w in brute.words(rows[r.doc_id].text.lower())]
+        cost = [model.prior[j] + sum(brute.path_probability(f" {w}", *tables[j]) for w in words if any(c.isalpha() for c in w)) for j in range(len(model.names))]
+        assert r.lang_pred == model.names[int(np.argmax(cost))] and r.score == pytest.approx(1 / sum(math.exp(c - max(cost)) for c in cost))
+
+
 def test_leaks_like_brute_force(spark, make):
     rnd = random.Random(8)
     vocab = [f"t{k}" for k in range(300)]
