@@ -1,19 +1,25 @@
-"""Near copies by the exact similarity of shingle sets, without a fingerprint between.
+"""Near copies by fingerprints on the grid, verified by the similarity of whole shingle sets, and an exact way for what the grid misses.
 
 Words with A-Z lower-cased, sets of 5-word shingles (a text with fewer words is one shingle); two documents are linked if
 their sets have a Jaccard similarity of `least` or more.  Of each connected group the smallest id stays.
 
 1. Documents with equal sets are one node.
-2. In any one order of all shingles, two sets of similarity s have a common shingle among their first n - ceil(s n) + 1.
-   The order is rare first: what one set has, then what several have (a bitmap, where others may slip in), then the most
-   frequent by their counts.  The order decides what this costs and not what it finds.
-3. Sets that meet at a shingle are candidates if their sizes allow the similarity, and so do the shingles before it, which at
-   the first common one are all different.  Where over `_CROWD` meet, they are first
-   compared with the middle one and their next neighbours by size; then what is not connected by the links found is
-   compared in full.
-4. Candidates are verified on the whole sets.
-
-Defined cases: texts without words are copies of each other; null ids stay and never name a group unless it has no other id.
+2. Nodes have 64-bit SimHashes.  Those that the grid of bit counts links (simhash_dedup: at most two bits) are compared with the
+   least node of their group, set by set; those similar enough share a root from now on.
+3. One or two in ten shingles may differ at 0.8, about ten bits, and no grid of 64 bits selects at that distance.  So nodes
+   with different roots also meet at rare shingles: in any one order of all shingles, two sets of similarity s have a common
+   shingle among their first n - ceil(s n) + 1.  The order is rare first, by counts over all nodes; a shingle that
+   no other node has is in that order, but is not sent.  The order decides what this costs and not what it finds.
+4. Nodes that meet are candidates if their sizes allow the similarity, and so do the shingles before it, which at
+   the first common one are all different.  Where over `_CROWD` meet, they are first compared with the middle one and their
+   next neighbours by size; then what is not connected by the links found is compared in full.
+5. Candidates are verified on the whole sets.
+
+Texts are read once for each step and not written; shingles are counted in packed arrays, sorted and added up in each task
+before they are shuffled.
+
+Defined cases: texts without words are copies of each other; null ids stay and never name a group unless it has no other id;
+rows that repeat an id each count; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -27,67 +33,155 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.llm.components import components
-from clausemill.llm.shared import partitions, settle, small_batches
-from clausemill.llm.simhash_dedup import _together
-from clausemill.llm.words import Words, runs, signed, slices
+from clausemill.llm.shared import few, fresh, partitions, settle, small_batches
+from clausemill.llm.simhash_dedup import _together, near_links
+from clausemill.llm.words import Words, majority, runs, signed, slices
 
 _U = np.uint64
-_CROWD, _NEXT, _FREQUENT, _MOST_BITS = 48, 4, 500_000, 29
+_CROWD, _NEXT, _FREQUENT, _MOST_BITS, _HELD = 48, 4, 500_000, 29, 1 << 20
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of each text, sorted and each once, one text after another; and how many each has."""
+    words = Words(texts, lower=True)
+    hashes = words.hashes()
+    full, found = runs(hashes, width, 0xA0), []
+    for first, n in zip(words.first.tolist(), words.counts.tolist(), strict=True):
+        found.append(np.unique(full[first : first + n - width + 1]) if n >= width else runs(hashes[first : first + n], n, 0xA0 + n) if n else full[:0])
+    return np.concatenate([*found, full[:0]]), np.array([len(x) for x in found], np.int64)
+
+
+def _each(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes)
+    return [flat[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+
+
+def _kind(bodies: list[bytes]) -> np.ndarray:
+    return signed(np.fromiter((xxhash.xxh3_64_intdigest(x) for x in bodies), _U, len(bodies)))
+
+
+def _kinds(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        flat, sizes = _sets(batch.column("text"), width)
+        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "mark": batch.column("mark"), "kind": _kind(_each(flat, sizes)), "fp": signed(majority(flat, sizes))})
+
+
+def _bodies(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        bodies = _each(*_sets(batch.column("text"), width))
+        yield pa.RecordBatch.from_pydict({"kind": _kind(bodies), "body": pa.array(bodies, pa.binary())})
+
+
+def _place(flat: np.ndarray, parts: int) -> np.ndarray:
+    """A shingle's part in the upper half and 32 bits of it in the lower: what tells shingles apart where they are counted."""
+    return ((flat >> _U(32)) * _U(parts) >> _U(32)) << _U(32) | (flat & _U(0xFFFFFFFF))
+
+
+def _counts(batches: Iterator[pa.RecordBatch], width: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Sorted shingles of some texts by part, with how many texts have each (255 at most)."""
+    held: list[np.ndarray] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        placed, times = np.unique(_place(np.concatenate(held), parts), return_counts=True)
+        held.clear()
+        cuts = np.searchsorted(placed, np.arange(parts + 1, dtype=_U) << _U(32))
+        low, times = (placed & _U(0xFFFFFFFF)).astype(np.uint32), np.minimum(times, 255).astype(np.uint8)
+        some = np.flatnonzero(np.diff(cuts))
+        pick = lambda x: pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary())
+        yield pa.RecordBatch.from_pydict({"part": some.astype(np.int32), "keys": pick(low), "times": pick(times)})
+
+    for batch in slices(batches, "text"):
+        held.append(_sets(batch.column("text"), width)[0])
+        if sum(map(len, held)) > _HELD:
+            yield from flush()
+    if held:
+        yield from flush()
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each part, the shingles that several nodes have, with their counts (65,535 at most); and how many have each count."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for x in batch.to_pylist():
+            held.setdefault(x["part"], []).append((np.frombuffer(x["keys"], np.uint32), np.frombuffer(x["times"], np.uint8)))
+    for part in list(held):
+        keys, times = (np.concatenate(x) for x in zip(*held.pop(part), strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys, lead = keys[order], np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
+        total = np.minimum(np.add.reduceat(times[order], lead, dtype=np.int64), 0xFFFF)
+        keys, total = keys[lead][total > 1], total[total > 1]
+        if len(keys):
+            seen, n = np.unique(total, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "keys": pa.array([keys.tobytes()]), "times": pa.array([total.astype(np.uint16).tobytes()]), "hist": pa.array([list(zip(seen.tolist(), n.tolist(), strict=True))], pa.map_(pa.int32(), pa.int64()))})
+
+
+def _tables(batches: Iterator[pa.RecordBatch], bits: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Of each part, a bitmap of the shingles several nodes have, and those that at least `least` have."""
+    for batch in batches:
+        for x in batch.to_pylist():
+            keys, times = np.frombuffer(x["keys"], np.uint32), np.frombuffer(x["times"], np.uint16)
+            bitmap = np.zeros(1 << bits, bool)
+            bitmap[keys >> np.uint32(32 - bits)] = True
+            many = times >= least
+            yield pa.RecordBatch.from_pydict({"part": pa.array([x["part"]], pa.int32()), "bitmap": pa.array([np.packbits(bitmap, bitorder="little").tobytes()]), "keys": pa.array([keys[many].tobytes()]), "times": pa.array([times[many].tobytes()])})
+
+
+def _often(texts: DataFrame, width: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """Parts, bits of a part's bitmap, the bitmaps (2^29 bits at most in all), the most frequent shingles and their counts."""
+    spark = texts.sparkSession
+    parts = partitions(spark)
+    packed = texts.select("text").mapInArrow(lambda it: _counts(it, width, parts), "part int, keys binary, times binary").repartition(parts, "part")
+    counted = settle(packed.mapInArrow(_repeated, "part int, keys binary, times binary, hist map<int,long>"), "counted", even=False)
+    sizes = sorted((x[0], x[1]) for x in counted.select(F.explode("hist").alias("count", "n")).groupBy("count").agg(F.sum("n")).collect())
+    left, least = sum(n for _, n in sizes), 2
+    bits = min(max((16 * left // parts).bit_length(), 10), _MOST_BITS - (parts - 1).bit_length(), 32)
+    for times, n in sizes:
+        if left > _FREQUENT:
+            left, least = left - n, times + 1
+    bitmaps, keys, times = np.zeros((parts, (1 << bits) >> 3), np.uint8), [np.empty(0, _U)], [np.empty(0, np.int64)]
+    for x in counted.select("part", "keys", "times").mapInArrow(lambda it: _tables(it, bits, least), "part int, bitmap binary, keys binary, times binary").collect():
+        bitmaps[x["part"]] = np.frombuffer(x["bitmap"], np.uint8)
+        keys.append(np.frombuffer(x["keys"], np.uint32).astype(_U) | _U(x["part"]) << _U(32))
+        times.append(np.frombuffer(x["times"], np.uint16).astype(np.int64))
+    keys, times = np.concatenate(keys), np.concatenate(times)
+    order = np.argsort(keys)
+    return parts, bits, bitmaps, keys[order], times[order]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, often, least: float) -> Iterator[pa.RecordBatch]:
+    parts, bits, bitmaps, keys, times = often.value
     for batch in slices(batches, "text"):
-        words = Words(batch.column("text"), lower=True)
-        hashes = words.hashes()
-        full = runs(hashes, width, 0xA0)
-        bodies = []
-        for first, n in zip(words.first.tolist(), words.counts.tolist(), strict=True):
-            if n >= width:
-                bodies.append(np.unique(full[first : first + n - width + 1]).tobytes())
-            else:
-                bodies.append(runs(hashes[first : first + n], n, 0xA0 + n).tobytes() if n else b"")
-        kind = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in bodies), _U, len(bodies))
-        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "kind": signed(kind), "body": pa.array(bodies, pa.binary())})
-
-
-def _flat(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles of all sets, the set of each, and the sets' sizes."""
-    parts = [np.frombuffer(x, _U) for x in bodies.to_pylist()]
-    sizes = np.array([len(x) for x in parts], np.int64)
-    return np.concatenate([*parts, np.empty(0, _U)]), np.repeat(np.arange(len(parts)), sizes), sizes
-
-
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "body"):
-        yield pa.RecordBatch.from_pydict({"key": signed(_flat(batch.column("body"))[0])})
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch], often, least: float) -> Iterator[pa.RecordBatch]:
-    keys, times, bitmap = often.value
-    bits = _U(64 - len(bitmap).bit_length() - 5)
-    for batch in slices(batches, "body"):
-        flat, owner, sizes = _flat(batch.column("body"))
-        place = flat >> bits
-        many = ((bitmap[place >> _U(6)] >> (place & _U(63))) & _U(1)).astype(np.int64)
+        flat, sizes = _sets(batch.column("text"), width)
+        kind = _kind(_each(flat, sizes))
+        owner, placed = np.repeat(np.arange(len(sizes)), sizes), _place(flat, parts)
+        cell = (placed & _U(0xFFFFFFFF)) >> _U(32 - bits)
+        many = ((bitmaps[placed >> _U(32), cell >> _U(3)] >> (cell & _U(7)).astype(np.uint8)) & 1).astype(np.int64)
         if len(keys):
-            at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
-            many = np.where(keys[at] == flat, times[at], many)
+            at = np.minimum(np.searchsorted(keys, placed), len(keys) - 1)
+            many = np.where(keys[at] == placed, times[at], many)
         order = np.lexsort((flat, many, owner))
         rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        pick = rank < (sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1)[owner]
+        pick = (rank < (sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1)[owner]) & (many[order] > 0)
         who = owner[pick]
-        yield pa.RecordBatch.from_pydict({"key": signed(flat[order][pick]), "kind": batch.column("kind").take(pa.array(who)), "n": sizes[who], "pos": rank[pick]})
+        yield pa.RecordBatch.from_pydict({"key": signed(flat[order][pick]), "kind": kind[who], "n": sizes[who], "pos": rank[pick]})
 
 
 def _meet(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, size and kind -> candidates (key null), and the members of crowded keys (v their size)."""
-    held = [np.empty(0, np.int64)] * 4
+    """Rows sorted by key, size and kind -> candidates with different roots (key null), and the members of crowded keys (v their size)."""
+    names = ("key", "kind", "n", "pos", "root")
+    held = [np.empty(0, np.int64)] * 5
 
-    def pairs(key: np.ndarray, kind: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(*rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(rows[0]):
+            return
+        new = np.append(True, (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0))
+        key, kind, n, pos, root = (x[new] for x in rows)
+        lead = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        apart = np.minimum.reduceat(root, lead) != np.maximum.reduceat(root, lead)  # else all are connected
+        stay = np.repeat(apart, np.diff(np.append(lead, len(key))))
+        key, kind, n, pos, root = (x[stay] for x in (key, kind, n, pos, root))
         if not len(key):
             return
-        new = np.append(True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]))
-        key, kind, n, pos = key[new], kind[new], n[new], pos[new]
         lead = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         sizes = np.diff(np.append(lead, len(key)))
         group = np.repeat(np.arange(len(lead)), sizes)
@@ -101,17 +195,17 @@ def _meet(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Record
             mine = np.arange(lead[k], lead[k] + sizes[k])
             left.append(np.minimum(mine, mine[len(mine) // 2]))
             right.append(np.maximum(mine, mine[len(mine) // 2]))
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            fine = (n[a] >= least * n[b] - 1e-9) & (pos[a] + pos[b] <= (1 - least) / (1 + least) * (n[a] + n[b]) + 1e-9) & (kind[a] != kind[b])
-            both = np.unique(np.stack([np.maximum(kind[a], kind[b])[fine], np.minimum(kind[a], kind[b])[fine]]), axis=1)
-            if both.size:
-                yield pa.RecordBatch.from_pydict({"key": pa.nulls(both.shape[1], pa.int64()), "u": both[0], "v": both[1], "pos": pa.nulls(both.shape[1], pa.int64())})
+        a, b = np.concatenate([*left, np.empty(0, int)]), np.concatenate([*right, np.empty(0, int)])
+        fine = (n[a] >= least * n[b] - 1e-9) & (pos[a] + pos[b] <= (1 - least) / (1 + least) * (n[a] + n[b]) + 1e-9) & (root[a] != root[b])
+        both = np.unique(np.stack([np.maximum(kind[a], kind[b])[fine], np.minimum(kind[a], kind[b])[fine]]), axis=1)
+        none = pa.nulls(both.shape[1], pa.int64())
+        if both.size:
+            yield pa.RecordBatch.from_pydict({"key": none, "u": both[0], "v": both[1], "pos": none})
         if crowd.any():
             yield pa.RecordBatch.from_pydict({"key": key[crowd], "u": kind[crowd], "v": n[crowd], "pos": pos[crowd]})
 
     for batch in _together(batches, 100_000):
-        held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("key", "kind", "n", "pos"), strict=True)]
+        held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, names, strict=True)]
         cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
         yield from pairs(*(x[:cut] for x in held))
         held = [x[cut:] for x in held]
@@ -127,49 +221,50 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
-def _often(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent shingles, sorted, their counts, and a bitmap by first bits of all that several sets have."""
-    counted = settle(sets.select("body").mapInArrow(_shingles, "key long").groupBy("key").count().filter("count > 1"), "counted")
-    sizes, least = sorted((x["count"], x["n"]) for x in counted.groupBy("count").agg(F.count("*").alias("n")).collect()), 2
-    left = sum(n for _, n in sizes)
-    bits = min(_MOST_BITS, max(16, (16 * left).bit_length()))
-    for times, n in sizes:
-        if left > _FREQUENT:
-            left, least = left - n, times + 1
-    most = counted.filter(F.col("count") >= least).toArrow()
-    words = counted.select(F.shiftrightunsigned("key", 70 - bits).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 AS int))").alias("bit"))
-    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (bits - 6), _U)
-    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(_U)
-    keys, times = most.column("key").to_numpy().view(_U), most.column("count").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], times[order], bitmap
+class _Texts:
+    """The texts of nodes, each once, and what compares them."""
 
+    def __init__(self, texts: DataFrame, different: DataFrame, width: int, least: float, most: int):
+        self.texts, self.different, self.width, self.least, self.most = texts, different, width, least, most
 
-def _few(df: DataFrame, most: int) -> DataFrame:
-    return F.broadcast(df) if df.count() <= most else df
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, least: float, most: int) -> DataFrame:
-    wanted = _few(settle(pairs.select(F.col("u").alias("kind")).union(pairs.select(F.col("v").alias("kind"))).distinct(), "wanted"), most)
-    bodies = settle(sets.select("kind", "body").join(wanted, "kind", "left_semi").groupBy("kind").agg(F.first("body").alias("body")), "bodies", even=False)
-    both = pairs.join(bodies.toDF("u", "a"), "u").join(bodies.toDF("v", "b"), "v").select("u", "v", "a", "b")
-    return settle(both.mapInArrow(lambda it: _verified(it, least), "u long, v long"), "links")
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """pairs (u, v) of kinds -> those whose sets are similar enough."""
+        width, least = self.width, self.least
+        wanted = settle(pairs.select(F.col("u").alias("kind")).union(pairs.select(F.col("v").alias("kind"))).distinct(), "wanted")
+        ids = few(settle(self.different.join(wanted, "kind", "left_semi").select(F.col("low").alias("want")).distinct(), "ids"), self.most)
+        found = self.texts.join(ids, F.col("id").eqNullSafe(F.col("want")), "left_semi").select("text").mapInArrow(lambda it: _bodies(it, width), "kind long, body binary")
+        bodies = settle(found.join(few(wanted, self.most), "kind", "left_semi").groupBy("kind").agg(F.first("body").alias("body")), "bodies", even=False)
+        both = pairs.join(bodies.toDF("u", "a"), "u").join(bodies.toDF("v", "b"), "v").select("u", "v", "a", "b")
+        return settle(both.mapInArrow(lambda it: _verified(it, least), "u long, v long"), "links")
 
 
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, most: int = 2_000_000) -> DataFrame:
-    """One row per input row: id_col, component_id (the smallest id reachable over links)."""
+    """One row per input row: id_col, component_id (the smallest id reachable over links).
+
+    Tables of ids up to `most` rows are broadcast; where more rows repeat than that, texts are shuffled once.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    all_ = settle(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(lambda it: _sets(it, width), "id long, kind long, body binary"), "sets", even=False)
-    different = settle(all_.groupBy("kind").agg(F.min("id").alias("low")), "different")
-    again = settle(all_.select("kind", "id").join(different, "kind").filter("id <> low").select("kind", "id").distinct(), "again")
-    sets = all_.join(_few(again, most), ["kind", "id"], "left_anti")
-    shared = spark.sparkContext.broadcast(_often(sets))
-    met = sets.select("kind", "body").mapInArrow(lambda it: _prefixes(it, shared, least), "key long, kind long, n long, pos long")
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("mark", F.hash("text"))
+    all_ = settle(plain.mapInArrow(lambda it: _kinds(it, width), "id long, mark int, kind long, fp long"), "kinds")
+    different = settle(all_.groupBy("kind").agg(F.min("id").alias("low"), F.first("fp").alias("fp")), "different")
+    again = settle(all_.join(different.select("kind", "low"), "kind").filter("id <> low").select("id", "mark").distinct(), "again")
+    texts = plain.join(few(again, most), ["id", "mark"], "left_anti").select("id", "text")
+    if again.count() > most:
+        texts = settle(texts, "texts", even=False)
+    nodes = _Texts(texts, different, width, least, most)
+
+    prints = settle(different.groupBy("fp").agg(F.min("kind").alias("first")), "prints")
+    grid = components(near_links(prints, 2)).toDF("fp", "root_fp")
+    stars = different.join(grid, "fp", "left").select("kind", F.coalesce("root_fp", "fp").alias("of")).join(prints.select(F.col("fp").alias("of"), "first"), "of").filter("kind <> first")
+    close = nodes.similar(settle(stars.select(F.col("kind").alias("u"), F.col("first").alias("v")), "stars"))
+
+    shared = spark.sparkContext.broadcast(_often(texts, width))
+    met = texts.select("text").mapInArrow(lambda it: _prefixes(it, width, shared, least), "key long, kind long, n long, pos long")
+    met = met.join(few(close.toDF("kind", "root"), most), "kind", "left").select("key", "kind", "n", "pos", F.coalesce("root", "kind").alias("root"))
     met = met.repartition(partitions(spark), "key").sortWithinPartitions("key", "n", "kind")
     met = settle(met.mapInArrow(lambda it: _meet(it, least), "key long, u long, v long, pos long"), "met")
-    links = _verify(met.filter("key IS NULL").select("u", "v").distinct(), sets, least, most)
+    links = close.union(nodes.similar(met.filter("key IS NULL").select("u", "v").distinct()))
     roots = components(links)
     crowd = met.filter("key IS NOT NULL").select("key", F.col("u").alias("kind"), F.col("v").alias("n"), "pos")
     crowd = settle(crowd.join(roots.toDF("kind", "root"), "kind", "left").select("key", "kind", "n", "pos", F.coalesce("root", "kind").alias("root")), "crowd")
@@ -178,7 +273,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = x.join(y, "key").filter(f"kind_x > kind_y AND root_x <> root_y AND least(n_x, n_y) >= {least} * greatest(n_x, n_y) - 1e-9 AND pos_x + pos_y <= {(1 - least) / (1 + least)} * (n_x + n_y) + 1e-9")
     rest = settle(rest.select(F.col("kind_x").alias("u"), F.col("kind_y").alias("v")).distinct(), "rest")
     if not rest.isEmpty():
-        roots = components(links.union(_verify(rest, sets, least, most)))
+        roots = components(links.union(nodes.similar(rest)))
     rooted = different.join(roots, different["kind"] == roots["u"], "left").select("kind", "low", F.coalesce("v", "kind").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("kind", "component_id")
     return all_.select("id", "kind").join(named, "kind").select(F.col("id").alias(id_col), "component_id")
@@ -189,5 +284,7 @@ def keep_one_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     If at most `most` ids go (some 50 MB), they are broadcast and no text is shuffled.
     """
-    out = settle(near_texts(docs, id_col, text_col, width, least, most).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct(), "gone")
-    return docs.join(_few(out, most), F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    found = near_texts(docs, id_col, text_col, width, least, most).toDF("id", "low")
+    gone = fresh("gone", docs.columns)
+    out = settle(found.filter("id <> low").select(F.col("id").alias(gone)).distinct(), "gone")
+    return docs.join(few(out, most), F.col(f"`{id_col}`").cast("long") == F.col(gone), "left_anti")

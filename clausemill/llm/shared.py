@@ -112,6 +112,11 @@ def _release_all() -> None:
             release(spark)
 
 
+def few(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast if it has at most `most` rows (of a few numbers), else to be joined by shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Lower the session's Arrow batches to `rows` rows, and Parquet's to a quarter: whole texts are long, and a batch is held several times over."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.parquet.columnarReaderBatchSize", rows // 4)):

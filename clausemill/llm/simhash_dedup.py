@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from clausemill.llm.components import components
 from clausemill.llm.shared import partitions, settle, small_batches
-from clausemill.llm.words import Words, mix, signed, slices
+from clausemill.llm.words import Words, majority, mix, signed, slices
 
 _U = np.uint64
 _SEGMENTS = 32
@@ -39,9 +39,8 @@ _CROWD = 48
 def _fingerprints(texts: pa.Array, size: int) -> np.ndarray:
     words = Words(texts, lower=True)
     n = len(words.counts)
-    out = np.zeros(n, _U)
     if not len(words):
-        return out
+        return np.zeros(n, _U)
     joined = words.kept(np.ones(len(words), bool))
     lens = pc.binary_length(words.flat).to_numpy(zero_copy_only=False).astype(np.int64)
     run = np.cumsum(lens + 1) - (lens + 1)
@@ -59,12 +58,7 @@ def _fingerprints(texts: pa.Array, size: int) -> np.ndarray:
     hashes = np.fromiter((digest(data[a:b], 42) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)), _U, len(begin))
     order = np.argsort(owner, kind="stable")
     owner, hashes = owner[order], hashes[order]
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    lead = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    sums = np.add.reduceat(bits, lead, axis=0, dtype=np.int64)
-    total = np.diff(np.append(lead, len(owner)))
-    out[owner[lead]] = np.packbits(sums * 2 > total[:, None], axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    return majority(hashes, np.bincount(owner, minlength=n))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -179,14 +173,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id")
     return printed.join(named, F.col("fp") == F.col("of"), "left").select(F.col("id").alias(id_col), "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, most: int = 2_000_000) -> DataFrame:
-    """The document with the smallest id of each component, with its columns; rows whose id is null stay.
-
-    If at most `most` ids go (some 50 MB), they are broadcast and no text is shuffled.
-    """
-    out = settle(near_duplicates(docs, id_col, text_col, shingle, radius).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct(), "gone")
-    if out.count() <= most:
-        out = F.broadcast(out)
-    return docs.join(out, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")

@@ -115,3 +115,21 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def majority(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For groups of 64-bit words that follow each other, the bits that are set in over half of them; empty groups give zero."""
+    out, some = np.zeros(len(sizes), _U), np.flatnonzero(sizes)
+    if not len(some):
+        return out
+    begin = (np.cumsum(sizes) - sizes)[some]
+    chunks = (sizes[some] + 0xFFFE) // 0xFFFF  # sums of four bits side by side, each of 16 bits
+    owner = np.repeat(np.arange(len(some)), chunks)
+    lead = begin[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(chunks) - chunks, chunks)) * 0xFFFF
+    sums = np.zeros((len(some), 64), np.int64)
+    for k in range(16):
+        lanes = np.add.reduceat((x >> _U(k)) & _U(0x0001000100010001), lead)
+        for j in range(4):
+            np.add.at(sums[:, k + 16 * j], owner, ((lanes >> _U(16 * j)) & _U(0xFFFF)).astype(np.int64))
+    out[some] = np.packbits(sums * 2 > sizes[some, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out

@@ -88,6 +88,28 @@ def measures(text: str | None) -> tuple:
     return (*n, n[0] < 10 or 100 * n[4] > 20 * n[0])
 
 
+def similar_groups(rows: list[tuple], least: float = 0.8) -> dict[int, int]:
+    """id -> least id reachable over texts whose sets of 5-word shingles are similar."""
+    sets = {}
+    for k, t in rows:
+        w = words(ascii_lower(t or ""))
+        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if b < a and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in ids}
+
+
 def _bucket(value: int) -> int:
     over = max(value.bit_length() - 6, 0)
     return over * 32 + (value >> over)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clausemill.llm.components import components
 from clausemill.llm.cuckoo import CuckooFilter
 from clausemill.llm.line_dedup import LineIndex, drop_lines, index_lines
-from clausemill.llm.simhash_dedup import fingerprints, keep_one, near_duplicates, near_links
+from clausemill.llm.simhash_dedup import fingerprints, near_duplicates, near_links
 from clausemill.llm.substring_dedup import dedup_substrings
 
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "same words here"), (5, "same words here"), (6, "a " * 200), (None, "null id text " * 30), (7, "Ünïcode ☃ \x00 text\u2028mark\u00a0joined")]
@@ -215,9 +215,6 @@ def test_near_duplicates_odd(make):
     got = {(r.doc_id, r.component_id) for r in near_duplicates(make(rows)).collect()}
     expected = brute.groups(list({k: brute.fingerprint(t) for k, t in rows}.items()))
     assert got == set(expected.items())
-    kept = keep_one(make(ODD))
-    assert kept.columns == make(ODD).columns
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted([-1, *[k for k, _ in rows if expected[k] == k]])
     assert near_duplicates(make(rows).limit(0)).count() == 0
 
 

@@ -10,27 +10,6 @@ import pytest
 from clausemill.llm.near_texts import keep_one_text, near_texts
 
 
-def _groups(rows: list[tuple], least: float = 0.8) -> dict[int, int]:
-    sets = {}
-    for k, t in rows:
-        w = brute.words(brute.ascii_lower(t or ""))
-        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
-    root = {k: k for k in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            if b < a and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {k: find(k) for k in ids}
-
-
 def _rows() -> list[tuple]:
     rnd = random.Random(6)
     vocab = [f"v{k}" for k in range(3000)]
@@ -55,7 +34,7 @@ def _rows() -> list[tuple]:
 
 def test_near_texts_like_brute_force(make):
     rows = _rows()
-    want = _groups(rows)
+    want = brute.similar_groups(rows)
     assert {r.doc_id: r.component_id for r in near_texts(make(rows)).collect()} == want
     kept = keep_one_text(make([*rows, (None, rows[0][1])]))
     assert kept.columns == make(rows).columns

@@ -27,7 +27,7 @@ def test_stages(spark, sf):
     want = {k: t for k, _, _, t in brute.line_dedup([(k, r.text) for k, r in before.items()])}
     assert {k: r.text for k, r in after.items()} == want
     before, after = map(rows, at["near duplicates"])
-    group = brute.groups([(k, brute.fingerprint(r.text)) for k, r in before.items()])
+    group = brute.similar_groups([(k, r.text) for k, r in before.items()])
     assert set(after) == {k for k, g in group.items() if k == g}
     before, after = map(rows, at["decontamination"])
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
