@@ -5,12 +5,16 @@ Words are compared with A-Z lower-cased.  An item of n words is compared with th
 
 1. A window can only reach similarity s if at least 2s / (1 + s) of the mean shingle count is shared, so windows whose
    shingles are not that often shingles of the benchmark are left out.  This loses nothing.
-2. Such a window has at most h - n shingles that an item at s does not have (h its shingles, n the least shared), so of any
-   h - n + 1 of its shingles one is the item's.  The items that have one of its h - n + 1 shingles that are in the fewest
-   items are looked up.  This loses nothing.
-3. They are verified: sum of least counts over sum of largest counts of shingles >= `least`.
-4. Windows and items have 64-bit SimHashes of their shingles, weighted by their counts.  What differs in over `radius` bits
-   is left out; at 64, the default, nothing is.
+2. Windows and items have 256-bit SimHashes of their shingles; a shingle that comes again counts as another one, so that
+   multisets are compared and no word outweighs the rest.
+3. Items within `radius` bits of a window are found through an index of 16 blocks of 16 bits: at 79 bits or less, at least
+   three blocks differ in five bits or less (else 14 blocks would differ in six).  Neighbours are looked for among the values
+   that a block has, or among the patterns of five flips, whichever are fewer.  This finds every fingerprint within the radius.
+4. Those are verified: sum of least counts over sum of largest counts of shingles >= `least`.
+
+A bit differs with a probability of arccos(2s / (1 + s)) / pi about, 0.15 at 0.8.  Exactly at 0.8, by the binomial sums
+over all sizes up to 140 shingles, a window lies beyond 79 bits with a probability below 2e-9, and below 2e-6 for four
+against five shingles; unlike texts lie 128 bits apart.
 
 Items are held in memory in blocks of at most `block_bytes` of text, one pass over the documents for each block, so a
 benchmark of any size is served.
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,62 +36,97 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clausemill.llm.shared import small_batches
-from clausemill.llm.words import Words, mix, runs, slices
+from clausemill.llm.words import Words, majority, mix, runs, slices
 
 _U = np.uint64
-_BITS = 64
-
-
-def _prints(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """SimHash of groups of shingle hashes that follow each other."""
-    if not len(sizes):
-        return np.empty(0, _U)
-    bits = np.unpackbits(mix(shingles, 0x51).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int64)
-    return np.packbits(sums * 2 > sizes[:, None], axis=1, bitorder="little").view(_U).ravel()
+_RADIUS, _BLOCKS, _FLIPS, _LEAST_BLOCKS = 79, 16, 5, 3
 
 
 def _ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
+def _numbered(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Shingles of groups that follow each other, each told apart from its earlier equals in the group."""
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((shingles, group))
+    lead = np.flatnonzero(np.append(True, (np.diff(group[order]) != 0) | (shingles[order][1:] != shingles[order][:-1]))) if len(order) else order
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order)) - np.repeat(lead, np.diff(np.append(lead, len(order))))
+    return mix(shingles + rank.astype(_U) * _U(0x9E3779B97F4A7C15))
+
+
+def _prints(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """256-bit SimHashes, as four words a group."""
+    return np.stack([majority(mix(keys, 0x51 + k), sizes) for k in range(4)], axis=1)
+
+
+class HammingIndex:
+    """Fingerprints by 16 blocks; near() gives each within `radius` bits of a query (79 at most)."""
+
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius, self.blocks = prints, radius, []
+        for column in prints.view(np.uint16).T:
+            order = np.argsort(column, kind="stable")
+            values, begin = np.unique(column[order], return_index=True)
+            self.blocks.append((values, np.append(begin, len(order)), order))
+        self.masks = np.array([sum(1 << b for b in bits) for n in range(_FLIPS + 1) for bits in combinations(range(16), n)], np.uint16)
+
+    def near(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, fingerprint and differing bits of all pairs within the radius."""
+        found, step = [], max(1, 1_000_000 // max(1, min(len(self.masks), len(self.prints))))
+        for at in range(0, len(queries), step):
+            part = queries[at : at + step]
+            pairs = np.concatenate([self._block(part.view(np.uint16)[:, k], *self.blocks[k]) for k in range(_BLOCKS)])
+            pairs, times = np.unique(pairs, return_counts=True)
+            q, j = np.divmod(pairs[times >= _LEAST_BLOCKS], len(self.prints))
+            bits = np.bitwise_count(part[q] ^ self.prints[j]).sum(axis=1, dtype=np.int64)
+            fine = bits <= self.radius
+            found.append((q[fine] + at, j[fine], bits[fine]))
+        return tuple(np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in range(3))
+
+    def _block(self, query: np.ndarray, values: np.ndarray, begin: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """query x all + fingerprint, of those whose block is near."""
+        if len(values) <= len(self.masks):
+            q, v = np.nonzero(np.bitwise_count(query[:, None] ^ values) <= _FLIPS)
+        else:
+            wanted = query[:, None] ^ self.masks
+            place = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+            q, m = np.nonzero(values[place] == wanted)
+            v = place[q, m]
+        sizes = begin[v + 1] - begin[v]
+        return np.repeat(q, sizes) * len(self.prints) + order[_ranges(begin[v], sizes)]
+
+
 class ItemIndex:
-    """Items of one block of a benchmark, by shingle width: shingles, fingerprints and, by length, the items of each shingle."""
+    """Items of one block of a benchmark, by shingle width and length: shingles, fingerprints and their index."""
 
     def __init__(self, items: list[tuple[int, str]], width: int, radius: int, least: float):
-        self.radius, self.least = radius, least
+        if not 0 <= radius <= _RADIUS:
+            raise ValueError(f"the index finds fingerprints within {_RADIUS} bits")
+        self.least = least
         words = Words(pa.array([x for _, x in items], pa.string()), lower=True)
-        hashes, self.ids = words.hashes(), [k for k, _ in items]
+        hashes, self.ids = words.hashes(), np.array([k for k, _ in items], object)
         self.groups: dict[int, dict] = {}
         for k in sorted({min(width, int(n)) for n in words.counts if n}):
-            mine = np.flatnonzero(np.minimum(words.counts, width) == k)
-            mine = mine[words.counts[mine] >= k]
-            sizes = words.counts[mine] - k + 1
-            shingles = runs(hashes, k, 0xD0 + k)[_ranges(words.first[mine], sizes)]
-            prints = _prints(shingles, sizes)
-            owner, lengths = np.repeat(np.arange(len(mine)), sizes), words.counts[mine]
-            tables = {}
-            for length in np.unique(lengths).tolist():
-                own = lengths[owner] == length
-                order = np.lexsort((owner[own], shingles[own]))
-                key, who = shingles[own][order], owner[own][order]
-                new = np.append(True, (key[1:] != key[:-1]) | (who[1:] != who[:-1]))
-                keys, begin = np.unique(key[new], return_index=True)
-                tables[length] = (keys, np.append(begin, new.sum()), who[new])
-            ends = np.cumsum(sizes)
-            counts = []
-            for a, b in zip(ends - sizes, ends, strict=True):
-                seen, times = np.unique(shingles[a:b], return_counts=True)
-                counts.append(dict(zip(seen.tolist(), times.tolist(), strict=True)))
-            known = np.unique(shingles)
+            own = runs(hashes, k, 0xD0 + k)
+            mine = np.flatnonzero((np.minimum(words.counts, width) == k) & (words.counts >= k))
+            known = np.unique(own[_ranges(words.first[mine], words.counts[mine] - k + 1)])
             sieve = np.zeros(1 << 22, bool)
             sieve[known >> _U(42)] = True
-            self.groups[k] = {"items": mine, "lengths": sorted(set(words.counts[mine].tolist())), "prints": prints, "tables": tables, "counts": counts, "known": known, "sieve": sieve, "sizes": sizes}
-
-    def search(self, texts: pa.Array) -> list[tuple[int, int, int, int, int, float]]:
-        """(row, item id, first word, words, differing bits, similarity): the most similar window of each row and item."""
+            lengths = {}
+            for length in np.unique(words.counts[mine]).tolist():
+                rows = mine[words.counts[mine] == length]
+                sizes = np.full(len(rows), length - k + 1)
+                keys = _numbered(own[_ranges(words.first[rows], sizes)], sizes)
+                member = np.sort(mix(keys ^ mix(np.repeat(np.arange(len(rows), dtype=_U), sizes), 0x1D)))
+                lengths[length] = (rows, HammingIndex(_prints(keys, sizes), radius), member)
+            self.groups[k] = {"lengths": lengths, "known": known, "sieve": sieve}
+
+    def search(self, texts: pa.Array) -> dict[str, np.ndarray]:
+        """row, item, first word, words, bits, similarity: the most similar window of each row and item, the first of equals."""
         words = Words(texts, lower=True)
-        hashes, best = words.hashes(), {}
+        hashes, found = words.hashes(), []
         for k, group in self.groups.items():
             shingles = runs(hashes, k, 0xD0 + k)
             n = len(shingles)
@@ -98,7 +138,7 @@ class ItemIndex:
             upto = np.append(0, np.cumsum(hit[:-1]))
             full = np.maximum(words.counts - k + 1, 0)
             total = upto[np.minimum(words.first + full, n)] - upto[np.minimum(words.first, n)]
-            for length in group["lengths"]:
+            for length, items in group["lengths"].items():
                 want = length - k + 1
                 has = np.minimum(want, full)
                 need = np.ceil(self.least / (1 + self.least) * (want + has) - 1e-9).astype(np.int64)
@@ -106,43 +146,29 @@ class ItemIndex:
                 starts = _ranges(words.first[rows], full[rows] - has[rows] + 1)
                 row = np.repeat(rows, full[rows] - has[rows] + 1)
                 fine = upto[starts + has[row]] - upto[starts] >= need[row]
-                for piece in range(0, len(starts[fine]), 20_000):
-                    self._verify(group, length, starts[fine][piece : piece + 20_000], row[fine][piece : piece + 20_000], has, need, shingles, words, best)
-        return [(r, i, *found) for (r, i), found in best.items()]
-
-    def _verify(self, group: dict, length: int, starts: np.ndarray, row: np.ndarray, has: np.ndarray, need: np.ndarray, shingles: np.ndarray, words: Words, best: dict) -> None:
+                starts, row = starts[fine], row[fine]
+                step = max(1, 500_000 // want)
+                for piece in range(0, len(starts), step):
+                    found.append(self._verified(items, length, want, starts[piece : piece + step], row[piece : piece + step], has, shingles, words))
+        names = ("row", "item", "first", "words", "bits", "similarity")
+        columns = [np.concatenate([x[k] for x in found]) if found else np.empty(0) for k in range(6)]
+        order = np.lexsort((columns[2], -columns[5], columns[1], columns[0]))
+        lead = np.append(True, (np.diff(columns[0][order]) != 0) | (np.diff(columns[1][order]) != 0)) if len(order) else np.empty(0, bool)
+        return {x: c[order][lead] for x, c in zip(names, columns, strict=True)}
+
+    def _verified(self, items: tuple, length: int, want: int, starts: np.ndarray, row: np.ndarray, has: np.ndarray, shingles: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
+        numbers, index, member = items
         sizes = has[row]
-        prints, seen = _prints(shingles[_ranges(starts, sizes)], sizes), {}
-        for w in range(len(starts)):
-            own = shingles[starts[w] : starts[w] + sizes[w]]
-            same = own.tobytes()
-            if same not in seen:
-                items = self._having(group["tables"][length], own, int(sizes[w] - need[row[w]]) + 1)
-                near = [(j, int(prints[w] ^ group["prints"][j]).bit_count()) for j in items]
-                seen[same] = [(j, bits, self._similarity(own, group["counts"][j], int(group["sizes"][j]))) for j, bits in near if bits <= self.radius]
-            for j, bits, similarity in seen[same]:
-                key = (int(row[w]), self.ids[int(group["items"][j])])
-                if similarity >= self.least and (key not in best or similarity > best[key][3]):
-                    best[key] = (int(starts[w] - words.first[row[w]]), int(min(length, words.counts[row[w]])), bits, similarity)
-
-    @staticmethod
-    def _having(table: tuple[np.ndarray, np.ndarray, np.ndarray], own: np.ndarray, n: int) -> list[int]:
-        """The items that have one of the n shingles of `own` which are in the fewest items."""
-        keys, begin, items = table
-        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-        many = np.where(keys[at] == own, begin[at + 1] - begin[at], 0)
-        few = np.argsort(many, kind="stable")[:n]
-        few = np.unique(at[few[many[few] > 0]])
-        return np.unique(items[_ranges(begin[few], begin[few + 1] - begin[few])]).tolist()
-
-    @staticmethod
-    def _similarity(own: np.ndarray, counts: dict[int, int], size: int) -> float:
-        left, shared = dict(counts), 0
-        for x in own.tolist():
-            if left.get(x, 0):
-                left[x] -= 1
-                shared += 1
-        return shared / (len(own) + size - shared)
+        keys = _numbered(shingles[_ranges(starts, sizes)], sizes)
+        w, j, bits = index.near(_prints(keys, sizes))
+        begin = (np.cumsum(sizes) - sizes)[w]
+        own = mix(keys[_ranges(begin, sizes[w])] ^ mix(np.repeat(j.astype(_U), sizes[w]), 0x1D))
+        held = member[np.minimum(np.searchsorted(member, own), len(member) - 1)] == own
+        shared = np.add.reduceat(held, np.cumsum(sizes[w]) - sizes[w], dtype=np.int64) if len(w) else np.empty(0, np.int64)
+        similarity = shared / (sizes[w] + want - shared)
+        fine = similarity >= self.least
+        w, j = w[fine], j[fine]
+        return row[w], numbers[j], starts[w] - words.first[row[w]], np.minimum(length, words.counts[row[w]]), bits[fine], similarity[fine]
 
 
 def _item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
@@ -159,7 +185,7 @@ def _item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
 _FOUND = "item_id long, first_word long, n_words long, differing_bits int, similarity double"
 
 
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, least: float = 0.8, radius: int = _BITS, block_bytes: int = 16 << 20) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, least: float = 0.8, radius: int = _RADIUS, block_bytes: int = 16 << 20) -> DataFrame:
     """One row for each document row and item that it holds: id_col, item_id, and its most similar window."""
     small_batches(docs.sparkSession)
     inner = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -167,10 +193,9 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     def found(index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
-                rows = index.value.search(batch.column("text"))
-                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(6)]
-                ids = batch.column("id").take(pa.array(columns[0], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int32()), pa.array(columns[5], pa.float64())], names=["id", "item_id", "first_word", "n_words", "differing_bits", "similarity"])
+                x = index.value.search(batch.column("text"))
+                ids = batch.column("id").take(pa.array(x["row"].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(index.value.ids[x["item"].astype(np.int64)].tolist(), pa.int64()), *(pa.array(x[c].astype(np.int64)) for c in ("first", "words")), pa.array(x["bits"].astype(np.int32)), pa.array(x["similarity"].astype(np.float64))], names=["id", "item_id", "first_word", "n_words", "differing_bits", "similarity"])
 
         return inner.mapInArrow(run, f"id long, {_FOUND}")
 
@@ -179,7 +204,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return reduce(DataFrame.union, parts).withColumnRenamed("id", id_col)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, least: float = 0.8, radius: int = _BITS, block_bytes: int = 16 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, least: float = 0.8, radius: int = _RADIUS, block_bytes: int = 16 << 20) -> DataFrame:
     """The documents, with their columns, that hold no item.  No text is shuffled."""
     small_batches(docs.sparkSession)
     at, out = docs.columns.index(text_col), docs
@@ -189,7 +214,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, f"c{at}"):
                 stay = np.ones(len(batch), bool)
-                stay[[x[0] for x in index.value.search(batch.column(at))]] = False
+                stay[index.value.search(batch.column(at))["row"].astype(np.int64)] = False
                 yield batch.filter(pa.array(stay))
 
         named = out.toDF(*(f"c{k}" for k in range(len(docs.columns))))

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from clausemill.llm.decontaminate import drop_contaminated, find_items
+from clausemill.llm.decontaminate import HammingIndex, ItemIndex, drop_contaminated, find_items
 from clausemill.llm.language_id import UNKNOWN, predict, train
 from clausemill.llm.lattice import Lattice, Vocabulary
 from clausemill.llm.quality_rules import bucket, bucket_top, keep_good, quality_report
@@ -225,14 +225,12 @@ def test_leaks_like_brute_force(spark, make):
         at = rnd.randint(0, len(text))
         rows.append((100 + k, " ".join(text[:at] + [w.upper() for w in item[cut:]] + text[at:]) if k % 4 else " ".join(item)))
     table = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.similarity for r in find_items(make(rows), table, radius=30).collect()}
+    got = {(r.doc_id, r.item_id): r.similarity for r in find_items(make(rows), table).collect()}
     want = {(k, i): s for k, t in rows for i, s in brute.leaks(t, items).items()}
     assert got == pytest.approx(want) and len(want) > 30
-    small = {(r.doc_id, r.item_id) for r in find_items(make(rows), table, radius=30, block_bytes=40).collect()}
+    small = {(r.doc_id, r.item_id) for r in find_items(make(rows), table, block_bytes=40).collect()}
     assert small == set(want)
-    default = {(r.doc_id, r.item_id) for r in find_items(make(rows), table).collect()}
-    assert {k for k, s in want.items() if s == 1.0} <= default <= set(want)
-    left = drop_contaminated(make(rows), table, radius=30)
+    left = drop_contaminated(make(rows), table)
     assert left.columns == make(rows).columns
     assert sorted(r.doc_id or -1 for r in left.collect()) == sorted(k or -1 for k, t in rows if not brute.leaks(t, items))
     assert find_items(make(rows), table.limit(0)).count() == 0
@@ -253,10 +251,31 @@ def test_leaks_at_the_limit(spark, make):
     table = spark.createDataFrame(items, "item_id long, text string")
     found = find_items(make(rows), table).collect()
     assert {(r.doc_id, r.item_id): r.similarity for r in found} == pytest.approx(want)
-    assert max(r.differing_bits for r in found) > 17
+    assert 30 < max(r.differing_bits for r in found) <= 79
     assert drop_contaminated(make(rows), table).count() == 0
 
 
+def test_hamming_index_finds_all_within_the_radius():
+    """Random and planted fingerprints, few and many, against all distances; most others are not even looked at."""
+    rng = np.random.default_rng(3)
+    for n in (40, 6000):
+        prints = rng.integers(0, 2**63, (n, 4), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (n, 4), dtype=np.uint64)
+        queries = prints[rng.integers(0, n, 300)].copy()
+        for q, flips in zip(queries, rng.integers(0, 100, 300), strict=True):
+            bits = np.unpackbits(q.view(np.uint8))
+            bits[rng.permutation(256)[:flips]] ^= 1
+            q[:] = np.packbits(bits).view(np.uint64)
+        bits = np.bitwise_count(queries[:, None] ^ prints).sum(axis=2, dtype=np.int64)
+        for radius in (79, 40):
+            index = HammingIndex(prints, radius)
+            got = set(zip(*(x.tolist() for x in index.near(queries)), strict=True))
+            assert got == {(int(q), int(j), int(bits[q, j])) for q, j in zip(*np.nonzero(bits <= radius), strict=True)} and len(got) > 50
+    looked = np.unique(np.concatenate([index._block(queries.view(np.uint16)[:, k], *index.blocks[k]) for k in range(16)]), return_counts=True)[1]
+    assert (looked >= 3).mean() < 0.5 and (looked >= 3).sum() < 0.3 * 300 * n
+    with pytest.raises(ValueError):
+        ItemIndex([(1, "a b")], 5, 80, 0.8)
+
+
 def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(list(x), "source string, lang string, version string, op string, n_tokens long, old_tokens long")
     rollup = TokenRollup(spark, str(tmp_path / "r"))
