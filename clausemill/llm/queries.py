@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from clausemill.llm.language_id import predict, train
 from clausemill.llm.line_dedup import index_lines
 from clausemill.llm.quality_rules import quality_report
 from clausemill.llm.sentencepiece_codec import encode
-from clausemill.llm.shared import settle, shared_dir
+from clausemill.llm.shared import own_folder, settle
 from clausemill.llm.sharding import SLOTS, place
 from clausemill.llm.simhash_dedup import near_duplicates
 from clausemill.llm.substring_dedup import dedup_substrings
@@ -40,7 +39,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(docs.withColumn("once", F.when(once != F.col("text"), once)), ["text", "once"])
     toxic = _table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("toxic_id")).distinct()
     state = settle(counted.join(toxic, F.col("doc_id") == F.col("toxic_id"), "left").withColumn("version", F.lit("byte_bpe_50k")), "counted")
-    rollup = TokenRollup(spark, f"{shared_dir(spark)}/clausemill/rollup-{uuid.uuid4().hex}")
+    rollup = TokenRollup(spark, own_folder(spark, "rollup"))
     keys, now = ["source", "lang", "version"], F.when(F.col("n_1") > 0, F.col("n_1")).otherwise(F.col("n_0"))
     load = state.select(*keys, F.lit("insert").alias("op"), F.col("n_0").alias("n_tokens"), F.lit(0).alias("old_tokens"))
     rollup.commit("load", load)
@@ -108,14 +107,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _op4_sql() -> str:
-    """The table by another road: each shard's whole order of preference as a list, then turns."""
+    """The table by another road: each shard's order of preference as numbers that run on, then turns."""
     import hashlib
 
     from_hex = lambda x: int(x, 16)
     orders = []
     for name in SHARDS:
         h = hashlib.md5(name.encode()).hexdigest()
-        orders.append(iter([(from_hex(h[:15]) + j * (from_hex(h[17:]) % (SLOTS - 1) + 1)) % SLOTS for j in range(SLOTS)]))
+        first, step = from_hex(h[:15]), from_hex(h[17:]) % (SLOTS - 1) + 1
+        orders.append(x % SLOTS for x in range(first, first + SLOTS * step, step))
     table: dict[int, str] = {}
     while len(table) < SLOTS:
         for name, order in zip(SHARDS, orders, strict=True):

@@ -8,7 +8,8 @@ input, is broadcast: placement costs one lookup and no shuffle, so hot keys or s
 
 Defined cases: a null key is placed as the empty string is; repeated keys share a shard; an empty table gives no rows;
 no shards, repeated names, names with a comma, or a number of slots that is not prime or not above that of the shards
-are errors; a table column named as an output is replaced by it.
+are errors; a column of the table named as an output (slot, shard, in any case) gives way to it, also where it is the
+key; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausemill.llm.shared import fresh
+
 SLOTS = 65537
 
 
@@ -54,6 +57,8 @@ def lookup_table(docs: DataFrame, shards: list[str], slots: int = SLOTS) -> Data
 
 def place(docs: DataFrame, shards: list[str], key_col: str = "doc_id", slots: int = SLOTS) -> DataFrame:
     """The rows with their columns, slot (int) and shard (string)."""
-    table = lookup_table(docs, shards, slots).withColumnRenamed("slot", "__slot")
-    rows = docs.drop("shard").withColumn("slot", slot_of(F.col(f"`{key_col}`"), slots))
-    return rows.join(F.broadcast(table), F.col("slot") == F.col("__slot")).drop("__slot")
+    at, of, owner = (fresh(x, docs.columns) for x in ("at", "of", "owner"))
+    rows = docs.withColumn(at, slot_of(F.col(f"`{key_col}`"), slots))
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("slot", "shard")]
+    placed = rows.join(F.broadcast(lookup_table(docs, shards, slots).toDF(of, owner)), F.col(at) == F.col(of))
+    return placed.select(*own, F.col(at).alias("slot"), F.col(owner).alias("shard"))

@@ -7,7 +7,8 @@ Links: a fingerprint becomes the vector of bit counts of its 2-bit segments.  Th
 at most the Hamming distance of the fingerprints, so partners within two bits lie within two steps on the grid, and
 two points two steps apart have a grid point between them, one step from each.  Each different fingerprint is sent to
 its own point and to those one step away (49 on average); those that meet at a point are compared bit by bit.
-Crowded points link by the exact bit patterns one flip away, which costs 65 keys a fingerprint and never all pairs.
+What meets at a crowded point goes on as single fingerprints, and those link through the exact bit patterns one flip away
+(two fingerprints at most two bits apart share one): 65 keys each, spread over all tasks, and never all pairs.
 
 Components of linked fingerprints come from alternating stars, and each document takes the smallest id reachable.
 
@@ -90,19 +91,6 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= radius
 
 
-def _crowd_links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among many fingerprints: who share a pattern at most one flip away are at most two bits apart."""
-    flips = np.concatenate([[_U(0)], _U(1) << np.arange(64, dtype=_U)]) if radius == 2 else np.array([0], _U)
-    if radius == 1:
-        there = np.concatenate([np.intersect1d(fp, fp ^ (_U(1) << _U(k))) for k in range(64)])
-        return np.concatenate([there ^ (_U(1) << _U(k)) for k in range(64)]), np.tile(there, 64)
-    pattern, who = (fp[:, None] ^ flips).ravel(), np.repeat(fp, len(flips))
-    order = np.lexsort((who, pattern))
-    pattern, who = pattern[order], who[order]
-    lead = np.flatnonzero(np.append(True, pattern[1:] != pattern[:-1]))
-    return who, np.repeat(who[lead], np.diff(np.append(lead, len(who))))
-
-
 def _together(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
     """Batches joined until they have enough rows."""
     held: list[pa.RecordBatch] = []
@@ -116,8 +104,11 @@ def _together(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table
 
 
 def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Verified links of fingerprints that meet; rows come sorted by point, and a batch's last point is carried on."""
-    points, fps = np.empty(0, np.int64), np.empty(0, np.int64)
+    """Rows sorted by point -> verified links (u, v) of fingerprints that meet, and the fingerprints of crowded points (v null).
+
+    A batch's last point is carried on, but for one that is crowded already: that one is sent on as it comes.
+    """
+    points, fps, crowded = np.empty(0, np.int64), np.empty(0, np.int64), None
 
     def linked(points: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(points):
@@ -126,30 +117,28 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         lead = np.flatnonzero(np.append(True, points[1:] != points[:-1]))
         sizes = np.diff(np.append(lead, len(points)))
         group = np.repeat(np.arange(len(lead)), sizes)
-        left, right = [], []
-        small = sizes[group] <= _CROWD
+        left, right = [np.empty(0, _U)], [np.empty(0, _U)]
+        small = (sizes[group] <= _CROWD) & (points != crowded if crowded is not None else True)
         for step in range(1, int(min(sizes.max(), _CROWD))):
             at = np.flatnonzero((group[step:] == group[:-step]) & small[step:])
             at = at[_near(fp[at], fp[at + step], radius)]
             left.append(fp[at])
             right.append(fp[at + step])
-        for k in np.flatnonzero(sizes > _CROWD):
-            a, b = _crowd_links(np.unique(fp[lead[k] : lead[k] + sizes[k]]), radius)
-            fine = (a != b) & _near(a, b, radius)
-            left.append(a[fine])
-            right.append(b[fine])
-        if left:
-            a, b = signed(np.concatenate(left)), signed(np.concatenate(right))
-            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-            if pairs.size:
-                yield pa.RecordBatch.from_pydict({"u": pairs[0], "v": pairs[1]})
+        a, b, many = signed(np.concatenate(left)), signed(np.concatenate(right)), fps[~small]
+        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+        if pairs.size or len(many):
+            yield pa.RecordBatch.from_pydict({"u": np.concatenate([pairs[0], many]), "v": pa.concat_arrays([pa.array(pairs[1]), pa.nulls(len(many), pa.int64())])})
 
     for batch in _together(batches, 100_000):
         points = np.concatenate([points, batch.column("point").to_numpy()])
         fps = np.concatenate([fps, batch.column("fp").to_numpy()])
         cut = int(np.searchsorted(points, points[-1])) if len(points) else 0
+        if len(points) - cut > _CROWD or len(points) and points[-1] == crowded:
+            last, cut = points[-1], len(points)
+        else:
+            last = crowded
         yield from linked(points[:cut], fps[:cut])
-        points, fps = points[cut:], fps[cut:]
+        points, fps, crowded = points[cut:], fps[cut:], last
     yield from linked(points, fps)
 
 
@@ -161,7 +150,13 @@ def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     if radius not in (1, 2):
         raise ValueError("the radius is 1 or 2")
     met = prints.select("fp").mapInArrow(_points, "point long, fp long").repartition(partitions(prints.sparkSession), "point").sortWithinPartitions("point")
-    return met.mapInArrow(lambda it: _links(it, radius), "u long, v long").distinct()
+    met = settle(met.mapInArrow(lambda it: _links(it, radius), "u long, v long"), "met")
+    crowd = met.filter("v IS NULL").select("u").distinct()
+    flips = F.array(F.col("u"), *(F.col("u").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(64)))
+    patterns = crowd.select("u", F.explode(flips).alias("pattern"))
+    other = crowd.select(F.col("u").alias("pattern"), F.col("u").alias("v")) if radius == 1 else patterns.groupBy("pattern").agg(F.min("u").alias("v"), F.count("*").alias("n")).filter("n > 1").select("pattern", "v")
+    crossed = patterns.join(other, "pattern").filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    return met.filter("v IS NOT NULL").union(crossed).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:

@@ -9,7 +9,8 @@ anywhere else (same document included) goes; windows are judged on the input.
    block.  A cell can only overestimate, so no repeated window is missed.
 2. Exact pass.  Windows whose estimate is two or more go to a shuffle keyed by 96 bits of window hash (64 + 32, from
    independent chains) where they are counted exactly.  Windows found twice within a slice of a task are settled
-   there; of such a group one row goes on, so a passage held by a third of all rows is sent once for each slice.
+   there; of such a group one row goes on, and later slices of the task send none for it (up to `_TOLD` windows are
+   remembered), so a passage held by a third of all rows is sent once for each task.
 3. Positions come back per document, and words are dropped there.
 
 The sketch is the only broadcast.  Its size follows the input up to `max_cells` cells for each row, one bit each when
@@ -35,6 +36,7 @@ from clausemill.llm.words import Words, mix, runs, signed, slices, sliding_min
 _U = np.uint64
 _PIECE = 1 << 20
 _BLOCK = 1 << 20
+_TOLD = 1 << 20
 _SALTS = (0x51ED270B, 0x2545F491)
 
 
@@ -124,6 +126,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], width: int, cells: int, sketc
 
     kind 0: not yet known to repeat; 1: known to repeat, and tells others; 2: known to repeat (a run of `span` starts).
     """
+    told = np.empty(0, _U), np.empty(0, np.uint32)  # sorted: windows sent as kind 1, which need not be sent again
     for batch in slices(batches, "text"):
         words = Words(batch.column("text"))
         hashes, owner = words.hashes(), words.owner
@@ -147,6 +150,14 @@ def _candidates(batches: Iterator[pa.RecordBatch], width: int, cells: int, sketc
             same = (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])
             lead, follow = np.append(True, ~same), np.append(False, same)
             shared = np.append(same, False) & lead
+            if len(told[0]):
+                place = np.minimum(np.searchsorted(told[0], s1), len(told[0]) - 1)
+                known = (told[0][place] == s1) & (told[1][place] == s2)
+                lead, follow, shared = lead & ~known, follow | known, shared & ~known
+            if len(told[0]) + shared.sum() <= _TOLD:
+                both = np.concatenate([told[0], s1[shared]]), np.concatenate([told[1], s2[shared]])
+                turn = np.argsort(both[0], kind="stable")
+                told = both[0][turn], both[1][turn]
             kind = np.full(len(at), 0, np.int8)
             kind[order[shared]] = 1
             later = np.sort(at[order[follow]])

@@ -5,9 +5,9 @@ one tokenizer version.  Each becomes signed numbers (documents, tokens), which a
 aggregated before it is stored and totals are sums over batches.  A group with a third of all rows is one row per task
 after the partial aggregation.
 
-TokenRollup keeps one folder per committed batch.  A batch is written beside them and moved into place in one rename;
-a batch whose folder is there already changes nothing, so a retried or doubled commit counts once.  compact() folds
-batches into one folder and keeps their names.
+TokenRollup writes a batch's deltas in a new folder; they count from when a record of that folder is published under the
+batch's name, which one of several writers can do (shared.publish).  A batch whose name is taken changes nothing, so a
+retried, doubled or concurrent commit counts once.  compact() folds batches into one folder and keeps their names.
 
 Defined cases: null source, language or version are groups of their own; null counts are zero; null text has no
 tokens; repeated change rows count each; an empty batch is committed and adds nothing; groups whose documents and tokens
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausemill.llm.shared import once, small_batches
+from clausemill.llm.shared import once, publish, records, remove, small_batches
 from clausemill.llm.words import slices
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -74,57 +74,50 @@ class TokenRollup:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self._root = spark._jvm.org.apache.hadoop.fs.Path(path)
-        self._fs = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._at("deltas"))
-
-    def _at(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(self._root, name)
-
-    def _folders(self) -> dict[str, set[str]]:
-        """Folders that count, and the batches in each; one whose batches are all in a larger folder was compacted into it."""
-        found = {}
-        for x in self._fs.listStatus(self._at("deltas")):
-            name = x.getPath().getName()
-            kind, _, rest = name.partition("=")
-            found[name] = {rest} if kind == "batch" else {r["value"] for r in self.spark.read.text(f"{self.path}/names/{rest}").collect()}
-        return {k: v for k, v in found.items() if not any(v < w for w in found.values())}
+
+    def _live(self) -> tuple[list[str], set[str]]:
+        """Folders that count, and all batches; a record whose batches are all in a larger one, or one before it, was compacted."""
+        found = [(x["folder"], set(x["batches"])) for x in records(self.spark, f"{self.path}/records").values()]
+        live = [f for k, (f, own) in enumerate(found) if not any(own < other or own == other and j < k for j, (_, other) in enumerate(found))]
+        return live, set().union(*(own for _, own in found))
 
     def batches(self) -> list[str]:
         """Names of the batches committed so far."""
-        return sorted(set().union(*self._folders().values()))
+        return sorted(self._live()[1])
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of changes; False, and no change, if the name was committed before."""
-        if not batch or any(x in batch for x in "\n/="):
-            raise ValueError("a batch name is not empty and has no line end, '/' or '='")
+        if not batch or any(x in batch for x in "\n/=:"):
+            raise ValueError("a batch name is not empty and has no line end, '/', ':' or '='")
         if batch in self.batches():
             return False
         rows = signed(changes).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return self._put(rows, f"batch={batch}")
+        return self._put(rows, f"batch={batch}", [batch])
 
-    def _put(self, rows: DataFrame, name: str) -> bool:
-        staged = f"staged-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{staged}")
-        target = self._at(f"deltas/{name}")
-        done = not self._fs.exists(target) and self._fs.rename(self._at(staged), target)
-        self._fs.delete(self._at(staged), True)
-        return bool(done)
+    def _put(self, rows: DataFrame, name: str, batches: list[str]) -> bool:
+        folder = f"{self.path}/deltas/{uuid.uuid4().hex}"
+        rows.write.parquet(folder)
+        done = publish(self.spark, f"{self.path}/records", name, {"folder": folder, "batches": batches})
+        if not done:
+            remove(self.spark, folder)
+        return done
 
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens over all committed batches."""
-        folders = [f"{self.path}/deltas/{x}" for x in self._folders()]
+        folders = self._live()[0]
         if not folders:
             return self.spark.createDataFrame([], self.SCHEMA)
         rows = self.spark.read.schema(self.SCHEMA).parquet(*folders)
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 OR n_tokens <> 0")
 
     def compact(self) -> None:
-        """Fold all batches into one folder, by one writer.  The rename decides: before it the old folders count, after it the new one."""
-        old = self._folders()
+        """Fold all batches into one folder, by one writer at a time.  The record decides: before it the old folders count, after it the new one.
+
+        Records stay, so that no name can be taken again.
+        """
+        old, batches = self._live()
         if len(old) > 1:
-            name = uuid.uuid4().hex
-            self.spark.createDataFrame([(x,) for x in self.batches()], "value string").coalesce(1).write.text(f"{self.path}/names/{name}")
-            if self._put(self.totals(), f"compact={name}"):
-                for x in old:
-                    self._fs.delete(self._at(f"deltas/{x}"), True)
+            rows = self.spark.read.schema(self.SCHEMA).parquet(*old).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+            if self._put(rows, f"compact={uuid.uuid4().hex}", sorted(batches)):
+                for folder in old:
+                    remove(self.spark, folder)

@@ -47,6 +47,23 @@ def test_substrings_odd(make):
         dedup_substrings(make([(1, "x")]), width=1)
 
 
+def test_substrings_held_everywhere_are_told_once_a_task():
+    """A passage of every text: one row for each of its windows and task, however many slices; all its places are known."""
+    import pyarrow as pa
+
+    from clausemill.llm import substring_dedup as sub
+
+    passage = " ".join(f"p{k}" for k in range(12))
+    texts = [f"{passage} own{k} " + "x" * 40_000 for k in range(200)]  # four slices or more
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(200)), "mark": pa.array(range(200), pa.int32()), "text": texts})
+    class Sketch:  # noqa: E306  everything is estimated repeated
+        value = [np.full(1 << 17, 0xFF, np.uint8)] * 2
+
+    out = pa.Table.from_batches(list(sub._candidates(iter([batch]), 6, 1 << 20, Sketch)))
+    kinds = np.bincount(out.column("kind").to_numpy(), minlength=3)
+    assert kinds[1] == 7 and out.filter(pa.compute.equal(out.column("kind"), 2)).column("id").value_counts().to_pylist() == [{"values": k, "counts": 1} for k in range(1, 200)]
+
+
 def test_substrings_overloaded_sketch(make):
     """The smallest sketch lets more windows through, and changes nothing."""
     rows = _passages(3, 40)
@@ -199,6 +216,8 @@ def test_near_links_sparse_and_crowded(spark):
         prints += [p ^ (1 << rnd.randrange(64)), p ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64))]
     center = rnd.getrandbits(64) & ~0b1111
     prints += [center ^ (1 << a) ^ (1 << b) for a in range(0, 24) for b in range(a)]  # a crowd around one point
+    lone = rnd.getrandbits(64) & ~0xFFFFFFFF | 0x55555555  # 2^12 at one point, in two parts three bits apart or more
+    prints += [lone ^ sum(3 << 2 * b for b in range(12) if k >> b & 1) for k in range(1 << 12) if k.bit_count() % 3]
     prints = sorted(set(prints))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     links = near_links(spark.createDataFrame([(p,) for p in signed], "fp long"))
@@ -210,6 +229,20 @@ def test_near_links_sparse_and_crowded(spark):
     assert found == brute.groups(list(enumerate(prints)))
 
 
+def test_links_of_a_point_over_many_batches():
+    """A crowded point longer than a batch is sent on whole; the points beside it link as ever."""
+    import pyarrow as pa
+
+    from clausemill.llm import simhash_dedup as sd
+
+    point = np.concatenate([[1, 1], np.full(250_000, 5), [9, 9]])
+    fp = np.concatenate([[0, 1], np.arange(250_000) * 8, [16, 17]])
+    batches = [pa.RecordBatch.from_pydict({"point": point[k : k + 30_000], "fp": fp[k : k + 30_000]}) for k in range(0, len(fp), 30_000)]
+    out = [x for b in sd._links(iter(batches), 2) for x in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True)]
+    assert {x for x in out if x[1] is not None} == {(1, 0), (17, 16)}
+    assert sorted(u for u, v in out if v is None) == list(range(0, 2_000_000, 8))
+
+
 def test_near_duplicates_odd(make):
     rows = [r for r in ODD if r[0] is not None]
     got = {(r.doc_id, r.component_id) for r in near_duplicates(make(rows)).collect()}

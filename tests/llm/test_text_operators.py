@@ -297,6 +297,23 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
         rollup.commit("a/b", load)
 
 
+def test_rollup_of_two_writers(spark, tmp_path, monkeypatch):
+    """Another writer commits the same batch between looking and publishing: it counts once."""
+    from clausemill.llm import token_counts
+
+    rows = spark.createDataFrame([("a", "en", "v1", "insert", 10, None)], "source string, lang string, version string, op string, n_tokens long, old_tokens long")
+    publish, other = token_counts.publish, TokenRollup(spark, str(tmp_path / "r"))
+
+    def late(*args):
+        monkeypatch.setattr(token_counts, "publish", publish)
+        assert other.commit("one", rows)
+        return publish(*args)
+
+    monkeypatch.setattr(token_counts, "publish", late)
+    assert not TokenRollup(spark, str(tmp_path / "r")).commit("one", rows)
+    assert [tuple(r) for r in other.totals().collect()] == [("a", "en", "v1", 1, 10)]
+
+
 def test_token_counts(make):
     import base64
 
@@ -348,6 +365,11 @@ def test_shards_take_turns(make):
     assert out.count() == len(ODD) and set(out.columns) == {*docs.columns, "slot"}
     assert all(r.shard == names[table[r.slot]] for r in out.collect())
     assert place(docs.limit(0), names, slots=1009).count() == 0
+    odd = docs.selectExpr("doc_id AS __slot", "doc_id AS Shard", "doc_id AS at", "doc_id AS of", "doc_id AS owner", "text AS slot", "text AS `a.b`")
+    for key in ("__slot", "Shard", "at"):
+        got = place(odd, names, key, slots=1009)
+        assert got.columns == ["__slot", "at", "of", "owner", "a.b", "slot", "shard"]
+        assert sorted(str((r["__slot"], r.slot, r.shard)) for r in got.collect()) == sorted(str((r.doc_id, r.slot, r.shard)) for r in out.collect())
     for bad in ([], ["a", "a"], ["a,b"]):
         with pytest.raises(ValueError):
             fill(bad, 1009)
