@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
+from clausemill.tables import settle
 
 # Score limits of the bands (strong, moderate).
 SPARSE_BANDS = (0.30, 0.15)
@@ -19,21 +20,34 @@ def _prop(name: str) -> object:
     return F.col("properties").getItem(name)
 
 
+def _small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df, to be broadcast if it has at most `most` rows, as the hits of one question have."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def enrich(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """hits (document_id, clause_id, ...) with canonical_id, canonical_label, mapping_confidence, review_required, concept_parent, obligation_type.
 
-    Of several edges of a kind the last counts, by edge_ord where the edges have it.
+    Of several edges of a kind the last counts, by edge_ord where the edges have it.  Edges and nodes are met by the few
+    keys that the hits need, so that a graph kept as a table is read, and neither shuffled nor sorted.
     """
     at = F.col("edge_ord") if "edge_ord" in edges.columns else F.struct("target", "provenance")
-    last = lambda kind, *more: edges.filter(F.col("type") == kind).groupBy("source").agg(F.max_by(F.struct("target", *more), at).alias("e"))
-    concept = last("MAPS_TO_CONCEPT", "provenance").select(F.col("source").alias("__c"), F.col("e.target").alias("concept_node"), F.col("e.provenance.match_confidence").alias("mapping_confidence"), F.col("e.provenance.review_required").alias("review_required"))
-    parent = last("CHILD_OF").select(F.col("source").alias("__k"), F.col("e.target").alias("__parent"))
-    bound = last("HAS_OBLIGATION").select(F.col("source").alias("__b"), F.col("e.target").alias("__obligation"))
-    label = lambda name, *columns: nodes.select(F.col("id").alias(f"__{name}_id"), *columns)
+
+    def last(kind: str, sources: DataFrame, *more: str) -> DataFrame:
+        mine = edges.filter(F.col("type") == kind).join(_small(sources.toDF("source").distinct()), "source", "left_semi")
+        return mine.groupBy("source").agg(F.max_by(F.struct("target", *more), at).alias("e"))
+
+    def label(ids: DataFrame, name: str, **properties: str) -> DataFrame:
+        mine = nodes.join(_small(ids.toDF("id").distinct()), "id", "left_semi")
+        return mine.select(F.col("id").alias(f"__{name}_id"), *(_prop(p).alias(n) for n, p in properties.items()))
+
     x = hits.withColumn("clause_node", F.concat(F.lit("Clause:"), F.col("document_id"), F.lit("/"), F.col("clause_id")))
-    x = x.join(concept, F.col("clause_node") == F.col("__c"), "left").join(label("concept", _prop("canonical_id").alias("canonical_id"), _prop("label").alias("canonical_label")), F.col("concept_node") == F.col("__concept_id"), "left")
-    x = x.join(parent, F.col("concept_node") == F.col("__k"), "left").join(label("parent", _prop("label").alias("concept_parent")), F.col("__parent") == F.col("__parent_id"), "left")
-    x = x.join(bound, F.col("clause_node") == F.col("__b"), "left").join(label("duty", _prop("label").alias("obligation_type")), F.col("__obligation") == F.col("__duty_id"), "left")
+    concept = last("MAPS_TO_CONCEPT", x.select("clause_node"), "provenance").select(F.col("source").alias("__c"), F.col("e.target").alias("concept_node"), F.col("e.provenance.match_confidence").alias("mapping_confidence"), F.col("e.provenance.review_required").alias("review_required"))
+    bound = last("HAS_OBLIGATION", x.select("clause_node")).select(F.col("source").alias("__b"), F.col("e.target").alias("__obligation"))
+    parent = last("CHILD_OF", concept.select("concept_node")).select(F.col("source").alias("__k"), F.col("e.target").alias("__parent"))
+    x = x.join(concept, F.col("clause_node") == F.col("__c"), "left").join(label(concept.select("concept_node"), "concept", canonical_id="canonical_id", canonical_label="label"), F.col("concept_node") == F.col("__concept_id"), "left")
+    x = x.join(parent, F.col("concept_node") == F.col("__k"), "left").join(label(parent.select("__parent"), "parent", concept_parent="label"), F.col("__parent") == F.col("__parent_id"), "left")
+    x = x.join(bound, F.col("clause_node") == F.col("__b"), "left").join(label(bound.select("__obligation"), "duty", obligation_type="label"), F.col("__obligation") == F.col("__duty_id"), "left")
     return x.select(*hits.columns, "concept_node", "canonical_id", "canonical_label", "mapping_confidence", "review_required", "concept_parent", "obligation_type")
 
 
@@ -42,13 +56,15 @@ def impact_candidates(evidence: DataFrame, edges: DataFrame) -> DataFrame:
     touched = evidence.filter("concept_node IS NOT NULL").groupBy("concept_node").agg(F.first("canonical_label", ignorenulls=True).alias("concept"), F.first("canonical_id", ignorenulls=True).alias("canonical_id"))
     mapped = edges.filter(F.col("type") == "MAPS_TO_CONCEPT").select("target", "provenance.document_id", "provenance.clause_no", "provenance.page")
     inside = evidence.select(F.col("document_id").alias("__d")).distinct()
-    return mapped.join(touched, F.col("target") == F.col("concept_node")).join(inside, F.col("document_id") == F.col("__d"), "left_anti").select("concept", "canonical_id", "document_id", "clause_no", "page")
+    return mapped.join(_small(touched), F.col("target") == F.col("concept_node")).join(_small(inside), F.col("document_id") == F.col("__d"), "left_anti").select("concept", "canonical_id", "document_id", "clause_no", "page")
 
 
 def attach_text(evidence: DataFrame, clauses: DataFrame, documents: DataFrame) -> DataFrame:
     """Adds text: the clause's own, else its title.  documents: document_id, stem (the last stem of a document counts)."""
     stems = documents.groupBy("document_id").agg(F.max("stem").alias("__stem"))
     own = clauses.select(F.col("stem").alias("__s"), F.col("clause_id").alias("__c"), F.col("text").alias("__text"))
+    stems = stems.join(_small(evidence.select("document_id").distinct()), "document_id", "left_semi")
+    own = own.join(_small(stems.select(F.col("__stem").alias("__s")).distinct()), "__s", "left_semi")
     x = evidence.join(stems, "document_id", "left").join(own, (F.col("__stem") == F.col("__s")) & (F.col("clause_id") == F.col("__c")), "left")
     return x.withColumn("text", tx.present("__text", "title")).drop("__stem", "__s", "__c", "__text")
 
@@ -108,8 +124,11 @@ class Answer:
 
 
 def answer(query: str, hits: DataFrame, clauses: DataFrame, nodes: DataFrame, edges: DataFrame, documents: DataFrame, dense: bool = False, synthesizer: Callable[[str, list[dict]], str] | None = None) -> Answer:
-    """Everything about a question.  hits: document_id, clause_id, clause_no, title, page, score (top k, so a few rows)."""
-    evidence = attach_text(enrich(hits, nodes, edges), clauses, documents)
+    """Everything about a question.  hits: document_id, clause_id, clause_no, title, page, score (top k, so a few rows).
+
+    The evidence is written once, as everything else is made of it.
+    """
+    evidence = settle(attach_text(enrich(settle(hits, "hits"), nodes, edges), clauses, documents), "evidence")
     impact = impact_candidates(evidence, edges)
     text, loose = None, None
     if synthesizer is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,16 @@ def merge_nodes(nodes: DataFrame, group: list[str] | None = None) -> DataFrame:
     return forms.select(*keys, first["type"].alias("type"), F.when(F.size("f") == 1, F.map_from_entries(first["entries"])).otherwise(merged).alias("properties"))
 
 
+def _seen(rows: DataFrame, *kinds: tuple[str, str, Column]) -> DataFrame:
+    """stem, type, key, label, arrival: the different (type, key, label) that a document's rows name, each at its first row.
+
+    kinds: (type, key column, label).  Keys and labels are grouped before any property is built.
+    """
+    none = F.lit(None).cast("string")
+    named = F.array_compact(F.array(*(F.when(F.coalesce(F.col(key), F.lit("")) != "", F.struct(F.lit(kind).alias("type"), F.col(key).alias("key"), (none if label is None else label).alias("label"))) for kind, key, label in kinds)))
+    return rows.select("stem", "ord", F.explode(named).alias("x")).groupBy("stem", "x.type", "x.key", "x.label").agg(F.min("ord").alias("ord"))
+
+
 def structural_once(edges: DataFrame, group: list[str] | None = None) -> DataFrame:
     """Edges without evidence once for each (source, target, type); those with evidence all."""
     keys = [*(group or []), "source", "target", "type"]
@@ -59,10 +70,11 @@ def structural_once(edges: DataFrame, group: list[str] | None = None) -> DataFra
     return bare.unionByName(edges.filter("provenance IS NOT NULL"))
 
 
-def build_graph(clauses: DataFrame, objects: DataFrame, metadata: DataFrame, catalog: DataFrame, domains: DataFrame) -> tuple[DataFrame, DataFrame]:
+def build_graph(clauses: DataFrame, objects: DataFrame, metadata: DataFrame, catalog: DataFrame, domains: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of every document.  metadata: stem, document_id, regulator, regulator_country, title, source_type, version, jurisdiction, catalog_version.
 
-    Each of the three inputs (documents, clauses, concepts of a document) is read once for nodes and once for edges.
+    A clause's id is unique in its document (number_clauses), so documents and clauses are nodes as they are; what several
+    clauses name is grouped by key first.  keep(name, df) may write the joined rows as a table, which both results read.
     """
     col, there = F.col, lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     meta = metadata.withColumn("document_id", tx.present("document_id", "stem"))
@@ -71,37 +83,34 @@ def build_graph(clauses: DataFrame, objects: DataFrame, metadata: DataFrame, cat
     entry = catalog.select(col("canonical_id").alias("__id"), col("label").alias("cat_label"), col("domain").alias("cat_domain"), col("status").alias("cat_status"), col("parent").alias("cat_parent"))
     own = objects.groupBy("stem", "clause_id").agg(F.max_by(F.struct("canonical_id", "canonical_label", "match_type", "match_confidence", "review_required"), "ord").alias("o"))
     mapped = clauses.join(own, ["stem", "clause_id"], "left").withColumn("canonical_id", col("o.canonical_id"))
-    c = mapped.join(meta.select("stem", "document_id"), "stem").join(labels, col("semantic.domain") == col("__t"), "left").join(entry, col("canonical_id") == col("__id"), "left")
+    c = keep("graph_rows", mapped.join(meta.select("stem", "document_id", "catalog_version"), "stem").join(labels, col("semantic.domain") == col("__t"), "left").drop("__t"))
     clause = F.concat(F.lit("Clause:"), col("document_id"), F.lit("/"), col("clause_id"))
     mark = {"document_id": col("document_id"), "clause_id": col("clause_id"), "clause_no": col("clause_no"), "page": col("page_reference")}
     concept = lambda x: F.concat(F.lit("Concept:"), col(x))
     place = lambda x: F.concat(F.lit("Domain:"), col(x))
     duty = F.concat(F.lit("ObligationType:"), col("semantic.obligation_type"))
-    at, later = col("ord") + _CLAUSE_STEP, col("ord") + _CATALOG_STEP
+    later = col("ord") + _CATALOG_STEP
     parent = catalog.select(col("canonical_id").alias("__pid"), col("label").alias("parent_label"), col("domain").alias("parent_domain"), col("status").alias("parent_status"))
-    here = mapped.filter(there("canonical_id")).groupBy("stem", "canonical_id").agg(F.min("ord").alias("ord")).join(meta.select("stem", "catalog_version"), "stem").join(entry, col("canonical_id") == col("__id")).join(parent, col("cat_parent") == col("__pid"), "left")
+    here = c.filter(there("canonical_id")).groupBy("stem", "canonical_id", "catalog_version").agg(F.min("ord").alias("ord")).join(entry, col("canonical_id") == col("__id")).join(parent, col("cat_parent") == col("__pid"), "left")
     version = _evidence(catalog_version=col("catalog_version"))
-    nodes = [
-        _each(
-            meta,
-            _node("Document", col("document_id"), F.lit(0), title=col("title"), source_type=col("source_type"), version=col("version"), jurisdiction=col("jurisdiction"), stem=col("stem"), regulator=col("regulator")),
-            _node("Regulator", col("regulator"), F.lit(0), there("regulator"), name=col("regulator"), country=col("regulator_country")),
-        ),
-        _each(
-            c,
-            _node("Clause", F.concat("document_id", F.lit("/"), "clause_id"), at, clause_no=col("clause_no"), title=col("title"), text=col("text"), page=col("page_reference"), mandatory_flag=tx.present("semantic.mandatory_flag"), action=tx.present("semantic.action")),
-            _node("Domain", col("domain_label"), at, there("domain_label"), label=col("domain_label")),
-            _node("ObligationType", col("semantic.obligation_type"), at, there("semantic.obligation_type"), label=col("semantic.obligation_type")),
-            _node("Concept", col("canonical_id"), at, there("canonical_id"), canonical_id=col("canonical_id"), label=tx.present("o.canonical_label", "cat_label"), domain=col("cat_domain"), status=col("cat_status")),
-        ),
+    rows = c.withColumns({"__duty": col("semantic.obligation_type"), "__label": tx.present("o.canonical_label")})
+    seen = _seen(rows, ("Domain", "domain_label", None), ("ObligationType", "__duty", None), ("Concept", "canonical_id", col("__label"))).join(entry, (col("type") == "Concept") & (col("key") == col("__id")), "left")
+    of_concept = properties(canonical_id=col("key"), label=tx.present("label", "cat_label"), domain=col("cat_domain"), status=col("cat_status"))
+    shared = seen.select("stem", F.concat("type", F.lit(":"), "key").alias("id"), "type", F.when(col("type") == "Concept", of_concept).otherwise(properties(label=col("key"))).alias("entries"), (col("ord") + _CLAUSE_STEP).alias("arrival"))
+    shared = shared.unionByName(
         _each(
             here,
             _node("Concept", col("cat_parent"), later, there("cat_parent"), canonical_id=col("cat_parent"), label=col("parent_label"), domain=col("parent_domain"), status=col("parent_status")),
             _node("Domain", col("cat_domain"), later, there("cat_domain"), label=col("cat_domain")),
-        ),
+        )
+    ).unionByName(_each(meta, _node("Regulator", col("regulator"), F.lit(0), there("regulator"), name=col("regulator"), country=col("regulator_country"))))
+    single = [
+        _each(meta, _node("Document", col("document_id"), F.lit(0), title=col("title"), source_type=col("source_type"), version=col("version"), jurisdiction=col("jurisdiction"), stem=col("stem"), regulator=col("regulator"))),
+        _each(c, _node("Clause", F.concat("document_id", F.lit("/"), "clause_id"), F.lit(0), clause_no=col("clause_no"), title=col("title"), text=col("text"), page=col("page_reference"), mandatory_flag=tx.present("semantic.mandatory_flag"), action=tx.present("semantic.action"))),
     ]
+    nodes = reduce(DataFrame.unionByName, (x.select("stem", "id", "type", F.map_from_entries("entries").alias("properties")) for x in single)).unionByName(merge_nodes(shared, ["stem"]))
     edges = [
-        _each(meta, _edge(doc, law, "ISSUED_BY", None, there("regulator"))),
+        structural_once(_each(meta, _edge(doc, law, "ISSUED_BY", None, there("regulator"))), ["stem"]),
         _each(
             c,
             _edge(doc, clause, "HAS_CLAUSE", None),
@@ -111,7 +120,7 @@ def build_graph(clauses: DataFrame, objects: DataFrame, metadata: DataFrame, cat
         ),
         _each(here, _edge(concept("canonical_id"), concept("cat_parent"), "CHILD_OF", version, there("cat_parent")), _edge(concept("canonical_id"), place("cat_domain"), "IN_DOMAIN", version, there("cat_domain"))),
     ]
-    return merge_nodes(reduce(DataFrame.unionByName, nodes), ["stem"]), structural_once(reduce(DataFrame.unionByName, edges), ["stem"])
+    return nodes, reduce(DataFrame.unionByName, edges)
 
 
 def union_graphs(nodes: DataFrame, edges: DataFrame, order: str = "stem") -> tuple[DataFrame, DataFrame]:

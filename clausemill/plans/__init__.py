@@ -41,7 +41,7 @@ def run(path: str, pages: DataFrame, catalog: DataFrame, domains: DataFrame, met
     nodes = keep("nodes", interpret.tag_units(tree, labels, classifier))
     clauses = keep("clauses", cl.export_clauses(nodes, domains))
     objects = keep("objects", matching.ontology_objects(clauses, catalog, domains, rules))
-    graph_nodes, graph_edges = graph.build_graph(clauses, objects, metadata, catalog, domains)
+    graph_nodes, graph_edges = graph.build_graph(clauses, objects, metadata, catalog, domains, keep)
     return Corpus(lines, nodes, clauses, objects, keep("graph_nodes", graph_nodes), keep("graph_edges", graph_edges), keep("postings", index.postings(clauses)))
 
 

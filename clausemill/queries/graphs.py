@@ -10,6 +10,7 @@ from clausemill.operators import graph as gr
 from clausemill.operators.clauses import number_clauses
 from clausemill.queries.base import table
 from clausemill.queries.sections import _ORDER
+from clausemill.tables import settle
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -19,6 +20,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     domains = spark.createDataFrame([("T0", "Early"), ("T1", "Other things"), ("T2", "")], "token string, label string")
     item = t("lineitem").withColumn("ord", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER)).cast("long")).withColumn("number", F.col("l_linenumber").cast("string"))
     item = number_clauses(item, ["ord"], "l_orderkey").join(t("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"), "left").withColumn("stem", F.format_string("%08d", "l_orderkey"))
+    item = settle(item, "items")  # clauses and objects are made of the same rows
     semantic = F.struct(F.concat(F.lit("T"), F.col("l_suppkey") % 5).alias("domain"), F.col("p_type").alias("concept"), F.lit(None).cast("string").alias("action"), F.when(F.col("l_returnflag") != "N", F.concat(F.lit("Duty "), "l_returnflag")).alias("obligation_type"), F.col("l_linestatus").alias("mandatory_flag"))
     clauses = item.select("stem", "ord", "clause_id", F.col("number").alias("clause_no"), F.lit(None).cast("string").alias("title"), F.concat("l_returnflag", "l_linestatus").alias("text"), F.col("l_linenumber").alias("page_reference"), semantic.alias("semantic"), "l_extendedprice", "l_discount")
     objects = item.select("stem", "ord", "clause_id", F.when(F.col("l_partkey") % 4 != 0, F.concat(F.lit("CPT_"), "p_type")).alias("canonical_id"), F.lit(None).cast("string").alias("canonical_label"), F.lit("fuzzy").alias("match_type"), F.round(F.col("l_discount") * 5, 3).alias("match_confidence"), (F.col("l_tax") > 0.04).alias("review_required"))
@@ -29,7 +31,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     p = _parts(spark, sf_dir)
-    return (*gr.build_graph(p["clauses"], p["objects"], p["metadata"], p["catalog"], p["domains"]), p)
+    return (*gr.build_graph(p["clauses"], p["objects"], p["metadata"], p["catalog"], p["domains"], lambda name, df: settle(df, name)), p)
 
 
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,18 +57,21 @@ def node_type_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concept_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations under regions: child, its label, parent label."""
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left").select(F.col("n_nationkey").alias("child"), F.col("n_name").alias("label"), F.col("r_name").alias("parent_label"))
+    """Each concept of the graph with its label and its parent's, by CHILD_OF edges."""
+    nodes, edges, _ = _graph(spark, sf_dir)
+    concepts = gr.union_graphs(nodes.filter("type = 'Concept'"), edges)[0].select("id", F.col("properties").getItem("label").alias("label"))
+    above = edges.filter("type = 'CHILD_OF'").select(F.col("source").alias("id"), F.col("target").alias("parent")).distinct()
+    return concepts.join(above, "id", "left").join(concepts.select(F.col("id").alias("parent"), F.col("label").alias("parent_label")), "parent", "left").select(F.col("id").alias("child"), "label", "parent_label")
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Evidence over a graph that is written once as tables, as a run writes it."""
     nodes, edges, p = _graph(spark, sf_dir)
-    nodes, edges = gr.union_graphs(nodes, edges)
+    nodes, edges = settle(gr.union_graphs(nodes, edges)[0], "graph_nodes"), settle(edges, "graph_edges")
     doc = p["metadata"].select("stem", F.coalesce("document_id", "stem").alias("document_id"))
     hits = p["clauses"].orderBy(F.desc("l_extendedprice"), "stem", "ord").limit(20).join(doc, "stem")
-    hits = hits.select("document_id", "clause_id", "clause_no", "title", F.round(F.col("l_discount") * 5, 4).alias("score"))
-    return an.attach_text(an.enrich(hits, nodes, edges), p["clauses"], doc), edges, p["clauses"]
+    hits = settle(hits.select("document_id", "clause_id", "clause_no", "title", F.round(F.col("l_discount") * 5, 4).alias("score")), "hits")
+    return settle(an.attach_text(an.enrich(hits, nodes, edges), p["clauses"], doc), "evidence"), edges, p["clauses"]
 
 
 def evidence_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +123,7 @@ ORACLES = {
     "graph_edges": f"WITH {_BASE} SELECT * FROM edges",
     "graph_stats": f"WITH {_BASE} SELECT 'node' AS what, type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type",
     "node_type_rollup": f"WITH {_BASE} SELECT type, count(*) AS n FROM nodes GROUP BY ROLLUP (type)",
-    "concept_hierarchy": "SELECT n_nationkey AS child, n_name AS label, r_name AS parent_label FROM nation LEFT JOIN region ON n_regionkey = r_regionkey",
+    "concept_hierarchy": f"WITH {_BASE}, k AS (SELECT id, label FROM nodes WHERE type = 'Concept'), e AS (SELECT DISTINCT source, target FROM edges WHERE type = 'CHILD_OF') SELECT k.id AS child, k.label, p.label AS parent_label FROM k LEFT JOIN e ON k.id = source LEFT JOIN k p ON target = p.id",
     "evidence_enrich": f"WITH {_EVID} SELECT * FROM ev",
     "impact_candidates": f"WITH {_EVID} SELECT concept, canonical_id, document_id, count(*) AS n, max(clause_no) AS last_clause, max(page) AS last_page FROM im GROUP BY ALL",
     "confidence_band": f"WITH {_EVID}, s AS (SELECT coalesce(max(score), 0) AS top_score, coalesce(round(avg(score), 4), 0) AS mean_score, count(*) FILTER (review_required) AS p FROM ev) SELECT CASE WHEN top_score >= 0.3 THEN 'High' WHEN top_score >= 0.15 THEN 'Medium' ELSE 'Low' END AS retrieval_band, top_score, mean_score, 'tfidf' AS retrieval_mode, p AS evidence_pending_review FROM s",
