@@ -113,6 +113,21 @@ def is_clean_token(token: Column) -> Column:
     )
 
 
+_AROUND = r"[,;:!?()\[\]'\"/\-–—]*+"
+#: A token that is clean beyond doubt: a number, or a word of two letters or more with a vowel, and punctuation around it.
+PLAIN = rf"{_AROUND}(?:(?=\p{{L}}*?[aeiouyAEIOUY])\p{{L}}{{2,}}+|[0-9]++)\.?+{_AROUND}"
+
+
+def has_plain_token(line: Column) -> Column:
+    """Whether some token of a line is clean beyond doubt: one search instead of a judgement of each token."""
+    return line.rlike(rf"(?U)(?:^|\s){PLAIN}(?:\s|$)")
+
+
+def has_other_token(line: Column) -> Column:
+    """Whether some token needs to be judged."""
+    return line.rlike(rf"(?U)(?:^|\s)(?!{PLAIN}(?:\s|$))\S")
+
+
 def latin1(text: Column) -> Column:
     """Typographic characters as ASCII, what is left outside Latin-1 as question marks; null as empty."""
     plain = F.translate(F.coalesce(text, F.lit("")), "‘’“”–—•\xa0", "''\"\"--- ")

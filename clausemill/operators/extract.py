@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill import schemas
@@ -18,23 +18,33 @@ def split_lines(df: DataFrame, text: str = "text", out: str = "raw", position: s
     return df.select(*(c for c in df.columns if c != text), F.posexplode(lines).alias(position, out))
 
 
-def _kept(line: str) -> tuple:
-    words = F.filter(F.split(tx.trim(F.col(line)), r"(?U)\s+"), lambda w: w != "")
-    return words, F.filter(words, tx.is_clean_token)
+def _words(line: str) -> Column:
+    return F.filter(F.split(tx.trim(F.col(line)), r"(?U)\s+"), lambda w: w != "")
+
+
+def _kept(line: str) -> Column:
+    return F.filter(_words(line), lambda w: w.rlike(rf"^{tx.PLAIN}$") | tx.is_clean_token(w))
 
 
 def denoise_lines(lines: DataFrame, line: str = "raw") -> DataFrame:
-    """Lines of clean tokens only; blank lines stay, lines of garbage alone go."""
-    words, kept = _kept(line)
-    x = lines.withColumns({"__n": F.size(words), "__kept": kept})
-    return x.filter((F.col("__n") == 0) | (F.size("__kept") > 0)).withColumn(line, F.array_join("__kept", " ")).drop("__n", "__kept")
+    """Lines of clean tokens only; blank lines stay, lines of garbage alone go.  Tokens are judged only in lines that hold a doubtful one."""
+    text = F.when(tx.has_other_token(F.col(line)), F.array_join(_kept(line), " ")).otherwise(F.regexp_replace(tx.trim(F.col(line)), r"(?U)\s+", " "))
+    x = lines.withColumn("__clean", text)
+    return x.filter((F.col("__clean") != "") | (tx.trim(F.col(line)) == "")).withColumn(line, F.col("__clean")).drop("__clean")
 
 
 def denoise_stats(lines: DataFrame, by: list[str], line: str = "raw") -> DataFrame:
-    """lines_in, lines_dropped, tokens_in, tokens_dropped."""
-    words, kept = _kept(line)
-    x = lines.select(*by, F.size(words).alias("n"), F.size(kept).alias("k"))
-    return x.groupBy(*by).agg(F.count("*").alias("lines_in"), F.count_if((F.col("n") > 0) & (F.col("k") == 0)).alias("lines_dropped"), F.sum("n").alias("tokens_in"), F.sum(F.col("n") - F.col("k")).alias("tokens_dropped"))
+    """lines_in, lines_dropped, tokens_in, tokens_dropped.
+
+    Tokens are counted by group first, and each different one is judged once; a line is judged whole only if it has no
+    plain token.
+    """
+    # the filter runs inside code generation, after the explode
+    tokens = lines.select(*by, F.explode(F.split(F.col(line), r"(?U)\s+")).alias("__token")).filter("__token <> ''").groupBy(*by, "__token").agg(F.count("*").alias("__n"))
+    judged = tokens.select(*by, F.lit(0).alias("l"), F.lit(0).alias("d"), F.col("__n").alias("t"), F.when(tx.is_clean_token(F.col("__token")), 0).otherwise(F.col("__n")).alias("x"))
+    gone = F.when(tx.has_plain_token(F.col(line)) | (tx.trim(F.col(line)) == ""), 0).otherwise(F.when(F.size(_kept(line)) == 0, 1).otherwise(0))
+    whole = lines.select(*by, F.lit(1).alias("l"), gone.alias("d"), F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("x"))
+    return judged.unionByName(whole).groupBy(*by).agg(*(F.sum(c).alias(name) for c, name in (("l", "lines_in"), ("d", "lines_dropped"), ("t", "tokens_in"), ("x", "tokens_dropped"))))
 
 
 def denoise_pages(pages: DataFrame) -> DataFrame:

@@ -20,10 +20,12 @@ def is_crawlable(url: Column, domain: str = SITE, names: list[str] | None = None
     return F.coalesce(F.contains(host, F.lit(domain)) & F.lower(F.element_at(F.split(path, "/"), -1)).isin(names or CRAWLABLE), F.lit(False))
 
 
-def link_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """key, pos, href: values of href attributes in order, without empty ones and fragments."""
-    found = F.regexp_extract_all(F.col(html), F.lit(r'href="([^"]*)"'), 1)
-    return pages.select(key, F.posexplode(found).alias("pos", "href")).withColumn("href", F.trim("href")).filter("href <> '' AND NOT startswith(href, '#')")
+def link_rows(pages: DataFrame, key: str | list[str], html: str = "html") -> DataFrame:
+    """key, pos, href: values of href attributes in order, however they are quoted, without empty ones and fragments."""
+    keys = [key] if isinstance(key, str) else key
+    found = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), 1)
+    href = F.trim(F.regexp_replace("href", "^[\"']|[\"']$", ""))
+    return pages.select(*keys, F.posexplode(found).alias("pos", "href")).withColumn("href", href).filter("href <> '' AND NOT startswith(href, '#')")
 
 
 def first_links(links: DataFrame, key: str, url: str = "href") -> DataFrame:

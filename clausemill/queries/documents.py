@@ -10,6 +10,7 @@ from clausemill.functions.python import similarity_ratio
 from clausemill.operators import clauses as cl
 from clausemill.operators import extract
 from clausemill.queries.base import sql_tokens, table
+from clausemill.queries.sections import _ORDER
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,21 +23,26 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of English texts by stem, over all documents."""
-    words = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.explode(tx.concept_tokens(F.col("text"), stemmed=False)).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    """Words of all texts by stem."""
+    words = table(spark, sf_dir, "documents").select(F.explode(tx.concept_tokens(F.col("text"), stemmed=False)).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
     return words.groupBy(tx.stem(F.col("t")).alias("stem")).agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
 
 
 def denoise_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ASCII tokens of all documents by what the garble filter says."""
-    words = F.explode(F.regexp_extract_all("text", F.lit("[!-~]+"), 0)).alias("token")
-    return table(spark, sf_dir, "documents").select(words).groupBy("token").agg(F.count("*").alias("n")).select("token", "n", tx.is_clean_token(F.col("token")).alias("clean"))
+    """Tokens of all documents by what the garble filter says."""
+    words = F.explode(F.split("text", r"(?U)\s+")).alias("token")
+    return table(spark, sf_dir, "documents").select(words).filter("token <> ''").groupBy("token").agg(F.count("*").alias("n")).select("token", "n", tx.is_clean_token(F.col("token")).alias("clean"))
 
 
 def denoise_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ascii_ = F.regexp_replace("text", r"[^\x00-\x7f]", "")
-    lines = extract.split_lines(table(spark, sf_dir, "documents").select("source", ascii_.alias("text")))
-    return extract.denoise_stats(lines, ["source"])
+    return extract.denoise_stats(extract.split_lines(table(spark, sf_dir, "documents").select("source", "text")), ["source"])
+
+
+def denoise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document: its lines, characters and a digest."""
+    lines = extract.denoise_lines(extract.split_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"]), "\n")
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.md5(ordered).alias("digest"))
 
 
 def scan_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +50,7 @@ def scan_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ascii_ = F.regexp_replace("text", r"[^\x00-\x7f]", "")
-    return extract.document_stats(_pages(spark, sf_dir).withColumn("text", ascii_)).withColumnRenamed("stem", "doc")
+    return extract.document_stats(_pages(spark, sf_dir)).withColumnRenamed("stem", "doc")
 
 
 def doc_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +59,7 @@ def doc_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as one page of markdown: its length, lines and headings."""
-    pages = _pages(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"[^\n -~]", ""))
-    return extract.markdown_text(extract.markdown_lines(pages)).select("stem", F.length("markdown").alias("n_chars"), "total_sections", F.md5("markdown").alias("digest"))
+    return extract.markdown_text(extract.markdown_lines(_pages(spark, sf_dir))).select("stem", F.length("markdown").alias("n_chars"), "total_sections", F.md5("markdown").alias("digest"))
 
 
 def latin1_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,34 +73,37 @@ def truncations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id")
-    return cl.batch_ids(docs, ["doc_id"], 20, "source")
+    """Items of each order in batches of three."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", *_ORDER)
+    return cl.batch_ids(items, _ORDER, 3, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "batch", "index")
 
 
 def near_duplicate_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents against the one before in their source: matching-blocks ratio of their first lines."""
-    from pyspark.sql import Window
-
-    line = F.substring_index("text", "\n", 1)
-    x = table(spark, sf_dir, "documents").select("source", "doc_id", line.alias("a")).withColumn("b", F.lag("a").over(Window.partitionBy("source").orderBy("doc_id")))
-    return x.filter("b IS NOT NULL").select("source", "doc_id", F.round(similarity_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+    """Each whole text against that of the next id: matching-blocks ratio."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"))
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
+    return docs.join(after, "doc_id").select("doc_id", F.round(similarity_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_counts, stem_tokens, denoise_tokens, denoise_stats, scan_check, doc_stats, doc_sha256, markdown_sections, latin1_text, truncations, batch_ids, near_duplicate_ratio)}
+QUERIES = {f.__name__: f for f in (tokenize_counts, stem_tokens, denoise_tokens, denoise_stats, denoise_lines, scan_check, doc_stats, doc_sha256, markdown_sections, latin1_text, truncations, batch_ids, near_duplicate_ratio)}
 
-_EDGES = "[" + "".join("\\" + c for c in tx.EDGES if c.isascii()) + "]"
+_EDGES = "[" + "".join("\\" + c if c.isascii() else c for c in tx.EDGES) + "]"
+#: Unicode white space, which the engine's patterns mean.
+_WS = r"[\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_BREAK = r"(\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}])"
 
 
 def sql_clean(t: str) -> str:
-    """The garble filter for an ASCII token."""
-    core = f"regexp_replace(regexp_replace({t}, '^{_EDGES.replace(chr(39), chr(39) * 2)}+', ''), '{_EDGES.replace(chr(39), chr(39) * 2)}+$', '')"
-    letters, symbols = f"regexp_replace({core}, '[^A-Za-z]', '', 'g')", f"length(regexp_replace({core}, '[A-Za-z0-9]', '', 'g'))"
-    garble = "regexp_matches({0}, '[~\\\\|^`{{}}<>_=#*]') OR contains({0}, '..')".format(t)
+    """The garble filter for a token."""
+    edges = _EDGES.replace("'", "''")
+    core = f"regexp_replace(regexp_replace({t}, '^{edges}+', ''), '{edges}+$', '')"
+    letters, symbols = f"regexp_replace({core}, '[^\\p{{L}}]', '', 'g')", f"length(regexp_replace({core}, '[\\p{{L}}\\p{{N}}]', '', 'g'))"
+    garble = "regexp_matches({0}, '[~\\\\|^`{{}}<>_=#*\\x{{fffd}}]') OR contains({0}, '..')".format(t)
     return f"""CASE WHEN {garble} OR length({core}) = 0 THEN false
- WHEN length({letters}) = 0 THEN regexp_matches({core}, '[0-9]') AND {symbols} <= 2
+ WHEN length({letters}) = 0 THEN regexp_matches({core}, '\\p{{Nd}}') AND {symbols} <= 2
  WHEN {symbols} >= 3 OR length({letters}) / length({core}) < 0.5 THEN false
  WHEN length({letters}) = 1 THEN {core} IN ('a', 'A', 'I', 'i')
- WHEN length({letters}) >= 3 AND NOT regexp_matches({letters}, '[aeiouyAEIOUY]') THEN {letters} = upper({letters}) AND length({letters}) <= 5
+ WHEN length({letters}) >= 3 AND NOT regexp_matches({letters}, '[aeiouyAEIOUY]') THEN {letters} = upper({letters}) AND {letters} <> lower({letters}) AND length({letters}) <= 5
  ELSE true END"""
 
 
@@ -105,24 +112,36 @@ def sql_stem(t: str) -> str:
     return f"CASE WHEN length({t}) <= 4 THEN {t} {whens} ELSE {t} END"
 
 
-_LINES = r"""l AS (SELECT {keys}, unnest(string_split(regexp_replace(t, '(\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e])$', ''), chr(10))) AS raw FROM d WHERE t <> '')"""
+_TRIM = f"regexp_replace(regexp_replace(raw, '^{_WS}+', ''), '{_WS}+$', '')"
+
+
+def _lines(keys: str) -> str:
+    parts = f"regexp_split_to_array(regexp_replace(text, '{_BREAK}$', ''), '{_BREAK}')"
+    return f"l AS (SELECT {keys}, unnest({parts}) AS raw, generate_subscripts({parts}, 1) AS k FROM documents WHERE text <> '')"
+
+
+def _tokens(text: str) -> str:
+    return f"list_filter(regexp_split_to_array({text}, '{_WS}+'), lambda x: x <> '')"
+
+
 _HEADING = f"length(s) > 0 AND length(s) <= 100 AND (regexp_matches(s, '{tx.HEADING_WORD}') OR regexp_matches(s, '{tx.HEADING_NUMBER}') OR regexp_matches(s, '{tx.HEADING_CAPS}'))"
 
 ORACLES = {
     "tokenize_counts": f"SELECT doc_id, len(w)::INTEGER AS n_tokens, len(list_distinct(w))::INTEGER AS n_distinct FROM (SELECT doc_id, {sql_tokens('coalesce(text, chr(32))')} AS w FROM documents)",
-    "stem_tokens": f"WITH w AS (SELECT unnest(list_filter(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+'), lambda t: length(t) > 1)) AS t FROM documents WHERE lang = 'en'), c AS (SELECT t, count(*) AS n FROM w GROUP BY t) SELECT {sql_stem('t')} AS stem, sum(n)::BIGINT AS n, count(*) AS forms FROM c GROUP BY 1",
-    "denoise_tokens": f"WITH w AS (SELECT unnest(regexp_extract_all(text, '[!-~]+')) AS token FROM documents), c AS (SELECT token, count(*) AS n FROM w GROUP BY token) SELECT token, n, {sql_clean('token')} AS clean FROM c",
-    "denoise_stats": f"WITH d AS (SELECT source, regexp_replace(text, '[^\\x00-\\x7f]', '', 'g') AS t FROM documents), {_LINES.format(keys='source')}, k AS (SELECT source, len(w) AS n, len(list_filter(w, lambda t: {sql_clean('t')})) AS k FROM (SELECT source, list_filter(regexp_split_to_array(raw, '\\s+'), lambda x: x <> '') AS w FROM l)) SELECT source, count(*) AS lines_in, count(*) FILTER (n > 0 AND k = 0) AS lines_dropped, sum(n)::BIGINT AS tokens_in, sum(n - k)::BIGINT AS tokens_dropped FROM k GROUP BY source",
+    "stem_tokens": f"WITH w AS (SELECT unnest(list_filter(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+'), lambda t: length(t) > 1)) AS t FROM documents), c AS (SELECT t, count(*) AS n FROM w GROUP BY t) SELECT {sql_stem('t')} AS stem, sum(n)::BIGINT AS n, count(*) AS forms FROM c GROUP BY 1",
+    "denoise_tokens": f"WITH w AS (SELECT unnest({_tokens('text')}) AS token FROM documents), c AS (SELECT token, count(*) AS n FROM w GROUP BY token) SELECT token, n, {sql_clean('token')} AS clean FROM c",
+    "denoise_stats": f"WITH {_lines('source')}, k AS (SELECT source, len(w) AS n, len(list_filter(w, lambda t: {sql_clean('t')})) AS k FROM (SELECT source, {_tokens('raw')} AS w FROM l)) SELECT source, count(*) AS lines_in, count(*) FILTER (n > 0 AND k = 0) AS lines_dropped, sum(n)::BIGINT AS tokens_in, sum(n - k)::BIGINT AS tokens_dropped FROM k GROUP BY source",
+    "denoise_lines": f"WITH {_lines('doc_id')}, w AS (SELECT doc_id, k, {_tokens('raw')} AS w FROM l), c AS (SELECT doc_id, k, w, list_filter(w, lambda t: {sql_clean('t')}) AS c FROM w) SELECT doc_id, count(*) AS n_lines, md5(string_agg(array_to_string(c, ' '), chr(10) ORDER BY k)) AS digest FROM c WHERE len(c) > 0 OR len(w) = 0 GROUP BY doc_id",
     "scan_check": "SELECT doc_id::VARCHAR AS stem, 1::BIGINT AS n_pages, length(coalesce(text, ''))::BIGINT AS n_chars, length(coalesce(text, '')) < 200 AS scanned FROM documents",
-    "doc_stats": "WITH d AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7f]', '', 'g') AS t FROM documents) SELECT doc_id::VARCHAR AS doc, 1::BIGINT AS total_pages, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> ''))::BIGINT AS total_words, length(t)::BIGINT AS total_characters, 0::BIGINT AS total_images FROM d",
+    "doc_stats": f"SELECT doc_id::VARCHAR AS doc, 1::BIGINT AS total_pages, len({_tokens('text')})::BIGINT AS total_words, length(text)::BIGINT AS total_characters, 0::BIGINT AS total_images FROM documents",
     "doc_sha256": "SELECT doc_id, 'sha256:' || sha256(text) AS file_hash FROM documents",
-    "markdown_sections": f"""WITH d AS (SELECT doc_id, regexp_replace(text, '[^\\n -~]', '', 'g') AS t FROM documents), {_LINES.format(keys='doc_id, generate_subscripts(string_split(regexp_replace(t, chr(10) || chr(36), chr(32)), chr(10)), 1) AS k')},
-x AS (SELECT doc_id, k, regexp_replace(raw, '\\s+$', '') AS r, trim(raw) AS s FROM l),
+    "markdown_sections": f"""WITH d AS (SELECT doc_id FROM documents), {_lines('doc_id')},
+x AS (SELECT doc_id, k, regexp_replace(raw, '{_WS}+$', '') AS r, {_TRIM} AS s FROM l),
 y AS (SELECT doc_id, k, CASE WHEN {_HEADING} THEN chr(10) || '## ' || s || chr(10) ELSE r END AS line, CASE WHEN {_HEADING} THEN 1 ELSE 0 END AS h FROM x),
 z AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS body, sum(h) AS h FROM y GROUP BY doc_id),
 m AS (SELECT d.doc_id, '<!-- Page 1 -->' || coalesce(chr(10) || body, '') || chr(10) AS markdown, coalesce(h, 0)::BIGINT AS h FROM d LEFT JOIN z USING (doc_id))
 SELECT doc_id::VARCHAR AS stem, length(markdown)::INTEGER AS n_chars, h AS total_sections, md5(markdown) AS digest FROM m""",
     "latin1_text": "SELECT doc_id, md5(regexp_replace(replace(replace(translate('“€ ₹5…—' || text, '‘’“”–—•' || chr(160), chr(39) || chr(39) || '\"\"--- '), '…', '...'), '₹', 'Rs.'), '[^\\x{00}-\\x{ff}]', '?', 'g')) AS digest FROM documents",
     "truncations": "SELECT doc_id, " + ", ".join(f"md5(substring(text, 1, {n})) AS first_{n}" for n in (150, 800, 8000)) + " FROM documents",
-    "batch_ids": "SELECT source, doc_id, (k // 20)::INTEGER AS batch, (k % 20)::INTEGER AS index FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents)",
+    "batch_ids": f"SELECT l_orderkey, l_linenumber, l_partkey, (k // 3)::INTEGER AS batch, (k % 3)::INTEGER AS index FROM (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ORDER)}) - 1 AS k FROM lineitem)",
 }

@@ -56,10 +56,11 @@ def _followed(url: Column) -> Column:
 
 
 def crawl_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    links = web.first_links(web.link_rows(pages, "url"), "url").filter("startswith(href, '/')").withColumn("href", F.concat(F.lit("http://site.example"), "href"))
+    """All pages, and what they link to."""
+    pages = table(spark, sf_dir, "pages").withColumn("base", F.lit("http://site.example/"))
+    links = web.absolute_links(web.link_rows(pages, ["url", "base"]), "base")
     seeds = pages.select("url", F.col("page_id").alias("pos"))
-    return web.crawl(seeds, links, pages, 50, _followed).select("level", "parent", "url", F.col("html").isNotNull().alias("found"))
+    return web.crawl(seeds, links, pages, None, _followed).select("level", "parent", "url", F.col("html").isNotNull().alias("found"))
 
 
 def page_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +112,7 @@ SELECT topic, md5(markdown) AS digest, length(markdown)::INTEGER AS n_chars FROM
     "recent_by_date": "SELECT event_id, value FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 5 DAYS ORDER BY ts DESC, event_id LIMIT 25",
     "forward_fill": "SELECT user_id, event_id, last_value(CASE WHEN event_id % 4 = 0 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS value FROM events",
     "links_extract": f"WITH {_LINKS} SELECT page_id, pos, href FROM f",
-    "crawl_two_level": f"""WITH {_LINKS}, s AS (SELECT url FROM pages ORDER BY page_id LIMIT 50), l AS (SELECT DISTINCT f.url AS parent, 'http://site.example' || href AS url FROM f WHERE prefix(href, '/') AND lower(regexp_extract(href, '([^/]*)$', 1)) IN ('the', 'and', 'of', 'to', 'in', 'der', 'die', 'le', 'de') AND f.url IN (SELECT url FROM s)),
+    "crawl_two_level": f"""WITH {_LINKS}, s AS (SELECT url FROM pages), l AS (SELECT DISTINCT f.url AS parent, CASE WHEN prefix(href, '/') THEN 'http://site.example' || href ELSE href END AS url FROM f WHERE (prefix(href, '/') OR contains(regexp_extract(href, '://([^/]*)', 1), 'example')) AND lower(regexp_extract(href, '([^/]*)$', 1)) IN ('the', 'and', 'of', 'to', 'in', 'der', 'die', 'le', 'de')),
 w AS (SELECT 1 AS level, NULL AS parent, url FROM s UNION ALL SELECT 2, parent, url FROM l) SELECT level, parent, url, url IN (SELECT url FROM pages WHERE html IS NOT NULL) AS found FROM w""",
     "classification_table": "WITH x AS (SELECT r_name AS name, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS k, n_nationkey AS key, n_name FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT name, '| # | title | key |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || k || ' | a\\|' || n_name || ' | ' || key || ' |', chr(10) ORDER BY k) AS markdown FROM x GROUP BY name",
 }
