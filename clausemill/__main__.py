@@ -27,7 +27,10 @@ def _metadata(pages: DataFrame, args: argparse.Namespace) -> DataFrame:
 
 
 def _hits(corpus: plans.Corpus, query: str, k: int, stem: str | None) -> DataFrame:
-    found = index.retrieve(corpus.postings, corpus.clauses, query, k, stem)
+    if stem is None:
+        found = index.top_hits(index.stored_scores(corpus.weights, corpus.idf, query), None, k)
+    else:  # one document is searched under its own weights
+        found = index.retrieve(corpus.postings, corpus.clauses, query, k, stem)
     return found.join(corpus.clauses.select("stem", "ord", "clause_id", "clause_no", "title"), ["stem", "ord"]).select(F.col("stem").alias("document_id"), "clause_id", "clause_no", "title", "score")
 
 

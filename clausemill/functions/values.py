@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def now_utc() -> Column:
+    """The time of the query in UTC, to the second, as text."""
+    return F.date_format(F.convert_timezone(None, F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def idf(n: Column, df: Column) -> Column:
     """Smoothed inverse document frequency."""
     return F.log((n + 1.0) / (df + 1.0)) + 1.0

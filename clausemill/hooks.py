@@ -6,6 +6,7 @@ vectors; synthesizer(query, evidence) -> text; client(topic) -> content parts; f
 
 from __future__ import annotations
 
+import os
 import time
 import zlib
 from collections.abc import Callable
@@ -24,6 +25,19 @@ def hashed_embedder(texts: list[str], is_query: bool = False, size: int = 64) ->
     return out
 
 
+def choose_embedder(configured: dict[str, Callable], wanted: str | None = None, variable: str = "CLAUSEMILL_EMBEDDER") -> tuple[str, Callable]:
+    """Name and callable of a provider: the one asked for, else the one the environment names, else the first configured.
+
+    A provider that is named and not configured is an error, and so is having none; nothing else stands in silently.
+    """
+    name = (wanted or os.environ.get(variable) or "").strip().lower()
+    if name in ("", "auto", "embedding"):
+        name = next(iter(configured), "")
+    if name not in configured:
+        raise LookupError(f"embedding provider {name!r} is not configured" if name else "no embedding provider is configured")
+    return name, configured[name]
+
+
 def first_answer(providers: list[tuple[str, Callable[[list[dict]], str]]], tries: int = 2, first_delay: float = 2.0, last_delay: float = 10.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[list[dict]], str]:
     """A chat callable that asks providers in order and returns the first answer that is not empty.
 

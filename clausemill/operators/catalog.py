@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausemill import schemas
@@ -76,6 +76,44 @@ def load_catalog(spark: SparkSession, root: str, pack: str | None = None) -> dic
     return out
 
 
+def schema_rules(schema: dict, columns: list[str] | None = None, at: str = "") -> dict[str, Column]:
+    """Rules for violations() from a JSON schema of an object, or of an array of objects: name -> condition on columns.
+
+    Read are required, properties, nested objects, additionalProperties (against `columns`), and of a property type, enum, const,
+    minimum, maximum, minLength, maxLength, pattern and the enum of an array's items.  Null passes where the type has null
+    or the property is not required.
+    """
+    if schema.get("type") == "array":
+        return schema_rules(schema["items"], columns, at)
+    rules: dict[str, Column] = {}
+    for name, spec in schema.get("properties", {}).items():
+        c, types = F.col(f"{at}{name}"), spec.get("type", [])
+        types = [types] if isinstance(types, str) else types
+        if name in schema.get("required", []) and "null" not in types:
+            rules[f"{at}{name}: required"] = c.isNotNull()
+        if "object" in types:
+            rules |= schema_rules(spec, None, f"{at}{name}.")
+            continue
+        number = c.try_cast("double")
+        checks = {
+            "enum": lambda v, c=c: c.isin([x for x in v if x is not None]),
+            "const": lambda v, c=c: c == F.lit(v),
+            "minimum": lambda v, n=number: n >= v,
+            "maximum": lambda v, n=number: n <= v,
+            "minLength": lambda v, c=c: F.length(c) >= v,
+            "maxLength": lambda v, c=c: F.length(c) <= v,
+            "pattern": lambda v, c=c: c.rlike(v),
+            "items": lambda v, c=c: F.forall(c, lambda x: x.isin(v["enum"])) if "enum" in v else F.lit(True),
+        }
+        if {"integer", "number"} & {*types}:
+            whole = number.isNotNull() & (number == F.floor(number)) if "number" not in types else number.isNotNull()
+            rules[f"{at}{name}: type"] = c.isNull() | whole
+        rules |= {f"{at}{name}: {k}": c.isNull() | F.coalesce(check(spec[k]), F.lit(False)) for k, check in checks.items() if k in spec}
+    if columns is not None and schema.get("additionalProperties") is False:
+        rules |= {f"{name}: not in the schema": F.lit(False) for name in columns if name not in schema.get("properties", {})}
+    return rules
+
+
 def violations(rows: DataFrame, rules: dict[str, object], keep: int = 5) -> DataFrame:
     """Adds violations (the first `keep` names of rules that do not hold) and n_violations.  rules: name -> condition."""
     failed = F.array_compact(F.array(*(F.when(~F.coalesce(condition, F.lit(False)), F.lit(name)) for name, condition in rules.items())))

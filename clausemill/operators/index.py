@@ -1,12 +1,14 @@
 """Sparse and dense indexes, and search over them.
 
-Postings are long rows (stem, ord, term, tf).  At scale, keep postings and unit weights as tables sorted by term, so
-that a query's terms prune row groups; the functions here take either.
+Postings are long rows (stem, ord, term, tf).  search() and retrieve() weigh them at query time, under the idf of what is
+searched.  A corpus that is asked often keeps stored_weights(): unit weights by term, so that a question reads the row
+groups of its own terms and nothing else.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 
 from clausemill.functions import text as tx
 from clausemill.functions import values as v
+from clausemill.hooks import choose_embedder
 
 
 def enriched_text() -> Column:
@@ -74,6 +77,19 @@ def sparse_scores(post: DataFrame, idf: DataFrame, query: str) -> DataFrame:
     return total.filter("dot > 0").select("stem", "ord", (F.col("dot") / F.sqrt("squares")).alias("score"))
 
 
+def stored_weights(post: DataFrame, idf: DataFrame) -> DataFrame:
+    """unit_weights() in order of term, to be written as a table: each file then holds a range of terms."""
+    return unit_weights(post, idf).repartitionByRange("term", "stem", "ord").sortWithinPartitions("term")
+
+
+def stored_scores(weights: DataFrame, idf: DataFrame, query: str) -> DataFrame:
+    """sparse_scores() from tables of unit weights and idf by term.  The query's words are literals, which the scans push down."""
+    words = [r["t"] for r in idf.sparkSession.range(1).select(F.explode(F.array_distinct(tx.tokens(F.lit(query)))).alias("t")).collect()]  # as many as the query has
+    wanted = query_weights(idf.filter(F.col("term").isin(words)), query)
+    found = weights.filter(F.col("term").isin(words)).join(F.broadcast(wanted), "term")
+    return found.groupBy("stem", "ord").agg(F.sum(F.col("weight") * F.col("qw")).alias("score")).filter("score > 0")
+
+
 def search(post: DataFrame, rows: DataFrame, query: str, k: int = 5, stem: str = "stem") -> DataFrame:
     """Best k clauses of each document under its own weights: by exact score, then order; scores to four places."""
     scored = sparse_scores(post, document_idf(post, rows, stem), query)
@@ -115,7 +131,16 @@ def term_map(post: DataFrame, value: str = "tf") -> DataFrame:
     return post.groupBy("stem", "ord").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", value)))).alias("terms"))
 
 
-def embed(rows: DataFrame, embedder: Callable[[list[str], bool], list[list[float]]], text: str = "text", batch: int = 64, limit: int = 8000) -> DataFrame:
+def in_order(replies: list, n: int) -> list[list[float]]:
+    """Vectors of n texts from a provider's replies: vectors in the order of the texts, or {index, embedding} in any order."""
+    if replies and isinstance(replies[0], dict):
+        replies = [x["embedding"] for x in sorted(replies, key=lambda x: x["index"]) if x.get("embedding") is not None]
+    if len(replies) != n:
+        raise ValueError(f"{n} texts, {len(replies)} vectors")
+    return replies
+
+
+def embed(rows: DataFrame, embedder: Callable[[list[str], bool], list], text: str = "text", batch: int = 64, limit: int = 8000) -> DataFrame:
     """Adds vector: unit-length embeddings from a hook, `batch` texts of at most `limit` characters a call (the model's own input limit)."""
     columns = rows.columns
     schema = T.StructType([*rows.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))])
@@ -126,7 +151,8 @@ def embed(rows: DataFrame, embedder: Callable[[list[str], bool], list[list[float
         for pdf in frames:
             texts, out = pdf[text].fillna("").str[:limit].tolist(), []
             for at in range(0, len(texts), batch):
-                for x in embedder(texts[at : at + batch], False):
+                part = [x or " " for x in texts[at : at + batch]]
+                for x in in_order(embedder(part, False), len(part)):
                     norm = float(np.linalg.norm(x))
                     out.append([float(y) / norm for y in x] if norm else [float(y) for y in x])
             pdf["vector"] = out
@@ -135,5 +161,40 @@ def embed(rows: DataFrame, embedder: Callable[[list[str], bool], list[list[float
     return rows.mapInPandas(run, schema)
 
 
-#: Backends of an index by name: what builds its rows.
-BACKENDS: dict[str, Callable[..., DataFrame]] = {"tfidf": postings, "embedding": embed, "azure": embed, "nvidia": embed}
+@dataclass(frozen=True)
+class Backend:
+    """How clauses become an index (build) and a question its scores (scores), under a name that goes with the index."""
+
+    name: str
+    dense: bool
+    build: Callable[[DataFrame], DataFrame]
+    scores: Callable[[DataFrame, DataFrame, str], DataFrame]
+
+
+def _sparse(name: str) -> Backend:
+    return Backend(name, False, postings, lambda post, rows, query: sparse_scores(post, corpus_idf(post, rows), query))
+
+
+def _dense(name: str, embedder: Callable[[list[str], bool], list]) -> Backend:
+    def build(rows: DataFrame) -> DataFrame:
+        return embed(rows.withColumn("__text", enriched_text()), embedder, "__text").select("stem", "ord", "vector")
+
+    def scores(vectors: DataFrame, rows: DataFrame, query: str) -> DataFrame:
+        x = in_order(embedder([query], True), 1)[0]
+        norm = sum(float(y) ** 2 for y in x) ** 0.5 or 1.0
+        return dense_scores(vectors, F.array(*(F.lit(float(y) / norm) for y in x)))
+
+    return Backend(name, True, build, scores)
+
+
+#: Names of backends; `embedding` takes the provider that choose_embedder() finds, the others force one.
+BACKENDS = ("tfidf", "embedding", "azure", "nvidia")
+
+
+def backend(name: str, embedders: dict[str, Callable[[list[str], bool], list]] | None = None) -> Backend:
+    """The backend of this name.  embedders: the configured providers by name; dense backends carry the name of theirs."""
+    if name not in BACKENDS:
+        raise ValueError(f"no backend {name!r}; there are {', '.join(BACKENDS)}")
+    if name == "tfidf":
+        return _sparse(name)
+    return _dense(*choose_embedder(embedders or {}, None if name == "embedding" else name))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.functions import values as v
-from clausemill.operators.catalog import ACTIONS, ESCAPE, MODALITIES, OBLIGATIONS
+from clausemill.operators.catalog import ACTIONS, ESCAPE, MODALITIES, OBLIGATIONS, schema_rules, violations
 from clausemill.operators.clauses import batch_ids
 from clausemill.operators.structure import operative_units, trails
 
@@ -39,6 +39,21 @@ def ask(batches: DataFrame, classifier: Callable[[list[dict]], list[dict]]) -> D
     return batches.groupBy("stem", "batch").applyInPandas(run, REPLY)
 
 
+def contract(domain_labels: list[str]) -> dict:
+    """What a classifier's reply must be, as a JSON schema."""
+    text = {"type": ["string", "null"], "maxLength": 80}
+    named = {"domain": domain_labels, "action": ACTIONS, "obligation_type": OBLIGATIONS, "mandatory_flag": MODALITIES}
+    properties = {"index": {"type": "integer", "minimum": 0}, "concept": text, "object": text, "confidence_score": {"type": ["number", "null"], "minimum": 0, "maximum": 1}}
+    return {"type": "object", "required": ["index", *named], "properties": properties | {k: {"type": "string", "enum": x} for k, x in named.items()}}
+
+
+def reply_errors(replies: DataFrame, domain_labels: list[str], keep: int = 5) -> DataFrame:
+    """stem, batch, error_count and the first `keep` errors of the replies that break the contract; coerce() mends them all the same."""
+    told = violations(replies, schema_rules(contract(domain_labels)), keep).filter("n_violations > 0")
+    first = F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("index", "reply_ord", "violations"))), lambda x: F.transform(x["violations"], lambda e: F.concat(x["index"].cast("string"), F.lit("/"), e)))), 1, keep)
+    return told.groupBy("stem", "batch").agg(F.sum("n_violations").alias("error_count"), first.alias("errors"))
+
+
 def coerce(replies: DataFrame, domain_labels: list[str]) -> DataFrame:
     """Replies with vocabulary fields coerced exactly (no trimming) and confidence clamped; the last reply of an index counts."""
     last = replies.groupBy("stem", "batch", "index").agg(F.max_by(F.struct(*_FREE), "reply_ord").alias("r")).select("stem", "batch", "index", "r.*")

@@ -51,15 +51,25 @@ def form_vectors(forms: DataFrame, stemmed: bool = True) -> DataFrame:
     return weighted.join(norm, ["cat_ord", "pos"]).select("cat_ord", "pos", "canonical_id", "token", (F.col("w") / F.col("norm")).alias("weight"), "idf")
 
 
-def fuzzy_best(concepts: DataFrame, catalog: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """concept, fuzzy_id, similarity: the most similar form, first in the catalog among equals, whatever its similarity."""
+def fuzzy_best(concepts: DataFrame, catalog: DataFrame, rules: Rules = Rules(), least: float = 0.0) -> DataFrame:
+    """concept, fuzzy_id, similarity: the most similar form, first in the catalog among equals, if it is at least `least` similar.
+
+    Vectors have unit length, so a form that has none of a concept's rarest words cannot reach `least` where the rest of the
+    concept's vector is shorter than that.  Only those rare words are joined with the catalog to find candidates, and a word
+    that most concepts and forms share pairs nothing by itself.
+    """
     vectors = form_vectors(surface_forms(catalog), rules.stemmed)
     words = concepts.select("concept", F.explode(tx.concept_tokens(F.col("concept"), rules.stemmed)).alias("token"))
     known = words.groupBy("concept", "token").agg(F.count("*").alias("tf")).join(vectors.select("token", "idf").distinct(), "token")
     known = known.withColumn("w", F.col("tf") * F.col("idf"))
     norm = known.groupBy("concept").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    scores = known.join(vectors.drop("idf"), "token").groupBy("concept", "cat_ord", "pos", "canonical_id").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = scores.join(norm, "concept").withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 12))
+    rest = Window.partitionBy("concept").orderBy(F.desc("idf"), "token").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = Window.partitionBy("concept")
+    mass = F.col("w") * F.col("w")
+    rare = known.withColumns({"__rest": F.sum(mass).over(rest), "__all": F.sum(mass).over(whole)}).filter(F.col("__rest") >= F.col("__all") * (least * least - 1e-9))
+    pairs = rare.select("concept", "token").join(vectors.select("token", "cat_ord", "pos"), "token").select("concept", "cat_ord", "pos").distinct()
+    scores = pairs.join(known, "concept").join(vectors.drop("idf"), ["cat_ord", "pos", "token"]).groupBy("concept", "cat_ord", "pos", "canonical_id").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scored = scores.join(norm, "concept").withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 12)).filter(F.col("similarity") >= least)
     best = F.max_by(F.struct("canonical_id", "similarity"), F.struct("similarity", -F.col("cat_ord"), -F.col("pos"))).alias("best")
     return scored.groupBy("concept").agg(best).select("concept", F.col("best.canonical_id").alias("fuzzy_id"), F.col("best.similarity").alias("similarity"))
 
@@ -79,7 +89,7 @@ def match_concepts(concepts: DataFrame, catalog: DataFrame, rules: Rules = Rules
     x = x.select("concept", tier.alias("tier"), F.coalesce("__label_id", "__synonym_id", "__loose_id").alias("tier_id"))
     if rules.fuzzy:
         left = x.filter("tier IS NULL AND concept <> ''").select("concept")
-        x = x.join(fuzzy_best(left, catalog, rules).withColumnRenamed("concept", "__c"), F.col("concept") == F.col("__c"), "left").drop("__c")
+        x = x.join(fuzzy_best(left, catalog, rules, rules.min_similarity).withColumnRenamed("concept", "__c"), F.col("concept") == F.col("__c"), "left").drop("__c")
     else:
         x = x.withColumns({"fuzzy_id": F.lit(None).cast("string"), "similarity": F.lit(None).cast("double")})
     near = F.col("tier").isNull() & (F.col("similarity") >= rules.min_similarity)

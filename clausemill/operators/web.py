@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill import schemas
 from clausemill.functions.python import absolute_url
+from clausemill.sources.decoders import text_pages
 
 # Pages that are followed, by the last part of their path in lower case, and the site's domain.
 CRAWLABLE = ["notificationuser.aspx", "bs_pressreleasedisplay.aspx", "bs_viewmasdirections.aspx", "bs_speechesview.aspx", "publicationsview.aspx"]
@@ -23,7 +25,7 @@ def is_crawlable(url: Column, domain: str = SITE, names: list[str] | None = None
 def link_rows(pages: DataFrame, key: str | list[str], html: str = "html") -> DataFrame:
     """key, pos, href: values of href attributes in order, however they are quoted, without empty ones and fragments."""
     keys = [key] if isinstance(key, str) else key
-    found = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), 1)
+    found = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)(?<=[\s"'])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), 1)
     href = F.trim(F.regexp_replace("href", "^[\"']|[\"']$", ""))
     return pages.select(*keys, F.posexplode(found).alias("pos", "href")).withColumn("href", href).filter("href <> '' AND NOT startswith(href, '#')")
 
@@ -72,8 +74,6 @@ def details(pages: DataFrame) -> DataFrame:
     names = [f.split(" ")[0] for f in "title string, date string, pdf_url string, pdf_size string, body_text string, linked_documents x, error string".split(", ")]
 
     def run(frames):
-        import pandas as pd
-
         for pdf in frames:
             found = [detail_page(u, h or "") for u, h in zip(pdf["url"], pdf["html"], strict=True)]
             yield pd.DataFrame({"url": pdf["url"], **{n: [x[n] for x in found] for n in names}})
@@ -93,18 +93,66 @@ def _parsed(pages: DataFrame, parse: Callable[[str, str], list[tuple]], schema:
     names = ["url", *(x.split(" ")[0] for x in schema.split(", "))]
 
     def run(frames):
-        import pandas as pd
-
         for pdf in frames:
             yield pd.DataFrame([(u, *row) for u, h in zip(pdf["url"], pdf["html"], strict=True) for row in parse(u, h or "")], columns=names)
 
     return pages.select("url", "html").mapInPandas(run, f"url string, {schema}")
 
 
+def _file_names(wanted: DataFrame, url: str, name: str) -> DataFrame:
+    """Adds the last part of a URL's path, or a name made of the URL's hash where that is empty."""
+    last = F.element_at(F.split(F.regexp_replace(url, "[?#].*$", ""), "/"), -1)
+    return wanted.withColumn(name, F.coalesce(F.nullif(last, F.lit("")), F.concat(F.md5(url), F.lit(".pdf"))))
+
+
 def missing_files(wanted: DataFrame, stored: DataFrame, url: str = "pdf_url", name: str = "file_name") -> DataFrame:
     """URLs whose file name (the last part of their path) is not stored yet.  URLs with equal names share one file."""
-    x = wanted.withColumn(name, F.element_at(F.split(F.regexp_replace(url, "[?#].*$", ""), "/"), -1))
-    return x.join(stored.select(name).distinct(), name, "left_anti").dropDuplicates([name])
+    return _file_names(wanted, url, name).join(stored.select(name).distinct(), name, "left_anti").dropDuplicates([name])
+
+
+def stored_files(path: str, wanted: DataFrame, fetcher: Callable[[str], bytes | None], decoder: Callable[[bytes], list[str]] = text_pages) -> DataFrame:
+    """wanted (pdf_url, ...) with file_name, content and pdf_text; what the store at `path` lacks is fetched once and added to it.
+
+    A file that cannot be fetched is not stored and is tried again next time; one that cannot be decoded has no text.
+    """
+    spark, schema = wanted.sparkSession, "file_name string, content binary"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    stored = spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+    def fetch(frames):
+        for pdf in frames:
+            rows = []
+            for name, url in zip(pdf["file_name"], pdf["pdf_url"], strict=True):
+                try:
+                    content = fetcher(url)
+                except Exception:  # noqa: BLE001  a file that fails stays missing
+                    content = None
+                if content is not None:
+                    rows.append((name, content))
+            yield pd.DataFrame(rows, columns=["file_name", "content"])
+
+    @F.pandas_udf("string")
+    def text(contents: pd.Series) -> pd.Series:
+        out = []
+        for content in contents:
+            try:
+                out.append("\n\n".join(x for x in decoder(bytes(content)) if x) or None if content is not None else None)
+            except Exception:  # noqa: BLE001  a file that is not readable has no text
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    missing_files(wanted.filter("pdf_url IS NOT NULL"), stored).select("file_name", "pdf_url").mapInPandas(fetch, schema).write.mode("append").parquet(path)
+    kept = spark.read.schema(schema).parquet(path).dropDuplicates(["file_name"])
+    return _file_names(wanted, "pdf_url", "file_name").join(kept.withColumn("pdf_text", text("content")), "file_name", "left")
+
+
+def contents(details: DataFrame, by: str, order: str = "url") -> DataFrame:
+    """by, markdown: a list of the titles of a digest's pages, in order."""
+    title = F.coalesce(F.nullif("title", F.lit("")), "url")
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), title.alias("t"))))
+    line = F.array_join(F.transform(rows, lambda x, k: F.concat((k + 1).cast("string"), F.lit(". "), x["t"])), "\n")
+    return details.groupBy(by).agg(F.concat(F.lit("# Contents\n\n"), line, F.lit("\n")).alias("markdown"))
 
 
 def scrape_digest(details: DataFrame) -> DataFrame:

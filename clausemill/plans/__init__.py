@@ -23,6 +23,8 @@ class Corpus:
     graph_nodes: DataFrame
     graph_edges: DataFrame
     postings: DataFrame
+    idf: DataFrame
+    weights: DataFrame
 
 
 def run(path: str, pages: DataFrame, catalog: DataFrame, domains: DataFrame, metadata: DataFrame, denoise: bool = True, classifier: Callable | None = None, level_hook: Callable | None = None, rules: matching.Rules = matching.Rules()) -> Corpus:
@@ -42,17 +44,20 @@ def run(path: str, pages: DataFrame, catalog: DataFrame, domains: DataFrame, met
     clauses = keep("clauses", cl.export_clauses(nodes, domains))
     objects = keep("objects", matching.ontology_objects(clauses, catalog, domains, rules))
     graph_nodes, graph_edges = graph.build_graph(clauses, objects, metadata, catalog, domains, keep)
-    return Corpus(lines, nodes, clauses, objects, keep("graph_nodes", graph_nodes), keep("graph_edges", graph_edges), keep("postings", index.postings(clauses)))
+    graph_nodes, graph_edges = keep("graph_nodes", graph_nodes), keep("graph_edges", graph_edges)
+    post = keep("postings", index.postings(clauses))
+    idf = keep("idf", index.corpus_idf(post, clauses))
+    return Corpus(lines, nodes, clauses, objects, graph_nodes, graph_edges, post, idf, keep("weights", index.stored_weights(post, idf)))
 
 
 #: Tables of a run by step, as folders below its path.
-STEPS = ["lines", "tree", "nodes", "clauses", "objects", "graph_nodes", "graph_edges", "postings"]
+STEPS = ["lines", "tree", "nodes", "clauses", "objects", "graph_nodes", "graph_edges", "postings", "idf", "weights"]
 
 
 def load(spark: SparkSession, path: str) -> Corpus:
     """The tables of a finished run."""
     t = {name: spark.read.parquet(f"{path}/{name}") for name in STEPS if name != "tree"}
-    return Corpus(t["lines"], t["nodes"], t["clauses"], t["objects"], t["graph_nodes"], t["graph_edges"], t["postings"])
+    return Corpus(t["lines"], t["nodes"], t["clauses"], t["objects"], t["graph_nodes"], t["graph_edges"], t["postings"], t["idf"], t["weights"])
 
 
 def summaries(corpus: Corpus) -> DataFrame:

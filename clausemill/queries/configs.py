@@ -37,6 +37,32 @@ def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.filter("n_violations > 0").select("event_id", F.array_join("violations", "; ").alias("violations"), "n_violations")
 
 
+#: An event as an object of a JSON schema.
+EVENT = {
+    "type": "array",
+    "items": {
+        "type": "object",
+        "additionalProperties": False,
+        "required": ["event_id", "event_type", "value"],
+        "properties": {"event_id": {"type": "integer", "minimum": 100}, "event_type": {"type": "string", "enum": ["view", "click", "signup"], "maxLength": 5}, "value": {"type": "number", "minimum": 1, "maximum": 50}, "props": {"type": ["string", "null"], "pattern": "\\{"}},
+    },
+}
+
+
+def json_schema_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events against a JSON schema; every tenth has no value, every eleventh none of the type."""
+    x = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 11 != 0, F.col("event_type")).alias("event_type"), F.when(F.col("event_id") % 10 != 0, F.col("value")).alias("value"), "props")
+    bad = ct.violations(x, ct.schema_rules(EVENT, x.columns))
+    return bad.filter("n_violations > 0").select("event_id", F.array_join("violations", "; ").alias("violations"), "n_violations")
+
+
+def reply_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies made of events, by user and batch: what breaks the classifier's contract."""
+    n = F.col("event_id")
+    r = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("stem"), (n % 2).cast("int").alias("batch"), (n % 20).cast("int").alias("index"), n.cast("int").alias("reply_ord"), F.col("event_type").alias("domain"), F.when(n % 13 == 0, F.repeat(F.lit("x"), 81)).alias("concept"), F.when(n % 3 == 0, " REPORT").otherwise("REPORT").alias("action"), F.lit(None).cast("string").alias("object"), F.lit("Reporting").alias("obligation_type"), F.lit("Mandatory").alias("mandatory_flag"), F.when(n % 7 == 0, "high").otherwise((F.col("value") / 20).cast("string")).alias("confidence_score"))
+    return interpret.reply_errors(r, ["view", "click"]).select("stem", "batch", "error_count", F.array_join("errors", "; ").alias("errors"))
+
+
 def extraction_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "events").select(F.col("user_id").alias("stem"), F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "skipped").otherwise("ok").alias("status"))
     return extract.extraction_status(log)
@@ -70,7 +96,7 @@ def reply_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpret.coerce(replies, ["click", "view"]).select("stem", "index", "domain", "action", "obligation_type", "mandatory_flag", F.round("confidence_score", 6).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (reply_coercion, merge_override, registry_lookup, coerce_enum, schema_violations, extraction_status, newest_answer, citation_extract, ungrounded)}
+QUERIES = {f.__name__: f for f in (reply_coercion, merge_override, registry_lookup, coerce_enum, schema_violations, json_schema_checks, reply_errors, extraction_status, newest_answer, citation_extract, ungrounded)}
 
 _ANS = "a AS (SELECT conv_id, turn, text || ' [DOC ' || (conv_id % 7) || '.' || turn || '] and [6, 7] [X 3.1] [1][2]' AS answer FROM conversations)"
 _CITE = r"\[([^\]\[]+?)\s+([0-9]+(?:\.[0-9]+)*)\]"
@@ -83,6 +109,8 @@ SELECT key, arg_max(label, layer * 1000000000 + position) AS label, min(layer) A
     "registry_lookup": "WITH d AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN ' ' || n_name WHEN 1 THEN lower(n_name) ELSE n_name END AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT s_suppkey, coalesce('N' || n_nationkey, 'GLOBAL') AS pack FROM d LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 2) ON trim(r) = n_name",
     "coerce_enum": f"SELECT event_id, CASE WHEN event_id % 3 <> 0 AND event_type IN ({quoted(['view', 'click', 'purchase'])}) THEN event_type ELSE 'other' END AS kind FROM events",
     "schema_violations": "WITH x AS (SELECT event_id, list_filter([CASE WHEN event_type NOT IN ('view', 'click', 'signup') THEN 'type in vocabulary' END, CASE WHEN NOT value < 50 THEN 'value below 50' END, CASE WHEN NOT value > 1 THEN 'value above 1' END, CASE WHEN user_id % 2 <> 0 THEN 'even user' END], lambda y: y IS NOT NULL) AS f FROM events) SELECT event_id, array_to_string(f[1:2], '; ') AS violations, len(f)::INTEGER AS n_violations FROM x WHERE len(f) > 0",
+    "json_schema_checks": "WITH e AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN event_type END AS event_type, CASE WHEN event_id % 10 <> 0 THEN value END AS value, props FROM events), x AS (SELECT event_id, list_filter([CASE WHEN event_id < 100 THEN 'event_id: minimum' END, CASE WHEN event_type IS NULL THEN 'event_type: required' END, CASE WHEN event_type NOT IN ('view', 'click', 'signup') THEN 'event_type: enum' END, CASE WHEN length(event_type) > 5 THEN 'event_type: maxLength' END, CASE WHEN value IS NULL THEN 'value: required' END, CASE WHEN value < 1 THEN 'value: minimum' END, CASE WHEN value > 50 THEN 'value: maximum' END, CASE WHEN NOT contains(props, '{') THEN 'props: pattern' END], lambda y: y IS NOT NULL) AS f FROM e) SELECT event_id, array_to_string(f[1:5], '; ') AS violations, len(f)::INTEGER AS n_violations FROM x WHERE len(f) > 0",
+    "reply_errors": "WITH r AS (SELECT user_id::VARCHAR AS stem, (event_id % 2)::INTEGER AS batch, (event_id % 20)::INTEGER AS index, event_id, list_filter([CASE WHEN event_id % 13 = 0 THEN 'concept: maxLength' END, CASE WHEN event_id % 7 = 0 THEN 'confidence_score: type' END, CASE WHEN event_id % 7 = 0 THEN 'confidence_score: minimum' END, CASE WHEN event_id % 7 = 0 OR value / 20 > 1 THEN 'confidence_score: maximum' END, CASE WHEN event_type NOT IN ('view', 'click') THEN 'domain: enum' END, CASE WHEN event_id % 3 = 0 THEN 'action: enum' END], lambda y: y IS NOT NULL) AS f FROM events), e AS (SELECT stem, batch, index, event_id, len(f) AS n, unnest(f[1:5]) AS err, generate_subscripts(f[1:5], 1) AS k FROM r), g AS (SELECT stem, batch, list(index || '/' || err ORDER BY index, event_id, k) AS l FROM e GROUP BY stem, batch), c AS (SELECT stem, batch, sum(len(f))::BIGINT AS n FROM r WHERE len(f) > 0 GROUP BY stem, batch) SELECT stem, batch, n AS error_count, array_to_string(l[1:5], '; ') AS errors FROM g JOIN c USING (stem, batch)",
     "extraction_status": "SELECT user_id AS stem, CASE WHEN bool_and(event_type <> 'error') THEN 'Success' ELSE 'Partial' END AS extraction_status FROM events GROUP BY user_id",
     "newest_answer": "SELECT arg_max(event_id, ts) AS event_id FROM events",
     "citation_extract": f"WITH {_ANS}, {_C} SELECT conv_id, turn, k::INTEGER AS k, document, clause_no FROM c",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clausemill.functions import values as v
 from clausemill.operators import index as ix
 from clausemill.queries.base import sql_tokens, table
+from clausemill.tables import settle
 
 QUESTION = "Does inging an erble keit eau the ción, and for thention rea?"
 
@@ -45,6 +46,18 @@ def search_topk_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.search(_post(spark, sf_dir), _rows(spark, sf_dir), QUESTION)
 
 
+QUESTIONS = [QUESTION, "the and la des der para", "keine ción nowhere"]
+
+
+def search_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three questions to one index that is written once: each reads the weights of its own terms."""
+    post = settle(_post(spark, sf_dir), "postings")
+    idf = settle(ix.corpus_idf(post, _rows(spark, sf_dir)), "idf")
+    weights = settle(ix.stored_weights(post, idf), "weights", even=False)
+    hits = [ix.top_hits(ix.stored_scores(weights, idf, q), None).select(F.lit(k).alias("question"), "stem", "ord", "score") for k, q in enumerate(QUESTIONS)]
+    return hits[0].union(hits[1]).union(hits[2])
+
+
 def index_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.index_meta(_post(spark, sf_dir), _rows(spark, sf_dir))
 
@@ -64,12 +77,13 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.retrieve(post, _rows(spark, sf_dir), QUESTION, k=12, dense=_dense(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (term_frequency, doc_frequency, idf_corpus, tfidf_vectors, search_topk_corpus, search_topk_per_source, index_meta, dense_topk, hybrid_topk)}
+QUERIES = {f.__name__: f for f in (term_frequency, doc_frequency, idf_corpus, tfidf_vectors, search_topk_corpus, search_topk_per_source, search_stored_index, index_meta, dense_topk, hybrid_topk)}
 
 _POST = f"p AS (SELECT source AS stem, doc_id AS ord, term, count(*) AS tf FROM (SELECT source, doc_id, unnest({sql_tokens('text')}) AS term FROM documents) GROUP BY ALL)"
 _IDF = "i AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1.0)) + 1.0 AS idf FROM p GROUP BY term)"
 _QUERY = f"q AS (SELECT term, count(*) AS qtf FROM (SELECT unnest({sql_tokens(chr(39) + QUESTION + chr(39))}) AS term) GROUP BY term)"
 _SCORES = "w AS (SELECT term, qtf * idf / sqrt(sum((qtf * idf) ** 2) OVER ()) AS qw FROM q JOIN i USING (term)), s AS (SELECT stem, ord, sum(tf * idf * qw) / sqrt(sum((tf * idf) ** 2)) AS score FROM p JOIN i USING (term) LEFT JOIN w USING (term) GROUP BY ALL)"
+_ASKED = "a AS (" + " UNION ALL ".join(f"SELECT {k} AS question, unnest({sql_tokens(chr(39) + q + chr(39))}) AS term" for k, q in enumerate(QUESTIONS)) + ")"
 _UNIT = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))"
 _DENSE = f"u AS (SELECT vec_id, {_UNIT} AS v FROM embeddings), z AS (SELECT 'embeddings' AS stem, a.vec_id AS ord, list_dot_product(a.v, b.v) AS score FROM u a, u b WHERE b.vec_id = 0)"
 
@@ -80,6 +94,7 @@ ORACLES = {
     "tfidf_vectors": f"WITH {_POST}, {_IDF}, x AS (SELECT stem, ord, tf * idf AS w, sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY stem, ord)) AS norm FROM p JOIN i USING (term)) SELECT stem, ord, count(*) AS terms, round(max(w / norm), 6) AS largest, round(sum(w / norm), 6) AS total FROM x GROUP BY stem, ord",
     "search_topk_corpus": f"WITH {_POST}, {_IDF}, {_QUERY}, {_SCORES} SELECT stem, ord, round(score, 4) AS score FROM s WHERE score > 0 ORDER BY 3 DESC, stem, ord LIMIT 6",
     "search_topk_per_source": f"WITH {_POST}, n AS (SELECT source AS stem, count(*) AS n FROM documents GROUP BY source), i AS (SELECT stem, term, ln((max(n) + 1.0) / (count(*) + 1.0)) + 1.0 AS idf FROM p JOIN n USING (stem) GROUP BY stem, term), {_QUERY}, w AS (SELECT stem, term, qtf * idf / sqrt(sum((qtf * idf) ** 2) OVER (PARTITION BY stem)) AS qw FROM q JOIN i USING (term)), s AS (SELECT stem, ord, sum(tf * idf * qw) / sqrt(sum((tf * idf) ** 2)) AS score FROM p JOIN i USING (stem, term) LEFT JOIN w USING (stem, term) GROUP BY ALL), r AS (SELECT *, (row_number() OVER (PARTITION BY stem ORDER BY round(score, 10) DESC, ord))::INTEGER AS rank FROM s WHERE score > 0) SELECT stem, ord, round(score, 4) AS score, rank FROM r WHERE rank <= 5",
+    "search_stored_index": f"WITH {_POST}, {_IDF}, {_ASKED}, q AS (SELECT question, term, count(*) AS qtf FROM a GROUP BY ALL), w AS (SELECT question, term, qtf * idf / sqrt(sum((qtf * idf) ** 2) OVER (PARTITION BY question)) AS qw FROM q JOIN i USING (term)), n AS (SELECT stem, ord, sqrt(sum((tf * idf) ** 2)) AS norm FROM p JOIN i USING (term) GROUP BY ALL), s AS (SELECT question, stem, ord, sum(tf * idf / norm * qw) AS score FROM p JOIN i USING (term) JOIN w USING (term) JOIN n USING (stem, ord) GROUP BY ALL) SELECT question, stem, ord, round(score, 4) AS score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY question ORDER BY round(score, 4) DESC, stem, ord) <= 6",
     "index_meta": f"WITH {_POST}, n AS (SELECT source AS stem, count(*) AS clause_count FROM documents GROUP BY source) SELECT n.stem, clause_count, count(DISTINCT term) AS vocabulary_size FROM n LEFT JOIN p ON n.stem = p.stem GROUP BY ALL",
     "dense_topk": f"WITH {_DENSE} SELECT stem, ord, round(score, 4) AS score FROM z WHERE score > 0 ORDER BY 3 DESC, stem, ord LIMIT 6",
     "hybrid_topk": f"WITH {_POST}, {_IDF}, {_QUERY}, {_SCORES}, {_DENSE} SELECT stem, ord, round(score, 4) AS score, kind FROM (SELECT *, 0 AS kind FROM s UNION ALL SELECT *, 1 AS kind FROM z) WHERE score > 0 ORDER BY 3 DESC, kind, stem, ord LIMIT 12",

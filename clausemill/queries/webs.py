@@ -98,13 +98,14 @@ QUERIES = {f.__name__: f for f in (story_digest, missing_files, json_payload_ext
 
 _HREF = "regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)"
 _LINKS = f"u AS (SELECT page_id, url, unnest({_HREF}) AS href, unnest(range(len({_HREF}))) AS pos FROM pages), f AS (SELECT page_id, url, min(pos)::INTEGER AS pos, trim(href) AS href FROM u WHERE trim(href) <> '' AND NOT prefix(trim(href), '#') GROUP BY page_id, url, trim(href))"
+_FILE = "coalesce(nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1), ''), md5(url) || '.pdf')"
 ORACLES = {
     "story_digest": """WITH s AS (SELECT n_name AS topic, c_custkey AS pos, CASE WHEN c_custkey % 3 = 0 THEN 'Unknown' ELSE c_mktsegment END AS region, '- **' || CASE WHEN c_custkey % 4 <> 0 THEN c_name ELSE '(untitled)' END || '**' || CASE WHEN c_custkey % 5 <> 0 THEN ' ([story](u' || c_custkey || '))' ELSE '' END || CASE WHEN c_custkey % 2 = 0 THEN ' — 2024-01-01' ELSE '' END || chr(10) || '  - [a](u1) (d)' AS line FROM customer JOIN nation ON c_nationkey = n_nationkey),
 g AS (SELECT topic, region, count(*) AS n, '### ' || region || chr(10) || string_agg(line, chr(10) ORDER BY pos) AS part FROM s GROUP BY topic, region),
 b AS (SELECT topic, sum(n) AS n, string_agg(part, chr(10) ORDER BY region) AS body FROM g GROUP BY topic),
 m AS (SELECT n_name AS topic, '## ' || n_name || chr(10) || '_Query: q_  ' || chr(10) || '_' || coalesce(n, 0) || ' stories_' || chr(10) || chr(10) || CASE WHEN n IS NULL THEN 'No stories were returned for this topic.' ELSE '' END || chr(10) || chr(10) || coalesce(body, '_No stories returned or response shape did not match expected fields — see JSON output for raw content._') || chr(10) AS markdown FROM nation LEFT JOIN b ON n_name = topic)
 SELECT topic, md5(markdown) AS digest, length(markdown)::INTEGER AS n_chars FROM m""",
-    "missing_files": "SELECT DISTINCT regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) AS file_name FROM pages WHERE regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) NOT IN (SELECT (doc_id * 3)::VARCHAR FROM documents)",
+    "missing_files": f"SELECT DISTINCT {_FILE} AS file_name FROM pages WHERE {_FILE} NOT IN (SELECT (doc_id * 3)::VARCHAR FROM documents)",
     "json_payload_extract": "SELECT event_id, 0 AS pos, event_type AS title, CASE WHEN event_id % 5 = 1 THEN 'Unknown' ELSE user_id::VARCHAR END AS region FROM events WHERE event_id % 5 IN (0, 1)",
     "region_group": "WITH x AS (SELECT c_mktsegment, c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN n_name END, CASE WHEN c_custkey % 3 = 0 THEN r_name END, CASE WHEN c_custkey % 5 = 0 THEN 'A' END, 'Unknown') AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT c_mktsegment, region, count(*) AS n, array_to_string(list_sort(list(c_custkey))[1:3], ',') AS first FROM x GROUP BY ALL",
     "first_url_per_story": f"WITH u AS (SELECT page_id, unnest({_HREF}) AS url, unnest(range(len({_HREF}))) AS pos FROM pages) SELECT page_id, min(pos)::INTEGER AS pos, url FROM u WHERE url NOT IN ('', '#') GROUP BY page_id, url",

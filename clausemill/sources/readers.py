@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from clausemill import schemas
 from clausemill.operators.extract import split_lines
+from clausemill.sources.decoders import text_pages
+from clausemill.sources.writers import BUCKET, bucket_of
 
 
 def stem_of(path):
@@ -22,13 +24,11 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return split_lines(files).select("stem", F.col("line_no").cast("long").alias("line_no"), "raw")
 
 
-def text_pages(content: bytes) -> list[str]:
-    """The default decoder: UTF-8 text with form feeds between pages."""
-    return [x.strip() for x in content.decode("utf-8", "replace").split("\f")]
+def read_pages(spark: SparkSession, path: str, decoder: Callable[[bytes], list] = text_pages, pattern: str = "*") -> DataFrame:
+    """stem, page_no (from 1), text, file_hash, n_images: one row per page that the decoder gives, as text or as (text, images on it).
 
-
-def read_pages(spark: SparkSession, path: str, decoder: Callable[[bytes], list[str]] = text_pages, pattern: str = "*") -> DataFrame:
-    """stem, page_no (from 1), text, file_hash: one row per page that the decoder gives.  A decoder for PDF is the caller's."""
+    A decoder for PDF is the caller's.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     files = files.select(stem_of(F.col("path")).alias("stem"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("file_hash"), "content")
 
@@ -36,9 +36,14 @@ def read_pages(spark: SparkSession, path: str, decoder: Callable[[bytes], list[s
         import pandas as pd
 
         for pdf in frames:
-            yield pd.DataFrame([(s, k, t, h) for s, h, c in zip(pdf["stem"], pdf["file_hash"], pdf["content"], strict=True) for k, t in enumerate(decoder(bytes(c)), start=1)], columns=["stem", "page_no", "text", "file_hash"])
+            rows = []
+            for s, h, c in zip(pdf["stem"], pdf["file_hash"], pdf["content"], strict=True):
+                for k, page in enumerate(decoder(bytes(c)), start=1):
+                    text, images = (page, 0) if isinstance(page, str) else page
+                    rows.append((s, k, text.strip(), h, images))
+            yield pd.DataFrame(rows, columns=["stem", "page_no", "text", "file_hash", "n_images"])
 
-    return files.mapInPandas(run, f"{schemas.PAGES}, file_hash string")
+    return files.mapInPandas(run, f"{schemas.PAGES}, file_hash string, n_images int")
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -47,9 +52,11 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str, schema: str, stem: str | None = None) -> DataFrame:
-    """A table partitioned by stem; one stem prunes the other partitions before a file is opened."""
-    table = spark.read.schema(schema).parquet(path)
-    return table if stem is None else table.filter(F.col("stem") == stem)
+    """A table of write_step(); one stem prunes the other buckets before a file is opened."""
+    table = spark.read.schema(f"{schema}, {BUCKET} int").parquet(path)
+    if stem is not None:
+        table = table.filter((F.col(BUCKET) == bucket_of(F.lit(stem))) & (F.col("stem") == stem))
+    return table.drop(BUCKET)
 
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:

@@ -213,6 +213,63 @@ def test_index(spark):
     assert [(r.stem, r.ord) for r in ix.top_hits(None, ix.dense_scores(vectors, query), 1).collect()] == [("d", 1)]
 
 
+def test_backends_and_providers(spark, monkeypatch):
+    asked = []
+
+    def odd(texts, is_query):  # replies in any order, as a service gives them
+        asked.append((len(texts), is_query))
+        return [{"index": k, "embedding": v} for k, v in reversed(list(enumerate(hooks.hashed_embedder(texts))))]
+
+    rows = spark.createDataFrame([("d", k, "", f"text {'alpha' if k % 3 else 'beta gamma'} {k}", None) for k in range(10)], "stem string, ord long, title string, text string, semantic struct<concept:string,object:string>")
+    monkeypatch.delenv("CLAUSEMILL_EMBEDDER", raising=False)
+    one, other = ix.backend("embedding", {"azure": odd, "nvidia": hooks.hashed_embedder}), ix.backend("nvidia", {"azure": odd, "nvidia": hooks.hashed_embedder})
+    assert (one.name, other.name, one.dense) == ("azure", "nvidia", True)
+    assert sorted(map(str, one.build(rows).collect())) == sorted(map(str, other.build(rows).collect()))
+    hits = {r.ord for r in ix.top_hits(None, one.scores(one.build(rows), rows, "beta gamma"), 4).collect()}
+    assert hits == {0, 3, 6, 9} and asked == [(1, True)]
+    sparse = ix.backend("tfidf")
+    assert not sparse.dense and {r.ord for r in sparse.scores(sparse.build(rows), rows, "beta").collect()} == {0, 3, 6, 9}
+    monkeypatch.setenv("CLAUSEMILL_EMBEDDER", "nvidia")
+    assert ix.backend("embedding", {"azure": odd, "nvidia": hooks.hashed_embedder}).name == "nvidia"
+    for name, configured in (("azure", {"nvidia": odd}), ("embedding", {"azure": odd}), ("embedding", {})):
+        with pytest.raises(LookupError):
+            ix.backend(name, configured)
+    with pytest.raises(ValueError):
+        ix.backend("other")
+    with pytest.raises(ValueError, match="2 texts, 1 vectors"):
+        ix.in_order([[1.0]], 2)
+
+
+def test_stored_weights_like_retrieve(spark):
+    rnd = random.Random(5)
+    rows = spark.createDataFrame([(f"s{k % 3}", k, " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "rare"]) for _ in range(rnd.randint(1, 9)))) for k in range(60)], "stem string, ord long, text string")
+    post = ix.postings(rows, F.col("text"))
+    idf = ix.corpus_idf(post, rows)
+    weights = ix.stored_weights(post, idf)
+    for query in ("alpha beta beta", "rare", "the unknown", "gamma unknown"):
+        assert ix.top_hits(ix.stored_scores(weights, idf, query), None).collect() == ix.retrieve(post, rows, query).collect()
+
+
+def test_fuzzy_pruned_like_whole(spark):
+    rnd = random.Random(9)
+    words = ["common", *[f"word{k}" for k in range(25)]]
+    phrase = lambda: " ".join(["common", *(rnd.choice(words) for _ in range(rnd.randint(1, 4)))])
+    catalog = spark.createDataFrame([(k, f"C{k}", phrase(), None, None, None, None, [phrase()]) for k in range(30)], schemas.CONCEPTS)
+    concepts = spark.createDataFrame([(x,) for x in sorted({phrase() for _ in range(60)} | {"nothing known"})], "concept string")
+    whole = {r.concept: (r.fuzzy_id, r.similarity) for r in matching.fuzzy_best(concepts, catalog).collect()}
+    for least in (0.3, 0.62, 0.9):
+        assert {r.concept: (r.fuzzy_id, r.similarity) for r in matching.fuzzy_best(concepts, catalog, least=least).collect()} == {c: x for c, x in whole.items() if x[1] >= least}
+
+
+def test_json_schema_rules(spark):
+    schema = {"type": "object", "required": ["a", "n"], "additionalProperties": False, "properties": {"a": {"type": "string", "minLength": 2}, "n": {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer"}, "tags": {"type": "array", "items": {"enum": ["x", "y"]}}}}, "c": {"const": "z"}}}
+    rows = spark.createDataFrame([(1, "ab", ("3", ["x"]), None), (2, "a", ("3.5", ["x", "q"]), "y"), (3, None, (None, None), "z")], "id int, a string, n struct<k:string,tags:array<string>>, c string")
+    rules = ct.schema_rules(schema, ["a", "n", "c", "other"])
+    got = {r.id: set(r.violations) for r in ct.violations(rows, rules, 99).collect()}
+    odd = "other: not in the schema"
+    assert got == {1: {odd}, 2: {"a: minLength", "n.k: type", "n.tags: items", "c: const", odd}, 3: {"a: required", "n.k: required", odd}}
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([("d", 1, "Good line here\n~1..i garbage<\n\nRBI 25%"), ("d", 2, "")], schemas.PAGES)
     assert {r.page_no: r.text for r in extract.denoise_pages(pages).collect()} == {1: "Good line here\n\nRBI 25%", 2: ""}
@@ -264,6 +321,9 @@ def test_web(spark):
     wanted = spark.createDataFrame([("http://a/x.pdf",), ("http://b/x.pdf?z",), ("http://b/y.pdf",)], "pdf_url string")
     stored = spark.createDataFrame([("y.pdf",)], "file_name string")
     assert web.missing_files(wanted, stored).count() == 1
+    links = web.link_rows(spark.createDataFrame([(1, """<a href='x'>1</a><A HREF = "y z">2</A><a data-href=q href=w>3</a><a href="#t">""")], "k int, html string"), "k")
+    assert [r.href for r in links.orderBy("pos").collect()] == ["x", "y z", "w"]
+    assert web.contents(web.details(frame).withColumn("site", F.lit("s")), "site").first().markdown == "# Contents\n\n1. Title here\n2. http://h/b\n"
     with pytest.raises(ValueError):
         web.classification_table(wanted, ["nope"], ["pdf_url"], "pdf_url")
 
@@ -299,6 +359,45 @@ def test_files_and_stream(spark, tmp_path):
     assert '"heading":"Only"' in shown and '"parent_ord":null' in shown
 
 
+def test_steps_in_buckets(spark, tmp_path):
+    path = str(tmp_path / "step")
+    rows = lambda *x: spark.createDataFrame(list(x), "stem string, n int")
+    writers.write_step(rows(*((f"d{k}", j) for k in range(600) for j in range(2))), path)
+    assert len([p for p in (tmp_path / "step").iterdir() if p.is_dir()]) <= writers.BUCKETS
+    for _ in range(2):  # again: the same table
+        writers.write_step(rows(("d1", 7), ("new", 8)), path)
+        back = readers.read_corpus(spark, path, "stem string, n int")
+        assert back.columns == ["stem", "n"] and back.count() == 600 * 2 - 2 + 2
+        assert [r.n for r in readers.read_corpus(spark, path, "stem string, n int", "d1").collect()] == [7]
+
+
+def test_files_are_stored_and_used_again(spark, tmp_path):
+    path, log = str(tmp_path / "files"), tmp_path / "asked"
+    log.mkdir()
+
+    def fetch(url):
+        (log / url.rsplit("/", 1)[-1].split("?")[0]).touch(exist_ok=False)
+        return None if "gone" in url else b"\xff" if "bad" in url else f"page of {url}\f two".encode()
+
+    def decode(content):
+        return [x.strip() for x in content.decode().split("\f")]
+
+    wanted = spark.createDataFrame([("http://a/x.pdf",), ("http://b/x.pdf?z",), ("http://b/bad.pdf",), ("http://b/gone.pdf",), (None,)], "pdf_url string")
+    got = {r.pdf_url: r for r in web.stored_files(path, wanted, fetch, decode).collect()}
+    assert got["http://a/x.pdf"].pdf_text == got["http://b/x.pdf?z"].pdf_text and got["http://a/x.pdf"].pdf_text.endswith("two")
+    assert got["http://b/bad.pdf"].pdf_text is None and got["http://b/bad.pdf"].content and got["http://b/gone.pdf"].content is None and len(got) == 5
+    (log / "gone.pdf").unlink()  # what is stored is not fetched again; what failed is
+    again = {r.pdf_url: r for r in web.stored_files(path, wanted, fetch, decode).collect()}
+    assert again == got and (log / "gone.pdf").exists()
+
+
+def test_pages_with_images(spark, tmp_path):
+    (tmp_path / "p.pdf").write_bytes(b"one\fTwo")
+    pages = readers.read_pages(spark, str(tmp_path / "p.pdf"), lambda b: [(x, k + 1) for k, x in enumerate(b.decode().split("\f"))])
+    stats = extract.document_stats(pages, "n_images").first()
+    assert (stats.total_pages, stats.total_images) == (2, 3)
+
+
 def test_interpret_contract(spark):
     replies = spark.createDataFrame([("d", 0, 0, 0, "Prudential", None, "MAINTAIN", None, "Reporting", "Mandatory", "0.4"), ("d", 0, 0, 1, "None such", "c", " MAINTAIN", "o", None, "Maybe", "x")], interpret.REPLY)
     r = interpret.coerce(replies, ["Prudential"]).first()

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
 from clausemill.functions import values as v
 from clausemill.functions.python import absolute_url, display_pair
+from clausemill.operators import extract
 
 
 def apply(spark, function, values):
@@ -35,6 +38,22 @@ def test_clean_tokens(spark):
     assert dict(zip(cases, apply(spark, tx.is_clean_token, list(cases)), strict=True)) == cases
 
 
+def test_plain_tokens_are_clean(spark):
+    """What passes without a judgement would be judged clean, and lines are judged whole where nothing passes."""
+    rnd = random.Random(3)
+    tokens = ["".join(rnd.choice("aeiouyAEbcdXRÜß0123.,;:!?()[]{}'\"/-–—%~=") for _ in range(rnd.randint(1, 6))) for _ in range(4000)] + ["naïve", "12.", "word.,", "word..", "e", "ab"]
+    clean = apply(spark, tx.is_clean_token, tokens)
+    plain = apply(spark, tx.has_plain_token, tokens)
+    assert all(c for c, p in zip(clean, plain, strict=True) if p) and 200 < sum(plain) < sum(clean)
+    assert apply(spark, tx.has_other_token, tokens) == [not p for p in plain]
+    lines = [" ".join(rnd.choice(tokens) for _ in range(rnd.randint(0, 5))) for _ in range(500)]
+    known = dict(zip(tokens, clean, strict=True))
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "line_no int, raw string")
+    left = {k: " ".join(t for t in x.split() if known[t]) for k, x in enumerate(lines) if not x.split() or any(known[t] for t in x.split())}
+    assert {r.line_no: r.raw for r in extract.denoise_lines(df).collect()} == left
+    assert extract.denoise_stats(df, []).first().lines_dropped == len(lines) - len(left)
+
+
 def test_words(spark):
     assert apply(spark, tx.tokens, ["The Bank's 3 rules, and a 42"]) == [["bank", "rules", "42"]]
     assert apply(spark, tx.concept_tokens, ["Monitoring of Straßen provisions", None]) == [["monitor", "of", "strassen", "provision"], None]
