@@ -1,55 +1,17 @@
-"""Tables in the folder that all executors share, and sizes taken from the session."""
+"""Records and small helpers over the shared folder, and sizes taken from the session."""
 
 from __future__ import annotations
 
-import atexit
 import json
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+from clausemill.tables import own_folder, release, settle, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset and Spark runs in one process (tests), a local one of our own."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.isLocal():
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="clausemill-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def own_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is there is deleted when the driver ends, or by release()."""
-    path = f"{shared_dir(spark)}/clausemill/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def settle(df: DataFrame, name: str = "part", even: bool = True) -> DataFrame:
-    """Write df as a table in the shared folder and read it back, so that its lineage ends there.
-
-    The folder outlives lost executors.  Tables are dropped when the driver ends, or by release().  Rows are dealt out
-    anew to files of Spark's advisory size; even=False leaves that out for tables as large as the input.
-    """
-    spark = df.sparkSession
-    path = own_folder(spark, name)
-    (df.hint("rebalance") if even else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the tables that settle() wrote in this session, but for the first `keep`."""
-    mine = [x for x in _written if x[0] is spark][keep:]
-    for item in mine:
-        remove(spark, item[1])
-        _written.remove(item)
+__all__ = ["own_folder", "release", "settle", "shared_dir"]
 
 
 def _at(spark: SparkSession, path: str) -> tuple:
@@ -105,13 +67,6 @@ def records(spark: SparkSession, folder: str) -> dict[str, dict]:
     return out
 
 
-@atexit.register
-def _release_all() -> None:
-    for spark in {id(s): s for s, _ in _written}.values():
-        if spark.sparkContext._jsc is not None and spark.getActiveSession() is not None:
-            release(spark)
-
-
 def few(df: DataFrame, most: int) -> DataFrame:
     """df, to be broadcast if it has at most `most` rows (of a few numbers), else to be joined by shuffle."""
     return F.broadcast(df) if df.count() <= most else df
