@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
 from clausemill.functions import values as v
+from clausemill.operators import index as ix
 from clausemill.operators import matching as mt
 from clausemill.queries.base import table
 from clausemill.queries.documents import sql_stem
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
-    x = names.withColumn("cat_ord", F.row_number().over(Window.orderBy("p_name")) - 1)  # a few dozen names
+    x = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").cast("int").alias("cat_ord"))
     word = lambda k: F.element_at(F.split("p_name", " "), k)
     slug = F.concat(F.lit("CPT_"), F.upper(F.replace("p_name", F.lit(" "), F.lit("_"))))
     return x.select("cat_ord", slug.alias("canonical_id"), F.col("p_name").alias("label"), F.lit(None).cast("string").alias("definition"), F.concat(F.lit("D"), F.col("cat_ord") % 5).alias("domain"), F.lit(None).cast("string").alias("parent"), F.when(F.col("cat_ord") % 3 == 0, "approved").otherwise("draft").alias("status"), F.array(F.concat_ws(" ", word(2), word(1)), F.concat("p_name", F.lit(" fitting assembly"))).alias("synonyms"))
@@ -81,14 +81,32 @@ def suggestion_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumnRenamed("__for", "concept")
 
 
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a hook might say of the concepts: an entry for each, with a confidence that is a number or not."""
+    slug = F.concat(F.lit("CPT_"), F.upper(F.replace("p_name", F.lit(" "), F.lit("_"))))
+    return table(spark, sf_dir, "part").select(_concept().alias("concept"), slug.alias("canonical_id"), F.when(F.col("p_partkey") % 5 == 0, "high").otherwise((F.col("p_size") / 40).cast("string")).alias("confidence"), F.col("p_partkey").alias("reply_ord"))
+
+
+def ontology_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapped clauses with the suggestions for those that stay unmapped."""
+    x = mt.ontology_objects(_clauses(spark, sf_dir), catalog(spark, sf_dir), _domains(spark), suggestions=_replies(spark, sf_dir))
+    return x.select("stem", "ord", "canonical_id", "suggested_canonical_id", "suggested_label", "suggestion_confidence")
+
+
+def enriched_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is indexed of each clause: title, text, concept and object, as far as they are there."""
+    x = _clauses(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_name")).alias("title"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_type")).alias("text")), "ord")
+    return x.select("ord", ix.enriched_text().alias("indexed"))
+
+
 def clamp_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(F.col("event_id") % 7 == 0, "x").when(F.col("event_id") % 11 == 0, F.lit(None)).otherwise((F.col("value") / 10 - 1).cast("string"))
     return table(spark, sf_dir, "events").select("event_id", v.confidence(raw, 3).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_match, fuzzy_match, concept_match, ontology_objects, match_coverage, unmapped_concepts, suggestion_filter, clamp_confidence)}
+QUERIES = {f.__name__: f for f in (normalize_match, fuzzy_match, concept_match, ontology_objects, match_coverage, unmapped_concepts, suggestion_filter, ontology_suggestions, enriched_text, clamp_confidence)}
 
-SQL_CATALOG = """n AS (SELECT p_name, row_number() OVER (ORDER BY p_name) - 1 AS cat_ord FROM (SELECT DISTINCT p_name FROM part)),
+SQL_CATALOG = """n AS (SELECT p_name, min(p_partkey) AS cat_ord FROM part GROUP BY p_name),
 cat AS (SELECT cat_ord, 'CPT_' || upper(replace(p_name, ' ', '_')) AS canonical_id, p_name AS label, 'D' || (cat_ord % 5) AS domain, CASE WHEN cat_ord % 3 = 0 THEN 'approved' ELSE 'draft' END AS status, [split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1), p_name || ' fitting assembly'] AS synonyms FROM n),
 forms AS (SELECT canonical_id, cat_ord, 0 AS pos, label AS form FROM cat UNION ALL SELECT canonical_id, cat_ord, k, synonyms[k] FROM cat, range(1, 3) t(k))"""
 _SQL_CONCEPT = """CASE p_partkey % 9 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN p_name || '.;' WHEN 3 THEN '  ' || split_part(p_name, ' ', 1) || '   ' || split_part(p_name, ' ', 2) || ' ' WHEN 4 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) WHEN 5 THEN p_name || 's unit fittings' WHEN 6 THEN lower(p_type) || ' ' || split_part(p_name, ' ', 2) WHEN 7 THEN p_brand ELSE split_part(p_name, ' ', 1) || ' assembly' END"""
@@ -124,5 +142,9 @@ ORACLES = {
     "unmapped_concepts": f"WITH {_SQL_OBJECTS} SELECT DISTINCT concept FROM o WHERE canonical_id IS NULL",
     "suggestion_filter": f"""WITH {SQL_CATALOG}, r AS (SELECT p_brand AS concept, CASE WHEN p_partkey % 4 = 0 THEN 'CPT_NONE' ELSE 'CPT_' || upper(replace(p_name, ' ', '_')) END AS canonical_id, CASE WHEN p_partkey % 5 <> 0 THEN p_size / 40 END AS conf, p_partkey FROM part)
 SELECT concept, canonical_id AS suggested_canonical_id, label AS suggested_label, round(greatest(0, least(1, conf)), 3) AS suggestion_confidence FROM r JOIN cat USING (canonical_id) WHERE conf >= 0.5 QUALIFY row_number() OVER (PARTITION BY concept ORDER BY p_partkey DESC) = 1""",
+    "ontology_suggestions": f"""WITH {_SQL_OBJECTS}, r AS (SELECT {_SQL_CONCEPT} AS concept, 'CPT_' || upper(replace(p_name, ' ', '_')) AS canonical_id, CASE WHEN p_partkey % 5 <> 0 THEN p_size / 40 END AS conf, p_partkey FROM part),
+b AS (SELECT concept, canonical_id, label, round(greatest(0, least(1, conf)), 3) AS conf FROM r JOIN cat USING (canonical_id) WHERE conf >= 0.5 QUALIFY row_number() OVER (PARTITION BY concept ORDER BY p_partkey DESC) = 1)
+SELECT stem, ord, o.canonical_id, b.canonical_id AS suggested_canonical_id, b.label AS suggested_label, conf AS suggestion_confidence FROM o LEFT JOIN b ON o.canonical_id IS NULL AND o.concept = b.concept""",
+    "enriched_text": f"SELECT p_partkey AS ord, concat_ws(' ', nullif(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END, ''), CASE WHEN p_partkey % 4 <> 0 THEN nullif(p_type, '') END, nullif({_SQL_CONCEPT}, '')) AS indexed FROM part",
     "clamp_confidence": "SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE round(greatest(0.0, least(1.0, value / 10 - 1)), 3) END AS confidence FROM events",
 }

@@ -45,6 +45,20 @@ def denoise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.md5(ordered).alias("digest"))
 
 
+def metadata_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata step over documents as pages of their source, with a hook for the title and given values."""
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("stem"), F.col("doc_id").cast("int").alias("page_no"), "text")
+    hook = lambda x: x.select("stem", F.concat(F.lit("About "), "stem").alias("title"), F.lit("").alias("business_domain"), F.length("text").cast("string").alias("version"))
+    out = extract.metadata(pages, hook, {"regulator": "CB", "jurisdiction": ""}, max_chars=500)
+    return out.select("stem", "title", "regulator", "jurisdiction", "business_domain", "version", "total_pages", "total_words", "total_characters", "total_images", "document_format", "extraction_status")
+
+
+def json_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects and arrays out of what surrounds them in a reply."""
+    reply = F.concat(F.when(F.col("event_id") % 3 != 0, "Here: ").otherwise(""), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("["), "props", F.lit("] done"))).otherwise(F.col("props")), F.when(F.col("event_id") % 5 == 0, " end").otherwise(""))
+    return table(spark, sf_dir, "events").select("event_id", tx.json_tail(reply).alias("tail"), tx.json_array(reply).alias("list"))
+
+
 def scan_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.likely_scanned(_pages(spark, sf_dir))
 
@@ -85,7 +99,7 @@ def near_duplicate_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(after, "doc_id").select("doc_id", F.round(similarity_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_counts, stem_tokens, denoise_tokens, denoise_stats, denoise_lines, scan_check, doc_stats, doc_sha256, markdown_sections, latin1_text, truncations, batch_ids, near_duplicate_ratio)}
+QUERIES = {f.__name__: f for f in (tokenize_counts, stem_tokens, denoise_tokens, denoise_stats, denoise_lines, metadata_rows, json_parts, scan_check, doc_stats, doc_sha256, markdown_sections, latin1_text, truncations, batch_ids, near_duplicate_ratio)}
 
 _EDGES = "[" + "".join("\\" + c if c.isascii() else c for c in tx.EDGES) + "]"
 #: Unicode white space, which the engine's patterns mean.
@@ -132,6 +146,8 @@ ORACLES = {
     "denoise_tokens": f"WITH w AS (SELECT unnest({_tokens('text')}) AS token FROM documents), c AS (SELECT token, count(*) AS n FROM w GROUP BY token) SELECT token, n, {sql_clean('token')} AS clean FROM c",
     "denoise_stats": f"WITH {_lines('source')}, k AS (SELECT source, len(w) AS n, len(list_filter(w, lambda t: {sql_clean('t')})) AS k FROM (SELECT source, {_tokens('raw')} AS w FROM l)) SELECT source, count(*) AS lines_in, count(*) FILTER (n > 0 AND k = 0) AS lines_dropped, sum(n)::BIGINT AS tokens_in, sum(n - k)::BIGINT AS tokens_dropped FROM k GROUP BY source",
     "denoise_lines": f"WITH {_lines('doc_id')}, w AS (SELECT doc_id, k, {_tokens('raw')} AS w FROM l), c AS (SELECT doc_id, k, w, list_filter(w, lambda t: {sql_clean('t')}) AS c FROM w) SELECT doc_id, count(*) AS n_lines, md5(string_agg(array_to_string(c, ' '), chr(10) ORDER BY k)) AS digest FROM c WHERE len(c) > 0 OR len(w) = 0 GROUP BY doc_id",
+    "metadata_rows": f"WITH t AS (SELECT source AS stem, count(*) AS n, sum(len({_tokens('text')})) AS w, sum(length(coalesce(text, ''))) + 2 * (count(*) - 1) AS c FROM documents GROUP BY source) SELECT stem, 'About ' || stem AS title, 'CB' AS regulator, NULL::VARCHAR AS jurisdiction, 'Unknown' AS business_domain, least(c, 500)::BIGINT::VARCHAR AS version, n AS total_pages, w::BIGINT AS total_words, c::BIGINT AS total_characters, 0::BIGINT AS total_images, 'PDF' AS document_format, 'Success' AS extraction_status FROM t",
+    "json_parts": "WITH r AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN 'Here: ' ELSE '' END || CASE WHEN event_id % 4 = 0 THEN '[' || props || '] done' ELSE props END || CASE WHEN event_id % 5 = 0 THEN ' end' ELSE '' END AS t FROM events) SELECT event_id, CASE WHEN event_id % 4 <> 0 AND event_id % 5 <> 0 THEN regexp_extract(t, '\\{.*$') END AS tail, nullif(regexp_extract(t, '\\[.*\\]'), '') AS list FROM r",
     "scan_check": "SELECT doc_id::VARCHAR AS stem, 1::BIGINT AS n_pages, length(coalesce(text, ''))::BIGINT AS n_chars, length(coalesce(text, '')) < 200 AS scanned FROM documents",
     "doc_stats": f"SELECT doc_id::VARCHAR AS doc, 1::BIGINT AS total_pages, len({_tokens('text')})::BIGINT AS total_words, length(text)::BIGINT AS total_characters, 0::BIGINT AS total_images FROM documents",
     "doc_sha256": "SELECT doc_id, 'sha256:' || sha256(text) AS file_hash FROM documents",

@@ -38,16 +38,28 @@ def settle(df: DataFrame, name: str = "part", even: bool = True) -> DataFrame:
     spark = df.sparkSession
     path = own_folder(spark, name)
     (df.hint("rebalance") if even else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table of settle() that nothing needs any more."""
+    item = next((x for x in _written if x[1] == getattr(table, "_written_at", None)), None)
+    if item is not None:
+        _delete(item)
+
+
+def _delete(item: tuple[SparkSession, str]) -> None:
+    path = item[0]._jvm.org.apache.hadoop.fs.Path(item[1])
+    path.getFileSystem(item[0]._jsc.hadoopConfiguration()).delete(path, True)
+    _written.remove(item)
 
 
 def release(spark: SparkSession, keep: int = 0) -> None:
     """Delete the tables written in this session, but for the first `keep`."""
-    mine = [x for x in _written if x[0] is spark][keep:]
-    for item in mine:
-        path = spark._jvm.org.apache.hadoop.fs.Path(item[1])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        _written.remove(item)
+    for item in [x for x in _written if x[0] is spark][keep:]:
+        _delete(item)
 
 
 @atexit.register

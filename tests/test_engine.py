@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -316,6 +317,11 @@ def test_web(spark):
     assert [r.link for r in web.listing(listing).orderBy("pos").collect()] == ["http://h/n0", "http://h/n1", "http://h/n2"]
     crawlable = spark.createDataFrame([("http://www.rbi.org.in/a/NotificationUser.aspx?x=1",), ("http://other/NotificationUser.aspx",), ("http://rbi.org.in/",), ("::bad",), (None,)], "u string").select(web.is_crawlable(F.col("u")).alias("c"))
     assert [r.c for r in crawlable.collect()] == [True, False, False, False, False]
+    site = spark.createDataFrame([(f"http://s/{k}", k, f"http://s/x{k}") for k in range(5)], "url string, pos int, href string")
+    pages = spark.createDataFrame([("http://s/x1", "one")], "url string, html string")
+    for limit, n in ((None, 10), (2, 4)):  # so many seeds, and the page that each links to
+        walked = web.crawl(site.select("url", "pos"), site.select("url", "href"), pages, limit, lambda u: F.contains(u, F.lit("/x"))).collect()
+        assert len(walked) == n and [r.url for r in walked if r.html] == ["http://s/x1"]
     shown = {r.url: r.markdown for r in web.scrape_digest(web.details(frame)).collect()}
     assert shown["http://h/a"].startswith("## Title here\n\n- URL: http://h/a\n- Date: Jan 1, 2024") and "- Error: no table" in shown["http://h/b"]
     wanted = spark.createDataFrame([("http://a/x.pdf",), ("http://b/x.pdf?z",), ("http://b/y.pdf",)], "pdf_url string")
@@ -355,6 +361,8 @@ def test_files_and_stream(spark, tmp_path):
     for bad in ("", "..", "a/b", "a\\b"):
         with pytest.raises(ValueError):
             readers.safe_name(bad)
+    writers.append_log(spark.createDataFrame([("a", "x", "ok", None)], schemas.RUN_LOG), str(tmp_path / "log"))
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", spark.read.parquet(str(tmp_path / "log")).first().generated_at)
     shown = writers.as_json(back, ["stem"]).first().json
     assert '"heading":"Only"' in shown and '"parent_ord":null' in shown
 
