@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.shared import settle
+from clausemill.llm.shared import drop, settle
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """links(u, v), any order, loops allowed -> (u, v): each node but the least of a component, and that least node.
 
-    Rounds are written to the shared folder; they end when a round leaves the links as they were.
+    Rounds are written to the shared folder, each in place of the last; they end when a round leaves the links as they were.
     """
     now = settle(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "links")
     sign = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
@@ -31,8 +31,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             return now
-        now = settle(_small_star(_large_star(now)), "links")
+        last, now = now, settle(_small_star(_large_star(now)), "links")
         after = sign(now)
+        drop(last)
         if after == before:
             return now
         before = after

@@ -9,9 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausemill.tables import own_folder, release, settle, shared_dir
+from clausemill.tables import drop, own_folder, release, settle, shared_dir
 
-__all__ = ["own_folder", "release", "settle", "shared_dir"]
+__all__ = ["drop", "own_folder", "release", "settle", "shared_dir"]
 
 
 def _at(spark: SparkSession, path: str) -> tuple:

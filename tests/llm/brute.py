@@ -191,3 +191,42 @@ def path_probability(text: str, probability: dict[str, float], bare: float) -> f
             elif start == end - 1:
                 total[end] += total[start] * bare
     return math.log(total[-1])
+
+
+_M = (1 << 64) - 1
+
+
+def _mix(x: int, salt: int = 0) -> int:
+    x = (x ^ salt) & _M
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _M
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _M
+    return x ^ (x >> 31)
+
+
+def sampled_pieces(text: str, key: int, pieces: dict[str, int], log_p: list[float], byte_ids: list[int], seed: int = 0) -> list[int]:
+    """Ids of one text: each part forward from its start, then drawn backward from its end, by the row's key and the place in the text."""
+    row, out, longest = _mix(key, (seed * 0x9E3779B97F4A7C15 + 1) & _M), [], max(map(len, pieces))
+    cuts = [k for k in range(1, len(text)) if text[k] == " " and text[k - 1] != " " or "\n" in text[k - 1 : k + 1]]
+    for first, stop in zip([0, *cuts], [*cuts, len(text)], strict=True):
+        part = text[first:stop]
+        edges: list[list] = [[] for _ in range(len(part) + 1)]
+        alpha = [0.0] * (len(part) + 1)
+        for end in range(1, len(part) + 1):
+            for width in range(1, min(end, longest) + 1):
+                number = pieces.get(part[end - width : end], -1)
+                if number >= 0 or width == 1:
+                    edges[end].append((width, number, alpha[end - width] + log_p[number]))
+            top = max(x for *_, x in edges[end])
+            alpha[end] = top + math.log(sum(math.exp(x - top) for *_, x in edges[end]))
+        own, at = [], len(part)
+        while at:
+            draw = (_mix((row + (first + at) * 0x9E3779B97F4A7C15) & _M) >> 11) * 2.0**-53
+            upto = 0.0
+            for width, number, x in edges[at]:
+                upto += math.exp(x - alpha[at])
+                if draw < upto:
+                    break
+            own.append([number] if number >= 0 else [byte_ids[b] for b in part[at - 1].encode()])
+            at -= width
+        out += [x for spelled in reversed(own) for x in spelled]
+    return out

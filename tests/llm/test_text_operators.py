@@ -154,6 +154,23 @@ def test_pieces_do_not_depend_on_batches(spark, sf):
     assert {(r.doc_id, r.n_pieces, r.lossless) for r in q.op3_sentencepiece(spark, sf).collect()} == {(k, len(ids), True) for k, ids in alone.items()}
 
 
+def test_pieces_like_brute_force(make, spark, sf, vocabulary):
+    """Ids of whole texts, drawn one character after another in plain Python; and the digest that the query makes of them."""
+    from clausemill.llm import queries as q
+
+    pieces = {x.replace("▁", " "): k for k, x in enumerate(vocabulary.pieces) if x}
+    log_p, byte_ids = vocabulary.zipf().tolist(), vocabulary.byte_ids.tolist()
+    odd = [r for r in ODD if r[0] is not None and r[1] is not None]
+    got = {(r.doc_id, r.n_chars): r.token_ids for r in encode(make(odd)).collect()}
+    assert got == {(k, len(t)): brute.sampled_pieces(t, k, pieces, log_p, byte_ids) for k, t in odd}
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) < 2000").collect()][:60]
+    want = [(k, brute.sampled_pieces(t, k, pieces, log_p, byte_ids)) for k, t in docs]
+    digest = F.lower(F.lpad(F.hex(F.xxhash64("ids")), 16, "0"))
+    hashed = {r.k: (r.h, r.n) for r in spark.createDataFrame(want, "k long, ids array<int>").select("k", digest.alias("h"), F.size("ids").alias("n")).collect()}
+    found = {r.doc_id: (r.ids_hash, r.n_pieces) for r in q.op3_sentencepiece(spark, sf).collect()}
+    assert {k: found[k] for k in hashed} == hashed and len(hashed) == 60
+
+
 def test_pieces_round_trip_and_repeat(make):
     docs = make(ODD)
     out = encode(docs)
