@@ -21,6 +21,11 @@ def _post(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.postings(_rows(spark, sf_dir), F.col("text"))
 
 
+def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings as a table, as a run keeps them: read once for weights and once for scores."""
+    return settle(_post(spark, sf_dir), "postings")
+
+
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _post(spark, sf_dir).groupBy("stem", "term").agg(F.sum("tf").alias("tf"), F.max("tf").alias("max_tf"))
 
@@ -34,16 +39,16 @@ def idf_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = _post(spark, sf_dir)
+    post = _table(spark, sf_dir)
     return ix.unit_weights(post, ix.corpus_idf(post, _rows(spark, sf_dir))).groupBy("stem", "ord").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("largest"), F.round(F.sum("weight"), 6).alias("total"))
 
 
 def search_topk_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.retrieve(_post(spark, sf_dir), _rows(spark, sf_dir), QUESTION).drop("kind")
+    return ix.retrieve(_table(spark, sf_dir), _rows(spark, sf_dir), QUESTION).drop("kind")
 
 
 def search_topk_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.search(_post(spark, sf_dir), _rows(spark, sf_dir), QUESTION)
+    return ix.search(_table(spark, sf_dir), _rows(spark, sf_dir), QUESTION)
 
 
 QUESTIONS = [QUESTION, "the and la des der para", "keine ción nowhere"]
@@ -51,7 +56,7 @@ QUESTIONS = [QUESTION, "the and la des der para", "keine ción nowhere"]
 
 def search_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three questions to one index that is written once: each reads the weights of its own terms."""
-    post = settle(_post(spark, sf_dir), "postings")
+    post = _table(spark, sf_dir)
     idf = settle(ix.corpus_idf(post, _rows(spark, sf_dir)), "idf")
     weights = settle(ix.stored_weights(post, idf), "weights", even=False)
     hits = [ix.top_hits(ix.stored_scores(weights, idf, q), None).select(F.lit(k).alias("question"), "stem", "ord", "score") for k, q in enumerate(QUESTIONS)]
@@ -73,7 +78,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = _post(spark, sf_dir)
+    post = _table(spark, sf_dir)
     return ix.retrieve(post, _rows(spark, sf_dir), QUESTION, k=12, dense=_dense(spark, sf_dir))
 
 
