@@ -28,18 +28,20 @@ def _small(df: DataFrame, most: int = 10_000) -> DataFrame:
 def enrich(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """hits (document_id, clause_id, ...) with canonical_id, canonical_label, mapping_confidence, review_required, concept_parent, obligation_type.
 
-    Of several edges of a kind the last counts, by edge_ord where the edges have it.  Edges and nodes are met by the few
+    nodes and edges are those of all documents, united or not.  Of several edges of a kind the last counts, by edge_ord where the edges have it.  Edges and nodes are met by the few
     keys that the hits need, so that a graph kept as a table is read, and neither shuffled nor sorted.
     """
     at = F.col("edge_ord") if "edge_ord" in edges.columns else F.struct("target", "provenance")
 
     def last(kind: str, sources: DataFrame, *more: str) -> DataFrame:
         mine = edges.filter(F.col("type") == kind).join(_small(sources.toDF("source").distinct()), "source", "left_semi")
-        return mine.groupBy("source").agg(F.max_by(F.struct("target", *more), at).alias("e"))
+        return settle(mine.groupBy("source").agg(F.max_by(F.struct("target", *more), at).alias("e")), "found")  # as few rows as hits
 
     def label(ids: DataFrame, name: str, **properties: str) -> DataFrame:
         mine = nodes.join(_small(ids.toDF("id").distinct()), "id", "left_semi")
-        return mine.select(F.col("id").alias(f"__{name}_id"), *(_prop(p).alias(n) for n, p in properties.items()))
+        own = F.struct(*(_prop(p).alias(n) for n, p in properties.items()))
+        first = F.min_by(own, "stem") if "stem" in nodes.columns else F.first(own)  # as in the union of all graphs, the first document's node counts
+        return mine.groupBy("id").agg(first.alias("p")).select(F.col("id").alias(f"__{name}_id"), "p.*")
 
     x = hits.withColumn("clause_node", F.concat(F.lit("Clause:"), F.col("document_id"), F.lit("/"), F.col("clause_id")))
     concept = last("MAPS_TO_CONCEPT", x.select("clause_node"), "provenance").select(F.col("source").alias("__c"), F.col("e.target").alias("concept_node"), F.col("e.provenance.match_confidence").alias("mapping_confidence"), F.col("e.provenance.review_required").alias("review_required"))

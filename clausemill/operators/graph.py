@@ -39,13 +39,13 @@ def _each(df: DataFrame, *made: Column) -> DataFrame:
     return df.select("stem", F.explode(F.array_compact(F.array(*made))).alias("x")).select("stem", "x.*")
 
 
-def merge_nodes(nodes: DataFrame, group: list[str] | None = None) -> DataFrame:
+def merge_nodes(nodes: DataFrame, group: list[str] | None = None, counted: bool = False) -> DataFrame:
     """nodes (id, type, entries, arrival) -> one row per id: of each property the first value in order of arrival; the type of the first.
 
-    Equal rows are counted once before the shuffle, so a node that a third of all rows name stays small.
+    Equal rows are counted once before the shuffle, so a node that a third of all rows name stays small; counted says that they are already.
     """
     keys = [*(group or []), "id"]
-    once = nodes.groupBy(*keys, "type", "entries").agg(F.min("arrival").alias("arrival"))
+    once = nodes if counted else nodes.groupBy(*keys, "type", "entries").agg(F.min("arrival").alias("arrival"))
     forms = once.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("arrival", "type", "entries"))).alias("f"))
     empty = F.create_map().cast("map<string,string>")
     merged = F.aggregate("f", empty, lambda have, x: F.map_concat(have, F.map_filter(F.map_from_entries(x["entries"]), lambda k, _: ~F.map_contains_key(have, k))))
@@ -108,7 +108,7 @@ def build_graph(clauses: DataFrame, objects: DataFrame, metadata: DataFrame, cat
         _each(meta, _node("Document", col("document_id"), F.lit(0), title=col("title"), source_type=col("source_type"), version=col("version"), jurisdiction=col("jurisdiction"), stem=col("stem"), regulator=col("regulator"))),
         _each(c, _node("Clause", F.concat("document_id", F.lit("/"), "clause_id"), F.lit(0), clause_no=col("clause_no"), title=col("title"), text=col("text"), page=col("page_reference"), mandatory_flag=tx.present("semantic.mandatory_flag"), action=tx.present("semantic.action"))),
     ]
-    nodes = reduce(DataFrame.unionByName, (x.select("stem", "id", "type", F.map_from_entries("entries").alias("properties")) for x in single)).unionByName(merge_nodes(shared, ["stem"]))
+    nodes = reduce(DataFrame.unionByName, (x.select("stem", "id", "type", F.map_from_entries("entries").alias("properties")) for x in single)).unionByName(merge_nodes(shared, ["stem"], counted=True))
     edges = [
         structural_once(_each(meta, _edge(doc, law, "ISSUED_BY", None, there("regulator"))), ["stem"]),
         _each(

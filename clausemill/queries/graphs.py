@@ -67,7 +67,7 @@ def concept_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Evidence over a graph that is written once as tables, as a run writes it."""
     nodes, edges, p = _graph(spark, sf_dir)
-    nodes, edges = settle(gr.union_graphs(nodes, edges)[0], "graph_nodes"), settle(edges, "graph_edges")
+    nodes, edges = settle(nodes, "graph_nodes", even=False), settle(edges, "graph_edges", even=False)
     doc = p["metadata"].select("stem", F.coalesce("document_id", "stem").alias("document_id"))
     hits = p["clauses"].orderBy(F.desc("l_extendedprice"), "stem", "ord").limit(20).join(doc, "stem")
     hits = settle(hits.select("document_id", "clause_id", "clause_no", "title", F.round(F.col("l_discount") * 5, 4).alias("score")), "hits")
