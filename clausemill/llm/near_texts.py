@@ -10,9 +10,10 @@ their sets have a Jaccard similarity of `least` or more.  Of each connected grou
    with different roots also meet at rare shingles: in any one order of all shingles, two sets of similarity s have a common
    shingle among their first n - ceil(s n) + 1.  The order is rare first, by counts over all nodes; a shingle that
    no other node has is in that order, but is not sent.  The order decides what this costs and not what it finds.
-4. Nodes that meet are candidates if their sizes allow the similarity, and so do the shingles before it, which at
-   the first common one are all different.  Where over `_CROWD` meet, they are first compared with the middle one and their
-   next neighbours by size; then what is not connected by the links found is compared in full.
+4. Nodes that meet are candidates if their sizes allow the similarity, and so do the shingles before it in either, which at
+   the first common one the other lacks.  Where over `_CROWD` meet, they are first compared with the middle one and their
+   next neighbours by size; then what is not connected by the links found is compared in full, but for pairs whose 256
+   parity bits prove that more shingles differ than may.
 5. Candidates are verified on the whole sets.
 
 Texts are read once for each step and not written; shingles are counted in packed arrays, sorted and added up in each task
@@ -39,6 +40,7 @@ from clausemill.llm.words import Words, majority, runs, signed, slices
 
 _U = np.uint64
 _CROWD, _NEXT, _FREQUENT, _MOST_BITS, _HELD = 48, 4, 500_000, 29, 1 << 20
+_ODD = ("odd0", "odd1", "odd2", "odd3")
 
 
 def _sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,6 +53,17 @@ def _sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*found, full[:0]]), np.array([len(x) for x in found], np.int64)
 
 
+def _odd(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """256 bits a set, as four words: whether an odd number of its shingles falls on each.  Two sets differ in at least as many shingles as bits."""
+    some, at = np.flatnonzero(sizes), (flat >> _U(40)) & _U(255)
+    out = [np.zeros(len(sizes), _U) for _ in range(4)]
+    for k in range(4):
+        if len(some):
+            own = np.where(at >> _U(6) == _U(k), _U(1) << (at & _U(63)), _U(0))
+            out[k][some] = np.bitwise_xor.reduceat(own, (np.cumsum(sizes) - sizes)[some])
+    return out
+
+
 def _each(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     ends = np.cumsum(sizes)
     return [flat[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
@@ -63,7 +76,7 @@ def _kind(bodies: list[bytes]) -> np.ndarray:
 def _kinds(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         flat, sizes = _sets(batch.column("text"), width)
-        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "mark": batch.column("mark"), "kind": _kind(_each(flat, sizes)), "fp": signed(majority(flat, sizes))})
+        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "mark": batch.column("mark"), "kind": _kind(_each(flat, sizes)), "fp": signed(majority(flat, sizes)), **{f"odd{k}": signed(x) for k, x in enumerate(_odd(flat, sizes))}})
 
 
 def _bodies(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -196,7 +209,8 @@ def _meet(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Record
             left.append(np.minimum(mine, mine[len(mine) // 2]))
             right.append(np.maximum(mine, mine[len(mine) // 2]))
         a, b = np.concatenate([*left, np.empty(0, int)]), np.concatenate([*right, np.empty(0, int)])
-        fine = (n[a] >= least * n[b] - 1e-9) & (pos[a] + pos[b] <= (1 - least) / (1 + least) * (n[a] + n[b]) + 1e-9) & (root[a] != root[b])
+        need = np.ceil(least / (1 + least) * (n[a] + n[b]) - 1e-9)
+        fine = (n[a] >= least * n[b] - 1e-9) & (pos[a] <= n[a] - need) & (pos[b] <= n[b] - need) & (root[a] != root[b])
         both = np.unique(np.stack([np.maximum(kind[a], kind[b])[fine], np.minimum(kind[a], kind[b])[fine]]), axis=1)
         none = pa.nulls(both.shape[1], pa.int64())
         if both.size:
@@ -246,8 +260,8 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("mark", F.hash("text"))
-    all_ = settle(plain.mapInArrow(lambda it: _kinds(it, width), "id long, mark int, kind long, fp long"), "kinds")
-    different = settle(all_.groupBy("kind").agg(F.min("id").alias("low"), F.first("fp").alias("fp")), "different")
+    all_ = settle(plain.mapInArrow(lambda it: _kinds(it, width), f"id long, mark int, kind long, fp long, {', '.join(f'{c} long' for c in _ODD)}"), "kinds")
+    different = settle(all_.groupBy("kind").agg(F.min("id").alias("low"), *(F.first(c).alias(c) for c in ("fp", *_ODD))), "different")
     again = settle(all_.join(different.select("kind", "low"), "kind").filter("id <> low").select("id", "mark").distinct(), "again")
     texts = plain.join(few(again, most), ["id", "mark"], "left_anti").select("id", "text")
     if again.count() > most:
@@ -267,10 +281,13 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = close.union(nodes.similar(met.filter("key IS NULL").select("u", "v").distinct()))
     roots = components(links)
     crowd = met.filter("key IS NOT NULL").select("key", F.col("u").alias("kind"), F.col("v").alias("n"), "pos")
-    crowd = settle(crowd.join(roots.toDF("kind", "root"), "kind", "left").select("key", "kind", "n", "pos", F.coalesce("root", "kind").alias("root")), "crowd")
+    crowd = crowd.join(roots.toDF("kind", "root"), "kind", "left").join(different.select("kind", *_ODD), "kind")
+    crowd = settle(crowd.select("key", "kind", "n", "pos", F.coalesce("root", "kind").alias("root"), *_ODD), "crowd")
     apart = crowd.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    x, y = (crowd.join(apart, "key", "left_semi").toDF("key", *(f"{c}_{k}" for c in ("kind", "n", "pos", "root"))) for k in "xy")
-    rest = x.join(y, "key").filter(f"kind_x > kind_y AND root_x <> root_y AND least(n_x, n_y) >= {least} * greatest(n_x, n_y) - 1e-9 AND pos_x + pos_y <= {(1 - least) / (1 + least)} * (n_x + n_y) + 1e-9")
+    x, y = (crowd.join(apart, "key", "left_semi").toDF("key", *(f"{c}_{k}" for c in ("kind", "n", "pos", "root", *_ODD))) for k in "xy")
+    need = f"ceil({least / (1 + least)} * (n_x + n_y) - 1e-9)"
+    rest = x.join(y, "key").filter(f"kind_x > kind_y AND root_x <> root_y AND least(n_x, n_y) >= {least} * greatest(n_x, n_y) - 1e-9 AND pos_x <= n_x - {need} AND pos_y <= n_y - {need}")
+    rest = rest.filter(f"{' + '.join(f'bit_count({c}_x ^ {c}_y)' for c in _ODD)} <= n_x + n_y - 2 * {need}")
     rest = settle(rest.select(F.col("kind_x").alias("u"), F.col("kind_y").alias("v")).distinct(), "rest")
     if not rest.isEmpty():
         roots = components(links.union(nodes.similar(rest)))
