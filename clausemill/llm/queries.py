@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausemill.llm import secret_scan
+from clausemill.llm.conversation_repair import damage, digests, repair
 from clausemill.llm.decontaminate import find_items
 from clausemill.llm.language_id import predict, train
 from clausemill.llm.line_dedup import index_lines
@@ -15,6 +17,7 @@ from clausemill.llm.sentencepiece_codec import encode
 from clausemill.llm.shared import own_folder, settle
 from clausemill.llm.sharding import SLOTS, place
 from clausemill.llm.simhash_dedup import near_duplicates
+from clausemill.llm.spelling import variants
 from clausemill.llm.substring_dedup import dedup_substrings
 from clausemill.llm.token_counts import TokenRollup, count_tokens
 from clausemill.llm.url_filters import duckdb_sql, judge_urls
@@ -89,6 +92,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(_table(spark, sf_dir, "documents"), damaged=True)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = repair(damage(_table(spark, sf_dir, "conversations")), times_col="times")
+    return repaired.report.join(digests(repaired).withColumnRenamed("conv_id", "_conv"), F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(secret_scan.scan(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -102,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filters,
         op9_simhash_near_dedup,
         op10_quality_rules,
+        op11_spelling_variants,
+        op12_conversation_repair,
+        op13_secret_scan,
     )
 }
 
