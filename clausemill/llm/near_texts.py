@@ -12,10 +12,15 @@ their sets have a Jaccard similarity of `least` or more.  Of each connected grou
    no other node has is in that order, but is not sent.  The order decides what this costs and not what it finds.
 4. Nodes that meet are candidates if their sizes allow the similarity, and so do the shingles before it in either, which at
    the first common one the other lacks.  Where over `_CROWD` meet, they are first compared with the middle one and their
-   next neighbours by size; then what is not connected by the links found is compared in full, but for pairs whose 256
-   parity bits prove that more shingles differ than may.
+   next neighbours by size, and then go on as single rows.  A node's size and place say how large a partner may be, so
+   those of a crowd that are not connected by the links found meet by ranges of size, a node with the partners in its own
+   range; pairs whose 256 parity bits prove that more shingles differ than may are left out.  Texts that have a common passage
+   below the similarity, and rarer words besides, have empty ranges and meet nobody.
 5. Candidates are verified on the whole sets.
 
+Frequent shingles are dealt out by shingle and a part of the nodes, `_SPLIT` at a time, so a shingle that a third of all texts
+have is spread over tasks; no task holds more than a batch of them.  Shingles are counted in as many parts as keep one at `_PART` shingles.
+
 Texts are read once for each step and not written; shingles are counted in packed arrays, sorted and added up in each task
 before they are shuffled.
 
@@ -36,10 +41,10 @@ from pyspark.sql import functions as F
 from clausemill.llm.components import components
 from clausemill.llm.shared import few, fresh, partitions, settle, small_batches
 from clausemill.llm.simhash_dedup import _together, near_links
-from clausemill.llm.words import Words, majority, runs, signed, slices
+from clausemill.llm.words import Words, majority, mix, runs, signed, slices
 
 _U = np.uint64
-_CROWD, _NEXT, _FREQUENT, _MOST_BITS, _HELD = 48, 4, 500_000, 29, 1 << 20
+_CROWD, _NEXT, _FREQUENT, _MOST_BITS, _HELD, _SPLIT, _PART, _RATIO = 48, 4, 500_000, 29, 1 << 20, 4096, 1 << 22, 1.05
 _ODD = ("odd0", "odd1", "odd2", "odd3")
 
 
@@ -76,7 +81,7 @@ def _kind(bodies: list[bytes]) -> np.ndarray:
 def _kinds(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         flat, sizes = _sets(batch.column("text"), width)
-        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "mark": batch.column("mark"), "kind": _kind(_each(flat, sizes)), "fp": signed(majority(flat, sizes)), **{f"odd{k}": signed(x) for k, x in enumerate(_odd(flat, sizes))}})
+        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "mark": batch.column("mark"), "kind": _kind(_each(flat, sizes)), "n": sizes, "fp": signed(majority(flat, sizes)), **{f"odd{k}": signed(x) for k, x in enumerate(_odd(flat, sizes))}})
 
 
 def _bodies(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -112,7 +117,7 @@ def _counts(batches: Iterator[pa.RecordBatch], width: int, parts: int) -> Iterat
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each part, the shingles that several nodes have, with their counts (65,535 at most); and how many have each count."""
+    """Of each part, the shingles that several nodes have, with their counts; and how many have each count."""
     held: dict[int, list] = {}
     for batch in batches:
         for x in batch.to_pylist():
@@ -121,28 +126,28 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, times = (np.concatenate(x) for x in zip(*held.pop(part), strict=True))
         order = np.argsort(keys, kind="stable")
         keys, lead = keys[order], np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
-        total = np.minimum(np.add.reduceat(times[order], lead, dtype=np.int64), 0xFFFF)
+        total = np.minimum(np.add.reduceat(times[order], lead, dtype=np.int64), 0x7FFFFFFF)
         keys, total = keys[lead][total > 1], total[total > 1]
         if len(keys):
             seen, n = np.unique(total, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "keys": pa.array([keys.tobytes()]), "times": pa.array([total.astype(np.uint16).tobytes()]), "hist": pa.array([list(zip(seen.tolist(), n.tolist(), strict=True))], pa.map_(pa.int32(), pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "keys": pa.array([keys.tobytes()]), "times": pa.array([total.astype(np.uint32).tobytes()]), "hist": pa.array([list(zip(seen.tolist(), n.tolist(), strict=True))], pa.map_(pa.int32(), pa.int64()))})
 
 
 def _tables(batches: Iterator[pa.RecordBatch], bits: int, least: int) -> Iterator[pa.RecordBatch]:
     """Of each part, a bitmap of the shingles several nodes have, and those that at least `least` have."""
     for batch in batches:
         for x in batch.to_pylist():
-            keys, times = np.frombuffer(x["keys"], np.uint32), np.frombuffer(x["times"], np.uint16)
+            keys, times = np.frombuffer(x["keys"], np.uint32), np.frombuffer(x["times"], np.uint32)
             bitmap = np.zeros(1 << bits, bool)
             bitmap[keys >> np.uint32(32 - bits)] = True
             many = times >= least
             yield pa.RecordBatch.from_pydict({"part": pa.array([x["part"]], pa.int32()), "bitmap": pa.array([np.packbits(bitmap, bitorder="little").tobytes()]), "keys": pa.array([keys[many].tobytes()]), "times": pa.array([times[many].tobytes()])})
 
 
-def _often(texts: DataFrame, width: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+def _often(texts: DataFrame, width: int, shingles: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
     """Parts, bits of a part's bitmap, the bitmaps (2^29 bits at most in all), the most frequent shingles and their counts."""
     spark = texts.sparkSession
-    parts = partitions(spark)
+    parts = max(partitions(spark), -(-shingles // _PART))
     packed = texts.select("text").mapInArrow(lambda it: _counts(it, width, parts), "part int, keys binary, times binary").repartition(parts, "part")
     counted = settle(packed.mapInArrow(_repeated, "part int, keys binary, times binary, hist map<int,long>"), "counted", even=False)
     sizes = sorted((x[0], x[1]) for x in counted.select(F.explode("hist").alias("count", "n")).groupBy("count").agg(F.sum("n")).collect())
@@ -155,7 +160,7 @@ def _often(texts: DataFrame, width: int) -> tuple[int, int, np.ndarray, np.ndarr
     for x in counted.select("part", "keys", "times").mapInArrow(lambda it: _tables(it, bits, least), "part int, bitmap binary, keys binary, times binary").collect():
         bitmaps[x["part"]] = np.frombuffer(x["bitmap"], np.uint8)
         keys.append(np.frombuffer(x["keys"], np.uint32).astype(_U) | _U(x["part"]) << _U(32))
-        times.append(np.frombuffer(x["times"], np.uint16).astype(np.int64))
+        times.append(np.frombuffer(x["times"], np.uint32).astype(np.int64))
     keys, times = np.concatenate(keys), np.concatenate(times)
     order = np.argsort(keys)
     return parts, bits, bitmaps, keys[order], times[order]
@@ -175,36 +180,43 @@ def _prefixes(batches: Iterator[pa.RecordBatch], width: int, often, least: float
         order = np.lexsort((flat, many, owner))
         rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         pick = (rank < (sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1)[owner]) & (many[order] > 0)
-        who = owner[pick]
-        yield pa.RecordBatch.from_pydict({"key": signed(flat[order][pick]), "kind": kind[who], "n": sizes[who], "pos": rank[pick]})
+        who, times_ = owner[pick], many[order][pick]
+        salt = np.where(times_ > _SPLIT, (mix(kind[who].view(_U), 0x5A17) % (times_ // _SPLIT + 1).astype(_U)).astype(np.int64) + 1, 0)
+        yield pa.RecordBatch.from_pydict({"key": signed(flat[order][pick]), "salt": salt, "kind": kind[who], "n": sizes[who], "pos": rank[pick]})
 
 
 def _meet(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, size and kind -> candidates with different roots (key null), and the members of crowded keys (v their size)."""
-    names = ("key", "kind", "n", "pos", "root")
-    held = [np.empty(0, np.int64)] * 5
+    """Rows sorted by key, salt, size and kind -> candidates with different roots (key null), and the members of crowded keys (v their size).
+
+    A batch's last key is carried on, but for one that is crowded already: that one is sent on as it comes.
+    """
+    names = ("key", "salt", "kind", "n", "pos", "root")
+    held, crowded = [np.empty(0, np.int64)] * 6, []  # crowded: the (key, salt) of which rows were sent on, and the one of which they are now
 
     def pairs(*rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(rows[0]):
             return
-        new = np.append(True, (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0))
-        key, kind, n, pos, root = (x[new] for x in rows)
-        lead = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        apart = np.minimum.reduceat(root, lead) != np.maximum.reduceat(root, lead)  # else all are connected
-        stay = np.repeat(apart, np.diff(np.append(lead, len(key))))
+        new = np.append(True, (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0) | (np.diff(rows[2]) != 0))
+        key, salt, kind, n, pos, root = (x[new] for x in rows)
+        lead = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
+        sizes = np.diff(np.append(lead, len(key)))
+        split = salt[lead] > 0  # there are more elsewhere
+        for k, part in crowded:
+            split |= (key[lead] == k) & (salt[lead] == part)
+        stay = np.repeat(split | (np.minimum.reduceat(root, lead) != np.maximum.reduceat(root, lead)), sizes)  # else all are connected
+        many = np.repeat(split | (sizes > _CROWD), sizes)[stay]
+        group = np.repeat(np.arange(len(lead)), sizes)[stay]
         key, kind, n, pos, root = (x[stay] for x in (key, kind, n, pos, root))
         if not len(key):
             return
-        lead = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        lead = np.flatnonzero(np.append(True, np.diff(group) != 0))
         sizes = np.diff(np.append(lead, len(key)))
-        group = np.repeat(np.arange(len(lead)), sizes)
-        crowd = sizes[group] > _CROWD
         left, right = [], []
         for step in range(1, int(min(sizes.max(), _CROWD))):
-            at = np.flatnonzero((group[step:] == group[:-step]) & (~crowd[step:] | (step <= _NEXT)))
+            at = np.flatnonzero((group[step:] == group[:-step]) & (~many[step:] | (step <= _NEXT)))
             left.append(at)
             right.append(at + step)
-        for k in np.flatnonzero(sizes > _CROWD):
+        for k in np.flatnonzero(many[lead]):
             mine = np.arange(lead[k], lead[k] + sizes[k])
             left.append(np.minimum(mine, mine[len(mine) // 2]))
             right.append(np.maximum(mine, mine[len(mine) // 2]))
@@ -212,20 +224,44 @@ def _meet(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Record
         need = np.ceil(least / (1 + least) * (n[a] + n[b]) - 1e-9)
         fine = (n[a] >= least * n[b] - 1e-9) & (pos[a] <= n[a] - need) & (pos[b] <= n[b] - need) & (root[a] != root[b])
         both = np.unique(np.stack([np.maximum(kind[a], kind[b])[fine], np.minimum(kind[a], kind[b])[fine]]), axis=1)
-        none = pa.nulls(both.shape[1], pa.int64())
         if both.size:
-            yield pa.RecordBatch.from_pydict({"key": none, "u": both[0], "v": both[1], "pos": none})
-        if crowd.any():
-            yield pa.RecordBatch.from_pydict({"key": key[crowd], "u": kind[crowd], "v": n[crowd], "pos": pos[crowd]})
+            yield pa.RecordBatch.from_pydict({"key": pa.nulls(both.shape[1], pa.int64()), "u": both[0], "v": both[1], "pos": pa.nulls(both.shape[1], pa.int64())})
+        if many.any():
+            yield pa.RecordBatch.from_pydict({"key": key[many], "u": kind[many], "v": n[many], "pos": pos[many]})
 
     for batch in _together(batches, 100_000):
         held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, names, strict=True)]
-        cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        if not len(held[0]):
+            continue
+        same = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
+        cut, last = int(np.argmax(same)), (held[0][-1], held[1][-1])
+        sent = len(same) - cut > _CROWD or last in crowded
+        if sent:
+            cut, crowded = len(same), [*crowded, last]
         yield from pairs(*(x[:cut] for x in held))
+        crowded = [last] if sent else []
         held = [x[cut:] for x in held]
     yield from pairs(*held)
 
 
+def _apart(crowd: DataFrame, least: float) -> DataFrame:
+    """crowd (key, kind, n, pos, root, odd...) -> pairs (u, v) with different roots that size, place and parity bits allow.
+
+    n - pos shingles at most are common, so the partner has at most (n - pos) x (1 + least) / least - n.  A node meets the larger ones
+    (of equal ones, those of larger kind) up to that size, by bins of size; the larger one must allow the smaller likewise.
+    """
+    most = F.floor((F.col("n") - F.col("pos")) * ((1 + least) / least) - F.col("n") + 1e-9)
+    step = lambda c: F.floor(F.log(F.col(c) + 0.5) / float(np.log(_RATIO))).cast("int")
+    sized = crowd.withColumn("most", most).filter(F.col("most") >= F.ceil(least * F.col("n") - 1e-9))
+    x = sized.filter("most >= n").withColumn("bin", F.explode(F.sequence(step("n"), step("most"))))
+    y = sized.withColumn("bin", step("n"))
+    columns = ("kind", "n", "most", "root", *_ODD)
+    x, y = (t.select("key", "bin", *(F.col(c).alias(f"{c}_{k}") for c in columns)) for t, k in ((x, "x"), (y, "y")))
+    fits = "(n_x < n_y OR (n_x = n_y AND kind_x < kind_y)) AND n_y <= most_x AND n_x <= most_y AND root_x <> root_y"
+    odd = f"{' + '.join(f'bit_count({c}_x ^ {c}_y)' for c in _ODD)} <= n_x + n_y - 2 * ceil({least / (1 + least)} * (n_x + n_y) - 1e-9)"
+    return x.join(y, ["key", "bin"]).filter(f"{fits} AND {odd}").select(F.greatest("kind_x", "kind_y").alias("u"), F.least("kind_x", "kind_y").alias("v"))
+
+
 def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "a"):
         good = []
@@ -260,8 +296,8 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("mark", F.hash("text"))
-    all_ = settle(plain.mapInArrow(lambda it: _kinds(it, width), f"id long, mark int, kind long, fp long, {', '.join(f'{c} long' for c in _ODD)}"), "kinds")
-    different = settle(all_.groupBy("kind").agg(F.min("id").alias("low"), *(F.first(c).alias(c) for c in ("fp", *_ODD))), "different")
+    all_ = settle(plain.mapInArrow(lambda it: _kinds(it, width), f"id long, mark int, kind long, n long, fp long, {', '.join(f'{c} long' for c in _ODD)}"), "kinds")
+    different = settle(all_.groupBy("kind").agg(F.min("id").alias("low"), *(F.first(c).alias(c) for c in ("n", "fp", *_ODD))), "different")
     again = settle(all_.join(different.select("kind", "low"), "kind").filter("id <> low").select("id", "mark").distinct(), "again")
     texts = plain.join(few(again, most), ["id", "mark"], "left_anti").select("id", "text")
     if again.count() > most:
@@ -273,10 +309,10 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = different.join(grid, "fp", "left").select("kind", F.coalesce("root_fp", "fp").alias("of")).join(prints.select(F.col("fp").alias("of"), "first"), "of").filter("kind <> first")
     close = nodes.similar(settle(stars.select(F.col("kind").alias("u"), F.col("first").alias("v")), "stars"))
 
-    shared = spark.sparkContext.broadcast(_often(texts, width))
-    met = texts.select("text").mapInArrow(lambda it: _prefixes(it, width, shared, least), "key long, kind long, n long, pos long")
-    met = met.join(few(close.toDF("kind", "root"), most), "kind", "left").select("key", "kind", "n", "pos", F.coalesce("root", "kind").alias("root"))
-    met = met.repartition(partitions(spark), "key").sortWithinPartitions("key", "n", "kind")
+    shared = spark.sparkContext.broadcast(_often(texts, width, different.agg(F.sum("n")).first()[0] or 0))
+    met = texts.select("text").mapInArrow(lambda it: _prefixes(it, width, shared, least), "key long, salt long, kind long, n long, pos long")
+    met = met.join(few(close.toDF("kind", "root"), most), "kind", "left").select("key", "salt", "kind", "n", "pos", F.coalesce("root", "kind").alias("root"))
+    met = met.repartition(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt", "n", "kind")
     met = settle(met.mapInArrow(lambda it: _meet(it, least), "key long, u long, v long, pos long"), "met")
     links = close.union(nodes.similar(met.filter("key IS NULL").select("u", "v").distinct()))
     roots = components(links)
@@ -284,11 +320,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     crowd = crowd.join(roots.toDF("kind", "root"), "kind", "left").join(different.select("kind", *_ODD), "kind")
     crowd = settle(crowd.select("key", "kind", "n", "pos", F.coalesce("root", "kind").alias("root"), *_ODD), "crowd")
     apart = crowd.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    x, y = (crowd.join(apart, "key", "left_semi").toDF("key", *(f"{c}_{k}" for c in ("kind", "n", "pos", "root", *_ODD))) for k in "xy")
-    need = f"ceil({least / (1 + least)} * (n_x + n_y) - 1e-9)"
-    rest = x.join(y, "key").filter(f"kind_x > kind_y AND root_x <> root_y AND least(n_x, n_y) >= {least} * greatest(n_x, n_y) - 1e-9 AND pos_x <= n_x - {need} AND pos_y <= n_y - {need}")
-    rest = rest.filter(f"{' + '.join(f'bit_count({c}_x ^ {c}_y)' for c in _ODD)} <= n_x + n_y - 2 * {need}")
-    rest = settle(rest.select(F.col("kind_x").alias("u"), F.col("kind_y").alias("v")).distinct(), "rest")
+    rest = settle(_apart(crowd.join(apart, "key", "left_semi"), least).distinct(), "rest")
     if not rest.isEmpty():
         roots = components(links.union(nodes.similar(rest)))
     rooted = different.join(roots, different["kind"] == roots["u"], "left").select("kind", "low", F.coalesce("v", "kind").alias("root"))
