@@ -17,7 +17,7 @@ The sketch is the only broadcast.  Its size follows the input up to `max_cells`
 sent; beyond that more windows pass to the exact step, and the result stays the same.
 
 Defined cases: null or empty text has no words (kept text ''); a text shorter than a window stays; rows that repeat,
-or that share an id, count as separate documents; null ids are kept as null; columns besides id and text play no part.
+or that share an id or have none, count as separate documents, told apart by 96 bits of their id and text; null ids are kept as null; columns besides id and text play no part.
 Texts longer than 2^20 words are cut into overlapping pieces that hold every window once.
 """
 
@@ -188,9 +188,11 @@ def _remove(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         sizes = np.diff(spots.offsets.to_numpy()) if len(spots) else np.empty(0, int)
         flat = spots.flatten().to_numpy(zero_copy_only=False)
         sizes = np.where(spots.is_null().to_numpy(zero_copy_only=False), 0, sizes)
-        begin = np.repeat(words.first, sizes) + (flat >> 32)
-        np.add.at(edge, begin, 1)
-        np.add.at(edge, begin + (flat & 0xFFFFFFFF) + width - 1, -1)
+        owner, place, end = np.repeat(np.arange(len(sizes)), sizes), flat >> 32, (flat >> 32) + (flat & 0xFFFFFFFF) + width - 1
+        real = end <= words.counts[owner]  # else it is of a text that has the same marks
+        begin = words.first[owner[real]]
+        np.add.at(edge, begin + place[real], 1)
+        np.add.at(edge, begin + end[real], -1)
         keep = np.cumsum(edge[:-1]) == 0
         removed = np.bincount(words.owner[~keep], minlength=len(words.counts)).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n_words": words.counts, "n_removed": removed, "kept_text": words.kept(keep)})
@@ -202,8 +204,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError("a window has at least two words")
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marked = base.withColumn("mark", F.hash("text"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    marked = base.withColumns({"doc": F.xxhash64("id", "text"), "mark": F.hash("text", "id")})
     expected = text_bytes(base, "text") // 6 // (_spread(width) + 1) * 2 + 1
     cells = 1 << min(max(max_cells, _BLOCK).bit_length() - 1, max(20, (expected * 4 - 1).bit_length()))
     merged = base.select("text").mapInArrow(lambda it: _sketch(it, width, cells), "row int, block int, one binary, more binary").repartition(partitions(spark), "row", "block").mapInArrow(_merge, "row int, block int, bits binary")
@@ -213,12 +215,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         bits[x["row"]][at : at + (_BLOCK >> 3)] = np.frombuffer(x["bits"], np.uint8)
     sketch = spark.sparkContext.broadcast(bits)
     found = (
-        marked.mapInArrow(lambda it: _candidates(it, width, cells, sketch), _ROWS)
+        marked.select(F.col("doc").alias("id"), "mark", "text").mapInArrow(lambda it: _candidates(it, width, cells, sketch), _ROWS)
         .withColumn("times", F.count(F.when(F.col("kind") < 2, 1)).over(Window.partitionBy("h1", "h2")))
         .filter("times > 1 OR kind > 0")
         .groupBy("id", "mark")
         .agg(F.collect_list(F.shiftleft(F.col("pos").cast("long"), 32) + F.col("span")).alias("spots"))
     )
     d, s = marked.alias("d"), found.hint("shuffle_hash").alias("s")
-    joined = d.join(s, F.col("d.id").eqNullSafe(F.col("s.id")) & (F.col("d.mark") == F.col("s.mark")), "left").select("d.id", "d.text", "s.spots")
+    joined = d.join(s, (F.col("d.doc") == F.col("s.id")) & (F.col("d.mark") == F.col("s.mark")), "left").select("d.id", "d.text", "s.spots")
     return joined.mapInArrow(lambda it: _remove(it, width), "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
