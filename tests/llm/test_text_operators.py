@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clausemill.llm.decontaminate import HammingIndex, ItemIndex, drop_contaminated, find_items
-from clausemill.llm.language_id import UNKNOWN, predict, train
+from clausemill.llm.language_id import UNKNOWN, predict, sample_rows, train
 from clausemill.llm.lattice import Lattice, Vocabulary
 from clausemill.llm.quality_rules import bucket, bucket_top, keep_good, quality_report
 from clausemill.llm.sentencepiece_codec import MODEL, _seeds, decode, encode, encode_batch
@@ -228,6 +228,17 @@ def test_language_model_is_a_function_of_its_texts(spark, sf):
         assert r.lang_pred == model.names[int(np.argmax(cost))] and r.score == pytest.approx(1 / sum(math.exp(c - max(cost)) for c in cost))
 
 
+def test_language_sample_counts_different_texts(spark):
+    """200,000 copies of one text leave the sample, and so the model, as they are."""
+    base = spark.range(3000).selectExpr("IF(id % 2 = 0, 'en', 'de') AS lang", "concat('text ', id, ' of words') AS text")
+    hot = spark.range(200_000).selectExpr("'en' AS lang", "'text 0 of words' AS text")
+    rows = lambda df: sorted(map(tuple, sample_rows(df, 1000).select("lang", "text").collect()))
+    plain = rows(base)
+    assert rows(base.union(hot)) == plain and len(plain) == 2000
+    found = predict(base.limit(2).selectExpr("1 AS doc_id", "text", "lang"), train(base, 20), keep=[F.lit(1).alias("id"), F.lit(2).alias("text")])
+    assert found.columns == ["doc_id", "id", "text", "lang_pred", "score"]
+
+
 def test_leaks_like_brute_force(spark, make):
     rnd = random.Random(8)
     vocab = [f"t{k}" for k in range(300)]
