@@ -161,7 +161,7 @@ def _judged(measured: DataFrame, limits: DataFrame, lang_col: str, source_col: s
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 10, repeat_percent: int = 20) -> DataFrame:
     """One row per document: id, the base measures, base_failed, kept."""
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in ((id_col, "id"), (text_col, "text"), (lang_col, "lang"), (source_col, "source"))))
     names = {m: m for m in MEASURES}
     measured = settle(with_measures(own, "text", ["id", "lang", "source"], names), "measures")
     limits = _limits(sketches(measured, "lang", "source", names, min_words, repeat_percent))

@@ -37,7 +37,7 @@ def parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Parts of the texts in order: the text of each, its number among different parts, and the different parts."""
     texts = pc.fill_null(texts, "")
     counts = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    data = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in texts) if texts.offset or True else b"", np.uint8)
+    data = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in texts), np.uint8)
     if not len(data):
         return np.empty(0, int), np.empty(0, int), []
     begin = (np.cumsum(counts) - counts)[counts > 0]

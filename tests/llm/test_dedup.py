@@ -257,3 +257,19 @@ def test_components_of_long_chains(spark):
     found = {r.u: r.v for r in components(links).collect()}
     assert found == {k: 0 for k in range(1, n + 1)} | {2001: 2000}
     assert components(links.limit(0)).count() == 0
+
+
+def test_substrings_tell_null_ids_apart(spark, make):
+    """Texts without ids whose 32-bit hashes are equal: one holds a passage that a third text holds, the other keeps its words."""
+    tail = "one two three four five six"
+    pairs = spark.range(400_000).selectExpr(f"concat('w', id, ' {tail}') AS t", "0 AS kind").union(spark.range(400_000).selectExpr("concat('v', id, ' x y z')", "1")).selectExpr("t", "kind", "hash(t) AS h")
+    both = pairs.groupBy("h").agg(F.collect_set("kind").alias("kinds"), F.collect_list("t").alias("ts")).filter("size(kinds) = 2").select("ts").first()["ts"]
+    assert len(both) == 2
+    rows = [(None, both[0]), (None, both[1]), (9, f"other words {tail}")]
+    got = {r.kept_text for r in dedup_substrings(make(rows), width=5).collect()}
+    assert {t for t in both if t.startswith("v")} <= got and got == {r[3] for r in brute.substring_dedup(rows, 5)}
+
+
+def test_names_with_dots(make):
+    docs = make(ODD).withColumnRenamed("doc_id", "doc.id").withColumnRenamed("text", "the.text")
+    assert dedup_substrings(docs, "doc.id", "the.text").count() == len(ODD) == near_duplicates(docs, "doc.id", "the.text").count()
