@@ -3,10 +3,11 @@
 Rules.  A rule is (verdict, "host/path"); it fits its host and all subdomains, if the URL's path starts with its path.
 The longest rule that fits decides.  Rules are a short list given by the caller (at most 1,000).
 
-Templates.  Pages are first counted by host and path.  Level by level, for each host and each branch of its tree:
+Templates.  Pages are first counted by host and path.  In rounds, for each host and each branch of its tree:
 
+* chains: segments that all paths of a branch have in common are taken at once, and a branch with one path is finished;
 * segments: where a branch has over `max_children` different segments, those with less than 1 / max_children of the
-  branch's pages become a wildcard, which keeps a file extension (`*.html`); levels go on until
+  branch's pages become a wildcard, which keeps a file extension (`*.html`); rounds go on until
   no path has a further segment, or to `depth` if it is given: what lies below becomes `**`;
 * merging: children whose rate of blocked labels does not differ from the branch's rate (within `z` standard errors)
   go on together as `~`; one comparison each with the pooled branch, no pairs.
@@ -15,7 +16,8 @@ A template is blocked if its purity, (blocked + weight x rate of its host) / (la
 host's rate is smoothed likewise by the rate of all pages.  Labels are the verdicts of rules and, for pages without
 one, the caller's labels.
 
-All steps are aggregations (partial before each shuffle) and equi-joins.  Tables of branches are written before they are
+A round holds unfinished paths only, and there are as many rounds as places at which paths part one below another, however deep
+the deepest path is.  All steps are aggregations (partial before each shuffle) and equi-joins.  Tables of branches are written before they are
 joined back: up to `BRANCH_BYTES` they are broadcast, and beyond that both sides of the join are plain shuffles, so that
 Spark's skew join splits the segments of a host with a third of all pages.  Pages never gather by host.
 
@@ -62,24 +64,52 @@ def _side(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(table) if size <= BRANCH_BYTES else table
 
 
-def _grow(nodes: DataFrame, level: int, depth: int | None, max_children: int, z: float) -> DataFrame:
-    """One level of the tree: each node's branch with its segment there added."""
-    at = ["host", "branch"]
-    segment = F.get("segments", F.lit(level - 1))
-    if level == depth:
-        segment = F.when(F.size("segments") > depth, F.lit("**")).otherwise(segment)
-    nodes = nodes.withColumn("segment", segment)
-    child = settle(nodes.filter("segment IS NOT NULL").groupBy(*at, "segment").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked"))), "children")
-    wide = _side(child.groupBy(*at).agg(F.count("*").alias("kids"), F.sum("n").alias("total")).filter(F.col("kids") > max_children).drop("kids"), "wide")
+_AT = ["host", "branch"]
+
+
+def _chains(nodes: DataFrame) -> DataFrame:
+    """Nodes after the segments that all of their branch begin with; rest is empty where a path ends, or is the only one of its branch."""
+    same = F.filter(F.sequence(F.lit(1), F.size("low")), lambda k: F.slice("low", 1, k) == F.slice("high", 1, k))
+    skip = F.when(F.col("paths") == 1, F.size("low")).otherwise(F.size(same))
+    ends = nodes.groupBy(*_AT).agg(F.min("rest").alias("low"), F.max("rest").alias("high"), F.count("*").alias("paths"))
+    ahead = _side(ends.select(*_AT, skip.alias("skip")).filter("skip > 0"), "chains")
+    x = nodes.join(ahead, _AT, "left").withColumn("skip", F.coalesce("skip", F.lit(0)))
+    return x.select("host", "path", F.slice("rest", F.col("skip") + 1, F.size("rest")).alias("rest"), F.concat_ws("/", "branch", F.slice("rest", F.lit(1), F.col("skip"))).alias("branch"), "n", "labelled", "blocked")
+
+
+def _grow(nodes: DataFrame, max_children: int, z: float) -> DataFrame:
+    """One level of the tree: each node's branch with its next segment added."""
+    nodes = nodes.withColumn("segment", F.get("rest", F.lit(0)))
+    child = settle(nodes.groupBy(*_AT, "segment").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked"))), "children")
+    wide = _side(child.groupBy(*_AT).agg(F.count("*").alias("kids"), F.sum("n").alias("total")).filter(F.col("kids") > max_children).drop("kids"), "wide")
     rare = (F.col("n") * max_children < F.col("total")) & (F.col("segment") != "")  # not where total is null
     shape = F.when(rare, F.concat(F.lit("*"), F.regexp_extract("segment", r"(\.[A-Za-z]{1,5})$", 1))).otherwise(F.col("segment"))
-    shaped = child.join(wide, at, "left").select(*at, "segment", shape.alias("shape"), "labelled", "blocked")
-    kind = settle(shaped.groupBy(*at, "shape").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("b")), "kinds")
-    pool = _side(kind.groupBy(*at).agg(F.count("*").alias("kinds"), ((F.sum("b") + 1.0) / (F.sum("m") + 2.0)).alias("p")).filter("kinds > 1").drop("kinds"), "pool")
+    shaped = child.join(wide, _AT, "left").select(*_AT, "segment", shape.alias("shape"), "labelled", "blocked")
+    kind = settle(shaped.groupBy(*_AT, "shape").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("b")), "kinds")
+    pool = _side(kind.groupBy(*_AT).agg(F.count("*").alias("kinds"), ((F.sum("b") + 1.0) / (F.sum("m") + 2.0)).alias("p")).filter("kinds > 1").drop("kinds"), "pool")
     alike = F.pow(F.col("b") - F.col("m") * F.col("p"), 2) <= z * z * F.col("m") * F.col("p") * (1 - F.col("p"))
-    merged = _side(kind.join(pool, at).filter(alike).select(*at, "shape", F.lit("~").alias("one")), "merged")
-    moves = shaped.join(merged, [*at, "shape"], "left").select(*at, "segment", F.concat_ws("/", "branch", F.coalesce("one", "shape")).alias("next"))
-    return nodes.join(moves, [*at, "segment"], "left").select("host", "path", "segments", F.coalesce("next", "branch").alias("branch"), "n", "labelled", "blocked")
+    merged = _side(kind.join(pool, _AT).filter(alike).select(*_AT, "shape", F.lit("~").alias("one")), "merged")
+    moves = shaped.join(merged, [*_AT, "shape"], "left").select(*_AT, "segment", F.concat_ws("/", "branch", F.coalesce("one", "shape")).alias("next"))
+    rest = F.slice("rest", F.lit(2), F.size("rest"))
+    return nodes.join(moves, [*_AT, "segment"]).select("host", "path", rest.alias("rest"), F.col("next").alias("branch"), "n", "labelled", "blocked")
+
+
+def _templates(nodes: DataFrame, max_children: int, z: float) -> DataFrame:
+    """nodes -> host, path, branch, labelled, blocked, each path once: finished ones are written once and not carried on."""
+    done = []
+    while True:
+        nodes = settle(_chains(nodes), "nodes")
+        done.append(nodes.filter(F.size("rest") == 0).drop("rest"))
+        open_ = nodes.filter(F.size("rest") > 0)
+        if open_.isEmpty():
+            break
+        nodes = settle(_grow(open_, max_children, z), "nodes")
+        done.append(nodes.filter(F.size("rest") == 0).drop("rest"))
+        nodes = nodes.filter(F.size("rest") > 0)
+    out = done[0]
+    for x in done[1:]:
+        out = out.union(x)
+    return out
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", depth: int | None = None, max_children: int = 16, z: float = 2.0, weight: float = 4.0, limit: float = 0.5) -> DataFrame:
@@ -98,10 +128,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame
     bad = F.coalesce(F.col("ruled") == "block", "bad")
     nodes = known.groupBy("host", "path").agg(F.count("*").alias("n"), F.count(bad).alias("labelled"), F.count(F.when(bad, 1)).alias("blocked"))
     segments = F.split(F.regexp_replace("path", "^/", ""), "/")
-    nodes = settle(nodes.select("host", "path", segments.alias("segments"), F.lit("").alias("branch"), "n", "labelled", "blocked"), "nodes")
-    deepest = nodes.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(1, min(deepest, depth or deepest) + 1):
-        nodes = settle(_grow(nodes, level, depth, max_children, z), "nodes")
+    if depth:
+        segments = F.when(F.size(segments) > depth, F.concat(F.slice(segments, 1, depth - 1), F.array(F.lit("**")))).otherwise(segments)
+    nodes = settle(nodes.select("host", "path", segments.alias("rest"), F.lit("").alias("branch"), "n", "labelled", "blocked"), "nodes")
+    nodes = _templates(nodes, max_children, z)
     template = settle(nodes.groupBy("host", "branch").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("b")), "templates")
     by_host = _side(template.groupBy("host").agg(F.sum("m").alias("hm"), F.sum("b").alias("hb")), "hosts")
     overall = template.agg(F.coalesce((F.sum("b") + 0.5) / (F.sum("m") + 2.0), F.lit(0.25)).alias("rate")).scalar()
@@ -113,7 +143,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", "template", "purity", verdict.alias("verdict"))
 
 
-def duckdb_sql(rules: list[tuple[str, str]], labels: str, depth: int = 4, max_children: int = 16, z: float = 2.0, weight: float = 4.0, limit: float = 0.5) -> str:
+def duckdb_sql(rules: list[tuple[str, str]], labels: str, depth: int = 8, max_children: int = 16, z: float = 2.0, weight: float = 4.0, limit: float = 0.5) -> str:
     """The same for DuckDB over the table pages; labels is a query for (key, bad)."""
     whens = [[], []]
     for rule in sorted(rules, key=lambda r: -len(r[1])):
@@ -130,13 +160,13 @@ n0 AS (SELECT host, path, string_split(regexp_replace(path, '^/', ''), '/') AS s
     ]
     for k in range(1, depth + 1):
         segment = f"CASE WHEN len(segments) > {depth} THEN '**' ELSE segments[{k}] END" if k == depth else f"segments[{k}]"
-        sql.append(f"""s{k} AS (SELECT *, {segment} AS segment FROM n{k - 1}),
+        sql.append(f"""s{k} AS MATERIALIZED (SELECT *, {segment} AS segment FROM n{k - 1}),
 c{k} AS (SELECT host, branch, segment, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM s{k} WHERE segment IS NOT NULL GROUP BY ALL),
-h{k} AS (SELECT *, CASE WHEN count(*) OVER b > {max_children} AND n * {max_children} < sum(n) OVER b AND segment <> '' THEN '*' || regexp_extract(segment, '(\\.[A-Za-z]{{1,5}})$', 1) ELSE segment END AS shape FROM c{k} WINDOW b AS (PARTITION BY host, branch)),
+h{k} AS MATERIALIZED (SELECT *, CASE WHEN count(*) OVER b > {max_children} AND n * {max_children} < sum(n) OVER b AND segment <> '' THEN '*' || regexp_extract(segment, '(\\.[A-Za-z]{{1,5}})$', 1) ELSE segment END AS shape FROM c{k} WINDOW b AS (PARTITION BY host, branch)),
 k{k} AS (SELECT host, branch, shape, sum(labelled)::DOUBLE AS m, sum(blocked)::DOUBLE AS b FROM h{k} GROUP BY ALL),
 p{k} AS (SELECT *, count(*) OVER w AS kinds, (sum(b) OVER w + 1.0) / (sum(m) OVER w + 2.0) AS p FROM k{k} WINDOW w AS (PARTITION BY host, branch)),
 m{k} AS (SELECT h{k}.host, h{k}.branch, segment, h{k}.branch || '/' || CASE WHEN kinds > 1 AND pow(b - m * p, 2) <= {z * z} * m * p * (1 - p) THEN '~' ELSE shape END AS next FROM h{k} JOIN p{k} USING (host, branch, shape)),
-n{k} AS (SELECT host, path, segments, coalesce(next, branch) AS branch, n, labelled, blocked FROM s{k} LEFT JOIN m{k} USING (host, branch, segment))""")
+n{k} AS MATERIALIZED (SELECT host, path, segments, coalesce(next, branch) AS branch, n, labelled, blocked FROM s{k} LEFT JOIN m{k} USING (host, branch, segment))""")
     sql.append(f"""t AS (SELECT host, branch, sum(labelled)::DOUBLE AS m, sum(blocked)::DOUBLE AS b FROM n{depth} GROUP BY ALL),
 r AS (SELECT *, (sum(b) OVER h + {weight} * ((sum(b) OVER () + 0.5) / (sum(m) OVER () + 2.0))) / (sum(m) OVER h + {weight}) AS rate FROM t WINDOW h AS (PARTITION BY host)),
 u AS (SELECT host, branch, (b + {weight} * rate) / (m + {weight}) AS purity FROM r)

@@ -442,3 +442,46 @@ def test_urls_alike_without_broadcast(spark, sf, monkeypatch):
     want = sorted(map(tuple, q.op8_url_filters(spark, sf).collect()))
     monkeypatch.setattr(url_filters, "BRANCH_BYTES", -1)
     assert sorted(map(tuple, q.op8_url_filters(spark, sf).collect())) == want
+
+
+def test_url_templates_equal_sql_at_any_depth(spark):
+    """Random trees with hubs, endings inside chains and wide levels, against the SQL that goes level by level."""
+    import duckdb
+
+    from clausemill.llm.url_filters import duckdb_sql
+
+    rnd = random.Random(12)
+    urls = []
+    for k in range(900):
+        depth = rnd.choice([0, 1, 2, 3, 3, 4, 6, 9])
+        wide = [f"p{rnd.randrange(60)}.html"] if rnd.random() < 0.4 else []
+        urls.append(f"http://h{rnd.randrange(3)}.org/" + "/".join([*(rnd.choice("aab") for _ in range(depth)), *wide]) + rnd.choice(["", "", "/", "?q=1"]))
+    urls += ["http://h0.org/" + "/".join("deep" for _ in range(k)) for k in range(8)] + [None, "junk", "http://h9.org"]
+    rows = list(enumerate(urls))
+    bad = [(k, rnd.random() < (0.8 if "/b" in (u or "") else 0.1)) for k, u in rows if rnd.random() < 0.7]
+    rules = [("block", "h1.org/a/a/"), ("allow", "org/b/")]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    con.sql("CREATE TABLE labels (key BIGINT, bad BOOLEAN)")
+    con.executemany("INSERT INTO labels VALUES (?, ?)", bad)
+    for children in (3, 16):
+        want = con.sql(duckdb_sql(rules, "SELECT key, bad FROM labels", depth=12, max_children=children)).fetchall()
+        got = judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules, spark.createDataFrame(bad, "key long, bad boolean"), max_children=children).drop("purity").collect()
+        key = lambda r: r[0]
+        assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_one_deep_path_adds_no_rounds(spark, monkeypatch):
+    from clausemill.llm import url_filters
+
+    rounds = []
+    grow = url_filters._grow
+    monkeypatch.setattr(url_filters, "_grow", lambda *a: rounds.append(1) or grow(*a))
+    urls = [f"http://a.org/{k % 7}/{k}" for k in range(60)]
+    frame = lambda x: spark.createDataFrame(list(enumerate(x)), "page_id long, url string")
+    plain = {r.url: r.template for r in judge_urls(frame(urls), []).join(frame(urls), "page_id").collect()}
+    few, deep = len(rounds), "http://b.org/" + "/".join(map(str, range(300)))
+    found = judge_urls(frame([*urls, deep, "http://a.org/3/" + "x/" * 300]), []).join(frame([*urls, deep]), "page_id").collect()
+    assert len(rounds) - few == few <= 2
+    assert {r.url: r.template for r in found}[deep] == "/" + "/".join(map(str, range(300))) and len(plain) == 60
