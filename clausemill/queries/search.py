@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from clausemill.functions import values as v
 from clausemill.operators import index as ix
+from clausemill.operators import search as se
 from clausemill.queries.base import sql_tokens, table
-from clausemill.tables import settle
+from clausemill.tables import kept, settle
 
 QUESTION = "Does inging an erble keit eau the ción, and for thention rea?"
 
@@ -26,6 +27,17 @@ def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(_post(spark, sf_dir), "postings")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> se.Index:
+    """The corpus index, built by the first question of a session."""
+    made = kept(spark, "index", [f"{sf_dir}/documents.parquet"], lambda: (lambda x: (x.lexicon, x.weights))(se.build(_table(spark, sf_dir), _rows(spark, sf_dir))))
+    return se.Index(*made)
+
+
+def _by_document(spark: SparkSession, sf_dir: str) -> se.DocumentIndex:
+    made = kept(spark, "index_by_document", [f"{sf_dir}/documents.parquet"], lambda: (lambda x: (x.idf, x.weights))(se.build_by_document(_table(spark, sf_dir), _rows(spark, sf_dir))))
+    return se.DocumentIndex(*made)
+
+
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _post(spark, sf_dir).groupBy("stem", "term").agg(F.sum("tf").alias("tf"), F.max("tf").alias("max_tf"))
 
@@ -44,25 +56,36 @@ def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_topk_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.retrieve(_table(spark, sf_dir), _rows(spark, sf_dir), QUESTION).drop("kind")
+    return ix.top_hits(se.top_scores(_index(spark, sf_dir), QUESTION, 6), None).drop("kind")
 
 
 def search_topk_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.search(_table(spark, sf_dir), _rows(spark, sf_dir), QUESTION)
+    return se.search_documents(_by_document(spark, sf_dir), QUESTION)
+
+
+def search_weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-document and corpus search without an index: postings are weighed at the question."""
+    post, rows = _table(spark, sf_dir), _rows(spark, sf_dir)
+    corpus = ix.retrieve(post, rows, QUESTION).select("stem", "ord", "score", F.lit(0).alias("rank"))
+    return ix.search(post, rows, QUESTION).select("stem", "ord", "score", "rank").union(corpus)
 
 
 QUESTIONS = [QUESTION, "the and la des der para", "keine ción nowhere"]
 
 
 def search_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three questions to one index that is written once: each reads the weights of its own terms."""
-    post = _table(spark, sf_dir)
-    idf = settle(ix.corpus_idf(post, _rows(spark, sf_dir)), "idf")
-    weights = settle(ix.stored_weights(post, idf), "weights", even=False)
-    hits = [ix.top_hits(ix.stored_scores(weights, idf, q), None).select(F.lit(k).alias("question"), "stem", "ord", "score") for k, q in enumerate(QUESTIONS)]
+    """Three questions to one index: each reads the weights of its own terms, above what can be among the best."""
+    index = _index(spark, sf_dir)
+    hits = [ix.top_hits(se.top_scores(index, q, 6), None).select(F.lit(k).alias("question"), "stem", "ord", "score") for k, q in enumerate(QUESTIONS)]
     return hits[0].union(hits[1]).union(hits[2])
 
 
+def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the index knows of each term: document frequency, idf and the bounds of its weights."""
+    top = F.round("top", 6).alias("top")
+    return _index(spark, sf_dir).lexicon.select("term", "df", F.round("idf", 6).alias("idf"), top, F.aggregate("levels", F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n_weights"))
+
+
 def index_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.index_meta(_post(spark, sf_dir), _rows(spark, sf_dir))
 
@@ -78,11 +101,10 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = _table(spark, sf_dir)
-    return ix.retrieve(post, _rows(spark, sf_dir), QUESTION, k=12, dense=_dense(spark, sf_dir))
+    return ix.top_hits(se.top_scores(_index(spark, sf_dir), QUESTION, 12), _dense(spark, sf_dir), 12)
 
 
-QUERIES = {f.__name__: f for f in (term_frequency, doc_frequency, idf_corpus, tfidf_vectors, search_topk_corpus, search_topk_per_source, search_stored_index, index_meta, dense_topk, hybrid_topk)}
+QUERIES = {f.__name__: f for f in (term_frequency, doc_frequency, idf_corpus, tfidf_vectors, search_topk_corpus, search_topk_per_source, search_weighed, search_stored_index, search_terms, index_meta, dense_topk, hybrid_topk)}
 
 _POST = f"p AS (SELECT source AS stem, doc_id AS ord, term, count(*) AS tf FROM (SELECT source, doc_id, unnest({sql_tokens('text')}) AS term FROM documents) GROUP BY ALL)"
 _IDF = "i AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1.0)) + 1.0 AS idf FROM p GROUP BY term)"
@@ -99,8 +121,10 @@ ORACLES = {
     "tfidf_vectors": f"WITH {_POST}, {_IDF}, x AS (SELECT stem, ord, tf * idf AS w, sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY stem, ord)) AS norm FROM p JOIN i USING (term)) SELECT stem, ord, count(*) AS terms, round(max(w / norm), 6) AS largest, round(sum(w / norm), 6) AS total FROM x GROUP BY stem, ord",
     "search_topk_corpus": f"WITH {_POST}, {_IDF}, {_QUERY}, {_SCORES} SELECT stem, ord, round(score, 4) AS score FROM s WHERE score > 0 ORDER BY 3 DESC, stem, ord LIMIT 6",
     "search_topk_per_source": f"WITH {_POST}, n AS (SELECT source AS stem, count(*) AS n FROM documents GROUP BY source), i AS (SELECT stem, term, ln((max(n) + 1.0) / (count(*) + 1.0)) + 1.0 AS idf FROM p JOIN n USING (stem) GROUP BY stem, term), {_QUERY}, w AS (SELECT stem, term, qtf * idf / sqrt(sum((qtf * idf) ** 2) OVER (PARTITION BY stem)) AS qw FROM q JOIN i USING (term)), s AS (SELECT stem, ord, sum(tf * idf * qw) / sqrt(sum((tf * idf) ** 2)) AS score FROM p JOIN i USING (stem, term) LEFT JOIN w USING (stem, term) GROUP BY ALL), r AS (SELECT *, (row_number() OVER (PARTITION BY stem ORDER BY round(score, 10) DESC, ord))::INTEGER AS rank FROM s WHERE score > 0) SELECT stem, ord, round(score, 4) AS score, rank FROM r WHERE rank <= 5",
+    "search_terms": f"WITH {_POST}, {_IDF}, n AS (SELECT stem, ord, sqrt(sum((tf * idf) ** 2)) AS norm FROM p JOIN i USING (term) GROUP BY ALL) SELECT term, any_value(df) AS df, round(any_value(idf), 6) AS idf, round(max(tf * idf / norm), 6) AS top, count(*) AS n_weights FROM p JOIN i USING (term) JOIN n USING (stem, ord) GROUP BY term",
     "search_stored_index": f"WITH {_POST}, {_IDF}, {_ASKED}, q AS (SELECT question, term, count(*) AS qtf FROM a GROUP BY ALL), w AS (SELECT question, term, qtf * idf / sqrt(sum((qtf * idf) ** 2) OVER (PARTITION BY question)) AS qw FROM q JOIN i USING (term)), n AS (SELECT stem, ord, sqrt(sum((tf * idf) ** 2)) AS norm FROM p JOIN i USING (term) GROUP BY ALL), s AS (SELECT question, stem, ord, sum(tf * idf / norm * qw) AS score FROM p JOIN i USING (term) JOIN w USING (term) JOIN n USING (stem, ord) GROUP BY ALL) SELECT question, stem, ord, round(score, 4) AS score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY question ORDER BY round(score, 4) DESC, stem, ord) <= 6",
     "index_meta": f"WITH {_POST}, n AS (SELECT source AS stem, count(*) AS clause_count FROM documents GROUP BY source) SELECT n.stem, clause_count, count(DISTINCT term) AS vocabulary_size FROM n LEFT JOIN p ON n.stem = p.stem GROUP BY ALL",
     "dense_topk": f"WITH {_DENSE} SELECT stem, ord, round(score, 4) AS score FROM z WHERE score > 0 ORDER BY 3 DESC, stem, ord LIMIT 6",
     "hybrid_topk": f"WITH {_POST}, {_IDF}, {_QUERY}, {_SCORES}, {_DENSE} SELECT stem, ord, round(score, 4) AS score, kind FROM (SELECT *, 0 AS kind FROM s UNION ALL SELECT *, 1 AS kind FROM z) WHERE score > 0 ORDER BY 3 DESC, kind, stem, ord LIMIT 12",
 }
+ORACLES["search_weighed"] = f"SELECT stem, ord, score, rank FROM ({ORACLES['search_topk_per_source']}) UNION ALL SELECT stem, ord, score, 0::INTEGER AS rank FROM ({ORACLES['search_topk_corpus']})"

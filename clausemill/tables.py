@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_kept: dict[tuple, tuple[DataFrame, ...]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +45,25 @@ def settle(df: DataFrame, name: str = "part", even: bool = True) -> DataFrame:
     return out
 
 
+def kept(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+    """Tables of settle() that make() gives, made once in a session for the files of `inputs` as they are (paths, sizes, times).
+
+    What many questions read, such as an index or a graph, is then built by the first.  Tables dropped since are made anew.
+    """
+    state = []
+    for path in inputs:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+        while files.hasNext():
+            x = files.next()
+            state.append((x.getPath().toString(), x.getLen(), x.getModificationTime()))
+    key = (id(spark), name, tuple(sorted(state)))
+    there = {path for s, path in _written if s is spark}
+    if key not in _kept or any(t._written_at not in there for t in _kept[key]):
+        _kept[key] = make()
+    return _kept[key]
+
+
 def drop(table: DataFrame) -> None:
     """Delete a table of settle() that nothing needs any more."""
     item = next((x for x in _written if x[1] == getattr(table, "_written_at", None)), None)
