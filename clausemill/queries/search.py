@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausemill.functions import values as v
+from clausemill.operators import cells as ce
 from clausemill.operators import index as ix
 from clausemill.operators import search as se
 from clausemill.queries.base import sql_tokens, table
@@ -90,21 +91,42 @@ def index_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.index_meta(_post(spark, sf_dir), _rows(spark, sf_dir))
 
 
-def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select(F.lit("embeddings").alias("stem"), F.col("vec_id").alias("ord"), "embedding")
-    query = vectors.filter("ord = 0").select(v.unit_array(F.col("embedding")).alias("query"))
-    return ix.dense_scores(vectors.withColumn("vector", v.unit_array(F.col("embedding"))), query)
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.lit("embeddings").alias("stem"), F.col("vec_id").alias("ord"), v.unit_array(F.col("embedding")).alias("vector"))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> ce.Cells:
+    return ce.Cells(*kept(spark, "cells", [f"{sf_dir}/embeddings.parquet"], lambda: (lambda x: (x.centres, x.vectors))(ce.build(_vectors(spark, sf_dir)))))
+
+
+def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    query = _vectors(spark, sf_dir).filter("ord = 0").first()["vector"]
+    return ce.top_scores(_cells(spark, sf_dir), query, k)
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.top_hits(None, _dense(spark, sf_dir)).drop("kind")
+    return ix.top_hits(None, _dense(spark, sf_dir, 6)).drop("kind")
+
+
+def dense_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from all vectors, without cells; the question is a row."""
+    vectors = _vectors(spark, sf_dir)
+    return ix.top_hits(None, ix.dense_scores(vectors, vectors.filter("ord = 0").select(F.col("vector").alias("query")))).drop("kind")
+
+
+def dense_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many vectors the cells hold, each once, and whether every one lies within its cell's radius."""
+    cells = _cells(spark, sf_dir)
+    x = cells.vectors.join(cells.centres, "cell")
+    inside = F.acos(F.least(F.lit(1.0), v.dot(F.col("vector"), F.col("centre")))) <= F.col("radius") + 1e-9
+    return x.agg(F.count("*").alias("n_vectors"), F.count_distinct("ord").alias("n_ids"), F.bool_and(inside).alias("inside"))
 
 
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.top_hits(se.top_scores(_index(spark, sf_dir), QUESTION, 12), _dense(spark, sf_dir), 12)
+    return ix.top_hits(se.top_scores(_index(spark, sf_dir), QUESTION, 12), _dense(spark, sf_dir, 12), 12)
 
 
-QUERIES = {f.__name__: f for f in (term_frequency, doc_frequency, idf_corpus, tfidf_vectors, search_topk_corpus, search_topk_per_source, search_weighed, search_stored_index, search_terms, index_meta, dense_topk, hybrid_topk)}
+QUERIES = {f.__name__: f for f in (term_frequency, doc_frequency, idf_corpus, tfidf_vectors, search_topk_corpus, search_topk_per_source, search_weighed, search_stored_index, search_terms, index_meta, dense_topk, dense_scan, dense_cells, hybrid_topk)}
 
 _POST = f"p AS (SELECT source AS stem, doc_id AS ord, term, count(*) AS tf FROM (SELECT source, doc_id, unnest({sql_tokens('text')}) AS term FROM documents) GROUP BY ALL)"
 _IDF = "i AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1.0)) + 1.0 AS idf FROM p GROUP BY term)"
@@ -128,3 +150,5 @@ ORACLES = {
     "hybrid_topk": f"WITH {_POST}, {_IDF}, {_QUERY}, {_SCORES}, {_DENSE} SELECT stem, ord, round(score, 4) AS score, kind FROM (SELECT *, 0 AS kind FROM s UNION ALL SELECT *, 1 AS kind FROM z) WHERE score > 0 ORDER BY 3 DESC, kind, stem, ord LIMIT 12",
 }
 ORACLES["search_weighed"] = f"SELECT stem, ord, score, rank FROM ({ORACLES['search_topk_per_source']}) UNION ALL SELECT stem, ord, score, 0::INTEGER AS rank FROM ({ORACLES['search_topk_corpus']})"
+ORACLES["dense_scan"] = ORACLES["dense_topk"]
+ORACLES["dense_cells"] = "SELECT count(*) AS n_vectors, count(DISTINCT vec_id) AS n_ids, true AS inside FROM embeddings"
