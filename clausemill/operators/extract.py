@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clausemill import schemas
 from clausemill.functions import text as tx
+from clausemill.operators.scan import running
 
 
 def split_lines(df: DataFrame, text: str = "text", out: str = "raw", position: str = "line_no") -> DataFrame:
@@ -93,6 +94,21 @@ def extraction_status(log: DataFrame) -> DataFrame:
     return log.groupBy("stem").agg(F.when(F.bool_and(F.col("status") != "failed"), "Success").otherwise("Partial").alias("extraction_status"))
 
 
+def first_chars(pages: DataFrame, max_chars: int, segment: int = 4096) -> DataFrame:
+    """stem, text: the pages in order, joined by two line ends, cut after max_chars.
+
+    Pages are placed by running lengths (scan.running, rows of a few numbers), and only those that begin, with the line ends before them, before the cut go on, each cut
+    itself.  So a stem of any size is gathered up to max_chars and no further, and no shuffled row is longer than that.
+    """
+    sized = pages.select("stem", "page_no", (F.length(F.coalesce("text", F.lit(""))) + 2).cast("long").alias("size"))
+    placed = running(sized, ["stem"], "page_no", {"at": ("sum", F.col("size"))}, inclusive=False, segment=segment).filter(F.col("at") < max_chars + 2)
+    wanted = placed.select(F.col("stem").alias("__s"), F.col("page_no").alias("__p"), "at")
+    cut = pages.select("stem", "page_no", F.substring(F.coalesce("text", F.lit("")), 1, max_chars).alias("text"))
+    own = cut.join(wanted, F.col("stem").eqNullSafe(F.col("__s")) & F.col("page_no").eqNullSafe(F.col("__p"))).select("stem", "page_no", F.substring("text", F.lit(1), F.greatest(F.lit(max_chars) - F.col("at"), F.lit(0)).cast("int")).alias("text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\n\n")
+    return own.groupBy("stem").agg(F.substring(joined, 1, max_chars).alias("text"))
+
+
 def metadata(pages: DataFrame, hook: Callable[[DataFrame], DataFrame] | None = None, overrides: dict[str, str] | None = None, images: str | None = None, max_chars: int = 60_000) -> DataFrame:
     """One row per document: hook fields (null without a hook), overrides where given, statistics.
 
@@ -100,8 +116,7 @@ def metadata(pages: DataFrame, hook: Callable[[DataFrame], DataFrame] | None = N
     """
     base = document_stats(pages, images)
     if hook is not None:
-        text = pages.groupBy("stem").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "\n\n").alias("t"))
-        base = base.join(hook(text.select("stem", F.substring("t", 1, max_chars).alias("text"))), "stem", "left")
+        base = base.join(hook(first_chars(pages, max_chars)), "stem", "left")
     for name in schemas.METADATA_FIELDS:
         if name not in base.columns:
             base = base.withColumn(name, F.lit(None).cast("array<string>" if name in ("applicable_entities", "keywords_from_document") else "string"))

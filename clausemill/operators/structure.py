@@ -1,6 +1,7 @@
 """Lines to headings, sections and a tree kept as parent ordinals.
 
-All order-dependent steps are windows over (stem, line or event order); a document is the unit of parallelism.
+All order-dependent steps are windows over (stem, line or event order).  With `segment` they run in two levels (scan.running), and one
+huge document is split over tasks; without it a document is the unit of parallelism.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
+from clausemill.operators.scan import running
 
 PAGE_MARK = r"^<!--\s*Page\s+(\d+)\s*-->$"
 HEADING_MARK = r"^##\s+(.*)$"
@@ -20,13 +22,13 @@ MAX_RANK = 12
 _CLAUSE_RANK = 1001
 
 
-def mark_lines(lines: DataFrame, order: str = "line_no", raw: str = "raw", stem: str = "stem") -> DataFrame:
+def mark_lines(lines: DataFrame, order: str = "line_no", raw: str = "raw", stem: str = "stem", segment: int | None = None) -> DataFrame:
     """Adds page (running number, 1 before the first mark), is_page, heading (null where none) and event (0 before the first heading)."""
     mark = F.nullif(F.regexp_extract(tx.trim(F.col(raw)), PAGE_MARK, 1), F.lit("")).cast("int")
     heading = F.when(F.col(raw).rlike(HEADING_MARK) & mark.isNull(), tx.trim(F.regexp_extract(F.col(raw), HEADING_MARK, 1)))
-    run = Window.partitionBy(stem).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = lines.withColumns({"mark": mark, "heading": heading})
-    return x.withColumns({"page": F.coalesce(F.last("mark", ignorenulls=True).over(run), F.lit(1)), "event": F.count("heading").over(run), "is_page": F.col("mark").isNotNull()}).drop("mark")
+    x = running(x, [stem], order, {"page": ("last", F.col("mark")), "event": ("sum", F.when(F.col("heading").isNotNull(), 1))}, segment=segment)
+    return x.withColumns({"page": F.coalesce("page", F.lit(1)), "event": F.col("event").cast("long"), "is_page": F.col("mark").isNotNull()}).drop("mark")
 
 
 def heading_events(marked: DataFrame, order: str = "line_no", raw: str = "raw", stem: str = "stem") -> DataFrame:
@@ -75,31 +77,30 @@ def rank(kind: Column, number: Column) -> Column:
     return F.when(kind.isin("part", "annex"), 1).when(kind == "section", 2).when(kind == "subsection", deep).when(kind == "clause", _CLAUSE_RANK)
 
 
-def assign_parents(nodes: DataFrame, order: str = "ord", stem: str = "stem", kind: str = "type", number: str = "number") -> DataFrame:
+def assign_parents(nodes: DataFrame, order: str = "ord", stem: str = "stem", kind: str = "type", number: str = "number", segment: int | None = None) -> DataFrame:
     """Adds parent_ord: the nearest earlier holder of smaller rank that no holder in between closes; null at the top.
 
     One window holds, for each rank, the last ordinal seen; a part or annex closes all before it.
     """
-    before = Window.partitionBy(stem).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     own = F.col("__rank")
     ranked = nodes.withColumn("__rank", rank(F.col(kind), F.col(number)))
     levels = [*range(1, MAX_RANK + 1), _CLAUSE_RANK]
-    seen = ranked.select("*", *(F.last(F.when(own == k, F.col(order)), ignorenulls=True).over(before).alias(f"__r{k}") for k in levels))
+    seen = running(ranked, [stem], order, {f"__r{k}": ("last", F.when(own == k, F.col(order))) for k in levels}, inclusive=False, segment=segment)
     limit = F.coalesce(own, F.lit(_CLAUSE_RANK + 1))
     parent = F.greatest(*(F.when(F.lit(k) < limit, F.col(f"__r{k}")) for k in levels))
     top = F.col(kind).isin("part", "annex")
     return seen.select(*nodes.columns, F.when(~top, parent).alias("parent_ord"))
 
 
-def build_nodes(events: DataFrame, stem: str = "stem") -> DataFrame:
+def build_nodes(events: DataFrame, stem: str = "stem", segment: int | None = None) -> DataFrame:
     """Tree rows of classified headings.  Clauses, tables and footnotes keep their own text if they have one; the others take the body."""
     x = events.select(stem, "ord", "classified.type", "classified.number", F.col("classified.title").alias("heading"), F.when(F.col("classified.type").isin("clause", "table", "footnote"), tx.present("classified.text", "body")).otherwise(F.col("body")).alias("text"), "page_start", "page_end")
-    return assign_parents(x, stem=stem).select(stem, "ord", "parent_ord", "type", "number", "heading", "text", "page_start", "page_end")
+    return assign_parents(x, stem=stem, segment=segment).select(stem, "ord", "parent_ord", "type", "number", "heading", "text", "page_start", "page_end")
 
 
-def build_structure(lines: DataFrame, level_hook: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def build_structure(lines: DataFrame, level_hook: Callable[[DataFrame], DataFrame] | None = None, segment: int | None = None) -> DataFrame:
     """Markdown lines (stem, line_no, raw) -> tree rows."""
-    return build_nodes(resolve(heading_events(mark_lines(lines)), level_hook))
+    return build_nodes(resolve(heading_events(mark_lines(lines, segment=segment)), level_hook), segment=segment)
 
 
 def leaves(nodes: DataFrame, stem: str = "stem", order: str = "ord") -> DataFrame:
@@ -116,18 +117,17 @@ def operative_units(nodes: DataFrame, stem: str = "stem", order: str = "ord") ->
     return x.filter(((F.col("type") == "clause") | F.col("__p").isNull() | numbered) & (F.coalesce("text", F.lit("")) != "")).drop("__s", "__p")
 
 
-def trails(nodes: DataFrame, stem: str = "stem", order: str = "ord", depth: int = MAX_RANK + 1) -> DataFrame:
+def trails(nodes: DataFrame, stem: str = "stem", order: str = "ord", depth: int = MAX_RANK + 1, segment: int | None = None) -> DataFrame:
     """Adds trail: the titles above a node joined by ' > ', or '(document root)'.
 
     One window keeps the latest open title of each rank, as for parents, so no join follows the tree upwards.
     """
     del depth
-    before = Window.partitionBy(stem).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     entry = F.trim(F.concat("type", F.lit(" "), F.coalesce("number", F.lit("")), F.lit(" "), F.coalesce("heading", F.lit(""))))
     levels = [*range(1, MAX_RANK + 1), _CLAUSE_RANK]
     ranked = nodes.withColumns({"__rank": rank(F.col("type"), F.col("number")), "__entry": entry})
-    pick = lambda k: F.last(F.when(F.col("__rank") == k, F.struct(F.col(order).alias("o"), F.lit(k).alias("k"), F.col("__entry").alias("e"))), ignorenulls=True)
-    seen = ranked.select("*", *(pick(k).over(before).alias(f"__r{k}") for k in levels))
+    pick = lambda k: F.when(F.col("__rank") == k, F.struct(F.col(order).alias("o"), F.lit(k).alias("k"), F.col("__entry").alias("e")))
+    seen = running(ranked, [stem], order, {f"__r{k}": ("last", pick(k)) for k in levels}, inclusive=False, segment=segment)
     limit = F.coalesce("__rank", F.lit(_CLAUSE_RANK + 1))
     open_ = F.filter(F.array(*(F.when(F.lit(k) < limit, F.col(f"__r{k}")) for k in levels)), lambda x: x.isNotNull())
     open_ = F.when(F.col("type").isin("part", "annex"), F.array().cast("array<struct<o:bigint,k:int,e:string>>")).otherwise(open_.cast("array<struct<o:bigint,k:int,e:string>>"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
-from clausemill.functions.python import similarity_ratio
+from clausemill.functions.python import similar, similarity_ratio
 from clausemill.operators import clauses as cl
 from clausemill.operators import extract
+from clausemill.operators.scan import following
 from clausemill.queries.base import sql_tokens, table
 from clausemill.queries.sections import _ORDER
 
@@ -53,6 +54,12 @@ def metadata_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("stem", "title", "regulator", "jurisdiction", "business_domain", "version", "total_pages", "total_words", "total_characters", "total_images", "document_format", "extraction_status")
 
 
+def first_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 5,000 characters of each source's documents in order, as a model would get them."""
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("stem"), F.col("doc_id").alias("page_no"), "text")
+    return extract.first_chars(pages, 5000, segment=64).select("stem", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 def json_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects and arrays out of what surrounds them in a reply."""
     reply = F.concat(F.when(F.col("event_id") % 3 != 0, "Here: ").otherwise(""), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("["), "props", F.lit("] done"))).otherwise(F.col("props")), F.when(F.col("event_id") % 5 == 0, " end").otherwise(""))
@@ -93,13 +100,16 @@ def batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each whole text against that of the next id: matching-blocks ratio."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"))
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
-    return docs.join(after, "doc_id").select("doc_id", F.round(similarity_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+    """Each whole text against that of the next id, gaps or not: whether their matching-blocks ratio is above 0.85, and the ratio where it is."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pairs = following(docs.select("doc_id"), "doc_id", "doc_id").filter("next IS NOT NULL")
+    texts = docs.select(F.col("doc_id").alias("next"), F.col("text").alias("b"))
+    both = pairs.join(docs.withColumnRenamed("text", "a"), "doc_id").join(texts, "next").withColumn("similar", similar(F.col("a"), F.col("b"), 0.85))
+    ratio = similarity_ratio(F.when(F.col("similar"), F.col("a")), F.when(F.col("similar"), F.col("b")))
+    return both.select("doc_id", F.col("next").alias("next_id"), "similar", F.when(F.col("similar"), F.round(ratio, 6)).alias("ratio"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_counts, stem_tokens, denoise_tokens, denoise_stats, denoise_lines, metadata_rows, json_parts, scan_check, doc_stats, doc_sha256, markdown_sections, latin1_text, truncations, batch_ids, near_duplicate_ratio)}
+QUERIES = {f.__name__: f for f in (tokenize_counts, stem_tokens, denoise_tokens, denoise_stats, denoise_lines, metadata_rows, first_chars, json_parts, scan_check, doc_stats, doc_sha256, markdown_sections, latin1_text, truncations, batch_ids, near_duplicate_ratio)}
 
 _EDGES = "[" + "".join("\\" + c if c.isascii() else c for c in tx.EDGES) + "]"
 #: Unicode white space, which the engine's patterns mean.
@@ -147,6 +157,7 @@ ORACLES = {
     "denoise_stats": f"WITH {_lines('source')}, k AS (SELECT source, len(w) AS n, len(list_filter(w, lambda t: {sql_clean('t')})) AS k FROM (SELECT source, {_tokens('raw')} AS w FROM l)) SELECT source, count(*) AS lines_in, count(*) FILTER (n > 0 AND k = 0) AS lines_dropped, sum(n)::BIGINT AS tokens_in, sum(n - k)::BIGINT AS tokens_dropped FROM k GROUP BY source",
     "denoise_lines": f"WITH {_lines('doc_id')}, w AS (SELECT doc_id, k, {_tokens('raw')} AS w FROM l), c AS (SELECT doc_id, k, w, list_filter(w, lambda t: {sql_clean('t')}) AS c FROM w) SELECT doc_id, count(*) AS n_lines, md5(string_agg(array_to_string(c, ' '), chr(10) ORDER BY k)) AS digest FROM c WHERE len(c) > 0 OR len(w) = 0 GROUP BY doc_id",
     "metadata_rows": f"WITH t AS (SELECT source AS stem, count(*) AS n, sum(len({_tokens('text')})) AS w, sum(length(coalesce(text, ''))) + 2 * (count(*) - 1) AS c FROM documents GROUP BY source) SELECT stem, 'About ' || stem AS title, 'CB' AS regulator, NULL::VARCHAR AS jurisdiction, 'Unknown' AS business_domain, least(c, 500)::BIGINT::VARCHAR AS version, n AS total_pages, w::BIGINT AS total_words, c::BIGINT AS total_characters, 0::BIGINT AS total_images, 'PDF' AS document_format, 'Success' AS extraction_status FROM t",
+    "first_chars": "WITH t AS (SELECT source AS stem, doc_id, coalesce(text, '') AS text, sum(length(coalesce(text, '')) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at FROM documents), x AS (SELECT stem, substring(string_agg(text, chr(10) || chr(10) ORDER BY doc_id), 1, 5000) AS text FROM t WHERE coalesce(at, 0) < 5002 GROUP BY stem) SELECT stem, length(text)::INTEGER AS n_chars, md5(text) AS digest FROM x",
     "json_parts": "WITH r AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN 'Here: ' ELSE '' END || CASE WHEN event_id % 4 = 0 THEN '[' || props || '] done' ELSE props END || CASE WHEN event_id % 5 = 0 THEN ' end' ELSE '' END AS t FROM events) SELECT event_id, CASE WHEN event_id % 4 <> 0 AND event_id % 5 <> 0 THEN regexp_extract(t, '\\{.*$') END AS tail, nullif(regexp_extract(t, '\\[.*\\]'), '') AS list FROM r",
     "scan_check": "SELECT doc_id::VARCHAR AS stem, 1::BIGINT AS n_pages, length(coalesce(text, ''))::BIGINT AS n_chars, length(coalesce(text, '')) < 200 AS scanned FROM documents",
     "doc_stats": f"SELECT doc_id::VARCHAR AS doc, 1::BIGINT AS total_pages, len({_tokens('text')})::BIGINT AS total_words, length(text)::BIGINT AS total_characters, 0::BIGINT AS total_images FROM documents",

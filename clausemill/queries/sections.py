@@ -55,6 +55,16 @@ def structure_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nodes(spark, sf_dir)
 
 
+def structure_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree with order found in two levels, three lines or headings to a segment."""
+    return st.build_structure(_lines(spark, sf_dir), segment=3)
+
+
+def trail_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each trail by the same scan, over segments of two nodes."""
+    return st.trails(_nodes(spark, sf_dir), segment=2).select("stem", "ord", "trail")
+
+
 def leaf_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.leaves(_nodes(spark, sf_dir)).select("stem", "ord", "type")
 
@@ -84,7 +94,7 @@ def clause_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.clause_counts(cl.export_clauses(_nodes(spark, sf_dir), domains))
 
 
-QUERIES = {f.__name__: f for f in (heading_detect, heading_classify, page_fill, section_body, ambiguous_context, structure_nodes, leaf_nodes, operative_units, node_trail, clause_numbering, clause_export, clause_counts)}
+QUERIES = {f.__name__: f for f in (heading_detect, heading_classify, page_fill, section_body, ambiguous_context, structure_nodes, structure_segments, leaf_nodes, operative_units, node_trail, trail_segments, clause_numbering, clause_export, clause_counts)}
 
 
 def _kind(h: str) -> dict[str, str]:
@@ -125,3 +135,4 @@ ORACLES = {
     "clause_export": f"WITH {_EXPORT} SELECT stem, ord, base || CASE WHEN k > 1 THEN '__' || k ELSE '' END AS clause_id, number AS clause_no, heading AS title, text, page_start AS page_reference, CASE ord % 4 WHEN 0 THEN 'R' WHEN 1 THEN 'A' WHEN 2 THEN 'OTHER' END AS domain FROM x",
     "clause_counts": f"WITH {_EXPORT} SELECT stem, count(*) AS clause_count, count(*) FILTER (trim(coalesce(text, '')) = '') AS header_only, count(*) FILTER (trim(coalesce(text, '')) <> '') AS missed FROM x GROUP BY stem",
 }
+ORACLES |= {"structure_segments": ORACLES["structure_nodes"], "trail_segments": ORACLES["node_trail"]}

@@ -98,6 +98,52 @@ def fetch_pages(urls: DataFrame, fetcher: Callable[[str], str | None]) -> DataFr
     return urls.select("url").distinct().mapInPandas(run, "url string, html string")
 
 
+_LEDGER = "url string, attempt int, html string, error string"
+
+
+def fetched(spark: SparkSession, ledger: str) -> DataFrame:
+    """url, attempt, html, error: the last attempt of each URL that a ledger has."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/part-*"))
+    if not there:
+        return spark.createDataFrame([], _LEDGER)
+    last = spark.read.schema(_LEDGER).parquet(ledger).groupBy("url").agg(F.max_by(F.struct("attempt", "html", "error"), F.struct(F.col("html").isNotNull(), F.col("attempt"))).alias("x"))
+    return last.select("url", "x.attempt", "x.html", "x.error")
+
+
+def fetch_with_ledger(urls: DataFrame, fetcher: Callable[[str], str | None], ledger: str, attempts: int = 3, per_task: int = 16) -> DataFrame:
+    """url, attempt, html, error of the URLs given, each asked until it answers, `attempts` times at most, over all calls with this ledger.
+
+    The ledger is a table that grows: each task writes what it was told when it ends, and that stays if the job fails later or an executor is lost, so
+    at most the `per_task` URLs of a task under way are asked again.  A call that failed, or one with more URLs, goes on from there.
+    """
+    spark = urls.sparkSession
+    wanted = urls.select("url").filter("url IS NOT NULL").distinct()
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in frames:
+            rows = []
+            for url, attempt in zip(pdf["url"], pdf["attempt"], strict=True):
+                try:
+                    html = fetcher(url)
+                    rows.append((url, attempt, html, None if html is not None else "no answer"))
+                except Exception as error:  # noqa: BLE001  an attempt that fails is recorded
+                    rows.append((url, attempt, None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["url", "attempt", "html", "error"])
+
+    for _ in range(attempts):
+        before = fetched(spark, ledger).select("url", F.col("attempt").alias("tried"), F.col("html").isNotNull().alias("done"))
+        open_ = wanted.join(before, "url", "left").filter(f"NOT coalesce(done, false) AND coalesce(tried, 0) < {attempts}").select("url", (F.coalesce("tried", F.lit(0)) + 1).alias("attempt"))
+        n = open_.count()
+        if not n:
+            break
+        asked = open_.repartition(-(-n // per_task)).mapInPandas(run, _LEDGER)
+        asked.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(ledger)
+    return wanted.join(fetched(spark, ledger), "url", "left")
+
+
 def list_documents(spark: SparkSession, inputs: str, metas: DataFrame | None = None) -> DataFrame:
     """stem, file_name, processed: PDF files in a folder (any case), and whether an index has their stem."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(inputs).select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
