@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
+from clausemill.operators.adjacency import Adjacency
 from clausemill.tables import settle
 
 # Score limits of the bands (strong, moderate).
@@ -25,22 +26,30 @@ def _small(df: DataFrame, most: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def enrich(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _edges(edges: DataFrame | Adjacency, kind: str, keys: DataFrame, end: str) -> DataFrame:
+    """Edges of a kind whose source or target is among the keys."""
+    if isinstance(edges, Adjacency):
+        return edges.edges_from(kind, keys) if end == "source" else edges.edges_to(kind, keys)
+    return edges.filter(F.col("type") == kind).join(_small(keys.toDF(end).distinct()), end, "left_semi")
+
+
+def enrich(hits: DataFrame, nodes: DataFrame | Adjacency, edges: DataFrame | Adjacency) -> DataFrame:
     """hits (document_id, clause_id, ...) with canonical_id, canonical_label, mapping_confidence, review_required, concept_parent, obligation_type.
 
-    nodes and edges are those of all documents, united or not.  Of several edges of a kind the last counts, by edge_ord where the edges have it.  Edges and nodes are met by the few
+    nodes and edges are those of all documents, united or not, or both the same Adjacency, of which the keys' folders are read.  Of several edges of a kind the last counts, by edge_ord where the edges have it.  Edges and nodes are met by the few
     keys that the hits need, so that a graph kept as a table is read, and neither shuffled nor sorted.
     """
-    at = F.col("edge_ord") if "edge_ord" in edges.columns else F.struct("target", "provenance")
+    columns = edges.by_source.columns if isinstance(edges, Adjacency) else edges.columns
+    at = F.col("edge_ord") if "edge_ord" in columns else F.struct("target", "provenance")
 
     def last(kind: str, sources: DataFrame, *more: str) -> DataFrame:
-        mine = edges.filter(F.col("type") == kind).join(_small(sources.toDF("source").distinct()), "source", "left_semi")
+        mine = _edges(edges, kind, sources, "source")
         return settle(mine.groupBy("source").agg(F.max_by(F.struct("target", *more), at).alias("e")), "found")  # as few rows as hits
 
     def label(ids: DataFrame, name: str, **properties: str) -> DataFrame:
-        mine = nodes.join(_small(ids.toDF("id").distinct()), "id", "left_semi")
+        mine = nodes.nodes_of(ids) if isinstance(nodes, Adjacency) else nodes.join(_small(ids.toDF("id").distinct()), "id", "left_semi")
         own = F.struct(*(_prop(p).alias(n) for n, p in properties.items()))
-        first = F.min_by(own, "stem") if "stem" in nodes.columns else F.first(own)  # as in the union of all graphs, the first document's node counts
+        first = F.min_by(own, "stem") if "stem" in mine.columns else F.first(own)  # as in the union of all graphs, the first document's node counts
         return mine.groupBy("id").agg(first.alias("p")).select(F.col("id").alias(f"__{name}_id"), "p.*")
 
     x = hits.withColumn("clause_node", F.concat(F.lit("Clause:"), F.col("document_id"), F.lit("/"), F.col("clause_id")))
@@ -53,10 +62,10 @@ def enrich(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return x.select(*hits.columns, "concept_node", "canonical_id", "canonical_label", "mapping_confidence", "review_required", "concept_parent", "obligation_type")
 
 
-def impact_candidates(evidence: DataFrame, edges: DataFrame) -> DataFrame:
+def impact_candidates(evidence: DataFrame, edges: DataFrame | Adjacency) -> DataFrame:
     """Clauses of documents outside the hits that map to a concept the hits touch: concept, canonical_id, document_id, clause_no, page."""
     touched = evidence.filter("concept_node IS NOT NULL").groupBy("concept_node").agg(F.first("canonical_label", ignorenulls=True).alias("concept"), F.first("canonical_id", ignorenulls=True).alias("canonical_id"))
-    mapped = edges.filter(F.col("type") == "MAPS_TO_CONCEPT").select("target", "provenance.document_id", "provenance.clause_no", "provenance.page")
+    mapped = _edges(edges, "MAPS_TO_CONCEPT", evidence.select("concept_node").filter("concept_node IS NOT NULL"), "target").select("target", "provenance.document_id", "provenance.clause_no", "provenance.page")
     inside = evidence.select(F.col("document_id").alias("__d")).distinct()
     return mapped.join(_small(touched), F.col("target") == F.col("concept_node")).join(_small(inside), F.col("document_id") == F.col("__d"), "left_anti").select("concept", "canonical_id", "document_id", "clause_no", "page")
 
@@ -125,7 +134,7 @@ class Answer:
     ungrounded: DataFrame | None
 
 
-def answer(query: str, hits: DataFrame, clauses: DataFrame, nodes: DataFrame, edges: DataFrame, documents: DataFrame, dense: bool = False, synthesizer: Callable[[str, list[dict]], str] | None = None) -> Answer:
+def answer(query: str, hits: DataFrame, clauses: DataFrame, nodes: DataFrame | Adjacency, edges: DataFrame | Adjacency, documents: DataFrame, dense: bool = False, synthesizer: Callable[[str, list[dict]], str] | None = None) -> Answer:
     """Everything about a question.  hits: document_id, clause_id, clause_no, title, page, score (top k, so a few rows).
 
     The evidence is written once, as everything else is made of it.

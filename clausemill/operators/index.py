@@ -47,6 +47,27 @@ def corpus_idf(post: DataFrame, rows: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(_rows_with_tf().alias("df")).select("term", "df", v.idf(n, F.col("df")).alias("idf"))
 
 
+def frequency_changes(post: DataFrame, rows: DataFrame, sign: int = 1) -> DataFrame:
+    """term, d_df, d_rows: what clauses add to document frequencies (sign 1), or take away (-1); a row without a term counts the clauses.
+
+    Changes of any batches are united and added up by add_changes(), in any order: of an old text taken away and a new one added,
+    what stays the same cancels.
+    """
+    counted = post.groupBy("term").agg((F.count("*") * sign).alias("d_df")).select("term", "d_df", F.lit(0).cast("long").alias("d_rows"))
+    return counted.unionByName(rows.agg((F.count("*") * sign).alias("d_rows")).select(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("d_df"), "d_rows"))
+
+
+def add_changes(changes: DataFrame) -> DataFrame:
+    return changes.groupBy("term").agg(F.sum("d_df").alias("d_df"), F.sum("d_rows").alias("d_rows")).filter("d_df <> 0 OR d_rows <> 0")
+
+
+def idf_of_changes(changes: DataFrame) -> DataFrame:
+    """corpus_idf() of all that was added and not taken away."""
+    total = add_changes(changes)
+    n = F.coalesce(total.filter("term IS NULL").select(F.first("d_rows").alias("n")).scalar(), F.lit(0))
+    return total.filter("term IS NOT NULL AND d_df > 0").select("term", F.col("d_df").alias("df"), v.idf(n, F.col("d_df")).alias("idf"))
+
+
 def unit_weights(post: DataFrame, idf: DataFrame) -> DataFrame:
     """stem, ord, term, weight: tf x idf at unit length.  idf may be by stem and term, or by term."""
     keys = ["stem", "term"] if "stem" in idf.columns else ["term"]

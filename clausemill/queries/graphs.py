@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clausemill.operators import adjacency as ad
 from clausemill.operators import answer as an
 from clausemill.operators import graph as gr
 from clausemill.operators.clauses import number_clauses
 from clausemill.queries.base import table
 from clausemill.queries.sections import _ORDER
-from clausemill.tables import settle
+from clausemill.tables import kept, settle
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -29,49 +30,84 @@ def _parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"clauses": clauses, "objects": objects, "metadata": meta, "catalog": catalog, "domains": domains}
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
-    p = _parts(spark, sf_dir)
-    return (*gr.build_graph(p["clauses"], p["objects"], p["metadata"], p["catalog"], p["domains"], lambda name, df: settle(df, name)), p)
+_INPUTS = ("part", "lineitem", "orders", "customer", "nation", "region")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The graph and what answers need besides, written by the first query of a session, as a run writes it: each document's rows once,
+    and nodes and edges in folders by key."""
+
+    def make() -> tuple[DataFrame, ...]:
+        p = _parts(spark, sf_dir)
+        nodes, edges = gr.build_graph(p["clauses"], p["objects"], p["metadata"], p["catalog"], p["domains"], lambda name, df: settle(df, name))
+        nodes, edges = settle(nodes, "graph_nodes", even=False), settle(edges, "graph_edges", even=False)
+        x = ad.store(nodes, edges, lambda name, df: settle(df, name, even=False, by="bucket"))
+        doc = p["metadata"].select("stem", F.coalesce("document_id", "stem").alias("document_id"))
+        return nodes, edges, x.nodes, x.by_source, x.by_target, settle(p["clauses"], "clauses", even=False), settle(doc, "documents")
+
+    return dict(zip(("nodes", "edges", "nodes_by_id", "by_source", "by_target", "clauses", "documents"), kept(spark, "graph", [f"{sf_dir}/{t}.parquet" for t in _INPUTS], make), strict=True))
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t = _stored(spark, sf_dir)
+    return t["nodes"], t["edges"]
 
 
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges, _ = _graph(spark, sf_dir)
+    nodes, edges = _graph(spark, sf_dir)
     nodes, _ = gr.union_graphs(nodes, edges)
     prop = lambda k: F.col("properties").getItem(k).alias(k)
     return nodes.select("id", "type", prop("label"), prop("status"), prop("country"), prop("title"), prop("page"), prop("mandatory_flag"), F.size("properties").alias("n_properties"))
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, edges, _ = _graph(spark, sf_dir)
+    _, edges = _graph(spark, sf_dir)
     return edges.select("source", "target", "type", "provenance.clause_no", "provenance.page", "provenance.match_confidence", "provenance.review_required", "provenance.catalog_version")
 
 
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges, _ = _graph(spark, sf_dir)
+    nodes, edges = _graph(spark, sf_dir)
     return gr.graph_stats(*gr.union_graphs(nodes, edges))
 
 
 def node_type_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges, _ = _graph(spark, sf_dir)
+    nodes, edges = _graph(spark, sf_dir)
     return gr.type_counts(gr.union_graphs(nodes, edges)[0])
 
 
 def concept_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each concept of the graph with its label and its parent's, by CHILD_OF edges."""
-    nodes, edges, _ = _graph(spark, sf_dir)
+    nodes, edges = _graph(spark, sf_dir)
     concepts = gr.union_graphs(nodes.filter("type = 'Concept'"), edges)[0].select("id", F.col("properties").getItem("label").alias("label"))
     above = edges.filter("type = 'CHILD_OF'").select(F.col("source").alias("id"), F.col("target").alias("parent")).distinct()
     return concepts.join(above, "id", "left").join(concepts.select(F.col("id").alias("parent"), F.col("label").alias("parent_label")), "parent", "left").select(F.col("id").alias("child"), "label", "parent_label")
 
 
-def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Evidence over a graph that is written once as tables, as a run writes it."""
-    nodes, edges, p = _graph(spark, sf_dir)
-    nodes, edges = settle(nodes, "graph_nodes", even=False), settle(edges, "graph_edges", even=False)
-    doc = p["metadata"].select("stem", F.coalesce("document_id", "stem").alias("document_id"))
-    hits = p["clauses"].orderBy(F.desc("l_extendedprice"), "stem", "ord").limit(20).join(doc, "stem")
+def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ad.Adjacency]:
+    """Evidence from the stored graph: the hits' keys are looked up, and the graph is neither scanned nor shuffled."""
+    t = _stored(spark, sf_dir)
+    x = ad.Adjacency(t["nodes_by_id"], t["by_source"], t["by_target"])
+    hits = t["clauses"].orderBy(F.desc("l_extendedprice"), "stem", "ord").limit(20).join(t["documents"], "stem")
     hits = settle(hits.select("document_id", "clause_id", "clause_no", "title", F.round(F.col("l_discount") * 5, 4).alias("score")), "hits")
-    return settle(an.attach_text(an.enrich(hits, nodes, edges), p["clauses"], doc), "evidence"), edges, p["clauses"]
+    return settle(an.attach_text(an.enrich(hits, x, x), t["clauses"], t["documents"]), "evidence"), x
+
+
+def evidence_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same evidence where the graph is a DataFrame of any origin, met by joins."""
+    t = _stored(spark, sf_dir)
+    hits = t["clauses"].orderBy(F.desc("l_extendedprice"), "stem", "ord").limit(20).join(t["documents"], "stem")
+    hits = settle(hits.select("document_id", "clause_id", "clause_no", "title", F.round(F.col("l_discount") * 5, 4).alias("score")), "hits")
+    return an.attach_text(an.enrich(hits, t["nodes"], t["edges"]), t["clauses"], t["documents"]).drop("title")
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges into and out of the concepts that parts of both kinds name, counted by kind: both directions of the stored graph."""
+    t = _stored(spark, sf_dir)
+    x = ad.Adjacency(t["nodes_by_id"], t["by_source"], t["by_target"])
+    concepts = t["nodes"].filter("type = 'Concept'").select("id").distinct()
+    out = ad.of_keys(x.by_source, "source", concepts).groupBy("source", "type").agg(F.count("*").alias("n")).select(F.lit("out").alias("way"), F.col("source").alias("concept"), "type", "n")
+    into = ad.of_keys(x.by_target, "target", concepts).groupBy("target", "type").agg(F.count("*").alias("n")).select(F.lit("in").alias("way"), F.col("target").alias("concept"), "type", "n")
+    return out.union(into)
 
 
 def evidence_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +116,7 @@ def evidence_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def impact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Related clauses elsewhere, counted by concept and document."""
-    evidence, edges, _ = _evidence(spark, sf_dir)
+    evidence, edges = _evidence(spark, sf_dir)
     return an.impact_candidates(evidence, edges).groupBy("concept", "canonical_id", "document_id").agg(F.count("*").alias("n"), F.max("clause_no").alias("last_clause"), F.max("page").alias("last_page"))
 
 
@@ -89,11 +125,11 @@ def confidence_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reasoning_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evidence, edges, _ = _evidence(spark, sf_dir)
+    evidence, edges = _evidence(spark, sf_dir)
     return an.reasoning_path(evidence, an.impact_candidates(evidence, edges)).select(F.array_join("path", "\n").alias("path"))
 
 
-QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, graph_stats, node_type_rollup, concept_hierarchy, evidence_enrich, impact_candidates, confidence_band, reasoning_path)}
+QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, graph_stats, node_type_rollup, concept_hierarchy, evidence_enrich, evidence_scanned, neighbours, impact_candidates, confidence_band, reasoning_path)}
 
 _BASE = f"""cat AS (SELECT 'CPT_' || ct AS canonical_id, upper(ct[1]) || lower(ct[2:]) AS label, CASE WHEN ct < 'M' THEN 'Early' ELSE 'Late' END AS domain, CASE WHEN ct NOT IN ('STANDARD', 'SMALL') THEN 'CPT_STANDARD' WHEN ct = 'SMALL' THEN 'CPT_UNLISTED' END AS parent, CASE WHEN ct = 'PROMO' THEN 'draft' ELSE 'approved' END AS status FROM (SELECT DISTINCT p_type AS ct FROM part)),
 i0 AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ORDER)}) AS ord FROM lineitem),
@@ -125,6 +161,8 @@ ORACLES = {
     "node_type_rollup": f"WITH {_BASE} SELECT type, count(*) AS n FROM nodes GROUP BY ROLLUP (type)",
     "concept_hierarchy": f"WITH {_BASE}, k AS (SELECT id, label FROM nodes WHERE type = 'Concept'), e AS (SELECT DISTINCT source, target FROM edges WHERE type = 'CHILD_OF') SELECT k.id AS child, k.label, p.label AS parent_label FROM k LEFT JOIN e ON k.id = source LEFT JOIN k p ON target = p.id",
     "evidence_enrich": f"WITH {_EVID} SELECT * FROM ev",
+    "evidence_scanned": f"WITH {_EVID} SELECT * FROM ev",
+    "neighbours": f"WITH {_BASE} SELECT 'out' AS way, source AS concept, type, count(*) AS n FROM edges WHERE starts_with(source, 'Concept:') GROUP BY ALL UNION ALL SELECT 'in', target, type, count(*) FROM edges WHERE starts_with(target, 'Concept:') GROUP BY ALL",
     "impact_candidates": f"WITH {_EVID} SELECT concept, canonical_id, document_id, count(*) AS n, max(clause_no) AS last_clause, max(page) AS last_page FROM im GROUP BY ALL",
     "confidence_band": f"WITH {_EVID}, s AS (SELECT coalesce(max(score), 0) AS top_score, coalesce(round(avg(score), 4), 0) AS mean_score, count(*) FILTER (review_required) AS p FROM ev) SELECT CASE WHEN top_score >= 0.3 THEN 'High' WHEN top_score >= 0.15 THEN 'Medium' ELSE 'Low' END AS retrieval_band, top_score, mean_score, 'tfidf' AS retrieval_mode, p AS evidence_pending_review FROM s",
     "reasoning_path": f"""WITH {_EVID}, s AS (SELECT count(*) AS h, count(DISTINCT concept_node) AS k, (SELECT string_agg(DISTINCT canonical_label, ', ' ORDER BY canonical_label) FROM ev) AS labels, (SELECT string_agg(DISTINCT concept_parent, ', ' ORDER BY concept_parent) FROM ev) AS parents, count(*) FILTER (review_required) AS p, (SELECT count(*) FROM im) AS r FROM ev)

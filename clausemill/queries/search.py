@@ -51,6 +51,22 @@ def idf_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.corpus_idf(_post(spark, sf_dir), _rows(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
 
 
+def idf_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies of all documents loaded, those with repeated lines revised, and toxic ones taken down: added up, not counted anew."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    once = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
+    revised = docs.withColumn("once", once).filter("once <> text")
+    counted = lambda df, text, sign: ix.frequency_changes(ix.postings(df, F.col(text), "source", "doc_id"), df, sign)
+    current = docs.join(toxic, "doc_id", "left_semi").withColumn("once", F.coalesce(once, "text"))
+    batches = [counted(docs, "text", 1), counted(revised, "text", -1), counted(revised, "once", 1), counted(current, "once", -1)]
+    changes = [settle(ix.add_changes(x), "changes") for x in batches]  # each as a batch commits it
+    united = changes[0]
+    for x in changes[1:]:
+        united = united.unionByName(x)
+    return ix.idf_of_changes(united).withColumn("idf", F.round("idf", 6))
+
+
 def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     post = _table(spark, sf_dir)
     return ix.unit_weights(post, ix.corpus_idf(post, _rows(spark, sf_dir))).groupBy("stem", "ord").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("largest"), F.round(F.sum("weight"), 6).alias("total"))
@@ -126,7 +142,7 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.top_hits(se.top_scores(_index(spark, sf_dir), QUESTION, 12), _dense(spark, sf_dir, 12), 12)
 
 
-QUERIES = {f.__name__: f for f in (term_frequency, doc_frequency, idf_corpus, tfidf_vectors, search_topk_corpus, search_topk_per_source, search_weighed, search_stored_index, search_terms, index_meta, dense_topk, dense_scan, dense_cells, hybrid_topk)}
+QUERIES = {f.__name__: f for f in (term_frequency, doc_frequency, idf_corpus, idf_incremental, tfidf_vectors, search_topk_corpus, search_topk_per_source, search_weighed, search_stored_index, search_terms, index_meta, dense_topk, dense_scan, dense_cells, hybrid_topk)}
 
 _POST = f"p AS (SELECT source AS stem, doc_id AS ord, term, count(*) AS tf FROM (SELECT source, doc_id, unnest({sql_tokens('text')}) AS term FROM documents) GROUP BY ALL)"
 _IDF = "i AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1.0)) + 1.0 AS idf FROM p GROUP BY term)"
@@ -152,3 +168,5 @@ ORACLES = {
 ORACLES["search_weighed"] = f"SELECT stem, ord, score, rank FROM ({ORACLES['search_topk_per_source']}) UNION ALL SELECT stem, ord, score, 0::INTEGER AS rank FROM ({ORACLES['search_topk_corpus']})"
 ORACLES["dense_scan"] = ORACLES["dense_topk"]
 ORACLES["dense_cells"] = "SELECT count(*) AS n_vectors, count(DISTINCT vec_id) AS n_ids, true AS inside FROM embeddings"
+_ONCE = "array_to_string(list_transform(list_filter(list_zip(string_split(text, chr(10)), generate_series(1, len(string_split(text, chr(10))))), lambda x: list_position(string_split(text, chr(10)), x[1]) = x[2]), lambda x: x[1]), chr(10))"
+ORACLES["idf_incremental"] = f"WITH live AS (SELECT source, doc_id, {_ONCE} AS text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), {_POST.replace('FROM documents', 'FROM live')}, i AS (SELECT term, count(*) AS df FROM p GROUP BY term) SELECT term, df, round(ln(((SELECT count(*) FROM live) + 1.0) / (df + 1.0)) + 1.0, 6) AS idf FROM i"

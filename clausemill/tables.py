@@ -31,15 +31,16 @@ def own_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def settle(df: DataFrame, name: str = "part", even: bool = True) -> DataFrame:
+def settle(df: DataFrame, name: str = "part", even: bool = True, by: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back, so that its lineage ends there.
 
     The folder outlives lost executors.  Tables are dropped when the driver ends, or by release().  Rows are dealt out
-    anew to files of Spark's advisory size; even=False leaves that out for tables as large as the input.
+    anew to files of Spark's advisory size; even=False leaves that out for tables as large as the input.  by: folders by this column.
     """
     spark = df.sparkSession
     path = own_folder(spark, name)
-    (df.hint("rebalance") if even else df).write.parquet(path)
+    writer = (df.hint("rebalance") if even else df).write
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
