@@ -158,8 +158,62 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+_CRC = "crc AS (SELECT list(list_reduce(generate_series(1, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS crc FROM range(256) r(n))"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8, byte by byte through the table of _CRC."""
+    hexed = f"hex(encode({text}))"
+    return f"xor(list_reduce(list_transform(generate_series(1, length({hexed}), 2), lambda k: ('0x' || substr({hexed}, k::INTEGER, 2))::BIGINT), lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+#: Near words share a pattern with one letter open, or one is the other without a letter.
+_OP11 = f"""
+WITH RECURSIVE {_CRC},
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)),
+hashed AS (SELECT run, m, {_crc32("doc || ':' || run")} AS h FROM (SELECT doc, run, count(*) AS m FROM runs GROUP BY ALL), crc),
+typed AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, m FROM hashed),
+words AS (SELECT word, sum(m)::BIGINT AS n FROM typed WHERE length(word) >= 5 GROUP BY word HAVING sum(m) >= 3),
+places AS (SELECT word, unnest(generate_series(1, length(word))) AS k FROM words),
+holes AS (SELECT word, substr(word, 1, k::INTEGER - 1) || '?' || substr(word, k::INTEGER + 1) AS hole, substr(word, 1, k::INTEGER - 1) || substr(word, k::INTEGER + 1) AS less FROM places),
+near AS (SELECT a.word, b.word AS other FROM holes a JOIN holes b ON a.hole = b.hole AND a.word <> b.word UNION SELECT word, less FROM holes WHERE less IN (SELECT word FROM words) UNION SELECT less, word FROM holes WHERE less IN (SELECT word FROM words)),
+ranked AS (SELECT w.word, w.n, x.word AS form, x.n AS form_n, count(*) OVER (PARTITION BY w.word) AS n_near, row_number() OVER (PARTITION BY w.word ORDER BY x.n DESC, encode(x.word)) AS k FROM words w JOIN near ON near.word = w.word JOIN words x ON x.word = near.other),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * w.n THEN form END AS form, CASE WHEN form_n >= 2 * w.n THEN form_n END AS form_n FROM words w LEFT JOIN ranked r ON r.word = w.word AND k = 1),
+chain AS (SELECT word, word AS root, form AS next FROM formed UNION ALL SELECT chain.word, f.word, f.form FROM chain JOIN formed f ON f.word = chain.next)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, chain.root FROM formed f JOIN chain ON chain.word = f.word AND chain.next IS NULL
+"""
+#: Row by row from the end of each conversation: of all edits that lead to a role, the cheapest and then the least.
+_OP12 = f"""
+WITH RECURSIVE {_CRC},
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h FROM conversations, crc),
+convs AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+damaged AS (SELECT c, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM keyed JOIN convs ON keyed.conv_id IS NOT DISTINCT FROM convs.conv_id, range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+ordered AS (SELECT *, role || ':' || text AS line, substr(role, 1, 1) AS first, row_number() OVER w AS i, row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST) > 1 AS again, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare FROM damaged WINDOW w AS (PARTITION BY c ORDER BY turn NULLS FIRST, role, text)),
+faults AS (SELECT *, CASE WHEN regexp_replace(bare, '[\x20\x09-\x0D]+', '', 'g') = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN substr(bare, length(bare), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lead(first) OVER (PARTITION BY c ORDER BY i) AS following FROM ordered),
+counts AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (following IS NOT NULL AND first || following NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows FROM faults GROUP BY c),
+moves(s, t, kind, put) AS (VALUES (0, 0, 'D', NULL), (1, 1, 'D', NULL), (2, 2, 'D', NULL), (3, 3, 'D', NULL), (0, 1, 'T', NULL), (0, 2, 'T', NULL), (0, 3, 'T', 'user:'), (1, 2, 'T', NULL), (1, 3, 'T', 'user:'), (2, 2, 'T', 'assistant:'), (2, 3, 'T', NULL), (3, 2, 'T', NULL), (3, 3, 'T', 'user:')),
+roles(t, letter, name) AS (VALUES (0, '', ''), (1, 's', 'system'), (2, 'u', 'user'), (3, 'a', 'assistant')),
+ends(s, cost, audit, lines) AS (VALUES (0, 0, '', []::VARCHAR[]), (1, 10, 'II', ['user:', 'assistant:']), (2, 5, 'I', ['assistant:']), (3, 0, '', [])),
+best AS (
+  SELECT c, rows + 1 AS i, s, cost, audit, lines FROM counts, ends
+  UNION ALL
+  SELECT c, i, s, cost, audit, lines FROM (
+    SELECT *, row_number() OVER (PARTITION BY c, s ORDER BY cost, audit) AS k FROM (
+      SELECT f.c, f.i, m.s, CASE WHEN kind = 'D' THEN 2 ELSE (first <> letter)::INTEGER + CASE WHEN put IS NULL THEN 0 ELSE 5 END + CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END END + b.cost AS cost,
+        CASE WHEN kind = 'D' THEN 'D' ELSE CASE WHEN put IS NULL THEN '' ELSE 'I' END || CASE WHEN first = letter THEN 'K' ELSE 'R' END END || b.audit AS audit,
+        CASE WHEN kind = 'D' THEN b.lines ELSE CASE WHEN put IS NULL THEN [] ELSE [put] END || [CASE WHEN first = letter THEN line ELSE name || ':' || text END] || b.lines END AS lines
+      FROM best b JOIN faults f ON f.c = b.c AND f.i = b.i - 1 JOIN moves m ON m.t = b.s JOIN roles r ON r.t = m.t
+      WHERE kind = 'D' OR fault NOT IN ('blank', 'duplicate') AND (m.t <> 1 OR first = 's')
+    )
+  ) WHERE k = 1
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM convs LEFT JOIN counts USING (c) LEFT JOIN best b ON b.c = convs.c AND b.i = 1 AND b.s = 0
+"""
 ORACLES: dict[str, str] = {
     "op4_sharding": _op4_sql(),
     "op7_line_dedup": _OP7,
+    "op11_spelling_variants": _OP11,
+    "op12_conversation_repair": _OP12,
     "op8_url_filters": duckdb_sql(RULES, "SELECT doc_id AS key, toxic = 1 AS bad FROM labels"),
 }
