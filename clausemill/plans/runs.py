@@ -69,19 +69,19 @@ class Runs:
         where = self._at("commits")
         names = [x.getPath().getName() for x in self._fs.listStatus(where)] if self._fs.exists(where) else []
         self.head = max((int(x) for x in names if x.isdigit()), default=0)
-        self.base, self.settings = 0, ""
+        self.base = 0
         if self.head:
             stream = self._fs.open(self._at(f"commits/{self.head:08d}"))
             try:
                 said = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
             finally:
                 stream.close()
-            self.base, self.settings = said["base"], said["settings"]
+            self.base = said["base"]
 
-    def _commit(self, run: int, base: int, settings: str) -> None:
+    def _commit(self, run: int, base: int) -> None:
         aside, place = self._at(f"commits/_{uuid.uuid4().hex}"), self._at(f"commits/{run:08d}")
         out = self._fs.create(aside, False)
-        out.write(json.dumps({"base": base, "settings": settings}).encode())
+        out.write(json.dumps({"base": base}).encode())
         out.close()
         jvm = self.spark._jvm
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
@@ -134,16 +134,15 @@ class Runs:
         """Bring the tables up to date with pages (stem, page_no, text) and metadata, reading only the documents whose content differs.
 
         whole: documents that are not in pages are gone; otherwise they stay as they are.  Another catalog, other domains, rules or version
-        (a name for the hooks' behaviour) mean that every document is read again.
+        (a name for the hooks' behaviour) count as other content of every document.
         """
         spark, run = self.spark, self.head + 1
         settings = "|".join([_of_rows(catalog), _of_rows(domains), repr(rules), str(denoise), version])
         about = metadata.groupBy("stem").agg(F.hex(F.bit_xor(F.xxhash64(F.to_json(F.struct(*sorted(metadata.columns)))))).alias("about"))
-        now = content_hash(pages).join(about, "stem", "left").select("stem", F.concat_ws("/", "hash", "about").alias("hash"))
+        now = content_hash(pages).join(about, "stem", "left").select("stem", F.sha2(F.concat_ws("/", "hash", "about", F.lit(settings)), 256).alias("hash"))
         before = self.documents().select("stem", F.col("hash").alias("was"))
         both = settle(now.join(before, "stem", "full"), "compared")
-        differs = F.lit(True) if settings != self.settings else (F.col("was").isNull() | (F.col("was") != F.col("hash")))
-        changed = both.filter(F.col("hash").isNotNull() & differs).select("stem", "hash")
+        changed = both.filter("hash IS NOT NULL AND (was IS NULL OR was <> hash)").select("stem", "hash")
         gone = both.filter("hash IS NULL").select("stem") if whole else both.filter("false").select("stem")
         n_read, n_gone = changed.count(), gone.count()
         if not n_read and not n_gone:
@@ -168,7 +167,7 @@ class Runs:
         post = keep("postings", index.postings(clauses))
         keep("df_changes", self._df_changes(post, clauses, stems.unionByName(gone)))
         keep("documents", changed.select("stem", "hash", F.lit(True).alias("alive")).unionByName(gone.select("stem", F.lit(None).cast("string").alias("hash"), F.lit(False).alias("alive"))))
-        self._commit(run, max(self.base, 1), settings)
+        self._commit(run, max(self.base, 1))
         return Change(run, n_read, n_gone)
 
     def compact(self) -> None:
@@ -182,7 +181,7 @@ class Runs:
             keep(name, self.table(name))
         keep("df_changes", index.add_changes(self._read("df_changes", _DELTA)))
         keep("documents", self.documents().select("stem", "hash", F.lit(True).alias("alive")))
-        self._commit(run, run, self.settings)
+        self._commit(run, run)
 
     def vacuum(self) -> None:
         """Delete folders of runs before the last compaction: when no reader uses them any more."""

@@ -157,7 +157,7 @@ ORACLES = {
     "denoise_stats": f"WITH {_lines('source')}, k AS (SELECT source, len(w) AS n, len(list_filter(w, lambda t: {sql_clean('t')})) AS k FROM (SELECT source, {_tokens('raw')} AS w FROM l)) SELECT source, count(*) AS lines_in, count(*) FILTER (n > 0 AND k = 0) AS lines_dropped, sum(n)::BIGINT AS tokens_in, sum(n - k)::BIGINT AS tokens_dropped FROM k GROUP BY source",
     "denoise_lines": f"WITH {_lines('doc_id')}, w AS (SELECT doc_id, k, {_tokens('raw')} AS w FROM l), c AS (SELECT doc_id, k, w, list_filter(w, lambda t: {sql_clean('t')}) AS c FROM w) SELECT doc_id, count(*) AS n_lines, md5(string_agg(array_to_string(c, ' '), chr(10) ORDER BY k)) AS digest FROM c WHERE len(c) > 0 OR len(w) = 0 GROUP BY doc_id",
     "metadata_rows": f"WITH t AS (SELECT source AS stem, count(*) AS n, sum(len({_tokens('text')})) AS w, sum(length(coalesce(text, ''))) + 2 * (count(*) - 1) AS c FROM documents GROUP BY source) SELECT stem, 'About ' || stem AS title, 'CB' AS regulator, NULL::VARCHAR AS jurisdiction, 'Unknown' AS business_domain, least(c, 500)::BIGINT::VARCHAR AS version, n AS total_pages, w::BIGINT AS total_words, c::BIGINT AS total_characters, 0::BIGINT AS total_images, 'PDF' AS document_format, 'Success' AS extraction_status FROM t",
-    "first_chars": "WITH t AS (SELECT source AS stem, doc_id, coalesce(text, '') AS text, sum(length(coalesce(text, '')) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at FROM documents), x AS (SELECT stem, substring(string_agg(text, chr(10) || chr(10) ORDER BY doc_id), 1, 5000) AS text FROM t WHERE coalesce(at, 0) < 5002 GROUP BY stem) SELECT stem, length(text)::INTEGER AS n_chars, md5(text) AS digest FROM x",
+    "first_chars": "WITH t AS (SELECT source AS stem, doc_id, coalesce(text, '') AS text, sum(length(coalesce(text, '')) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pos FROM documents), x AS (SELECT stem, substring(string_agg(text, chr(10) || chr(10) ORDER BY doc_id), 1, 5000) AS text FROM t WHERE coalesce(pos, 0) < 5002 GROUP BY stem) SELECT stem, length(text)::INTEGER AS n_chars, md5(text) AS digest FROM x",
     "json_parts": "WITH r AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN 'Here: ' ELSE '' END || CASE WHEN event_id % 4 = 0 THEN '[' || props || '] done' ELSE props END || CASE WHEN event_id % 5 = 0 THEN ' end' ELSE '' END AS t FROM events) SELECT event_id, CASE WHEN event_id % 4 <> 0 AND event_id % 5 <> 0 THEN regexp_extract(t, '\\{.*$') END AS tail, nullif(regexp_extract(t, '\\[.*\\]'), '') AS list FROM r",
     "scan_check": "SELECT doc_id::VARCHAR AS stem, 1::BIGINT AS n_pages, length(coalesce(text, ''))::BIGINT AS n_chars, length(coalesce(text, '')) < 200 AS scanned FROM documents",
     "doc_stats": f"SELECT doc_id::VARCHAR AS doc, 1::BIGINT AS total_pages, len({_tokens('text')})::BIGINT AS total_words, length(text)::BIGINT AS total_characters, 0::BIGINT AS total_images FROM documents",
