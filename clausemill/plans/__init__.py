@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausemill.operators import adjacency as ad
 from clausemill.operators import clauses as cl
-from clausemill.operators import extract, graph, index, interpret, matching, structure
+from clausemill.operators import extract, graph, index, interpret, matching, search, structure
 
 
 @dataclass
@@ -25,6 +26,24 @@ class Corpus:
     postings: DataFrame
     idf: DataFrame
     weights: DataFrame
+    lexicon: DataFrame
+    document_idf: DataFrame
+    document_weights: DataFrame
+    nodes_by_id: DataFrame
+    edges_by_source: DataFrame
+    edges_by_target: DataFrame
+
+    def index(self) -> search.Index:
+        """The index of all documents together."""
+        return search.Index(self.lexicon, self.weights)
+
+    def document_index(self) -> search.DocumentIndex:
+        """The indexes of single documents."""
+        return search.DocumentIndex(self.document_idf, self.document_weights)
+
+    def adjacency(self) -> ad.Adjacency:
+        """The graph, to be asked by key."""
+        return ad.Adjacency(self.nodes_by_id, self.edges_by_source, self.edges_by_target)
 
 
 def run(path: str, pages: DataFrame, catalog: DataFrame, domains: DataFrame, metadata: DataFrame, denoise: bool = True, classifier: Callable | None = None, level_hook: Callable | None = None, rules: matching.Rules = matching.Rules()) -> Corpus:
@@ -34,7 +53,8 @@ def run(path: str, pages: DataFrame, catalog: DataFrame, domains: DataFrame, met
     """
 
     def keep(name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy("bucket") if "bucket" in df.columns else writer).parquet(f"{path}/{name}")
         return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
 
     labels = [r["label"] for r in domains.select("label").collect()]  # a taxonomy of tens of rows
@@ -45,19 +65,22 @@ def run(path: str, pages: DataFrame, catalog: DataFrame, domains: DataFrame, met
     objects = keep("objects", matching.ontology_objects(clauses, catalog, domains, rules))
     graph_nodes, graph_edges = graph.build_graph(clauses, objects, metadata, catalog, domains, keep)
     graph_nodes, graph_edges = keep("graph_nodes", graph_nodes), keep("graph_edges", graph_edges)
+    near = ad.store(graph_nodes, graph_edges, keep)
     post = keep("postings", index.postings(clauses))
     idf = keep("idf", index.corpus_idf(post, clauses))
-    return Corpus(lines, nodes, clauses, objects, graph_nodes, graph_edges, post, idf, keep("weights", index.stored_weights(post, idf)))
+    weights = keep("weights", search.impact_ordered(index.unit_weights(post, idf)))
+    own = keep("document_idf", index.document_idf(post, clauses).repartitionByRange("term", "stem").sortWithinPartitions("term", "stem"))
+    own_weights = keep("document_weights", search.impact_ordered(index.unit_weights(post, own)))
+    return Corpus(lines, nodes, clauses, objects, graph_nodes, graph_edges, post, idf, weights, keep("lexicon", search.lexicon(weights, idf)), own, own_weights, near.nodes, near.by_source, near.by_target)
 
 
 #: Tables of a run by step, as folders below its path.
-STEPS = ["lines", "tree", "nodes", "clauses", "objects", "graph_nodes", "graph_edges", "postings", "idf", "weights"]
+STEPS = ["lines", "tree", "nodes", "clauses", "objects", "graph_nodes", "graph_edges", "postings", "idf", "weights", "lexicon", "document_idf", "document_weights", "nodes_by_id", "edges_by_source", "edges_by_target"]
 
 
 def load(spark: SparkSession, path: str) -> Corpus:
     """The tables of a finished run."""
-    t = {name: spark.read.parquet(f"{path}/{name}") for name in STEPS if name != "tree"}
-    return Corpus(t["lines"], t["nodes"], t["clauses"], t["objects"], t["graph_nodes"], t["graph_edges"], t["postings"], t["idf"], t["weights"])
+    return Corpus(**{name: spark.read.parquet(f"{path}/{name}") for name in STEPS if name != "tree"})
 
 
 def summaries(corpus: Corpus) -> DataFrame:

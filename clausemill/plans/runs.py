@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from clausemill.operators import adjacency as ad
 from clausemill.operators import clauses as cl
-from clausemill.operators import extract, graph, index, interpret, matching, structure
+from clausemill.operators import extract, graph, index, interpret, matching, search, structure
 from clausemill.tables import settle
 
 #: Tables of live rows by document.  The last three are in folders by key.
@@ -115,6 +115,12 @@ class Runs:
             raise ValueError(f"no run has been committed at {self.path}")
         return rows.join(self.documents().select("stem", "run"), ["stem", "run"], "left_semi").drop("run")
 
+    def __getattr__(self, name: str) -> DataFrame:
+        """Tables by name, as those of a whole run."""
+        if name in STEPS:
+            return self.table(name)
+        raise AttributeError(name)
+
     def adjacency(self) -> ad.Adjacency:
         return ad.Adjacency(self.table("nodes_by_id"), self.table("edges_by_source"), self.table("edges_by_target"))
 
@@ -170,6 +176,29 @@ class Runs:
         self._commit(run, max(self.base, 1))
         return Change(run, n_read, n_gone)
 
+    def build_index(self) -> search.Index:
+        """A stored index of the present state, for this state only; idf comes from the differences."""
+        post = self.table("postings")
+
+        def keep(name: str, df: DataFrame) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{self.path}/index/{self.head}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{self.path}/index/{self.head}/{name}")
+
+        idf = settle(self.idf(), "idf")
+        weights = keep("weights", search.impact_ordered(index.unit_weights(post, idf)))
+        return search.Index(keep("lexicon", search.lexicon(weights, idf)), weights)
+
+    def stored_index(self) -> search.Index | None:
+        """The index of the present state, if it has been built."""
+        if not self._fs.exists(self._at(f"index/{self.head}/lexicon/_SUCCESS")):
+            return None
+        return search.Index(*(self.spark.read.parquet(f"{self.path}/index/{self.head}/{name}") for name in ("lexicon", "weights")))
+
+    def top_scores(self, query: str, k: int) -> DataFrame:
+        """stem, ord, score of the clauses that may be among the best k: from the stored index, or from live postings where it is behind."""
+        stored = self.stored_index()
+        return index.sparse_scores(self.table("postings"), self.idf(), query) if stored is None else search.top_scores(stored, query, k)
+
     def compact(self) -> None:
         """All live rows as one run, from which readers then start; folders before it are deleted by vacuum()."""
         run = self.head + 1

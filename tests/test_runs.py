@@ -103,3 +103,32 @@ def test_many_keys_are_joined(spark, monkeypatch):
     assert _rows(ad.of_keys(table, "source", keys)) == want
     monkeypatch.setattr(ad, "MOST", 1)
     assert _rows(ad.of_keys(table, "source", keys)) == want
+
+
+def test_command_line_follows_a_folder(spark, tmp_path, capsys):
+    """update, update again with one file changed, and questions to the folder, with a stored index and with one that is behind."""
+    from clausemill.__main__ import main
+
+    pages, config, out = tmp_path / "in", tmp_path / "config", str(tmp_path / "out")
+    layer = config / "ontology" / "global"
+    layer.mkdir(parents=True)
+    (layer / "domains.yaml").write_text("domains:\n  - {label: Prudential, token: P}\n")
+    (layer / "concepts.yaml").write_text("concepts:\n  - {canonical_id: C, label: Collateral, synonyms: [records]}\n")
+    pages.mkdir()
+    for name in ("a", "b"):
+        (pages / f"{name}.txt").write_text(_text(name))
+    given = ["update", "--pages", str(pages), "--config", str(config), "--out", out]
+    main([*given, "--index"], spark)
+    assert "2 read, 0 gone, state 1" in capsys.readouterr().out
+    stored = Runs(spark, out).top_scores("collateral records", 2)
+    main(["search", "--out", out, "--query", "collateral"], spark)
+    assert "Title a" in (said := capsys.readouterr().out) and "|   b|" in said
+    want = {(r.stem, r.ord, round(r.score, 9)) for r in stored.collect()}
+    assert want == {(r.stem, r.ord, round(r.score, 9)) for r in ix.sparse_scores(Runs(spark, out).table("postings"), Runs(spark, out).idf(), "collateral records").collect()} and want
+    (pages / "a.txt").write_text(_text("a", "and liquidity ratios"))
+    (pages / "b.txt").unlink()
+    main(given, spark)
+    assert "1 read, 1 gone, state 2" in capsys.readouterr().out
+    assert Runs(spark, out).stored_index() is None
+    main(["answer", "--out", out, "--query", "liquidity ratios"], spark)
+    assert "Title a" in capsys.readouterr().out
