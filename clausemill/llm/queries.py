@@ -188,8 +188,8 @@ WITH RECURSIVE {_CRC},
 keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h FROM conversations, crc),
 convs AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
 damaged AS (SELECT c, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM keyed JOIN convs ON keyed.conv_id IS NOT DISTINCT FROM convs.conv_id, range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
-ordered AS (SELECT *, role || ':' || text AS line, substr(role, 1, 1) AS first, row_number() OVER w AS i, row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST) > 1 AS again, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare FROM damaged WINDOW w AS (PARTITION BY c ORDER BY turn NULLS FIRST, role, text)),
-faults AS (SELECT *, CASE WHEN regexp_replace(bare, '[\x20\x09-\x0D]+', '', 'g') = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN substr(bare, length(bare), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lead(first) OVER (PARTITION BY c ORDER BY i) AS following FROM ordered),
+ordered AS (SELECT *, role || ':' || text AS line, substr(role, 1, 1) AS first, row_number() OVER w AS i, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare FROM damaged WINDOW w AS (PARTITION BY c ORDER BY turn NULLS FIRST, role, text)),
+faults AS (SELECT *, CASE WHEN regexp_replace(bare, '[\x20\x09-\x0D]+', '', 'g') = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN substr(bare, length(bare), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lead(first) OVER (PARTITION BY c ORDER BY i) AS following FROM ordered),
 counts AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (following IS NOT NULL AND first || following NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows FROM faults GROUP BY c),
 moves(s, t, kind, put) AS (VALUES (0, 0, 'D', NULL), (1, 1, 'D', NULL), (2, 2, 'D', NULL), (3, 3, 'D', NULL), (0, 1, 'T', NULL), (0, 2, 'T', NULL), (0, 3, 'T', 'user:'), (1, 2, 'T', NULL), (1, 3, 'T', 'user:'), (2, 2, 'T', 'assistant:'), (2, 3, 'T', NULL), (3, 2, 'T', NULL), (3, 3, 'T', 'user:')),
 roles(t, letter, name) AS (VALUES (0, '', ''), (1, 's', 'system'), (2, 'u', 'user'), (3, 'a', 'assistant')),
