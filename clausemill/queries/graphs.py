@@ -33,23 +33,32 @@ def _parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 _INPUTS = ("part", "lineitem", "orders", "customer", "nation", "region")
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The graph and what answers need besides, written by the first query of a session, as a run writes it: each document's rows once,
-    and nodes and edges in folders by key."""
+def _rows(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The graph of all documents and what answers need besides, written by the first query of a session, as a run writes it."""
 
     def make() -> tuple[DataFrame, ...]:
         p = _parts(spark, sf_dir)
         nodes, edges = gr.build_graph(p["clauses"], p["objects"], p["metadata"], p["catalog"], p["domains"], lambda name, df: settle(df, name))
-        nodes, edges = settle(nodes, "graph_nodes", even=False), settle(edges, "graph_edges", even=False)
-        x = ad.store(nodes, edges, lambda name, df: settle(df, name, even=False, by="bucket"))
         doc = p["metadata"].select("stem", F.coalesce("document_id", "stem").alias("document_id"))
-        return nodes, edges, x.nodes, x.by_source, x.by_target, settle(p["clauses"], "clauses", even=False), settle(doc, "documents")
+        return settle(nodes, "graph_nodes", even=False), settle(edges, "graph_edges", even=False), settle(p["clauses"], "clauses", even=False), settle(doc, "documents")
+
+    return dict(zip(("nodes", "edges", "clauses", "documents"), kept(spark, "graph", [f"{sf_dir}/{t}.parquet" for t in _INPUTS], make), strict=True))
 
-    return dict(zip(("nodes", "edges", "nodes_by_id", "by_source", "by_target", "clauses", "documents"), kept(spark, "graph", [f"{sf_dir}/{t}.parquet" for t in _INPUTS], make), strict=True))
+
+def _stored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """_rows() with nodes and edges in folders by key besides, for the queries that ask by key."""
+    t = _rows(spark, sf_dir)
+
+    def make() -> tuple[DataFrame, ...]:
+        x = ad.store(t["nodes"], t["edges"], lambda name, df: settle(df, name, even=False, by="bucket"))
+        return x.nodes, x.by_source, x.by_target
+
+    near = kept(spark, "graph_by_key", [f"{sf_dir}/{x}.parquet" for x in _INPUTS], make)
+    return t | dict(zip(("nodes_by_id", "by_source", "by_target"), near, strict=True))
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    t = _stored(spark, sf_dir)
+    t = _rows(spark, sf_dir)
     return t["nodes"], t["edges"]
 
 
@@ -94,7 +103,7 @@ def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ad.Adjacency
 
 def evidence_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same evidence where the graph is a DataFrame of any origin, met by joins."""
-    t = _stored(spark, sf_dir)
+    t = _rows(spark, sf_dir)
     hits = t["clauses"].orderBy(F.desc("l_extendedprice"), "stem", "ord").limit(20).join(t["documents"], "stem")
     hits = settle(hits.select("document_id", "clause_id", "clause_no", "title", F.round(F.col("l_discount") * 5, 4).alias("score")), "hits")
     return an.attach_text(an.enrich(hits, t["nodes"], t["edges"]), t["clauses"], t["documents"]).drop("title")

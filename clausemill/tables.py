@@ -78,10 +78,12 @@ def _delete(item: tuple[SparkSession, str]) -> None:
     _written.remove(item)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the tables written in this session, but for the first `keep`."""
+def release(spark: SparkSession, keep: int = 0, stored: bool = True) -> None:
+    """Delete the tables written in this session, but for the first `keep`; stored: those of kept() too."""
+    spared = set() if stored else {t._written_at for tables in _kept.values() for t in tables}
     for item in [x for x in _written if x[0] is spark][keep:]:
-        _delete(item)
+        if item[1] not in spared:
+            _delete(item)
 
 
 @atexit.register
