@@ -59,12 +59,16 @@ def kept(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], t
             x = files.next()
             state.append((x.getPath().toString(), x.getLen(), x.getModificationTime()))
     key = (id(spark), name, tuple(sorted(state)))
-    there = {path for s, path in _written if s is spark}
-    if key not in _kept or any(t._written_at not in there for t in _kept[key]):
+    if key not in _kept or not all(_is_there(spark, t._written_at) for t in _kept[key]):
         _kept[key] = make()
     return _kept[key]
 
 
+def _is_there(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def drop(table: DataFrame) -> None:
     """Delete a table of settle() that nothing needs any more."""
     item = next((x for x in _written if x[1] == getattr(table, "_written_at", None)), None)
