@@ -47,9 +47,17 @@ def corpus_idf(post: DataFrame, rows: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(_rows_with_tf().alias("df")).select("term", "df", v.idf(n, F.col("df")).alias("idf"))
 
 
+def clause_terms(rows: DataFrame, text: Column | None = None) -> DataFrame:
+    """term: each clause's different terms, a row for each, without a shuffle; for what needs no counts within clauses."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(enriched_text() if text is None else text), F.lit("[a-z0-9]+"), 0))
+    return rows.select(F.explode(words).alias("term")).filter((F.length("term") > 1) & ~F.col("term").isin(tx.STOPWORDS))
+
+
 def frequency_changes(post: DataFrame, rows: DataFrame, sign: int = 1) -> DataFrame:
     """term, d_df, d_rows: what clauses add to document frequencies (sign 1), or take away (-1); a row without a term counts the clauses.
 
+    post: postings, or clause_terms(), of the clauses `rows`.
+
     Changes of any batches are united and added up by add_changes(), in any order: of an old text taken away and a new one added,
     what stays the same cancels.
     """

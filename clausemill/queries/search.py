@@ -57,7 +57,7 @@ def idf_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
     once = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
     revised = docs.withColumn("once", once).filter("once <> text")
-    counted = lambda df, text, sign: ix.frequency_changes(ix.postings(df, F.col(text), "source", "doc_id"), df, sign)
+    counted = lambda df, text, sign: ix.frequency_changes(ix.clause_terms(df, F.col(text)), df, sign)
     current = docs.join(toxic, "doc_id", "left_semi").withColumn("once", F.coalesce(once, "text"))
     batches = [counted(docs, "text", 1), counted(revised, "text", -1), counted(revised, "once", 1), counted(current, "once", -1)]
     changes = [settle(ix.add_changes(x), "changes") for x in batches]  # each as a batch commits it
