@@ -3,11 +3,13 @@
 A line's key is the line without ASCII white space at its ends and with A-Z lower-cased, hashed to 128 bits.
 LineIndex keeps, in a folder all executors share:
 
-* postings: signed rows (shard, k1, k2, id, rows) of each batch.  Their sums by key and id are the exact reference counts:
-  an id holds a line if its sum is above zero;
+* postings: signed rows (k1, k2, id, rows) of the batches.  Their sums by key and id are the exact reference counts: an id holds
+  a line if its sum is above zero.  Tables of as many batches are merged into one, rows that cancel left out, so n batches
+  lie in about log2(n) tables and a row is written anew at most as often;
 * the exact table of the keys now in `min_docs` documents or more, with the largest id of each;
 * a cuckoo filter for each shard of keys that holds those keys.  Keys that cross the limit either way are inserted in and
-  deleted from it; a filter without a crossing is carried over;
+  deleted from it; a filter without a crossing is carried over.  Shards are doubled, and filters built anew, where a shard
+  would hold over `shard_keys` keys on average, so none grows with the corpus;
 * a log of records, each the whole state after one batch.  A batch takes effect with its record, which is published under
   the next number by one writer only; another that comes second begins anew on top of it.  A batch whose name is in the
   log changes nothing.  Everything is read from the folder, so an index opened anew is the same index.
@@ -45,6 +47,8 @@ from clausemill.llm.shared import names, own_folder, partitions, publish, record
 from clausemill.llm.words import signed, slices
 
 _U = np.uint64
+#: Shards follow from bits of a key that its filter uses neither for places (the lowest) nor for prints (the highest 16).
+_SHARD_BITS = 24
 
 
 class _Lines:
@@ -66,14 +70,14 @@ class _Lines:
         self.k2 = np.array([x & 0xFFFFFFFFFFFFFFFF for x in wide], _U)[codes] if wide else np.empty(0, _U)
 
 
-def _postings(batches: Iterator[pa.RecordBatch], min_chars: int, shards: int) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         lines = _Lines(batch.column("text"), min_chars)
         owner = lines.owner[lines.at]
         order = np.lexsort((lines.k2, lines.k1, owner))
         new = np.append(True, (np.diff(owner[order]) != 0) | (np.diff(lines.k1[order]) != 0) | (np.diff(lines.k2[order]) != 0)) if len(order) else np.empty(0, bool)
         pick = order[new]
-        yield pa.RecordBatch.from_pydict({"shard": (lines.k1[pick] % _U(shards)).astype(np.int32), "k1": signed(lines.k1[pick]), "k2": signed(lines.k2[pick]), "id": batch.column("id").take(pa.array(owner[pick]))})
+        yield pa.RecordBatch.from_pydict({"k1": signed(lines.k1[pick]), "k2": signed(lines.k2[pick]), "id": batch.column("id").take(pa.array(owner[pick]))})
 
 
 def _update_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +111,7 @@ def _update_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _hits(k1: np.ndarray, shards: int, held: dict[int, CuckooFilter]) -> np.ndarray:
     """Whether the filter of each key's shard may hold it."""
-    hit, shard = np.zeros(len(k1), bool), (k1 % _U(shards)).astype(np.int64)
+    hit, shard = np.zeros(len(k1), bool), ((k1 >> _U(_SHARD_BITS)) & _U(shards - 1)).astype(np.int64)
     for k in np.unique(shard):
         if int(k) in held:
             mine = np.flatnonzero(shard == k)
@@ -167,8 +171,8 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 2)), pa.array(counts), pa.array(counts - stay), kept], names=[*batch.schema.names[:-2], "n_lines", "n_dropped", "kept_text"])
 
 
-_KEY = ["shard", "k1", "k2"]
-_POSTINGS, _FREQUENT, _FILTERS = "shard int, k1 long, k2 long, id long, rows long", "shard int, k1 long, k2 long, n_docs long, keep long", "shard int, filter binary"
+_KEY = ["k1", "k2"]
+_POSTINGS, _FREQUENT, _FILTERS = "k1 long, k2 long, id long, rows long", "k1 long, k2 long, n_docs long, keep long", "shard int, filter binary"
 
 
 def _net(postings: DataFrame) -> DataFrame:
@@ -178,14 +182,16 @@ def _net(postings: DataFrame) -> DataFrame:
 class LineIndex:
     """Reference counts and filters of lines in the folder `path`; batches are named, and a name takes effect once."""
 
-    def __init__(self, spark: SparkSession, path: str, min_chars: int = 20, min_docs: int = 3, shards: int = 64, max_filter_bytes: int = 64 << 20, max_keys: int = 2_000_000):
-        self.spark, self.path, self.min_chars, self.min_docs, self.shards, self.max_filter_bytes, self.max_keys = spark, path, min_chars, min_docs, shards, max_filter_bytes, max_keys
+    def __init__(self, spark: SparkSession, path: str, min_chars: int = 20, min_docs: int = 3, shards: int = 64, max_filter_bytes: int = 64 << 20, max_keys: int = 2_000_000, shard_keys: int = 1_000_000):
+        """shards: how many there are at first, rounded up to a power of two."""
+        self.spark, self.path, self.min_chars, self.min_docs, self.max_filter_bytes, self.max_keys, self.shard_keys = spark, path, min_chars, min_docs, max_filter_bytes, max_keys, shard_keys
+        self.shards = 1 << (shards - 1).bit_length()
         small_batches(spark)
 
     def insert(self, batch: str, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> bool:
         """Add the lines of these documents; False, and no change, if the batch is known."""
-        min_chars, shards = self.min_chars, self.shards
-        rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(lambda it: _postings(it, min_chars, shards), "shard int, k1 long, k2 long, id long")
+        min_chars = self.min_chars
+        rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(lambda it: _postings(it, min_chars), "k1 long, k2 long, id long")
         return self._commit(batch, lambda before: rows.withColumn("rows", F.lit(1).cast("long")))
 
     def delete(self, batch: str, ids: DataFrame, id_col: str = "doc_id") -> bool:
@@ -213,37 +219,53 @@ class LineIndex:
             if publish(self.spark, f"{self.path}/log", f"{len(log):08d}", {"batch": batch, **record}):
                 return True
 
-    def _next(self, log: list[dict], changes: Callable[[DataFrame], DataFrame]) -> dict[str, str]:
+    def _next(self, log: list[dict], changes: Callable[[DataFrame], DataFrame]) -> dict:
         """The tables as they are after a batch; those of before stay."""
-        postings = [x["postings"] for x in log]
-        own = self._write(_net(changes(self._read(postings, _POSTINGS))), "postings")
-        now, frequent = self._read([own], _POSTINGS), self._read([x["frequent"] for x in log[-1:]], _FREQUENT)
-        if log:
-            touched = self._read([self._write(now.select(*_KEY).distinct(), "touched")], "shard int, k1 long, k2 long")
-            now = _net(self._read([*postings, own], _POSTINGS).join(touched, _KEY, "left_semi"))
+        last = log[-1] if log else None
+        runs = last["runs"] if last else []
+        before = [path for path, _ in runs]
+        own = self._write(_net(changes(self._read(before, _POSTINGS))), "postings")
+        now = self._read([own], _POSTINGS)
+        if last:
+            frequent = self._read([last["frequent"]], _FREQUENT)
+            touched = self._read([self._write(now.select(*_KEY).distinct(), "touched")], "k1 long, k2 long")
+            now = _net(self._read([*before, own], _POSTINGS).join(touched, _KEY, "left_semi"))
             were, others = frequent.join(touched, _KEY, "left_semi"), frequent.join(touched, _KEY, "left_anti")
         counts = now.filter("rows > 0").groupBy(*_KEY).agg(F.count("*").alias("n_docs"), F.max("id").alias("keep")).filter(F.col("n_docs") >= self.min_docs)
-        whole = self._write(others.unionByName(counts) if log else counts, "frequent")
+        whole = self._write(others.unionByName(counts) if last else counts, "frequent")
         known = self._read([whole], _FREQUENT)
-        step = lambda df, k: df.select("shard", F.lit(k).alias("step"), "k1", F.lit(None).cast("binary").alias("filter"))
-        if not log:
-            return {"postings": own, "frequent": whole, "filters": self._write(self._filters(step(known, 2)), "filters")}
+        shards, n = (last["shards"] if last else self.shards), known.count()
+        while shards * self.shard_keys < n:
+            shards *= 2
+        state = {"runs": self._merged([*runs, [own, 1]]), "frequent": whole, "shards": shards}
+        placed = lambda df: df.withColumn("shard", F.shiftrightunsigned("k1", _SHARD_BITS).bitwiseAND(F.lit(shards - 1)).cast("int"))
+        step = lambda df, k: placed(df).select("shard", F.lit(k).alias("step"), "k1", F.lit(None).cast("binary").alias("filter"))
+        if not last or shards != last["shards"]:
+            return state | {"filters": self._write(self._filters(step(known, 2), shards), "filters")}
         mine = known.join(touched, _KEY, "left_semi")
         crossed = self._read([self._write(step(mine.join(were, _KEY, "left_anti"), 2).unionByName(step(were.join(mine, _KEY, "left_anti"), 1)), "crossed")], "shard int, step int, k1 long, filter binary")
-        filters = self._read([log[-1]["filters"]], _FILTERS)
+        filters = self._read([last["filters"]], _FILTERS)
         open_ = filters.filter("length(filter) = 0").select("shard")
-        shards = F.broadcast(crossed.select("shard").union(open_).distinct())  # at most as many as there are shards
-        held = filters.filter("length(filter) > 0").join(shards, "shard", "left_semi").select("shard", F.lit(0).alias("step"), F.lit(0).cast("long").alias("k1"), "filter")
-        steps = held.unionByName(crossed.join(F.broadcast(open_), "shard", "left_anti")).unionByName(step(known.join(F.broadcast(open_), "shard", "left_semi"), 2))
-        return {"postings": own, "frequent": whole, "filters": self._write(filters.join(shards, "shard", "left_anti").unionByName(self._filters(steps)), "filters")}
-
-    def _filters(self, steps: DataFrame) -> DataFrame:
-        return steps.repartition(min(self.shards, partitions(self.spark)), "shard").sortWithinPartitions("shard", "step").mapInArrow(_update_filters, _FILTERS)
+        changed = F.broadcast(crossed.select("shard").union(open_).distinct())  # at most as many as there are shards
+        held = filters.filter("length(filter) > 0").join(changed, "shard", "left_semi").select("shard", F.lit(0).alias("step"), F.lit(0).cast("long").alias("k1"), "filter")
+        steps = held.unionByName(crossed.join(F.broadcast(open_), "shard", "left_anti")).unionByName(step(placed(known).join(F.broadcast(open_), "shard", "left_semi"), 2))
+        return state | {"filters": self._write(filters.join(changed, "shard", "left_anti").unionByName(self._filters(steps, shards)), "filters")}
+
+    def _merged(self, runs: list[list]) -> list[list]:
+        """Tables of postings with the number of batches in each: the last ones are merged while they hold as many as those before."""
+        runs, last, n = runs[:-1], [runs[-1][0]], runs[-1][1]
+        while runs and runs[-1][1] <= n:
+            path, more = runs.pop()
+            last, n = [path, *last], n + more
+        return [*runs, [self._write(_net(self._read(last, _POSTINGS)), "postings") if len(last) > 1 else last[0], n]]
+
+    def _filters(self, steps: DataFrame, shards: int) -> DataFrame:
+        return steps.repartition(min(shards, partitions(self.spark)), "shard").sortWithinPartitions("shard", "step").mapInArrow(_update_filters, _FILTERS)
 
     def vacuum(self) -> None:
         """Delete the tables of earlier states and of batches that came second; no other writer or reader may be at work."""
         log = self._log()
-        keep = {x["postings"] for x in log} | {x[k] for x in log[-1:] for k in ("frequent", "filters")}
+        keep = {path for x in log[-1:] for path, _ in x["runs"]} | {x[k] for x in log[-1:] for k in ("frequent", "filters")}
         for kind in ("postings", "frequent", "filters", "touched", "crossed"):
             for name in names(self.spark, f"{self.path}/{kind}"):
                 if f"{self.path}/{kind}/{name}" not in keep:
@@ -261,15 +283,16 @@ class LineIndex:
         return log[-1]
 
     def frequent(self) -> DataFrame:
-        """shard, k1, k2, n_docs, keep: the lines now in min_docs documents or more, and the id that keeps them."""
+        """k1, k2, n_docs, keep: the lines now in min_docs documents or more, and the id that keeps them."""
         return self._read([self._last()["frequent"]], _FREQUENT)
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
         """The documents' columns `keep`, then n_lines, n_dropped, kept_text."""
-        frequent, table = self.frequent(), self.filters
+        last = self._last()
+        frequent, table = self._read([last["frequent"]], _FREQUENT), self._read([last["filters"]], _FILTERS)
         small = (table.agg(F.sum(F.length("filter"))).first()[0] or 0) <= self.max_filter_bytes
         filters = self.spark.sparkContext.broadcast({x["shard"]: bytes(x["filter"]) for x in table.collect()}) if small else None
-        min_chars, shards = self.min_chars, self.shards
+        min_chars, shards = self.min_chars, last["shards"]
         own = T.StructType([T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(keep)])
         added = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())]
         carried = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from clausemill.llm.components import components
 from clausemill.llm.cuckoo import CuckooFilter
 from clausemill.llm.line_dedup import LineIndex, drop_lines, index_lines
+from clausemill.llm.shared import names
 from clausemill.llm.simhash_dedup import fingerprints, near_duplicates, near_links
 from clausemill.llm.substring_dedup import dedup_substrings
 
@@ -165,6 +166,33 @@ def test_line_index_opened_anew(spark, make, tmp_path):
     assert sum(int((f.slots > 0).sum()) for f in held) == 2
 
 
+def test_line_index_merges_its_tables_and_doubles_its_shards(spark, make, tmp_path):
+    """Seven batches, one that deletes: tables of 4, 2 and 1 batches, more shards than at first, and the counts of all documents that are left."""
+    rnd, held = random.Random(3), {}
+    index = LineIndex(spark, str(tmp_path), shards=1, shard_keys=4)
+    for n in range(7):
+        if n == 3:
+            gone = sorted(held)[:3]
+            assert index.delete(f"b{n}", make([(k, "") for k in gone]))
+            held = {k: x for k, x in held.items() if k not in gone}
+        else:
+            rows = [(100 - 10 * n + j, "\n".join(f"line number {rnd.randrange(24)} of the corpus" for _ in range(8))) for j in range(4)]
+            assert index.insert(f"b{n}", make(rows))
+            held.update(rows)
+        index.vacuum()
+        if n in (2, 3, 6):
+            holders: dict = {}
+            for k, text in held.items():
+                for line in set(text.split("\n")):
+                    holders.setdefault(line, set()).add(k)
+            assert sorted((r.n_docs, r.keep) for r in index.frequent().collect()) == sorted((len(x), max(x)) for x in holders.values() if len(x) >= 3)
+            for bound in ({}, {"max_keys": 0}):
+                again = LineIndex(spark, str(tmp_path), shards=1, shard_keys=4, **bound)
+                assert sorted(map(tuple, again.apply(make(list(held.items())), keep=("doc_id",)).collect())) == sorted(brute.line_dedup(list(held.items())))
+    assert [n for _, n in index._last()["runs"]] == [4, 2, 1] and index._last()["shards"] == 8
+    assert len(names(spark, f"{tmp_path}/postings")) == 3
+
+
 def test_line_index_of_two_writers(spark, make, tmp_path, monkeypatch):
     """Another writer's batch comes between reading the log and publishing: both batches count."""
     from clausemill.llm import line_dedup
