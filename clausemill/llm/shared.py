@@ -54,17 +54,24 @@ def publish(spark: SparkSession, folder: str, name: str, record: dict) -> bool:
     return True
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _at(spark, path)
+    return fs.exists(where)
+
+
+def record(spark: SparkSession, path: str) -> dict:
+    """A published record."""
+    fs, where = _at(spark, path)
+    stream = fs.open(where)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
 def records(spark: SparkSession, folder: str) -> dict[str, dict]:
     """Records published in a folder, in order of their names."""
-    out = {}
-    for name in names(spark, folder):
-        fs, where = _at(spark, f"{folder}/{name}")
-        stream = fs.open(where)
-        try:
-            out[name] = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-    return out
+    return {name: record(spark, f"{folder}/{name}") for name in names(spark, folder)}
 
 
 def few(df: DataFrame, most: int) -> DataFrame:

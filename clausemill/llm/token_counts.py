@@ -7,7 +7,9 @@ after the partial aggregation.
 
 TokenRollup writes a batch's deltas in a new folder; they count from when a record of that folder is published under the
 batch's name, which one of several writers can do (shared.publish).  A batch whose name is taken changes nothing, so a
-retried, doubled or concurrent commit counts once.  compact() folds batches into one folder and keeps their names.
+retried, doubled or concurrent commit counts once.  compact() folds batches into one folder, under the next number, which one
+writer gets; what counts is the last fold and the batches that it doesn't name.  Whether a name is taken is one look at the folder,
+and only records of batches not yet folded are read.
 
 Defined cases: null source, language or version are groups of their own; null counts are zero; null text has no
 tokens; repeated change rows count each; an empty batch is committed and adds nothing; groups whose documents and tokens
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausemill.llm.shared import once, publish, records, remove, small_batches
+from clausemill.llm.shared import exists, names, once, publish, record, remove, small_batches
 from clausemill.llm.words import slices
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -75,29 +77,33 @@ class TokenRollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _live(self) -> tuple[list[str], set[str]]:
-        """Folders that count, and all batches; a record whose batches are all in a larger one, or one before it, was compacted."""
-        found = [(x["folder"], set(x["batches"])) for x in records(self.spark, f"{self.path}/records").values()]
-        live = [f for k, (f, own) in enumerate(found) if not any(own < other or own == other and j < k for j, (_, other) in enumerate(found))]
-        return live, set().union(*(own for _, own in found))
+    def _live(self) -> tuple[list[str], list[str], list[str]]:
+        """Folders that count, the batches in them, and the names of all folds."""
+        folds = names(self.spark, f"{self.path}/folds")  # first, so that the batches of the last fold are among those listed next
+        taken = names(self.spark, f"{self.path}/records")
+        fold = record(self.spark, f"{self.path}/folds/{folds[-1]}") if folds else {"folder": None, "batches": []}
+        within = set(fold["batches"])
+        batches = [x.removeprefix("batch=") for x in taken]
+        own = [record(self.spark, f"{self.path}/records/batch={x}")["folder"] for x in batches if x not in within]
+        return ([fold["folder"]] if folds else []) + own, batches, folds
 
     def batches(self) -> list[str]:
         """Names of the batches committed so far."""
-        return sorted(self._live()[1])
+        return sorted(x.removeprefix("batch=") for x in names(self.spark, f"{self.path}/records"))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of changes; False, and no change, if the name was committed before."""
         if not batch or any(x in batch for x in "\n/=:"):
             raise ValueError("a batch name is not empty and has no line end, '/', ':' or '='")
-        if batch in self.batches():
+        if exists(self.spark, f"{self.path}/records/batch={batch}"):
             return False
         rows = signed(changes).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return self._put(rows, f"batch={batch}", [batch])
+        return self._put(rows, "records", f"batch={batch}")
 
-    def _put(self, rows: DataFrame, name: str, batches: list[str]) -> bool:
+    def _put(self, rows: DataFrame, kind: str, name: str, **more: list[str]) -> bool:
         folder = f"{self.path}/deltas/{uuid.uuid4().hex}"
         rows.write.parquet(folder)
-        done = publish(self.spark, f"{self.path}/records", name, {"folder": folder, "batches": batches})
+        done = publish(self.spark, f"{self.path}/{kind}", name, {"folder": folder, **more})
         if not done:
             remove(self.spark, folder)
         return done
@@ -111,13 +117,13 @@ class TokenRollup:
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 OR n_tokens <> 0")
 
     def compact(self) -> None:
-        """Fold all batches into one folder, by one writer at a time.  The record decides: before it the old folders count, after it the new one.
+        """Fold all batches into one folder.  The record decides: before it the old folders count, after it the new one.
 
-        Records stay, so that no name can be taken again.
+        Of several at once one gets the number, and the others leave no trace.  Records stay, so that no name can be taken again.
         """
-        old, batches = self._live()
+        old, batches, folds = self._live()
         if len(old) > 1:
             rows = self.spark.read.schema(self.SCHEMA).parquet(*old).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-            if self._put(rows, f"compact={uuid.uuid4().hex}", sorted(batches)):
+            if self._put(rows, "folds", f"{len(folds):08d}", batches=batches):
                 for folder in old:
                     remove(self.spark, folder)

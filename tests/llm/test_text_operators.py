@@ -342,6 +342,30 @@ def test_rollup_of_two_writers(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in other.totals().collect()] == [("a", "en", "v1", 1, 10)]
 
 
+def test_rollup_folded_by_two(spark, tmp_path, monkeypatch):
+    """Another writer commits and folds while this one folds: what it folded counts once, and this one's folder goes."""
+    from clausemill.llm import token_counts
+
+    rows = spark.createDataFrame([("a", "en", "v1", "insert", 10, None)], "source string, lang string, version string, op string, n_tokens long, old_tokens long")
+    one, other = TokenRollup(spark, str(tmp_path / "r")), TokenRollup(spark, str(tmp_path / "r"))
+    for k in range(3):
+        one.commit(f"b{k}", rows)
+    publish = token_counts.publish
+
+    def late(*args):
+        monkeypatch.setattr(token_counts, "publish", publish)
+        assert other.commit("late", rows)
+        other.compact()
+        return publish(*args)
+
+    monkeypatch.setattr(token_counts, "publish", late)
+    one.compact()
+    assert [tuple(r) for r in one.totals().collect()] == [("a", "en", "v1", 4, 40)]
+    assert one.commit("after", rows) and not one.commit("late", rows)
+    one.compact()
+    assert [tuple(r) for r in other.totals().collect()] == [("a", "en", "v1", 5, 50)] and len(other._live()[0]) == 1
+
+
 def test_token_counts(make):
     import base64
 
