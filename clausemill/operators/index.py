@@ -47,10 +47,17 @@ def corpus_idf(post: DataFrame, rows: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(_rows_with_tf().alias("df")).select("term", "df", v.idf(n, F.col("df")).alias("idf"))
 
 
-def clause_terms(rows: DataFrame, text: Column | None = None) -> DataFrame:
-    """term: each clause's different terms, a row for each, without a shuffle; for what needs no counts within clauses."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(enriched_text() if text is None else text), F.lit("[a-z0-9]+"), 0))
-    return rows.select(F.explode(words).alias("term")).filter((F.length("term") > 1) & ~F.col("term").isin(tx.STOPWORDS))
+def _different(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0))
+
+
+def _is_term() -> Column:
+    return (F.length("term") > 1) & ~F.col("term").isin(tx.STOPWORDS)
+
+
+def clause_terms(rows: DataFrame, text: Column | None = None, *by: str) -> DataFrame:
+    """Columns `by`, term: each clause's different terms, a row for each, without a shuffle; for what needs no counts within clauses."""
+    return rows.select(*by, F.explode(_different(enriched_text() if text is None else text)).alias("term")).filter(_is_term())
 
 
 def frequency_changes(post: DataFrame, rows: DataFrame, sign: int = 1) -> DataFrame:
@@ -65,6 +72,14 @@ def frequency_changes(post: DataFrame, rows: DataFrame, sign: int = 1) -> DataFr
     return counted.unionByName(rows.agg((F.count("*") * sign).alias("d_rows")).select(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("d_df"), "d_rows"))
 
 
+def revision_changes(rows: DataFrame, old: Column, new: Column) -> DataFrame:
+    """frequency_changes() of clauses whose text becomes another: a term in both texts of a clause cancels within its row and is not shuffled."""
+    both = rows.select(F.coalesce(_different(old), F.array()).alias("old"), F.coalesce(_different(new), F.array()).alias("new"))
+    gone = both.select(F.explode(F.array_except("old", "new")).alias("term"), F.lit(-1).cast("long").alias("d_df"))
+    come = both.select(F.explode(F.array_except("new", "old")).alias("term"), F.lit(1).cast("long").alias("d_df"))
+    return gone.unionByName(come).filter(_is_term()).groupBy("term").agg(F.sum("d_df").alias("d_df")).filter("d_df <> 0").select("term", "d_df", F.lit(0).cast("long").alias("d_rows"))
+
+
 def add_changes(changes: DataFrame) -> DataFrame:
     return changes.groupBy("term").agg(F.sum("d_df").alias("d_df"), F.sum("d_rows").alias("d_rows")).filter("d_df <> 0 OR d_rows <> 0")
 

@@ -15,6 +15,7 @@ The floor comes from the largest weights of each term, which are read first.  Al
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
 from clausemill.functions import values as v
-from clausemill.operators.index import corpus_idf, document_idf, unit_weights
+from clausemill.operators.index import clause_terms, corpus_idf, document_idf, frequency_changes, idf_of_changes, postings, unit_weights
 from clausemill.tables import settle
 
 _EIGHTHS = 8
@@ -59,10 +60,46 @@ def lexicon(weights: DataFrame, idf: DataFrame) -> DataFrame:
 def build(post: DataFrame, rows: DataFrame) -> Index:
     """The index of a corpus, as tables in the shared folder."""
     idf = settle(corpus_idf(post, rows), "idf")
-    weights = settle(impact_ordered(unit_weights(post, idf)), "impacts", even=False)
+    return _stored(unit_weights(post, idf), idf)
+
+
+def _stored(unit: DataFrame, idf: DataFrame) -> Index:
+    weights = settle(impact_ordered(unit), "impacts", even=False)
     return Index(settle(lexicon(weights, idf), "lexicon", even=False), weights)
 
 
+#: Terms that are broadcast with their idf, about 100 bytes each; more are joined by shuffle.
+MOST_TERMS = 1_000_000
+
+
+def text_weights(rows: DataFrame, text: Column, idf: DataFrame, most: int = MOST_TERMS) -> DataFrame:
+    """unit_weights() of clauses (stem, ord) from their texts.
+
+    Texts are dealt out by clause once, and words are counted, weighed and brought to unit length where they lie: no posting is
+    shuffled for it.  Terms of a single clause, most of a vocabulary, share one idf under a corpus-wide idf and are not looked up; what
+    is left is broadcast up to `most` terms, and joined by shuffle of the postings beyond, with the same result.
+    """
+    post = postings(rows.select("stem", "ord", text.alias("text")).repartition("stem", "ord"), F.col("text"))
+    if "stem" in idf.columns:
+        known, keys, one = idf.select("stem", "term", "idf"), ["stem", "term"], None
+    else:
+        known, keys = idf.filter("df > 1").select("term", "idf"), ["term"]
+        one = idf.filter("df = 1").select("idf").first()
+    if known.count() <= most:
+        x = post.join(F.broadcast(known), keys, "left" if one else "inner").withColumn("idf", F.coalesce("idf", F.lit(one["idf"] if one else None)))
+    else:
+        x = post.join(idf.select(*keys, "idf"), keys)
+    x = x.withColumn("w", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("stem", "ord")))
+    return x.select("stem", "ord", "term", v.unit(F.col("w"), norm).alias("weight"))
+
+
+def build_from_text(rows: DataFrame, text: Column, most: int = MOST_TERMS) -> Index:
+    """build() without a table of postings.  rows: one for each clause (stem, ord)."""
+    idf = settle(idf_of_changes(frequency_changes(clause_terms(rows, text), rows)), "idf", even=False)
+    return _stored(text_weights(rows, text, idf, most), idf)
+
+
 @dataclass(frozen=True)
 class _Term:
     """A term of a question: its weight there, its largest weight in the index, and how many weights lie in each level."""
@@ -181,8 +218,18 @@ class DocumentIndex:
 
 
 def build_by_document(post: DataFrame, rows: DataFrame) -> DocumentIndex:
-    idf = settle(document_idf(post, rows).repartitionByRange("term", "stem").sortWithinPartitions("term", "stem"), "idf_by_document", even=False)
-    return DocumentIndex(idf, settle(impact_ordered(unit_weights(post, idf)), "impacts_by_document", even=False))
+    return _stored_by_document(lambda idf: unit_weights(post, idf), document_idf(post, rows))
+
+
+def build_by_document_from_text(rows: DataFrame, text: Column, most: int = MOST_TERMS) -> DocumentIndex:
+    """build_by_document() without a table of postings.  rows: one for each clause (stem, ord)."""
+    counted = clause_terms(rows, text, "stem").withColumn("tf", F.lit(1))
+    return _stored_by_document(lambda idf: text_weights(rows, text, idf, most), document_idf(counted, rows))
+
+
+def _stored_by_document(weigh: Callable[[DataFrame], DataFrame], idf: DataFrame) -> DocumentIndex:
+    idf = settle(idf.repartitionByRange("term", "stem").sortWithinPartitions("term", "stem"), "idf_by_document", even=False)
+    return DocumentIndex(idf, settle(impact_ordered(weigh(idf)), "impacts_by_document", even=False))
 
 
 def search_documents(index: DocumentIndex, query: str, k: int = 5) -> DataFrame:

@@ -30,12 +30,12 @@ def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _index(spark: SparkSession, sf_dir: str) -> se.Index:
     """The corpus index, built by the first question of a session."""
-    made = kept(spark, "index", [f"{sf_dir}/documents.parquet"], lambda: (lambda x: (x.lexicon, x.weights))(se.build(_table(spark, sf_dir), _rows(spark, sf_dir))))
+    made = kept(spark, "index", [f"{sf_dir}/documents.parquet"], lambda: (lambda x: (x.lexicon, x.weights))(se.build_from_text(_rows(spark, sf_dir), F.col("text"))))
     return se.Index(*made)
 
 
 def _by_document(spark: SparkSession, sf_dir: str) -> se.DocumentIndex:
-    made = kept(spark, "index_by_document", [f"{sf_dir}/documents.parquet"], lambda: (lambda x: (x.idf, x.weights))(se.build_by_document(_table(spark, sf_dir), _rows(spark, sf_dir))))
+    made = kept(spark, "index_by_document", [f"{sf_dir}/documents.parquet"], lambda: (lambda x: (x.idf, x.weights))(se.build_by_document_from_text(_rows(spark, sf_dir), F.col("text"))))
     return se.DocumentIndex(*made)
 
 

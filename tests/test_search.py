@@ -52,6 +52,32 @@ def test_documents_by_their_own_weights(corpus):
         assert sorted(se.search_documents(index, query, 4).collect(), key=key) == sorted(ix.search(post, rows, query, 4).select("stem", "ord", "score", "rank").collect(), key=key)
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_an_index_from_texts_is_that_of_postings(corpus, most):
+    rows, post, index = corpus
+    made = se.build_from_text(rows, F.col("text"), most)
+    near = lambda df: sorted((r["stem"], r["ord"], r["term"], round(r["weight"], 10)) for r in df.collect())
+    assert near(made.weights) == near(index.weights)
+    known = lambda x: sorted((r["term"], r["df"], round(r["idf"], 10), round(r["top"], 10), r["levels"]) for r in x.lexicon.collect())
+    assert known(made) == known(index)
+    by, want = se.build_by_document_from_text(rows, F.col("text"), most), se.build_by_document(post, rows)
+    assert near(by.weights) == near(want.weights)
+    assert sorted(map(tuple, by.idf.collect())) == sorted(map(tuple, want.idf.collect()))
+
+
+def test_texts_are_weighed_without_a_shuffle_of_postings(corpus):
+    rows, post, _ = corpus
+    idf = settle(ix.corpus_idf(post, rows), "idf")
+    plan = se.text_weights(rows, F.col("text"), idf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_revision_cancels_within_its_row(spark):
+    rows = spark.createDataFrame([("one two two", "two three"), ("four", None), (None, "five the"), ("one", "one")], "old string, new string")
+    got = {r["term"]: (r["d_df"], r["d_rows"]) for r in ix.revision_changes(rows, F.col("old"), F.col("new")).collect()}
+    assert got == {"one": (-1, 0), "three": (1, 0), "four": (-1, 0), "five": (1, 0)}
+
+
 def test_kept_tables_follow_their_files(spark, tmp_path):
     path, made = str(tmp_path / "t"), []
 
