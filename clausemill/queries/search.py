@@ -58,9 +58,10 @@ def idf_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
     revised = docs.withColumn("once", once).filter("once <> text")
     counted = lambda df, text, sign: ix.frequency_changes(ix.clause_terms(df, F.col(text)), df, sign)
-    current = docs.join(toxic, "doc_id", "left_semi").withColumn("once", F.coalesce(once, "text"))
-    batches = [counted(docs, "text", 1), counted(revised, "text", -1), counted(revised, "once", 1), counted(current, "once", -1)]
-    changes = [settle(ix.add_changes(x), "changes") for x in batches]  # each as a batch commits it
+    few = toxic.count() <= 1_000_000  # else a join by shuffle, which Spark's own filters thin out first
+    current = docs.join(F.broadcast(toxic) if few else toxic, "doc_id", "left_semi").withColumn("once", F.coalesce(once, "text"))
+    batches = [counted(docs, "text", 1), ix.revision_changes(revised, F.col("text"), F.col("once")), counted(current, "once", -1)]
+    changes = [settle(x, "changes", even=False) for x in batches]  # each as a batch commits it, a row for each term
     united = changes[0]
     for x in changes[1:]:
         united = united.unionByName(x)
