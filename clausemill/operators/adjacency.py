@@ -19,9 +19,9 @@ def bucket_of(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
-def by_key(df: DataFrame, key: str) -> DataFrame:
-    """df with its folder, dealt out by it and in order of the key."""
-    return df.withColumn("bucket", bucket_of(F.col(key))).repartition("bucket").sortWithinPartitions("bucket", key)
+def by_key(df: DataFrame, key: str, *more: str) -> DataFrame:
+    """df with its folder, in order of folder and key, dealt out by ranges of both and of `more`, so that a key with many rows is spread over tasks and files."""
+    return df.withColumn("bucket", bucket_of(F.col(key))).repartitionByRange("bucket", key, *more).sortWithinPartitions("bucket", key)
 
 
 def of_keys(table: DataFrame, key: str, keys: DataFrame) -> DataFrame:
@@ -53,4 +53,4 @@ class Adjacency:
 
 def store(nodes: DataFrame, edges: DataFrame, keep: Callable[[str, DataFrame], DataFrame]) -> Adjacency:
     """keep(name, df): df written in folders by its column bucket, and read back."""
-    return Adjacency(keep("nodes_by_id", by_key(nodes, "id")), keep("edges_by_source", by_key(edges, "source")), keep("edges_by_target", by_key(edges, "target")))
+    return Adjacency(keep("nodes_by_id", by_key(nodes, "id")), keep("edges_by_source", by_key(edges, "source", "target")), keep("edges_by_target", by_key(edges, "target", "source")))

@@ -21,7 +21,7 @@ def _prop(name: str) -> object:
     return F.col("properties").getItem(name)
 
 
-def _small(df: DataFrame, most: int = 10_000) -> DataFrame:
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     """df, to be broadcast if it has at most `most` rows, as the hits of one question have."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
@@ -30,7 +30,7 @@ def _edges(edges: DataFrame | Adjacency, kind: str, keys: DataFrame, end: str) -
     """Edges of a kind whose source or target is among the keys."""
     if isinstance(edges, Adjacency):
         return edges.edges_from(kind, keys) if end == "source" else edges.edges_to(kind, keys)
-    return edges.filter(F.col("type") == kind).join(_small(keys.toDF(end).distinct()), end, "left_semi")
+    return edges.filter(F.col("type") == kind).join(small(keys.toDF(end).distinct()), end, "left_semi")
 
 
 def enrich(hits: DataFrame, nodes: DataFrame | Adjacency, edges: DataFrame | Adjacency) -> DataFrame:
@@ -46,8 +46,8 @@ def enrich(hits: DataFrame, nodes: DataFrame | Adjacency, edges: DataFrame | Adj
         mine = _edges(edges, kind, sources, "source")
         return settle(mine.groupBy("source").agg(F.max_by(F.struct("target", *more), at).alias("e")), "found")  # as few rows as hits
 
-    def label(ids: DataFrame, name: str, **properties: str) -> DataFrame:
-        mine = nodes.nodes_of(ids) if isinstance(nodes, Adjacency) else nodes.join(_small(ids.toDF("id").distinct()), "id", "left_semi")
+    def label(ids: DataFrame, name: str, kind: str, **properties: str) -> DataFrame:
+        mine = nodes.nodes_of(ids) if isinstance(nodes, Adjacency) else nodes.filter(F.col("type") == kind).join(small(ids.toDF("id").distinct()), "id", "left_semi")
         own = F.struct(*(_prop(p).alias(n) for n, p in properties.items()))
         first = F.min_by(own, "stem") if "stem" in mine.columns else F.first(own)  # as in the union of all graphs, the first document's node counts
         return mine.groupBy("id").agg(first.alias("p")).select(F.col("id").alias(f"__{name}_id"), "p.*")
@@ -56,9 +56,9 @@ def enrich(hits: DataFrame, nodes: DataFrame | Adjacency, edges: DataFrame | Adj
     concept = last("MAPS_TO_CONCEPT", x.select("clause_node"), "provenance").select(F.col("source").alias("__c"), F.col("e.target").alias("concept_node"), F.col("e.provenance.match_confidence").alias("mapping_confidence"), F.col("e.provenance.review_required").alias("review_required"))
     bound = last("HAS_OBLIGATION", x.select("clause_node")).select(F.col("source").alias("__b"), F.col("e.target").alias("__obligation"))
     parent = last("CHILD_OF", concept.select("concept_node")).select(F.col("source").alias("__k"), F.col("e.target").alias("__parent"))
-    x = x.join(concept, F.col("clause_node") == F.col("__c"), "left").join(label(concept.select("concept_node"), "concept", canonical_id="canonical_id", canonical_label="label"), F.col("concept_node") == F.col("__concept_id"), "left")
-    x = x.join(parent, F.col("concept_node") == F.col("__k"), "left").join(label(parent.select("__parent"), "parent", concept_parent="label"), F.col("__parent") == F.col("__parent_id"), "left")
-    x = x.join(bound, F.col("clause_node") == F.col("__b"), "left").join(label(bound.select("__obligation"), "duty", obligation_type="label"), F.col("__obligation") == F.col("__duty_id"), "left")
+    x = x.join(concept, F.col("clause_node") == F.col("__c"), "left").join(label(concept.select("concept_node"), "concept", "Concept", canonical_id="canonical_id", canonical_label="label"), F.col("concept_node") == F.col("__concept_id"), "left")
+    x = x.join(parent, F.col("concept_node") == F.col("__k"), "left").join(label(parent.select("__parent"), "parent", "Concept", concept_parent="label"), F.col("__parent") == F.col("__parent_id"), "left")
+    x = x.join(bound, F.col("clause_node") == F.col("__b"), "left").join(label(bound.select("__obligation"), "duty", "ObligationType", obligation_type="label"), F.col("__obligation") == F.col("__duty_id"), "left")
     return x.select(*hits.columns, "concept_node", "canonical_id", "canonical_label", "mapping_confidence", "review_required", "concept_parent", "obligation_type")
 
 
@@ -67,15 +67,14 @@ def impact_candidates(evidence: DataFrame, edges: DataFrame | Adjacency) -> Data
     touched = evidence.filter("concept_node IS NOT NULL").groupBy("concept_node").agg(F.first("canonical_label", ignorenulls=True).alias("concept"), F.first("canonical_id", ignorenulls=True).alias("canonical_id"))
     mapped = _edges(edges, "MAPS_TO_CONCEPT", evidence.select("concept_node").filter("concept_node IS NOT NULL"), "target").select("target", "provenance.document_id", "provenance.clause_no", "provenance.page")
     inside = evidence.select(F.col("document_id").alias("__d")).distinct()
-    return mapped.join(_small(touched), F.col("target") == F.col("concept_node")).join(_small(inside), F.col("document_id") == F.col("__d"), "left_anti").select("concept", "canonical_id", "document_id", "clause_no", "page")
+    return mapped.join(small(touched), F.col("target") == F.col("concept_node")).join(small(inside), F.col("document_id") == F.col("__d"), "left_anti").select("concept", "canonical_id", "document_id", "clause_no", "page")
 
 
 def attach_text(evidence: DataFrame, clauses: DataFrame, documents: DataFrame) -> DataFrame:
     """Adds text: the clause's own, else its title.  documents: document_id, stem (the last stem of a document counts)."""
-    stems = documents.groupBy("document_id").agg(F.max("stem").alias("__stem"))
+    stems = documents.join(small(evidence.select("document_id").distinct()), "document_id", "left_semi").groupBy("document_id").agg(F.max("stem").alias("__stem"))
     own = clauses.select(F.col("stem").alias("__s"), F.col("clause_id").alias("__c"), F.col("text").alias("__text"))
-    stems = stems.join(_small(evidence.select("document_id").distinct()), "document_id", "left_semi")
-    own = own.join(_small(stems.select(F.col("__stem").alias("__s")).distinct()), "__s", "left_semi")
+    own = own.join(small(stems.select(F.col("__stem").alias("__s")).distinct()), "__s", "left_semi")
     x = evidence.join(stems, "document_id", "left").join(own, (F.col("__stem") == F.col("__s")) & (F.col("clause_id") == F.col("__c")), "left")
     return x.withColumn("text", tx.present("__text", "title")).drop("__stem", "__s", "__c", "__text")
 
