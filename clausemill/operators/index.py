@@ -51,13 +51,13 @@ def _different(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0))
 
 
-def _is_term() -> Column:
+def is_term() -> Column:
     return (F.length("term") > 1) & ~F.col("term").isin(tx.STOPWORDS)
 
 
 def clause_terms(rows: DataFrame, text: Column | None = None, *by: str) -> DataFrame:
     """Columns `by`, term: each clause's different terms, a row for each, without a shuffle; for what needs no counts within clauses."""
-    return rows.select(*by, F.explode(_different(enriched_text() if text is None else text)).alias("term")).filter(_is_term())
+    return rows.select(*by, F.explode(_different(enriched_text() if text is None else text)).alias("term")).filter(is_term())
 
 
 def frequency_changes(post: DataFrame, rows: DataFrame, sign: int = 1) -> DataFrame:
@@ -77,7 +77,7 @@ def revision_changes(rows: DataFrame, old: Column, new: Column) -> DataFrame:
     both = rows.select(F.coalesce(_different(old), F.array()).alias("old"), F.coalesce(_different(new), F.array()).alias("new"))
     gone = both.select(F.explode(F.array_except("old", "new")).alias("term"), F.lit(-1).cast("long").alias("d_df"))
     come = both.select(F.explode(F.array_except("new", "old")).alias("term"), F.lit(1).cast("long").alias("d_df"))
-    return gone.unionByName(come).filter(_is_term()).groupBy("term").agg(F.sum("d_df").alias("d_df")).filter("d_df <> 0").select("term", "d_df", F.lit(0).cast("long").alias("d_rows"))
+    return gone.unionByName(come).filter(is_term()).groupBy("term").agg(F.sum("d_df").alias("d_df")).filter("d_df <> 0").select("term", "d_df", F.lit(0).cast("long").alias("d_rows"))
 
 
 def add_changes(changes: DataFrame) -> DataFrame:
@@ -136,7 +136,11 @@ def stored_scores(weights: DataFrame, idf: DataFrame, query: str) -> DataFrame:
 
 def search(post: DataFrame, rows: DataFrame, query: str, k: int = 5, stem: str = "stem") -> DataFrame:
     """Best k clauses of each document under its own weights: by exact score, then order; scores to four places."""
-    scored = sparse_scores(post, document_idf(post, rows, stem), query)
+    return best_of_each(sparse_scores(post, document_idf(post, rows, stem), query), k)
+
+
+def best_of_each(scored: DataFrame, k: int = 5) -> DataFrame:
+    """stem, ord, score, rank: the best k of each document by exact score, then order; scores to four places."""
     turn = F.row_number().over(Window.partitionBy("stem").orderBy(F.desc(F.round("score", 10)), "ord"))
     return scored.withColumn("rank", turn).filter(F.col("rank") <= k).withColumn("score", F.round("score", 4))
 

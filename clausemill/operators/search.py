@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
 from clausemill.functions import values as v
-from clausemill.operators.index import clause_terms, corpus_idf, document_idf, frequency_changes, idf_of_changes, postings, unit_weights
+from clausemill.operators.index import clause_terms, corpus_idf, document_idf, frequency_changes, idf_of_changes, is_term, postings, query_weights, unit_weights
 from clausemill.tables import settle
 
 _EIGHTHS = 8
@@ -51,10 +51,12 @@ def impact_ordered(weights: DataFrame) -> DataFrame:
 
 
 def lexicon(weights: DataFrame, idf: DataFrame) -> DataFrame:
-    """Counts by level are added up in each task first, so a frequent term is a few rows for each."""
+    """Counts by level are added up in each task first, so a frequent term is a few rows for each; these meet the idf in one deal by ranges of terms."""
     counted = weights.groupBy("term", _level(F.col("weight")).alias("level")).agg(F.count("*").alias("n"), F.max("weight").alias("top"))
-    levels = counted.groupBy("term").agg(F.max("top").alias("top"), F.sort_array(F.collect_list(F.struct("level", "n"))).alias("levels"))
-    return idf.select("term", "df", "idf").join(levels, "term").select("term", "df", "idf", "top", "levels").repartitionByRange("term").sortWithinPartitions("term")
+    both = counted.unionByName(idf.select("term", "df", "idf"), allowMissingColumns=True).repartitionByRange("term")
+    levels = F.sort_array(F.collect_list(F.when(F.col("level").isNotNull(), F.struct("level", "n")))).alias("levels")
+    met = both.groupBy("term").agg(F.max("df").alias("df"), F.max("idf").alias("idf"), F.max("top").alias("top"), levels)
+    return met.filter("df IS NOT NULL AND top IS NOT NULL").sortWithinPartitions("term")
 
 
 def build(post: DataFrame, rows: DataFrame) -> Index:
@@ -68,35 +70,64 @@ def _stored(unit: DataFrame, idf: DataFrame) -> Index:
     return Index(settle(lexicon(weights, idf), "lexicon", even=False), weights)
 
 
-#: Terms that are broadcast with their idf, about 100 bytes each; more are joined by shuffle.
+#: Terms that are broadcast with their idf, about 100 bytes each, the most frequent ones; the others are looked up by shuffle.
 MOST_TERMS = 1_000_000
 
 
 def text_weights(rows: DataFrame, text: Column, idf: DataFrame, most: int = MOST_TERMS) -> DataFrame:
-    """unit_weights() of clauses (stem, ord) from their texts.
+    """unit_weights() of clauses (stem, ord) from their texts, dealt out by clause.  idf: term, df, idf, or stem, term, df, idf.
 
-    Texts are dealt out by clause once, and words are counted, weighed and brought to unit length where they lie: no posting is
-    shuffled for it.  Terms of a single clause, most of a vocabulary, share one idf under a corpus-wide idf and are not looked up; what
-    is left is broadcast up to `most` terms, and joined by shuffle of the postings beyond, with the same result.
+    Texts are dealt out by clause once, and words are counted, weighed and brought to unit length where they lie.  The most frequent terms,
+    whole octaves of df up to `most` terms, are broadcast.  Terms of a single clause, most of a vocabulary, share one idf under a corpus-wide idf.
+    Only clauses' other terms, a few hundredths of all postings, meet their idf by shuffle and come to the texts as rows beside them.
     """
-    post = postings(rows.select("stem", "ord", text.alias("text")).repartition("stem", "ord"), F.col("text"))
-    if "stem" in idf.columns:
-        known, keys, one = idf.select("stem", "term", "idf"), ["stem", "term"], None
-    else:
-        known, keys = idf.filter("df > 1").select("term", "idf"), ["term"]
-        one = idf.filter("df = 1").select("idf").first()
-    if known.count() <= most:
-        x = post.join(F.broadcast(known), keys, "left" if one else "inner").withColumn("idf", F.coalesce("idf", F.lit(one["idf"] if one else None)))
+    keys = ["stem", "term"] if "stem" in idf.columns else ["term"]
+    one = None if "stem" in idf.columns else idf.filter("df = 1").select("idf").first()
+    known, octave, lowest, have = idf if one is None else idf.filter("df > 1"), F.floor(F.log2("df")), 64, 0
+    counts = {r["o"]: r["n"] for r in known.groupBy(octave.alias("o")).agg(F.count("*").alias("n")).collect()}  # a row for each octave
+    for o in sorted(counts, reverse=True):
+        if have + counts[o] > most:
+            break
+        have, lowest = have + counts[o], o
+    frequent = F.broadcast(known.filter(octave >= lowest).select(*keys, F.col("idf").alias("near")))
+    if have == sum(counts.values()):
+        post = postings(rows.select("stem", "ord", text.alias("text")).repartition("stem", "ord"), F.col("text")).withColumn("far", F.lit(None).cast("double"))
     else:
-        x = post.join(idf.select(*keys, "idf"), keys)
+        others = clause_terms(rows, text, "stem", "ord").join(frequent.drop("near"), keys, "left_anti")
+        beside = others.join(known.filter(octave < lowest).select(*keys, F.col("idf").alias("far")), keys).select("stem", "ord", "term", "far")
+        both = rows.select("stem", "ord", text.alias("text")).unionByName(beside, allowMissingColumns=True).repartition("stem", "ord")
+        word = lambda term, n, far: F.struct(term.alias("term"), F.lit(n).cast("long").alias("n"), far.cast("double").alias("far"))
+        words = F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0), lambda t: word(t, 1, F.lit(None)))
+        found = both.select("stem", "ord", F.explode(F.when(F.col("term").isNull(), words).otherwise(F.array(word(F.col("term"), 0, F.col("far"))))).alias("x")).select("stem", "ord", "x.*")
+        post = found.filter(is_term()).groupBy("stem", "ord", "term").agg(F.sum("n").alias("tf"), F.max("far").alias("far"))
+    x = post.join(frequent, keys, "left").withColumn("idf", F.coalesce("near", "far", F.lit(one["idf"] if one else None))).filter("idf IS NOT NULL")
     x = x.withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("stem", "ord")))
     return x.select("stem", "ord", "term", v.unit(F.col("w"), norm).alias("weight"))
 
 
+def text_idf(rows: DataFrame, text: Column) -> DataFrame:
+    """corpus_idf() without postings, as a table."""
+    return settle(idf_of_changes(frequency_changes(clause_terms(rows, text), rows)), "idf", even=False)
+
+
+def text_document_idf(rows: DataFrame, text: Column) -> DataFrame:
+    """document_idf() without postings."""
+    return document_idf(clause_terms(rows, text, "stem").withColumn("tf", F.lit(1)), rows)
+
+
+def text_scores(rows: DataFrame, text: Column, idf: DataFrame, query: str, most: int = MOST_TERMS) -> DataFrame:
+    """index.sparse_scores() from texts: clauses are weighed where they lie, and only the question's words go on."""
+    wanted = query_weights(idf, query)
+    asked = F.array_distinct(tx.tokens(F.lit(query)))
+    weights = text_weights(rows, text, idf, most).filter(F.array_contains(asked, F.col("term")))
+    found = weights.join(wanted, ["stem", "term"]) if "stem" in idf.columns else weights.join(F.broadcast(wanted), "term")
+    return found.groupBy("stem", "ord").agg(F.sum(F.col("weight") * F.col("qw")).alias("score")).filter("score > 0")
+
+
 def build_from_text(rows: DataFrame, text: Column, most: int = MOST_TERMS) -> Index:
     """build() without a table of postings.  rows: one for each clause (stem, ord)."""
-    idf = settle(idf_of_changes(frequency_changes(clause_terms(rows, text), rows)), "idf", even=False)
+    idf = text_idf(rows, text)
     return _stored(text_weights(rows, text, idf, most), idf)
 
 
@@ -223,8 +254,7 @@ def build_by_document(post: DataFrame, rows: DataFrame) -> DocumentIndex:
 
 def build_by_document_from_text(rows: DataFrame, text: Column, most: int = MOST_TERMS) -> DocumentIndex:
     """build_by_document() without a table of postings.  rows: one for each clause (stem, ord)."""
-    counted = clause_terms(rows, text, "stem").withColumn("tf", F.lit(1))
-    return _stored_by_document(lambda idf: text_weights(rows, text, idf, most), document_idf(counted, rows))
+    return _stored_by_document(lambda idf: text_weights(rows, text, idf, most), text_document_idf(rows, text))
 
 
 def _stored_by_document(weigh: Callable[[DataFrame], DataFrame], idf: DataFrame) -> DocumentIndex:

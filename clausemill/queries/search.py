@@ -23,11 +23,6 @@ def _post(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.postings(_rows(spark, sf_dir), F.col("text"))
 
 
-def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings as a table, as a run keeps them: read once for weights and once for scores."""
-    return settle(_post(spark, sf_dir), "postings")
-
-
 def _index(spark: SparkSession, sf_dir: str) -> se.Index:
     """The corpus index, built by the first question of a session."""
     made = kept(spark, "index", [f"{sf_dir}/documents.parquet"], lambda: (lambda x: (x.lexicon, x.weights))(se.build_from_text(_rows(spark, sf_dir), F.col("text"))))
@@ -69,8 +64,9 @@ def idf_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = _table(spark, sf_dir)
-    return ix.unit_weights(post, ix.corpus_idf(post, _rows(spark, sf_dir))).groupBy("stem", "ord").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("largest"), F.round(F.sum("weight"), 6).alias("total"))
+    rows = _rows(spark, sf_dir)
+    weights = se.text_weights(rows, F.col("text"), se.text_idf(rows, F.col("text")))
+    return weights.groupBy("stem", "ord").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("largest"), F.round(F.sum("weight"), 6).alias("total"))
 
 
 def search_topk_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,10 +78,11 @@ def search_topk_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-document and corpus search without an index: postings are weighed at the question."""
-    post, rows = _table(spark, sf_dir), _rows(spark, sf_dir)
-    corpus = ix.retrieve(post, rows, QUESTION).select("stem", "ord", "score", F.lit(0).alias("rank"))
-    return ix.search(post, rows, QUESTION).select("stem", "ord", "score", "rank").union(corpus)
+    """Per-document and corpus search without an index: texts are weighed at the question."""
+    rows, text = _rows(spark, sf_dir), F.col("text")
+    corpus = ix.top_hits(se.text_scores(rows, text, se.text_idf(rows, text), QUESTION), None).select("stem", "ord", "score", F.lit(0).alias("rank"))
+    own = settle(se.text_document_idf(rows, text), "idf_by_document", even=False)
+    return ix.best_of_each(se.text_scores(rows, text, own, QUESTION)).select("stem", "ord", "score", "rank").union(corpus)
 
 
 QUESTIONS = [QUESTION, "the and la des der para", "keine ción nowhere"]

@@ -92,3 +92,17 @@ def test_kept_tables_follow_their_files(spark, tmp_path):
     assert len(made) == 2
     release(spark)
     assert kept(spark, "copy", [path], table)[0].count() == 5 and len(made) == 3
+
+
+@pytest.mark.parametrize("most", [0, 3, 8, 1000])
+def test_terms_beyond_the_bound_alone_are_looked_up_by_shuffle(spark, most):
+    texts = ["aa bb cc dd aa", "aa bb cc ee", "aa bb ff ff", "aa gg cc", None, "", "aa hh bb"]
+    rows = spark.createDataFrame([(f"s{k % 2}", k, t) for k, t in enumerate(texts)], "stem string, ord long, text string")
+    post = ix.postings(rows, F.col("text"))
+    got = lambda df: {(r["stem"], r["ord"], r["term"]): r["weight"] for r in df.collect()}
+    for idf in (ix.corpus_idf(post, rows), ix.document_idf(post, rows)):
+        made = se.text_weights(rows, F.col("text"), idf, most)
+        assert got(made) == pytest.approx(got(ix.unit_weights(post, idf)))
+        assert "Broadcast" in made._jdf.queryExecution().optimizedPlan().toString() or "broadcast" in made._jdf.queryExecution().optimizedPlan().toString()
+    scored = lambda df: {(r["stem"], r["ord"]): r["score"] for r in df.collect()}
+    assert scored(se.text_scores(rows, F.col("text"), ix.corpus_idf(post, rows), "aa ff zz", most)) == pytest.approx(scored(ix.sparse_scores(post, ix.corpus_idf(post, rows), "aa ff zz")))
