@@ -3,7 +3,7 @@
 A document's rows are cut into segments by their ordinal (`segment` ordinals each; ordinals are the numbers of lines, headings or pages,
 so a segment holds about that many rows).  A window runs within each segment.  Of each segment one row goes on, with what the segment adds;
 a window over those carries the state from segment to segment, and it is joined back to the segments' rows.  The result is that of one window over the
-document.  The first window sees `segment` rows at a time, the second a row for each segment.
+document; rows are written once and shuffled once, by segment.  The first window sees `segment` rows at a time, the second a row for each segment.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausemill.tables import settle
+
 
 def running(df: DataFrame, by: list[str], order: str, values: dict[str, tuple[str, Column]], inclusive: bool = True, segment: int | None = None) -> DataFrame:
     """df with a column for each of values: name -> (how, column).
@@ -19,23 +21,23 @@ def running(df: DataFrame, by: list[str], order: str, values: dict[str, tuple[st
     segment: ordinals in a segment; None runs one window over the document.
     """
     end = Window.currentRow if inclusive else -1
-    cut = [] if segment is None else ["__part"]
+    columns, group = df.columns, by
     if segment is not None:
-        df = df.withColumn("__part", F.floor(F.col(order) / segment).cast("long"))
-    local = Window.partitionBy(*by, *cut).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+        # read twice below, so written once; a struct is never null and equals one with the same nulls, so the join keeps the windows' partitions
+        part = F.struct(*by, F.floor(F.col(order) / segment).cast("long").alias("__part"))
+        df = settle(df, "running", even=False).withColumn("__at", part).withColumn("__hash", F.xxhash64("__at"))
+        group = ["__hash", "__at"]
+    local = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
     made = {n: F.last(c, ignorenulls=True).over(local) if how == "last" else F.coalesce(F.sum(c).over(local), F.lit(0)) for n, (how, c) in values.items()}
     if segment is None:
         return df.withColumns(made)
     ends = {n: F.max_by(c, F.when(c.isNotNull(), F.col(order))) if how == "last" else F.coalesce(F.sum(c), F.lit(0)) for n, (how, c) in values.items()}
-    states = df.groupBy(*by, "__part").agg(*(x.alias(n) for n, x in ends.items()))
-    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = states.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__part").alias("__at"), *((F.last(n, ignorenulls=True).over(before) if how == "last" else F.sum(n).over(before)).alias(f"__c_{n}") for n, (how, _) in values.items()))
-    same = F.col("__part") == F.col("__at")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    joined = df.withColumns(made).join(carried, same, "left")
+    states = df.groupBy(*group).agg(*(x.alias(n) for n, x in ends.items()))
+    before = Window.partitionBy(*(F.col(f"__at.{c}") for c in by)).orderBy("__at.__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = states.select(*group, *((F.last(n, ignorenulls=True).over(before) if how == "last" else F.sum(n).over(before)).alias(f"__c_{n}") for n, (how, _) in values.items()))
+    joined = df.withColumns(made).join(carried, group, "left")
     both = [(F.coalesce(n, f"__c_{n}") if how == "last" else F.col(n) + F.coalesce(f"__c_{n}", F.lit(0))).alias(n) for n, (how, _) in values.items()]
-    return joined.select(*(c for c in df.columns if c != "__part"), *both)
+    return joined.select(*columns, *both)
 
 
 def following(df: DataFrame, order: str, value: str, segment: int = 65_536) -> DataFrame:
