@@ -25,15 +25,15 @@ def running(df: DataFrame, by: list[str], order: str, values: dict[str, tuple[st
     if segment is not None:
         # read twice below, so written once; a struct is never null and equals one with the same nulls, so the join keeps the windows' partitions
         part = F.struct(*by, F.floor(F.col(order) / segment).cast("long").alias("__part"))
-        df = settle(df, "running", even=False).withColumn("__at", part).withColumn("__hash", F.xxhash64("__at"))
-        group = ["__hash", "__at"]
+        df = settle(df, "running", even=False).withColumn("__part_of", part).withColumn("__hash", F.xxhash64("__part_of"))
+        group = ["__hash", "__part_of"]
     local = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
     made = {n: F.last(c, ignorenulls=True).over(local) if how == "last" else F.coalesce(F.sum(c).over(local), F.lit(0)) for n, (how, c) in values.items()}
     if segment is None:
         return df.withColumns(made)
     ends = {n: F.max_by(c, F.when(c.isNotNull(), F.col(order))) if how == "last" else F.coalesce(F.sum(c), F.lit(0)) for n, (how, c) in values.items()}
-    states = df.groupBy(*group).agg(*(x.alias(n) for n, x in ends.items()))
-    before = Window.partitionBy(*(F.col(f"__at.{c}") for c in by)).orderBy("__at.__part").rowsBetween(Window.unboundedPreceding, -1)
+    states = df.groupBy(*group).agg(*(x.alias(n) for n, x in ends.items())).select("*", *(F.col(f"__part_of.{c}").alias(f"__of_{c}") for c in by), "__part_of.__part")
+    before = Window.partitionBy(*(f"__of_{c}" for c in by)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     carried = states.select(*group, *((F.last(n, ignorenulls=True).over(before) if how == "last" else F.sum(n).over(before)).alias(f"__c_{n}") for n, (how, _) in values.items()))
     joined = df.withColumns(made).join(carried, group, "left")
     both = [(F.coalesce(n, f"__c_{n}") if how == "last" else F.col(n) + F.coalesce(f"__c_{n}", F.lit(0))).alias(n) for n, (how, _) in values.items()]
